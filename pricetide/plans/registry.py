@@ -245,3 +245,153 @@ def q_reconcile_cart(spark, d):
 def q_cart_snapshot(spark, d):
     t = retail_tables(spark, d)
     return cartops.cart_snapshot(_cart(t), _totals(t), EXPANDED)
+
+
+# --------------------------------------------------------------------------- S1-S22
+
+from pricetide import schemas  # noqa: E402
+from pricetide.sources import datagen, io  # noqa: E402
+
+
+@query("latest_by_key", with_tables("""
+SELECT sale_id, product_id, sale_price, sale_date, price FROM sales
+QUALIFY row_number() OVER (PARTITION BY product_id
+                           ORDER BY sale_date DESC, sale_id DESC, sale_price DESC, price DESC) = 1"""))
+def q_latest_by_key(spark, d):
+    return io.latest_by_key(retail_tables(spark, d).sales, ["product_id"], ["sale_date"])
+
+
+@query("overrides", with_tables("""
+SELECT product_id,
+       CASE WHEN product_id = 1 THEN 'Fresh Red Delicious Apple' ELSE product_name END AS product_name,
+       CASE WHEN product_id = 1 THEN CAST(0.75 AS DECIMAL(10,2)) ELSE base_price END AS base_price,
+       category_id, supplier_id, available, last_update_time
+FROM products"""))
+def q_overrides(spark, d):
+    return io.apply_overrides(retail_tables(spark, d).products, io.overrides_frame(spark, "retail"))
+
+
+@query("with_vertical", with_tables("SELECT *, 'retail' AS vertical FROM products"))
+def q_with_vertical(spark, d):
+    return io.with_vertical(retail_tables(spark, d).products, "retail")
+
+
+@query("audit_pk", with_tables(
+    "SELECT sale_id, COUNT(*) AS n FROM sales GROUP BY sale_id HAVING COUNT(*) > 1"))
+def q_audit_pk(spark, d):
+    return io.audit_pk(retail_tables(spark, d).sales, ["sale_id"])
+
+
+def _fk_sql():
+    parts = []
+    for child, fk, parent, pk in schemas.FOREIGN_KEYS:
+        parts.append(f"""SELECT '{child}' AS table_name, '{fk}' AS column_name, c.{fk} AS value, COUNT(*) AS n
+FROM {child} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk})
+GROUP BY c.{fk}""")
+    return with_tables("\nUNION ALL\n".join(parts))
+
+
+def _audited_tables(t):
+    return {"products": t.products, "sales": t.sales, "inventory": t.inventory,
+            "promotions": t.promotions, "shopping_cart": t.shopping_cart, "categories": t.categories}
+
+
+@query("audit_fk", _fk_sql())
+def q_audit_fk(spark, d):
+    tabs = _audited_tables(retail_tables(spark, d))
+    out = None
+    for child, fk, parent, pk in schemas.FOREIGN_KEYS:
+        a = io.audit_fk(tabs[child], fk, tabs[parent], pk, child)
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+_NN_TABLES = ("products", "sales", "inventory", "promotions", "shopping_cart", "categories")
+
+
+def _nn_sql():
+    parts = []
+    for name in _NN_TABLES:
+        for c in schemas.not_null_columns(schemas.SCHEMAS[name]):
+            if name == "inventory" and c == "inventory_id":
+                continue
+            parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
+                         f"COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM {name}")
+    return with_tables("\nUNION ALL\n".join(parts))
+
+
+@query("audit_not_null", _nn_sql())
+def q_audit_not_null(spark, d):
+    tabs = _audited_tables(retail_tables(spark, d))
+    out = None
+    for name in _NN_TABLES:
+        cols = [c for c in schemas.not_null_columns(schemas.SCHEMAS[name]) if c in tabs[name].columns]
+        a = io.audit_not_null(tabs[name], cols, name)
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query("defaults", with_tables("""
+SELECT p.product_id, COALESCE(s.total_stock, 0) AS total_stock
+FROM products p LEFT JOIN (SELECT product_id, CAST(SUM(stock) AS BIGINT) AS total_stock
+                           FROM inventory GROUP BY product_id) s ON p.product_id = s.product_id"""))
+def q_defaults(spark, d):
+    t = retail_tables(spark, d)
+    joined = t.products.select("product_id").join(pricing.inventory_totals(t.inventory), "product_id", "left")
+    return io.with_defaults(joined, {"total_stock": 0})
+
+
+@query("to_document")
+def q_to_document(spark, d):
+    return io.to_document(_items(retail_tables(spark, d)), key="product_id")
+
+
+_KEPT = """kept AS (
+  SELECT * FROM products WHERE product_id = 1
+  UNION ALL
+  SELECT * EXCLUDE (pos) FROM (SELECT *, row_number() OVER (ORDER BY product_id) AS pos
+                               FROM products WHERE product_id <> 1) r WHERE pos % 2 = 1
+)"""
+
+
+@query("downsample_products", with_tables("SELECT * FROM kept", _KEPT))
+def q_downsample_products(spark, d):
+    return datagen.downsample_products(retail_tables(spark, d).products)
+
+
+@query("downsample_promotions", with_tables(
+    "SELECT * FROM promotions WHERE product_id IN (SELECT product_id FROM kept)", _KEPT))
+def q_downsample_promotions(spark, d):
+    t = retail_tables(spark, d)
+    return datagen.downsample_promotions(t.promotions, datagen.downsample_products(t.products))
+
+
+@query("downsample_inventory", with_tables("""
+SELECT inventory_id, product_id, CAST(FLOOR((stock + 1) / 2) AS INTEGER) AS stock, warehouse_id, restock_date
+FROM inventory WHERE product_id IN (SELECT product_id FROM kept)""", _KEPT))
+def q_downsample_inventory(spark, d):
+    t = retail_tables(spark, d)
+    return datagen.downsample_inventory(t.inventory, datagen.downsample_products(t.products))
+
+
+@query("downsample_sales", with_tables("""
+SELECT * FROM sales WHERE product_id IN (SELECT product_id FROM kept)
+  AND (product_id = 1 OR sale_id % 2 = 0)""", _KEPT))
+def q_downsample_sales(spark, d):
+    t = retail_tables(spark, d)
+    return datagen.downsample_sales(t.sales, datagen.downsample_products(t.products))
+
+
+@query("gen_sales")
+def q_gen_sales(spark, d):
+    return datagen.gen_sales(retail_tables(spark, d).products, rounds=5, per_round=None)
+
+
+@query("gen_promotions")
+def q_gen_promotions(spark, d):
+    return datagen.gen_promotions(retail_tables(spark, d).products, rounds=5, per_round=1000)
+
+
+@query("gen_inventory")
+def q_gen_inventory(spark, d):
+    return datagen.gen_inventory(retail_tables(spark, d).products, rounds=5, per_round=2000)
