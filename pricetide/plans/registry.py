@@ -395,3 +395,201 @@ def q_gen_promotions(spark, d):
 @query("gen_inventory")
 def q_gen_inventory(spark, d):
     return datagen.gen_inventory(retail_tables(spark, d).products, rounds=5, per_round=2000)
+
+
+# --------------------------------------------------------------------------- M1, C1-C8
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pricetide.operators import changes  # noqa: E402
+from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over  # noqa: E402
+from pricetide.sources import testdata  # noqa: E402
+
+AS_OF = "2024-02-01 00:00:00"
+_AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
+_PRODUCT_COLS = "product_id, product_name, base_price, category_id, supplier_id, available, last_update_time"
+
+
+@query("apply_changes", with_tables(f"""
+WITH latest AS (
+  SELECT * FROM product_changes
+  QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq DESC, op DESC) = 1
+)
+SELECT {_PRODUCT_COLS} FROM products WHERE product_id NOT IN (SELECT product_id FROM product_changes)
+UNION ALL
+SELECT {_PRODUCT_COLS} FROM latest WHERE op <> 'D'""", CHANGE_FEEDS))
+def q_apply_changes(spark, d):
+    t = retail_tables(spark, d)
+    return changes.apply_changes(t.products, testdata.product_changes(spark, d), ["product_id"])
+
+
+@query("apply_changes_bag", with_tables("""
+SELECT product_id, product_name, category_id, price, ts, CAST(SUM(w) AS BIGINT) AS multiplicity
+FROM (SELECT 1 AS w, product_id, product_name, category_id, price, ts FROM shopping_cart
+      UNION ALL SELECT w, product_id, product_name, category_id, price, ts FROM cart_changes) u
+GROUP BY product_id, product_name, category_id, price, ts HAVING SUM(w) > 0""", CHANGE_FEEDS))
+def q_apply_changes_bag(spark, d):
+    t = retail_tables(spark, d)
+    return changes.apply_changes_bag(t.shopping_cart, testdata.cart_changes(spark, d, t.products))
+
+
+@query("upsert_log", with_tables("""
+SELECT source AS view_name, ts AS last_refresh, latency_ms / 1000.0 AS refresh_duration FROM query_log
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC) = 1"""))
+def q_upsert_log(spark, d):
+    ql = retail_tables(spark, d).query_log
+    base = ql.groupBy(F.col("source").alias("view_name")).agg(
+        F.min("ts").alias("last_refresh"), F.lit(0.0).alias("refresh_duration"))
+    rows = ql.select(F.col("source").alias("view_name"), F.col("ts").alias("last_refresh"),
+                     (F.col("latency_ms") / 1000.0).alias("refresh_duration"), "seq")
+    return changes.upsert_log(base, rows, seq="seq")
+
+
+def _toggle_sql(pid_sql):
+    return with_tables(f"""
+WITH target AS (SELECT {pid_sql} AS pid)
+SELECT promotion_id, product_id, promotion_discount, start_date, end_date,
+       CASE WHEN product_id = (SELECT pid FROM target) THEN NOT active ELSE active END AS active,
+       CASE WHEN product_id = (SELECT pid FROM target) THEN {_AS_OF_SQL} ELSE updated_at END AS updated_at
+FROM promotions
+UNION ALL
+SELECT (SELECT MAX(promotion_id) FROM promotions) + 1, pid, CAST(10 AS DECIMAL(10,2)), {_AS_OF_SQL},
+       {_AS_OF_SQL} + INTERVAL 30 DAY, TRUE, {_AS_OF_SQL}
+FROM target WHERE NOT EXISTS (SELECT 1 FROM promotions WHERE product_id = pid)""")
+
+
+@query("toggle_promotion", _toggle_sql("CAST(1 AS BIGINT)"))
+def q_toggle_promotion(spark, d):
+    t = retail_tables(spark, d)
+    return changes.toggle_promotion(t.products, t.promotions, 1, AS_OF)
+
+
+_NO_PROMO_SQL = "(SELECT MIN(product_id) FROM products WHERE product_id NOT IN (SELECT product_id FROM promotions))"
+
+
+@query("toggle_promotion_new", _toggle_sql(_NO_PROMO_SQL))
+def q_toggle_promotion_new(spark, d):
+    t = retail_tables(spark, d)
+    # one scalar: the smallest product without any promotion
+    pid = (t.products.join(t.promotions.select("product_id"), "product_id", "left_anti")
+           .agg(F.min("product_id")).first()[0])
+    return changes.toggle_promotion(t.products, t.promotions, pid, AS_OF)
+
+
+_NEW_PRODUCT = dict(name="Organic Fuji Apple", category_id=101, price="1.99", stock=15)
+_ADDED = f"""
+new_id AS (SELECT MAX(product_id) + 1 AS id FROM products),
+products2 AS (
+  SELECT * FROM products UNION ALL
+  SELECT (SELECT id FROM new_id), 'Organic Fuji Apple', CAST(1.99 AS DECIMAL(10,2)), CAST(101 AS BIGINT),
+         CAST(1 AS BIGINT), TRUE, {_AS_OF_SQL}
+),
+sales2 AS (
+  SELECT * FROM sales UNION ALL
+  SELECT (SELECT MAX(sale_id) FROM sales) + 1, (SELECT id FROM new_id), CAST(1.99 AS DECIMAL(18,4)),
+         {_AS_OF_SQL}, CAST(1.99 AS DECIMAL(12,2))
+),
+inventory2 AS (
+  SELECT * FROM inventory UNION ALL
+  SELECT (SELECT MAX(inventory_id) FROM inventory) + 1, (SELECT id FROM new_id), 15, CAST(1 AS BIGINT),
+         {_AS_OF_SQL} + INTERVAL 30 DAY
+)"""
+
+
+@query("add_product", with_tables(
+    "SELECT product_id, live_price, last_update_time FROM inventory_item",
+    _ADDED, pricing_over(products="products2", sales="sales2", inventory="inventory2")))
+def q_add_product(spark, d):
+    t = retail_tables(spark, d)
+    tabs = {"products": t.products, "sales": t.sales, "inventory": t.inventory,
+            "shopping_cart": t.shopping_cart}
+    new = changes.add_product(tabs, as_of=AS_OF, **_NEW_PRODUCT)
+    return pricing.inventory_item(new["products"], new["sales"], t.promotions, new["inventory"])
+
+
+_CART_ADD = f"""
+added AS (
+  SELECT product_id, product_name, category_id, base_price AS price, {_AS_OF_SQL} AS ts FROM products
+  WHERE product_id = 1 AND NOT EXISTS (SELECT 1 FROM shopping_cart WHERE product_id = 1)
+  UNION ALL
+  SELECT product_id, product_name, category_id, base_price, {_AS_OF_SQL} FROM products
+  WHERE product_id = (SELECT MIN(product_id) FROM products WHERE product_id <> 1)
+),
+targets AS (SELECT DISTINCT product_id, 15 AS stock FROM added)"""
+
+_REPLENISHED = f"""
+SELECT i.inventory_id, i.product_id, COALESCE(t.stock, i.stock) AS stock, i.warehouse_id,
+       CASE WHEN t.stock IS NULL THEN i.restock_date ELSE {_AS_OF_SQL} + INTERVAL 30 DAY END AS restock_date
+FROM inventory i LEFT JOIN targets t ON i.product_id = t.product_id
+UNION ALL
+SELECT (SELECT MAX(inventory_id) FROM inventory) + row_number() OVER (ORDER BY product_id), product_id,
+       CAST(stock AS INTEGER), CAST(1 AS BIGINT), {_AS_OF_SQL} + INTERVAL 30 DAY
+FROM targets WHERE product_id NOT IN (SELECT product_id FROM inventory)"""
+
+
+@query("add_to_cart", with_tables(
+    "SELECT * FROM shopping_cart UNION ALL SELECT * FROM added", _CART_ADD))
+def q_add_to_cart(spark, d):
+    t = retail_tables(spark, d)
+    cart, _ = changes.add_to_cart(t.shopping_cart, t.products, t.inventory, as_of=AS_OF, stock=15,
+                                  smallest=True)
+    return cart
+
+
+@query("add_to_cart_inventory", with_tables(_REPLENISHED, _CART_ADD))
+def q_add_to_cart_inventory(spark, d):
+    t = retail_tables(spark, d)
+    _, inv = changes.add_to_cart(t.shopping_cart, t.products, t.inventory, as_of=AS_OF, stock=15,
+                                 smallest=True)
+    return inv
+
+
+@query("replenish", with_tables(_REPLENISHED, """
+targets AS (SELECT DISTINCT product_id, CAST(5 + product_id % 21 AS INTEGER) AS stock FROM shopping_cart)"""))
+def q_replenish(spark, d):
+    t = retail_tables(spark, d)
+    tg = t.shopping_cart.select("product_id").distinct().select(
+        "product_id", (F.lit(5) + F.col("product_id") % 21).cast("int").alias("stock"))
+    return changes.replenish(t.inventory, tg, AS_OF)
+
+
+@query("cart_delete", with_tables("""
+SELECT * FROM shopping_cart
+WHERE ts <> (SELECT ts FROM shopping_cart WHERE product_id <> 1 ORDER BY ts, product_id LIMIT 1)"""))
+def q_cart_delete(spark, d):
+    return changes.cart_delete(retail_tables(spark, d).shopping_cart, smallest=True)
+
+
+_JITTER_DELTA = "((product_id + stock) % 5 + 1) * CASE WHEN (product_id + stock) % 2 = 0 THEN 1 ELSE -1 END"
+
+
+@query("stock_jitter", with_tables(f"""
+WITH RECURSIVE pairs AS (
+  SELECT product_id, stock, {_JITTER_DELTA} AS d,
+         row_number() OVER (PARTITION BY product_id ORDER BY stock) AS k
+  FROM (SELECT DISTINCT i.product_id, i.stock
+        FROM (SELECT DISTINCT product_id FROM shopping_cart) c JOIN inventory i ON c.product_id = i.product_id) x
+),
+steps(inventory_id, k, s) AS (
+  SELECT inventory_id, 0, stock FROM inventory WHERE product_id IN (SELECT product_id FROM pairs)
+  UNION ALL
+  SELECT st.inventory_id, st.k + 1, GREATEST(0, st.s + p.d)
+  FROM steps st JOIN inventory i ON i.inventory_id = st.inventory_id
+  JOIN pairs p ON p.product_id = i.product_id AND p.k = st.k + 1
+),
+final AS (SELECT inventory_id, arg_max(s, k) AS s FROM steps GROUP BY inventory_id)
+SELECT i.inventory_id, i.product_id, CAST(COALESCE(f.s, i.stock) AS INTEGER) AS stock, i.warehouse_id, i.restock_date
+FROM inventory i LEFT JOIN final f ON i.inventory_id = f.inventory_id"""))
+def q_stock_jitter(spark, d):
+    t = retail_tables(spark, d)
+    delta = (((F.col("product_id") + F.col("stock")) % 5 + 1)
+             * F.when((F.col("product_id") + F.col("stock")) % 2 == 0, 1).otherwise(-1))
+    return changes.stock_jitter(t.shopping_cart, t.inventory, delta=delta)
+
+
+@query("touch", with_tables(f"""
+SELECT product_id, product_name, base_price, category_id, supplier_id, available,
+       CASE WHEN product_id = 1 THEN {_AS_OF_SQL} ELSE last_update_time END AS last_update_time
+FROM products"""))
+def q_touch(spark, d):
+    return changes.touch(retail_tables(spark, d).products, [1], AS_OF)

@@ -216,3 +216,40 @@ class RetailTables:
 
 def retail_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
     return RetailTables(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------- change feeds
+
+def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat product change rows from events: signup = insert, error = delete, others = update.
+
+    seq = event_id; the after image is built from the event (user -> product).
+    """
+    ev = read_raw(spark, sf_dir, "events")
+    uid = F.col("user_id")
+    return ev.select(
+        F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I")
+         .otherwise("U").alias("op"),
+        F.col("event_id").alias("seq"),
+        uid.cast("bigint").alias("product_id"),
+        F.concat_ws(" ", F.lit("Product"), uid.cast("string"), F.col("event_type")).alias("product_name"),
+        F.col("value").cast("decimal(10,2)").alias("base_price"),
+        ((uid % 25) * 10 + uid % LEAVES_PER_NATION + 1000).cast("bigint").alias("category_id"),
+        (uid % 100).cast("bigint").alias("supplier_id"),
+        (F.col("value") >= 1).alias("available"),
+        F.col("ts").alias("last_update_time"),
+    )
+
+
+def cart_changes(spark: SparkSession, sf_dir: str, prods: DataFrame | None = None) -> DataFrame:
+    """Weighted cart rows: +1 per line of a pending order (status P), -1 per returned open line."""
+    orders = read_raw(spark, sf_dir, "orders")
+    li = read_raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    prods = prods if prods is not None else products(spark, sf_dir)
+    lines = (orders.join(li, orders.o_orderkey == li.l_orderkey)
+             .join(prods, F.col("l_partkey") == prods.product_id))
+    w = (F.when(F.col("o_orderstatus") == "P", F.lit(1))
+         .when((F.col("o_orderstatus") == "O") & (F.col("l_returnflag") == "R"), F.lit(-1)))
+    return (lines.select(w.alias("w"), prods.product_id, prods.product_name, prods.category_id,
+                         prods.base_price.alias("price"), F.col("o_orderdate").alias("ts"))
+            .filter(F.col("w").isNotNull()))
