@@ -593,3 +593,301 @@ SELECT product_id, product_name, base_price, category_id, supplier_id, available
 FROM products"""))
 def q_touch(spark, d):
     return changes.touch(retail_tables(spark, d).products, [1], AS_OF)
+
+
+# --------------------------------------------------------------------------- M4-M19, W6-W11, A20-A21, D10
+
+from pricetide.functions import factors  # noqa: E402
+from pricetide.operators import metrics  # noqa: E402
+
+
+@query("latency_stats", with_tables("""
+SELECT source, COUNT(*) AS n, MAX(latency_ms) AS max_ms,
+       CAST(SUM(CAST(latency_ms AS DECIMAL(38,2))) AS DOUBLE) / COUNT(*) AS mean_ms,
+       CASE WHEN COUNT(*) >= 100 THEN list_sort(list(latency_ms))[(COUNT(*) * 99) // 100 + 1]
+            ELSE MAX(latency_ms) END AS p99_ms
+FROM query_log GROUP BY source"""))
+def q_latency_stats(spark, d):
+    return metrics.latency_stats(retail_tables(spark, d).query_log, decimals=2)
+
+
+@query("latency_stats_last100", with_tables("""
+WITH last AS (SELECT * FROM query_log
+              QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) <= 100)
+SELECT source, COUNT(*) AS n, MAX(latency_ms) AS max_ms,
+       CAST(SUM(CAST(latency_ms AS DECIMAL(38,2))) AS DOUBLE) / COUNT(*) AS mean_ms,
+       CASE WHEN COUNT(*) >= 100 THEN list_sort(list(latency_ms))[(COUNT(*) * 99) // 100 + 1]
+            ELSE MAX(latency_ms) END AS p99_ms
+FROM last GROUP BY source"""))
+def q_latency_stats_last100(spark, d):
+    return metrics.latency_stats(retail_tables(spark, d).query_log, cap=100, decimals=2)
+
+
+@query("latency_median", with_tables(
+    "SELECT source, COUNT(*) AS n, median(latency_ms) AS median FROM query_log GROUP BY source"))
+def q_latency_median(spark, d):
+    return metrics.median_by(retail_tables(spark, d).query_log, ["source"], "latency_ms")
+
+
+@query("rolling_qps", with_tables("""
+SELECT seq, ts, source, latency_ms, product_id, n_window, n_window / 1.0 AS qps
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY source ORDER BY ts
+                               RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS n_window
+      FROM query_log) q"""))
+def q_rolling_qps(spark, d):
+    return metrics.rolling_qps(retail_tables(spark, d).query_log)
+
+
+@query("rolling_qps_minute", with_tables("""
+SELECT seq, ts, source, latency_ms, product_id, n_window, n_window / 60.0 AS qps
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY source ORDER BY ts
+                               RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n_window
+      FROM query_log) q"""))
+def q_rolling_qps_minute(spark, d):
+    # a wider window, so that windows really hold several queries at this event rate
+    return metrics.rolling_qps(retail_tables(spark, d).query_log, window_s=60.0)
+
+
+@query("last_100", with_tables(
+    "SELECT * FROM query_log QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) <= 100"))
+def q_last_100(spark, d):
+    return metrics.last_n(retail_tables(spark, d).query_log, ["source"], ["ts", "seq"], 100)
+
+
+@query("history_window", with_tables(
+    "SELECT * FROM query_log WHERE ts >= (SELECT MAX(ts) FROM query_log) - INTERVAL 3 MINUTE"))
+def q_history_window(spark, d):
+    return metrics.history_window(retail_tables(spark, d).query_log)
+
+
+@query("history_window_day", with_tables(
+    "SELECT * FROM query_log WHERE ts >= (SELECT MAX(ts) FROM query_log) - INTERVAL 1 DAY"))
+def q_history_window_day(spark, d):
+    return metrics.history_window(retail_tables(spark, d).query_log, span="1 day")
+
+
+def _priced_log(t):
+    # a reading that took over 100 ms timed out and returned no price
+    return t.query_log.withColumn("price", F.when(F.col("latency_ms") <= 100, F.col("latency_ms")))
+
+
+_PRICED_LOG = "priced_log AS (SELECT *, CASE WHEN latency_ms <= 100 THEN latency_ms END AS price FROM query_log)"
+
+
+@query("price_carry_forward", with_tables("""
+SELECT seq, ts, source, latency_ms, product_id, price,
+       last_value(price IGNORE NULLS) OVER (PARTITION BY source ORDER BY ts, seq
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_price
+FROM priced_log""", _PRICED_LOG))
+def q_price_carry_forward(spark, d):
+    return metrics.carry_forward(_priced_log(retail_tables(spark, d)), ["source"], "ts", "price",
+                                 "carried_price", tie=["seq"])
+
+
+@query("price_changed", with_tables("""
+SELECT seq, ts, source, latency_ms, product_id, price,
+       price IS DISTINCT FROM lag(price) OVER (PARTITION BY source ORDER BY ts, seq) AS changed
+FROM (SELECT *, CAST(FLOOR(latency_ms / 50) AS BIGINT) AS price FROM query_log) q"""))
+def q_price_changed(spark, d):
+    log = retail_tables(spark, d).query_log.withColumn("price", F.floor(F.col("latency_ms") / 50).cast("bigint"))
+    return metrics.price_changed(log)
+
+
+@query("held_qps", with_tables("""
+WITH q AS (
+  SELECT seq, ts, source, COUNT(*) OVER (PARTITION BY source ORDER BY ts
+                                         RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) - 1 AS qps
+  FROM query_log)
+SELECT seq, ts, source, qps,
+       COALESCE(last_value(CASE WHEN qps > 0 THEN qps END IGNORE NULLS)
+                  OVER (PARTITION BY source ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                qps) AS held_qps
+FROM q"""))
+def q_held_qps(spark, d):
+    q = metrics.rolling_qps(retail_tables(spark, d).query_log, window_s=60.0)
+    series = q.select("seq", "ts", "source", (F.col("n_window") - 1).alias("qps"))
+    return metrics.held_qps(series)
+
+
+@query("skip_warmup", with_tables(
+    "SELECT * FROM query_log QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts, seq) > 1"))
+def q_skip_warmup(spark, d):
+    return metrics.skip_warmup(retail_tables(spark, d).query_log)
+
+
+def _refresh_log(t):
+    ql = t.query_log
+    return ql.select(F.col("source").alias("view_name"), F.col("ts").alias("last_refresh"),
+                     (F.col("latency_ms") / 1000.0).alias("refresh_duration"))
+
+
+@query("refresh_age", with_tables(f"""
+SELECT view_name,
+       epoch_us({_AS_OF_SQL}) / 1e6 - epoch_us(last_refresh) / 1e6 AS age_s,
+       refresh_duration,
+       epoch_us({_AS_OF_SQL}) / 1e6 - epoch_us(last_refresh) / 1e6 + refresh_duration AS data_age_s
+FROM (SELECT source AS view_name, ts AS last_refresh, latency_ms / 1000.0 AS refresh_duration FROM query_log
+      QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, latency_ms DESC) = 1) r"""))
+def q_refresh_age(spark, d):
+    return metrics.refresh_age(_refresh_log(retail_tables(spark, d)), AS_OF)
+
+
+@query("heartbeat_lag", with_tables(f"""
+WITH s AS (SELECT id AS source_id, ts AS source_ts FROM heartbeats ORDER BY id DESC, ts DESC LIMIT 1),
+     r AS (SELECT id AS replica_id, ts AS replica_ts FROM replica_heartbeats ORDER BY ts DESC, id DESC LIMIT 1)
+SELECT source_id, replica_id, source_ts, replica_ts,
+       CASE WHEN source_id > replica_id THEN GREATEST(0.0,
+            (epoch_us(source_ts) - epoch_us(replica_ts)) / 1e6 + (epoch_us({_AS_OF_SQL}) - epoch_us(source_ts)) / 1e6)
+            ELSE 0.0 END AS lag_s
+FROM s, r"""))
+def q_heartbeat_lag(spark, d):
+    t = retail_tables(spark, d)
+    return metrics.heartbeat_lag(t.heartbeats, t.replica_heartbeats, AS_OF)
+
+
+@query("reaction_time", with_tables("""
+SELECT q.seq, q.source, q.ts, q.product_id, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS end_to_end_ms
+FROM query_log q JOIN products p ON q.product_id = p.product_id"""))
+def q_reaction_time(spark, d):
+    t = retail_tables(spark, d)
+    return metrics.reaction_time(t.query_log, t.products)
+
+
+_LATEST_READING = """latest AS (
+  SELECT source, ts AS last_ts, latency_ms, (SELECT MAX(ts) FROM query_log) AS now_ts FROM query_log
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) = 1
+)"""
+
+
+def _latest_reading(t):
+    ql = t.query_log
+    now = ql.agg(F.max("ts").alias("now_ts"))
+    last = ql.groupBy("source").agg(F.max_by(F.struct("ts", "latency_ms"), F.struct("ts", "seq")).alias("_l"))
+    return last.select("source", F.col("_l.ts").alias("last_ts"), F.col("_l.latency_ms").alias("latency_ms")) \
+        .crossJoin(F.broadcast(now))
+
+
+@query("gate_stale", with_tables("""
+SELECT source, last_ts, CASE WHEN (epoch_us(now_ts) - epoch_us(last_ts)) / 1e6 <= 3600.0 THEN latency_ms END
+       AS latency_ms, now_ts
+FROM latest""", _LATEST_READING))
+def q_gate_stale(spark, d):
+    # one hour instead of two seconds: the event log is sparse (minutes apart)
+    return metrics.gate_stale(_latest_reading(retail_tables(spark, d)), F.col("now_ts"), "last_ts",
+                              ["latency_ms"], limit_s=3600.0)
+
+
+@query("lag_band", with_tables("""
+SELECT source, lag_s, CASE WHEN lag_s IS NULL THEN 'Unknown' WHEN lag_s < 1 THEN 'Low'
+                           WHEN lag_s < 5 THEN 'Medium' ELSE 'High' END AS lag_band
+FROM (SELECT source, (epoch_us(now_ts) - epoch_us(last_ts)) / 1e6 AS lag_s FROM latest) l""", _LATEST_READING))
+def q_lag_band(spark, d):
+    lr = _latest_reading(retail_tables(spark, d))
+    lag = lr.select("source", factors.seconds_between(F.col("now_ts"), F.col("last_ts")).alias("lag_s"))
+    return metrics.with_lag_band(lag, "lag_s")
+
+
+@query("extrapolate_age", with_tables(f"""
+WITH e AS (
+  SELECT q.source, q.ts, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS end_to_end_ms
+  FROM query_log q JOIN products p ON q.product_id = p.product_id
+  QUALIFY row_number() OVER (PARTITION BY q.source ORDER BY q.ts DESC, q.seq DESC) = 1)
+SELECT source, CAST(NULL AS DOUBLE) AS age, end_to_end_ms AS last_age, ts AS last_ts,
+       end_to_end_ms + (epoch_us({_AS_OF_SQL}) - epoch_us(ts)) / 1e3 AS age_ms
+FROM e"""))
+def q_extrapolate_age(spark, d):
+    t = retail_tables(spark, d)
+    rt = metrics.reaction_time(t.query_log, t.products)
+    last = rt.groupBy("source").agg(F.max_by(F.struct("ts", "end_to_end_ms"), F.struct("ts", "seq")).alias("_l"))
+    df = last.select("source", F.lit(None).cast("double").alias("age"),
+                     F.col("_l.end_to_end_ms").alias("last_age"), F.col("_l.ts").alias("last_ts"))
+    return metrics.extrapolate_age(df, AS_OF, "age", "last_age", "last_ts")
+
+
+def _samples(t):
+    return t.query_log.select(F.col("source").alias("service"), "ts", "seq",
+                              F.col("latency_ms").alias("cpu_pct"), (F.col("latency_ms") / 2).alias("memory_pct"))
+
+
+def _res_sql(m):
+    return f"""SELECT service, arg_max({m}, (ts, seq)) AS {m}_last, MAX({m}) AS {m}_max,
+       CAST(SUM(CAST({m} AS DECIMAL(38,3))) AS DOUBLE) / COUNT({m}) AS {m}_mean,
+       CASE WHEN COUNT({m}) >= 100 THEN list_sort(list({m}))[(COUNT({m}) * 99) // 100 + 1] ELSE MAX({m}) END AS {m}_p99
+FROM samples GROUP BY service"""
+
+
+@query("resource_stats", with_tables(f"""
+WITH samples AS (SELECT source AS service, ts, seq, latency_ms AS cpu_pct, latency_ms / 2 AS memory_pct FROM query_log),
+c AS ({_res_sql('cpu_pct')}), m AS ({_res_sql('memory_pct')})
+SELECT * FROM c JOIN m USING (service)"""))
+def q_resource_stats(spark, d):
+    return metrics.resource_stats(_samples(retail_tables(spark, d)), order=["ts", "seq"], decimals=3)
+
+
+@query("hydrated", carted("SELECT bool_and(price IS NOT NULL) AS hydrated FROM dynamic_cart"))
+def q_hydrated(spark, d):
+    c = _cart(retail_tables(spark, d))
+    return metrics.is_hydrated(c.select(F.col("price").isNotNull().alias("hydrated")))
+
+
+_SNAPSHOT = with_tables("""
+WITH lat AS (
+  SELECT source, COUNT(*) AS n, MAX(latency_ms) AS max_ms,
+         CAST(SUM(CAST(latency_ms AS DECIMAL(38,2))) AS DOUBLE) / COUNT(*) AS mean_ms,
+         CASE WHEN COUNT(*) >= 100 THEN list_sort(list(latency_ms))[(COUNT(*) * 99) // 100 + 1]
+              ELSE MAX(latency_ms) END AS p99_ms
+  FROM query_log GROUP BY source),
+e AS (
+  SELECT q.source, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS v
+  FROM query_log q JOIN products p ON q.product_id = p.product_id),
+e2e AS (
+  SELECT source, MAX(v) AS e2e_max, SUM(v) / COUNT(v) AS e2e_mean,
+         CASE WHEN COUNT(v) >= 100 THEN list_sort(list(v))[(COUNT(v) * 99) // 100 + 1] ELSE MAX(v) END AS e2e_p99
+  FROM e GROUP BY source),
+cur AS (
+  SELECT source, ts AS last_ts, n_window / 1.0 AS qps FROM (
+    SELECT *, COUNT(*) OVER (PARTITION BY source ORDER BY ts
+                             RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS n_window
+    FROM query_log) q
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) = 1),
+snap AS (SELECT * FROM lat LEFT JOIN e2e USING (source) JOIN cur USING (source))
+SELECT source,
+       CASE WHEN fresh THEN n END AS n, CASE WHEN fresh THEN max_ms END AS max_ms,
+       CASE WHEN fresh THEN mean_ms END AS mean_ms, CASE WHEN fresh THEN p99_ms END AS p99_ms,
+       CASE WHEN fresh THEN e2e_max END AS e2e_max, CASE WHEN fresh THEN e2e_mean END AS e2e_mean,
+       CASE WHEN fresh THEN e2e_p99 END AS e2e_p99, last_ts, CASE WHEN fresh THEN qps END AS qps
+FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-30 23:59:59') - epoch_us(last_ts)) / 1e6 <= 2.0 AS fresh FROM snap) s""")
+
+
+@query("metrics_snapshot", _SNAPSHOT)
+def q_metrics_snapshot(spark, d):
+    t = retail_tables(spark, d)
+    return metrics.metrics_snapshot(t.query_log, t.products, "2024-01-30 23:59:59", decimals=2)
+
+
+@query("compare_sources", with_tables("""
+SELECT COALESCE(v.product_id, b.product_id, l.product_id) AS product_id,
+       v.live_price AS view_price, b.live_price_ds AS batch_price, l.live_price_new AS live_price,
+       b.live_price_ds - v.live_price AS batch_diff, l.live_price_new - v.live_price AS live_diff
+FROM inventory_item v
+FULL JOIN (SELECT product_id, live_price AS live_price_ds FROM inventory_item_ds) b ON v.product_id = b.product_id
+FULL JOIN (SELECT product_id, live_price AS live_price_new FROM inventory_item_new) l
+  ON COALESCE(v.product_id, b.product_id) = l.product_id""",
+    PRICING, _KEPT,
+    """kept_promotions AS (SELECT * FROM promotions WHERE product_id IN (SELECT product_id FROM kept)),
+kept_inventory AS (SELECT inventory_id, product_id, CAST(FLOOR((stock + 1) / 2) AS INTEGER) AS stock, warehouse_id,
+                          restock_date FROM inventory WHERE product_id IN (SELECT product_id FROM kept)),
+kept_sales AS (SELECT * FROM sales WHERE product_id IN (SELECT product_id FROM kept)
+               AND (product_id = 1 OR sale_id % 2 = 0))""",
+    pricing_over("kept", "kept_sales", "kept_promotions", "kept_inventory", suffix="_ds"),
+    _ADDED, pricing_over(products="products2", sales="sales2", inventory="inventory2", suffix="_new")))
+def q_compare_sources(spark, d):
+    t = retail_tables(spark, d)
+    view = _items(t)
+    ds = datagen.downsample({"products": t.products, "sales": t.sales, "promotions": t.promotions,
+                             "inventory": t.inventory})
+    batch = pricing.inventory_item(ds["products"], ds["sales"], ds["promotions"], ds["inventory"])
+    new = changes.add_product({"products": t.products, "sales": t.sales, "inventory": t.inventory,
+                               "shopping_cart": t.shopping_cart}, as_of=AS_OF, **_NEW_PRODUCT)
+    live = pricing.inventory_item(new["products"], new["sales"], t.promotions, new["inventory"])
+    return metrics.compare_sources(view, batch, live)
