@@ -30,7 +30,9 @@ def dynamic_cart(cart: DataFrame, products: DataFrame, categories: DataFrame,
     ``dedupe_stock=True`` counts a product's stock once however often it is in
     the cart (the reference multiplies it).
     """
-    grouped = cart.groupBy("product_id", "product_name").agg(F.count(F.lit(1)).alias("_mult"))
+    # a counted bag (a ``multiplicity`` column, as kept by the stream) or plain rows
+    units = F.sum("multiplicity") if "multiplicity" in cart.columns else F.count(F.lit(1))
+    grouped = cart.groupBy("product_id", "product_name").agg(units.alias("_mult"))
     stock = inventory.groupBy("product_id").agg(F.sum("stock").alias("_stock"))
     mult = F.lit(1) if dedupe_stock else F.col("_mult")
     return (grouped

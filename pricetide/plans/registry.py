@@ -891,3 +891,110 @@ def q_compare_sources(spark, d):
                                "shopping_cart": t.shopping_cart}, as_of=AS_OF, **_NEW_PRODUCT)
     live = pricing.inventory_item(new["products"], new["sales"], t.promotions, new["inventory"])
     return metrics.compare_sources(view, batch, live)
+
+
+# --------------------------------------------------------------------------- D2, D3, M2, M3, M5
+
+import uuid  # noqa: E402
+
+from pricetide.plans.oracle import CART, CATEGORY_TOTALS, _CART_CTES, _TOTALS_CTES, rename  # noqa: E402
+from pricetide.session import scratch_path  # noqa: E402
+from pricetide.streaming import maintain as mt  # noqa: E402
+from pricetide.streaming import qps as qps_stream  # noqa: E402
+from pricetide.streaming import versioned as vt  # noqa: E402
+
+
+def _scratch(spark, what):
+    return scratch_path(spark, f"{what}-{uuid.uuid4().hex}")
+
+
+@query("refresh_inventory_item", priced("SELECT product_id, live_price, last_update_time FROM inventory_item"))
+def q_refresh_inventory_item(spark, d):
+    t = retail_tables(spark, d)
+    root = _scratch(spark, "refresh")
+    mt.refresh_inventory_item(spark, {"products": t.products, "sales": t.sales, "promotions": t.promotions,
+                                      "inventory": t.inventory}, root, as_of=AS_OF)
+    return vt.read_latest(spark, root, "inventory_item")
+
+
+def _stream_views(spark, d, view):
+    """Run the change feed (product changes + cart changes) through the maintained views."""
+    t = retail_tables(spark, d)
+    root = _scratch(spark, "stream")
+    pc = testdata.product_changes(spark, d)
+    cc = testdata.cart_changes(spark, d, t.products)
+    cart_cols = t.shopping_cart.columns
+    feed = mt.encode_keyed(pc, "products", t.products.columns).unionByName(
+        mt.encode_weighted(cc, "shopping_cart", cart_cols))
+    # several files, so that the stream folds the changes over several micro-batches
+    feed.repartitionByRange(4, "seq", "payload").write.parquet(f"{root}/feed")
+    snapshot = {"products": t.products, "sales": t.sales, "promotions": t.promotions,
+                "inventory": t.inventory, "shopping_cart": t.shopping_cart}
+    specs = mt.pricing_specs(t.products, t.sales, t.promotions, t.inventory, t.shopping_cart)
+    q = mt.maintain(spark, f"{root}/feed", f"{root}/out", specs, snapshot,
+                    mt.cart_views(t.categories, OTHER_OFFSET_FIXTURE), max_files_per_trigger=1)
+    q.awaitTermination()
+    return vt.read_latest(spark, f"{root}/out", view)
+
+
+_STREAMED = f"""
+products_cur AS (
+  SELECT {_PRODUCT_COLS} FROM products WHERE product_id NOT IN (SELECT product_id FROM product_changes)
+  UNION ALL
+  SELECT {_PRODUCT_COLS} FROM (SELECT * FROM product_changes
+                               QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq DESC, op DESC) = 1) l
+  WHERE op <> 'D'
+),
+cart_bag AS (
+  SELECT product_id, product_name, category_id, price, ts, SUM(w) AS m
+  FROM (SELECT 1 AS w, product_id, product_name, category_id, price, ts FROM shopping_cart
+        UNION ALL SELECT w, product_id, product_name, category_id, price, ts FROM cart_changes) u
+  GROUP BY product_id, product_name, category_id, price, ts HAVING SUM(w) > 0
+),
+cart_cur AS (SELECT product_id, product_name, category_id, price, ts FROM cart_bag b, range(CAST(b.m AS BIGINT)) r)"""
+
+
+def _streamed_sql(body):
+    return with_tables(
+        body, CHANGE_FEEDS, _STREAMED,
+        pricing_over(products="products_cur", suffix="_s"),
+        rename(CART, {"shopping_cart": "cart_cur", "products": "products_cur",
+                      "inventory_item": "inventory_item_s"}, _CART_CTES, "_s"),
+        rename(CATEGORY_TOTALS, {"dynamic_cart": "dynamic_cart_s"}, _TOTALS_CTES, "_s"))
+
+
+@query("stream_inventory_item", _streamed_sql(
+    "SELECT product_id, live_price, last_update_time FROM inventory_item_s"))
+def q_stream_inventory_item(spark, d):
+    return _stream_views(spark, d, "inventory_item")
+
+
+@query("stream_cart", _streamed_sql(
+    "SELECT product_id, product_name, category_id, category_name, price, available_stock FROM dynamic_cart_s"))
+def q_stream_cart(spark, d):
+    return _stream_views(spark, d, "dynamic_cart")
+
+
+@query("stream_category_totals", _streamed_sql(f"SELECT {_CT_COLS} FROM category_totals_s"))
+def q_stream_category_totals(spark, d):
+    return _stream_views(spark, d, "category_totals")
+
+
+@query("stream_qps", with_tables("""
+SELECT source, date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end,
+       COUNT(*) AS n, COUNT(*) / 60.0 AS qps
+FROM query_log GROUP BY source, date_trunc('minute', ts)"""))
+def q_stream_qps(spark, d):
+    t = retail_tables(spark, d)
+    root = _scratch(spark, "qps")
+    log = t.query_log
+    # files in event-time order, one write each, so the file source reads them in that order
+    bounds = log.agg(F.min("seq"), F.max("seq")).first()
+    lo, hi = int(bounds[0]), int(bounds[1])
+    step = (hi - lo) // 4 + 1
+    for i in range(4):
+        (log.filter((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
+         .write.mode("append").parquet(f"{root}/log"))
+    q = qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out")
+    q.awaitTermination()
+    return vt.read_latest(spark, f"{root}/out", "qps")

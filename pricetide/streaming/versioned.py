@@ -1,0 +1,86 @@
+"""Versioned Parquet tables in a shared folder, written idempotently.
+
+Layout under ``root``::
+
+    <root>/<name>/v=<version>/part-*.parquet   one folder per table version
+    <root>/_commits/                            rows (version, committed_at)
+
+A writer writes every changed table of a version first and appends the commit
+row last; the row's manifest maps each table name to the version folder that
+holds it (unchanged tables point at older folders). Readers only read
+committed versions. Writing version ``v`` again (a
+replayed micro-batch) overwrites the same folders with the same rows, so
+replays are harmless. Everything goes through Spark readers and writers, so
+``root`` can be any shared file system the cluster names.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table_path(root: str, name: str, version: int) -> str:
+    return f"{root.rstrip('/')}/{name}/v={int(version)}"
+
+
+def _commits(root: str) -> str:
+    return f"{root.rstrip('/')}/_commits"
+
+
+def committed_versions(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(_commits(root))
+    except AnalysisException:
+        return None
+
+
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
+    """Newest committed version (strictly below ``below`` when given); one scalar."""
+    c = committed_versions(spark, root)
+    if c is None:
+        return None
+    if below is not None:
+        c = c.filter(F.col("version") < below)
+    row = c.agg(F.max("version")).first()
+    return None if row is None or row[0] is None else int(row[0])
+
+
+def spark_read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_version(df: DataFrame, root: str, name: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(table_path(root, name, version))
+
+
+def commit(spark: SparkSession, root: str, version: int, manifest: dict[str, int],
+           when: dt.datetime | None = None) -> None:
+    when = when or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    (spark.createDataFrame([(int(version), when, json.dumps(manifest, sort_keys=True))],
+                           "version bigint, committed_at timestamp_ntz, manifest string")
+     .coalesce(1).write.mode("append").parquet(_commits(root)))
+
+
+def manifest(spark: SparkSession, root: str, version: int) -> dict[str, int]:
+    c = committed_versions(spark, root)
+    row = c.filter(F.col("version") == int(version)).select("manifest").first() if c is not None else None
+    if row is None:
+        raise FileNotFoundError(f"version {version} is not committed under {root}")
+    return {k: int(v) for k, v in json.loads(row[0]).items()}
+
+
+def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
+    """Table ``name`` as of committed ``version`` (following the manifest)."""
+    return spark.read.parquet(table_path(root, name, manifest(spark, root, version)[name]))
+
+
+def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
+    v = latest_version(spark, root)
+    if v is None:
+        raise FileNotFoundError(f"no committed version under {root}")
+    return read_version(spark, root, name, v)
