@@ -58,13 +58,13 @@ def ancestor_closure(categories: DataFrame, max_depth: int = 100) -> DataFrame:
         )
         SELECT category_id, ancestor_id, depth FROM anc
         """, cats=cats, max_depth=int(max_depth))
-    return closure.select(
-        "category_id", "ancestor_id",
-        F.when(F.col("depth") >= max_depth,
-               F.raise_error(F.concat(F.lit("category parent cycle (or depth > "),
-                                      F.lit(str(max_depth)), F.lit(") at category "),
-                                      F.col("category_id").cast("string"))))
-        .otherwise(F.col("depth")).alias("depth"))
+    # The guard is a filter (not a projected column) so that it survives column pruning.
+    guard = F.when(F.col("depth") >= max_depth,
+                   F.raise_error(F.concat(F.lit("category parent cycle (or depth > "),
+                                          F.lit(str(max_depth)), F.lit(") at category "),
+                                          F.col("category_id").cast("string"))).cast("boolean")
+                   ).otherwise(F.lit(True))
+    return closure.filter(guard)
 
 
 def _other_rows(direct: DataFrame, has_sub: DataFrame, categories: DataFrame,
