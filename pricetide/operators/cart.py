@@ -22,18 +22,21 @@ TOTAL_TYPE = "decimal(38,10)"   # numeric(20,10) of the reference, with head roo
 
 
 def dynamic_cart(cart: DataFrame, products: DataFrame, categories: DataFrame,
-                 items: DataFrame, inventory: DataFrame, *, dedupe_stock: bool = False) -> DataFrame:
+                 items: DataFrame, inventory: DataFrame | None, *, dedupe_stock: bool = False,
+                 stock: DataFrame | None = None) -> DataFrame:
     """(product_id, product_name, category_id, category_name, price, available_stock).
 
     Unknown products, products outside the category table and products without
     a live price (no sale) vanish, as with the reference's inner joins.
     ``dedupe_stock=True`` counts a product's stock once however often it is in
-    the cart (the reference multiplies it).
+    the cart (the reference multiplies it). ``stock`` may pass ready per-product
+    totals (product_id, total_stock) instead of the inventory rows.
     """
     # a counted bag (a ``multiplicity`` column, as kept by the stream) or plain rows
     units = F.sum("multiplicity") if "multiplicity" in cart.columns else F.count(F.lit(1))
     grouped = cart.groupBy("product_id", "product_name").agg(units.alias("_mult"))
-    stock = inventory.groupBy("product_id").agg(F.sum("stock").alias("_stock"))
+    stock = (stock.select("product_id", F.col("total_stock").alias("_stock")) if stock is not None
+             else inventory.groupBy("product_id").agg(F.sum("stock").alias("_stock")))
     mult = F.lit(1) if dedupe_stock else F.col("_mult")
     return (grouped
             .join(products.select("product_id", "category_id"), "product_id")

@@ -171,19 +171,36 @@ def high_demand(products: DataFrame, sales: DataFrame,
 
 # --------------------------------------------------------------------------- D1
 
-def item_factors(products: DataFrame, sales: DataFrame, promotions: DataFrame,
-                 inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
-                 cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
-    """Every factor of the live price, one row per product with at least one sale."""
-    counts = sales_counts(sales)
+def price_inputs(sales: DataFrame, promotions: DataFrame, inventory: DataFrame, *,
+                 top_n: int = fx.RECENT_SALES) -> dict[str, DataFrame]:
+    """The four per-product aggregates the live price is made of (each keyed by product_id).
+
+    They are what a stream maintains incrementally: recomputing them for the
+    products a change touches is enough, everything after is product-sized.
+    """
+    return {
+        "counts": sales_counts(sales),                                   # sale_count, sale_price_sum
+        "recent": recent_prices(sales, top_n),                           # avg_price
+        "promo": promotion_effect(promotions),                           # promotion_discount
+        "stock": inventory_totals(inventory),                            # total_stock
+    }
+
+
+def factors_from_inputs(products: DataFrame, inputs: dict[str, DataFrame], *,
+                        cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+    """Every factor of the live price from product-sized inputs (see :func:`price_inputs`)."""
     prods = products.select("product_id", "product_name", "base_price", "category_id",
                             "last_update_time")
-    pop = popularity_bands(counts.select("product_id", "sale_count").join(prods, "product_id"))
-    rp = recent_prices(sales, top_n)
-    pe = promotion_effect(promotions)     # the product join already restricts the keys
-    sb = stock_bands(inventory).select("product_id", "stock_adjustment")
-    joined = (pop.join(rp, "product_id", "left")
-              .join(pe, "product_id", "left")
+    pop = popularity_bands(inputs["counts"].select("product_id", "sale_count").join(prods, "product_id"))
+    totals = inputs["stock"].select("product_id", "total_stock")
+    ks = [edge for edge, _ in fx.STOCK_BANDS]
+    th = stock_thresholds(totals)     # one row (global aggregate of a bounded top-k)
+    sb = totals.crossJoin(F.broadcast(th)).select(
+        "product_id",
+        fx.band_by_threshold("total_stock", [f"t{k}" for k in ks],
+                             [f for _, f in fx.STOCK_BANDS], fx.STOCK_OTHERWISE).alias("stock_adjustment"))
+    joined = (pop.join(inputs["recent"].select("product_id", "avg_price"), "product_id", "left")
+              .join(inputs["promo"].select("product_id", "promotion_discount"), "product_id", "left")
               .join(sb, "product_id", "left"))
     return joined.select(
         "product_id",
@@ -198,13 +215,16 @@ def item_factors(products: DataFrame, sales: DataFrame, promotions: DataFrame,
     )
 
 
-def inventory_item(products: DataFrame, sales: DataFrame, promotions: DataFrame,
-                   inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
-                   cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
-    """(product_id, live_price, last_update_time) for every product with a sale."""
-    f = item_factors(products, sales, promotions, inventory, top_n=top_n,
-                     cheap_pattern=cheap_pattern)
-    return f.select(
+def item_factors(products: DataFrame, sales: DataFrame, promotions: DataFrame,
+                 inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
+                 cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+    """Every factor of the live price, one row per product with at least one sale."""
+    return factors_from_inputs(products, price_inputs(sales, promotions, inventory, top_n=top_n),
+                               cheap_pattern=cheap_pattern)
+
+
+def live_price_of(factors: DataFrame) -> DataFrame:
+    return factors.select(
         "product_id",
         fx.live_price("base_price", "popularity_adjustment", "promotion_discount",
                       "stock_adjustment", "demand_multiplier", "additional_discount")
@@ -213,6 +233,14 @@ def inventory_item(products: DataFrame, sales: DataFrame, promotions: DataFrame,
     )
 
 
+def inventory_item(products: DataFrame, sales: DataFrame, promotions: DataFrame,
+                   inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
+                   cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+    """(product_id, live_price, last_update_time) for every product with a sale."""
+    return live_price_of(item_factors(products, sales, promotions, inventory, top_n=top_n,
+                                      cheap_pattern=cheap_pattern))
+
+
 def price_of(items: DataFrame, product_id: int) -> DataFrame:
     """Point lookup ``WHERE product_id = ?`` with the price renamed."""
     return items.filter(F.col("product_id") == F.lit(product_id)).select(

@@ -33,6 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.operators import changes as ch
 from pricetide.operators import pricing
+from pricetide.streaming import store
 from pricetide.streaming import versioned as vt
 
 FEED_SCHEMA = T.StructType([
@@ -80,48 +81,56 @@ def decode(feed: DataFrame, spec: TableSpec) -> DataFrame:
 # --------------------------------------------------------------------------- state folding
 
 def initial_state(snapshot: DataFrame, spec: TableSpec) -> DataFrame:
-    cols = spec.schema.fieldNames()
-    if spec.keys is None:
-        return ch.counted(snapshot.select(*cols))
-    return snapshot.select(*cols, F.lit(-1).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
+    return store.initial_state(snapshot, spec.schema.fieldNames(), spec.keys)
 
 
 def fold(state: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+    """Whole new state after one batch (state + its delta); used by small states."""
     cols = spec.schema.fieldNames()
+    delta = store.decide(state, changes, cols, spec.keys)
     if spec.keys is None:
-        w = F.when(F.col("op") == "D", F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-        delta = changes.select(*cols, w.alias("multiplicity"))
-        return (state.unionByName(delta).groupBy(*cols)
-                .agg(F.sum("multiplicity").alias("multiplicity"))
+        return (state.unionByName(delta).groupBy(*cols).agg(F.sum("multiplicity").alias("multiplicity"))
                 .filter(F.col("multiplicity") != 0))
     keys = list(spec.keys)
-    payload = [c for c in cols if c not in keys]
-    incoming = changes.select(*cols, F.col("seq").alias("_seq"), F.col("op").alias("_op"))
-    # Only keys named in this batch are re-decided; every other state row
-    # passes through untouched (duplicates in a dirty snapshot included).
-    touched = incoming.select(*keys).distinct()
-    untouched = state.join(touched, keys, "left_anti")
-    contested = state.join(touched, keys, "left_semi").unionByName(incoming)
-    best = contested.groupBy(*keys).agg(F.max(F.struct("_seq", "_op", *payload)).alias("_b"))
-    decided = best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in payload],
-                          F.col("_b._seq").alias("_seq"), F.col("_b._op").alias("_op"))
-    return untouched.unionByName(decided.select(*cols, "_seq", "_op"))
+    return state.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
 
 
 def current(state: DataFrame, spec: TableSpec) -> DataFrame:
-    if spec.keys is None:
-        return state.filter(F.col("multiplicity") > 0)
-    return state.filter(F.col("_op") != "D").drop("_seq", "_op")
+    return store.current(state, spec.keys)
+
+
+# --------------------------------------------------------------------------- per-product aggregates
+
+# aggregate name -> (source table, function of the source's current rows)
+AGGREGATES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "agg_counts": ("sales", pricing.sales_counts),
+    "agg_recent": ("sales", pricing.recent_prices),
+    "agg_promo": ("promotions", pricing.promotion_effect),
+    "agg_stock": ("inventory", pricing.inventory_totals),
+}
+
+
+def _touched_products(state: DataFrame, incoming: DataFrame, keys) -> DataFrame:
+    """Products whose rows a batch may change: old and new product of each named key."""
+    keys = list(keys)
+    old = state.join(incoming.select(*keys).distinct(), keys, "left_semi").select("product_id")
+    return old.unionByName(incoming.select("product_id")).distinct()
 
 
 # --------------------------------------------------------------------------- the maintainer
 
-ViewsFn = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+ViewsFn = Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, DataFrame]]
 
 
 def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
-                  snapshot: Mapping[str, DataFrame], views_fn: ViewsFn):
-    """The ``foreachBatch`` function of :func:`maintain` (also usable directly on a batch)."""
+                  snapshot: Mapping[str, DataFrame], views_fn: ViewsFn, *,
+                  compact_every: int = store.COMPACT_EVERY):
+    """The ``foreachBatch`` function of :func:`maintain` (also usable directly on a batch).
+
+    ``views_fn(tables, aggregates)`` gets the current tables and the current
+    per-product aggregates (:data:`AGGREGATES`) and returns the views to write.
+    """
+    by_name = {s.name: s for s in specs}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         prev = vt.latest_version(spark, root, below=batch_id)
@@ -129,21 +138,62 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
         batch = batch.persist()
         # the table names in this batch: at most one row per table
         touched = {r[0] for r in batch.select("table").distinct().collect()}
-        cur: dict[str, DataFrame] = {}
+        states: dict[str, DataFrame] = {}
+        touched_products: dict[str, DataFrame] = {}
         for spec in specs:
-            sname = f"state_{spec.name}"
-            if sname in man:
-                state = vt.spark_read(spark, vt.table_path(root, sname, man[sname]))
+            cols = spec.schema.fieldNames()
+            entry = man.get(spec.name, store.empty_entry())
+            state = store.state_of(spark, root, spec.name, entry, cols, spec.keys,
+                                   lambda n=spec.name: snapshot[n])
+            if spec.name in touched:
+                incoming = decode(batch, spec)
+                delta = store.decide(state, incoming, cols, spec.keys)
+                if spec.keys is not None and "product_id" in cols:
+                    touched_products[spec.name] = _touched_products(state, incoming, spec.keys)
+                entry = store.add_delta(
+                    spark, root, spec.name, entry, delta, batch_id, compact_every=compact_every,
+                    compact=lambda e, sp=spec, c=cols: store.state_of(
+                        spark, root, sp.name, e, c, sp.keys, lambda n=sp.name: snapshot[n]))
+                state = store.state_of(spark, root, spec.name, entry, cols, spec.keys,
+                                       lambda n=spec.name: snapshot[n])
+            man[spec.name] = entry
+            states[spec.name] = state
+        cur = {name: current(states[name], by_name[name]) for name in states}
+
+        aggs: dict[str, DataFrame] = {}
+        for agg, (src, fn) in AGGREGATES.items():
+            if src not in cur:
+                continue
+            if agg not in man:
+                # first batch: one full pass over the source, then only deltas
+                full_rows = fn(cur[src])
+                full = store.initial_state(full_rows, full_rows.columns, ("product_id",))
+                entry = store.write_base(root, agg, full, batch_id)
+            elif src in touched_products:
+                entry = man[agg]
+                old = vt.spark_read(spark, vt.table_path(root, f"{agg}.base", entry["base"]))
+                cols = [c for c in old.columns if c not in ("_seq", "_op")]
+                tp = touched_products[src]
+                fresh = fn(cur[src].join(tp, "product_id", "left_semi"))
+                gone = tp.join(fresh.select("product_id"), "product_id", "left_anti")
+                delta = (fresh.select(*cols, F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
+                         .unionByName(gone.select(*[F.col(c) if c == "product_id" else
+                                                    F.lit(None).cast(old.schema[c].dataType).alias(c) for c in cols],
+                                                  F.lit(batch_id).cast("bigint").alias("_seq"),
+                                                  F.lit("D").alias("_op"))))
+                entry = store.add_delta(
+                    spark, root, agg, entry, delta, batch_id, compact_every=compact_every,
+                    compact=lambda e, a=agg, c=cols: store.state_of(
+                        spark, root, a, e, c, ("product_id",), lambda: None))
             else:
-                state = initial_state(snapshot[spec.name], spec)
-            if spec.name in touched or sname not in man:
-                if spec.name in touched:
-                    state = fold(state, decode(batch, spec), spec)
-                vt.write_version(state, root, sname, batch_id)
-                man[sname] = batch_id
-                state = vt.spark_read(spark, vt.table_path(root, sname, batch_id))
-            cur[spec.name] = current(state, spec)
-        for name, view in views_fn(cur).items():
+                entry = man[agg]
+            man[agg] = entry
+            base = vt.spark_read(spark, vt.table_path(root, f"{agg}.base", entry["base"]))
+            cols = [c for c in base.columns if c not in ("_seq", "_op")]
+            aggs[agg.removeprefix("agg_")] = store.current(
+                store.state_of(spark, root, agg, entry, cols, ("product_id",), lambda: None), ("product_id",))
+
+        for name, view in views_fn(cur, aggs).items():
             vt.write_version(view, root, name, batch_id)
             man[name] = batch_id
         vt.commit(spark, root, batch_id, man)
@@ -155,13 +205,14 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
 def maintain(spark: SparkSession, feed_path: str, root: str, specs: list[TableSpec],
              snapshot: Mapping[str, DataFrame], views_fn: ViewsFn, *, checkpoint: str | None = None,
              trigger: str = "availableNow", max_files_per_trigger: int | None = None,
-             processing_time: str = "5 seconds") -> StreamingQuery:
+             processing_time: str = "5 seconds", compact_every: int = store.COMPACT_EVERY) -> StreamingQuery:
     """Start the maintained-view stream over parquet change files under ``feed_path``."""
     reader = spark.readStream.schema(FEED_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     feed = reader.parquet(feed_path)
-    w = (feed.writeStream.foreachBatch(batch_handler(spark, root, specs, snapshot, views_fn))
+    handler = batch_handler(spark, root, specs, snapshot, views_fn, compact_every=compact_every)
+    w = (feed.writeStream.foreachBatch(handler)
          .option("checkpointLocation", checkpoint or f"{root.rstrip('/')}/_stream_ckpt"))
     w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime=processing_time)
     return w.start()
@@ -180,18 +231,19 @@ def pricing_specs(products: DataFrame, sales: DataFrame, promotions: DataFrame,
     return specs
 
 
-def price_views(cur: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {"inventory_item": pricing.inventory_item(cur["products"], cur["sales"], cur["promotions"],
-                                                     cur["inventory"])}
+def price_views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Live price from the current products and the maintained per-product aggregates."""
+    return {"inventory_item": pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))}
 
 
 def cart_views(categories: DataFrame, other_offset: int):
     from pricetide.operators import cart as cartops
     from pricetide.operators import hierarchy
 
-    def views(cur: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        items = pricing.inventory_item(cur["products"], cur["sales"], cur["promotions"], cur["inventory"])
-        dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, items, cur["inventory"])
+    def views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        items = pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))
+        dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, items, None,
+                                  stock=aggs["stock"])
         return {"inventory_item": items, "dynamic_cart": dc,
                 "category_totals": hierarchy.category_totals_closure(categories, dc, other_offset=other_offset)}
 

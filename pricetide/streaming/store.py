@@ -1,0 +1,87 @@
+"""Table state as a base version plus small per-batch deltas (compacted now and then).
+
+A keyed table's state rows carry ``_seq`` and ``_op`` (tombstones kept); the
+newest ``_seq`` per key wins. A keyless table (bag) is kept counted, with
+signed multiplicities in the deltas. A micro-batch writes only the rows of
+the keys it touches, so its cost follows the batch, not the table; every
+``compact_every`` deltas the current state is written once as a new base.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricetide.operators import changes as ch
+from pricetide.streaming import versioned as vt
+
+COMPACT_EVERY = 8
+
+
+def empty_entry() -> dict:
+    return {"base": -1, "deltas": []}
+
+
+def initial_state(snapshot: DataFrame, cols: list[str], keys) -> DataFrame:
+    if keys is None:
+        return ch.counted(snapshot.select(*cols))
+    return snapshot.select(*cols, F.lit(-1).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
+
+
+def _resolve_keyed(rows: DataFrame, cols: list[str], keys) -> DataFrame:
+    payload = [c for c in cols if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct("_seq", "_op", *payload)).alias("_b"))
+    return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in payload],
+                       F.col("_b._seq").alias("_seq"), F.col("_b._op").alias("_op")).select(*cols, "_seq", "_op")
+
+
+def state_of(spark: SparkSession, root: str, name: str, entry: dict, cols: list[str], keys,
+             snapshot: Callable[[], DataFrame]) -> DataFrame:
+    """The state (tombstones / signed counts included) described by a manifest entry."""
+    base = (initial_state(snapshot(), cols, keys) if entry["base"] < 0
+            else vt.spark_read(spark, vt.table_path(root, f"{name}.base", entry["base"])))
+    if not entry["deltas"]:
+        return base
+    deltas = spark.read.parquet(*[vt.table_path(root, f"{name}.delta", v) for v in entry["deltas"]])
+    if keys is None:
+        return (base.unionByName(deltas).groupBy(*cols).agg(F.sum("multiplicity").alias("multiplicity"))
+                .filter(F.col("multiplicity") != 0))
+    keys = list(keys)
+    newest = _resolve_keyed(deltas, cols, keys)
+    return base.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+
+
+def current(state: DataFrame, keys) -> DataFrame:
+    if keys is None:
+        return state.filter(F.col("multiplicity") > 0)
+    return state.filter(F.col("_op") != "D").drop("_seq", "_op")
+
+
+def decide(state: DataFrame, incoming: DataFrame, cols: list[str], keys) -> DataFrame:
+    """Delta rows of one batch: the decided rows of every key the batch names."""
+    if keys is None:
+        w = F.when(F.col("op") == "D", F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+        return (incoming.select(*cols, w.alias("multiplicity")).groupBy(*cols)
+                .agg(F.sum("multiplicity").alias("multiplicity")))
+    keys = list(keys)
+    inc = incoming.select(*cols, F.col("seq").alias("_seq"), F.col("op").alias("_op"))
+    touched = inc.select(*keys).distinct()
+    return _resolve_keyed(state.join(touched, keys, "left_semi").unionByName(inc), cols, keys)
+
+
+def add_delta(spark: SparkSession, root: str, name: str, entry: dict, delta: DataFrame, version: int,
+              compact: Callable[[dict], DataFrame] | None = None, compact_every: int = COMPACT_EVERY) -> dict:
+    """Write ``delta`` as version ``version``; compact into a new base every ``compact_every`` deltas."""
+    vt.write_version(delta, root, f"{name}.delta", version)
+    new = {"base": entry["base"], "deltas": [*entry["deltas"], int(version)]}
+    if compact is not None and len(new["deltas"]) >= compact_every:
+        vt.write_version(compact(new), root, f"{name}.base", version)
+        new = {"base": int(version), "deltas": []}
+    return new
+
+
+def write_base(root: str, name: str, state: DataFrame, version: int) -> dict:
+    vt.write_version(state, root, f"{name}.base", version)
+    return {"base": int(version), "deltas": []}

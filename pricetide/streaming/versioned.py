@@ -58,7 +58,7 @@ def write_version(df: DataFrame, root: str, name: str, version: int) -> None:
     df.write.mode("overwrite").parquet(table_path(root, name, version))
 
 
-def commit(spark: SparkSession, root: str, version: int, manifest: dict[str, int],
+def commit(spark: SparkSession, root: str, version: int, manifest: dict,
            when: dt.datetime | None = None) -> None:
     when = when or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     (spark.createDataFrame([(int(version), when, json.dumps(manifest, sort_keys=True))],
@@ -66,12 +66,13 @@ def commit(spark: SparkSession, root: str, version: int, manifest: dict[str, int
      .coalesce(1).write.mode("append").parquet(_commits(root)))
 
 
-def manifest(spark: SparkSession, root: str, version: int) -> dict[str, int]:
+def manifest(spark: SparkSession, root: str, version: int) -> dict:
+    """name -> version folder (plain tables) or {"base": v, "deltas": [...]} (stores)."""
     c = committed_versions(spark, root)
     row = c.filter(F.col("version") == int(version)).select("manifest").first() if c is not None else None
     if row is None:
         raise FileNotFoundError(f"version {version} is not committed under {root}")
-    return {k: int(v) for k, v in json.loads(row[0]).items()}
+    return json.loads(row[0])
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
