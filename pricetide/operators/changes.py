@@ -216,7 +216,7 @@ def add_to_cart(cart: DataFrame, products: DataFrame, inventory: DataFrame, *, a
     line = lambda p: p.select("product_id", "product_name", "category_id",
                               F.col("base_price").alias("price"), ts.alias("ts"))
     need_one = (products.filter(F.col("product_id") == one)
-                .join(cart.filter(F.col("product_id") == one).select("product_id").limit(1),
+                .join(cart.filter(F.col("product_id") == one).select("product_id").distinct(),
                       "product_id", "left_anti"))
     other = random_row(products.filter(F.col("product_id") != one), seed, ["product_id"], smallest=smallest)
     added = line(need_one).unionByName(line(other))
