@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.functions.rand import randint, random_row
+from pricetide.operators.ordering import global_position
 
 OPS = ("I", "U", "D")
 
@@ -100,14 +101,15 @@ def expand_bag(bag: DataFrame, chunk: int = 10_000) -> DataFrame:
 # --------------------------------------------------------------------------- ids
 
 def next_ids(base: DataFrame, rows: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """Give new ``rows`` ids max(base.id)+1, +2, ... in ``order`` (sequence resync to MAX)."""
+    """Give new ``rows`` ids max(base.id)+1, +2, ... in ``order`` (sequence resync to MAX).
+
+    ``order`` must be a total order of ``rows``; positions are computed without
+    a single-partition window (see :mod:`pricetide.operators.ordering`).
+    """
     mx = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_mx"))   # one row
-    w = Window.orderBy(*order)
-    # rows is a small batch of new records (one operation's inserts), so a
-    # single ordered window over it is bounded by the batch size.
-    return (rows.crossJoin(F.broadcast(mx))
-            .withColumn(id_col, F.col("_mx") + F.row_number().over(w))
-            .drop("_mx"))
+    return (global_position(rows, list(order), out="_pos").crossJoin(F.broadcast(mx))
+            .withColumn(id_col, F.col("_mx") + F.col("_pos"))
+            .drop("_mx", "_pos"))
 
 
 def _ts(as_of) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import factors as fx
+from pricetide.operators.ordering import running_sum
 
 EPOCH = "1970-01-01 00:00:00"
 # Fixed values of the reference's metrics: QPS window 1 s, history 3 min,
@@ -49,10 +50,14 @@ def values_at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict) -
     by = list(by)
     hist = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
             .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_cum", F.sum("_c").over(w))
-    tot = Window.partitionBy(*by)
-    cum = cum.withColumn("_n", F.sum("_c").over(tot)).withColumn("_prev", F.col("_cum") - F.col("_c"))
+    if by:
+        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    else:
+        # one global group: running count over range partitions of the distinct values
+        total = hist.agg(F.sum("_c").alias("_n"))          # one row
+        cum = running_sum(hist, [F.col(value)], "_c", "_cum").crossJoin(F.broadcast(total))
+    cum = cum.withColumn("_prev", F.col("_cum") - F.col("_c"))
     aggs = []
     for name, f in ranks.items():
         r = f(F.col("_n"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import factors as fx
+from pricetide.operators.ordering import running_sum
 
 
 # --------------------------------------------------------------------------- helpers
@@ -55,10 +56,15 @@ def rank_desc(df: DataFrame, value: str, partition_cols: Sequence[str] = (),
     """
     pcols = list(partition_cols)
     hist = df.groupBy(*pcols, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*pcols).orderBy(F.col(value).desc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    ranks = hist.select(*pcols, value,
-                        (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias(rank_col))
+    if pcols:
+        w = (Window.partitionBy(*pcols).orderBy(F.col(value).desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+        ranks = hist.select(*pcols, value,
+                            (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias(rank_col))
+    else:
+        # global rank: running sum over range partitions of the distinct values
+        run = running_sum(hist, [F.col(value).desc()], "_n", "_cum")
+        ranks = run.select(value, (F.col("_cum") - F.col("_n") + 1).alias(rank_col))
     return df.join(ranks, on=[*pcols, value], how="left")
 
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions.rand import randint, uniform
+from pricetide.operators.ordering import global_position
 
 # Fixed values of the generator: name suffix by id % 5, 10 categories,
 # 5 suppliers, 80 % available, prices 50..1000; sales 100 rounds, promotions
@@ -131,28 +132,6 @@ def gen_inventory(products: DataFrame, *, rounds: int = 5, per_round: int | None
 
 # --------------------------------------------------------------------------- down-sampling
 
-def global_position(df: DataFrame, order: Sequence[str], *, partitions: int | None = None) -> DataFrame:
-    """1-based position of each row in ``order`` without a single-partition window.
-
-    Rows are range partitioned and sorted on ``order`` (which must be a total
-    order, e.g. a key); each row's position is its partition's offset plus its
-    index inside the partition. Offsets come from per-partition counts — one
-    row per partition — so the only bounded broadcast is #partitions rows.
-    """
-    spark = df.sparkSession
-    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn("position", F.col("_off") + local + 1)
-            .drop("_pid", "_mid", "_off"))
-
-
 def downsample_products(products: DataFrame, keep: Sequence[int] = (1,)) -> DataFrame:
     """Forced ids plus every other remaining product (1st, 3rd, ... in id order)."""
     forced = F.col("product_id").isin([int(k) for k in keep])

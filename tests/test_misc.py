@@ -88,3 +88,15 @@ def test_no_python_udf_anywhere(spark):
                 "stock_jitter", "downsample_products"):
         plan = _plan(QUERIES[key](spark, "/root/testdata/sf0.001"))
         assert "PythonUDF" not in plan and "EvalPython" not in plan, key
+
+
+def test_global_order_statistics_and_rank(spark):
+    from pricetide.operators import pricing
+    df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 3, 9, 7, 3, 2, 8, 6]], "v double")
+    st = metrics.sample_stats(df, [], "v").collect()[0]
+    assert st["n"] == 10 and st["max"] == 9.0 and st["p99"] == 9.0
+    med = metrics.median_by(df, [], "v").collect()[0]["median"]
+    assert med == 4.0
+    ranks = sorted((r["v"], r["rank"]) for r in pricing.rank_desc(df, "v").collect())
+    by_value = dict(ranks)
+    assert by_value[9.0] == 1 and by_value[3.0] == 6 and by_value[1.0] == 10

@@ -109,3 +109,25 @@ def test_generators_are_reproducible_and_sized(spark):
     existing = p.filter("product_id <= 10").withColumn("product_name", F.lit("kept"))
     merged = datagen.gen_products(spark, 20, existing=existing)
     assert merged.filter("product_name = 'kept'").count() == 10 and merged.count() == 20
+
+
+def test_bucketed_table_join_needs_no_shuffle_and_analyze(spark):
+    import uuid
+    name = f"bucket_{uuid.uuid4().hex[:8]}"
+    df = spark.range(2000).select(F.col("id").alias("product_id"), (F.col("id") % 7).alias("v"))
+    io.write_bucketed(df, f"{name}_a", "product_id", 4)
+    io.write_bucketed(df, f"{name}_b", "product_id", 4)
+    io.analyze(spark, f"{name}_a", ["product_id"])
+    stats = spark.sql(f"DESCRIBE EXTENDED {name}_a").filter("col_name = 'Statistics'").collect()
+    assert stats and "rows" in stats[0]["data_type"]
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table(f"{name}_a").join(spark.table(f"{name}_b"), "product_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 2000
+        assert "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql(f"DROP TABLE IF EXISTS {name}_a")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_b")
