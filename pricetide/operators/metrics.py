@@ -275,7 +275,7 @@ def with_lag_band(df: DataFrame, lag_col: str, out: str = "lag_band") -> DataFra
 
 
 # Memory limit per service in GB used to turn percentages into GB.
-MEMORY_LIMIT_GB = {"postgres": 4.0, "materialize": 4.0}
+MEMORY_LIMIT_GB = {"source_db": 4.0, "view_engine": 4.0}
 
 
 def to_gb(samples: DataFrame, limits: DataFrame, pct_col: str = "memory_pct", by: str = "service") -> DataFrame:

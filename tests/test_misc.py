@@ -47,10 +47,10 @@ def test_random_row_and_sample_are_reproducible(spark):
 
 
 def test_to_gb_and_flags(spark):
-    samples = spark.createDataFrame([("postgres", 50.0), ("materialize", 25.0)], "service string, memory_pct double")
+    samples = spark.createDataFrame([("source_db", 50.0), ("view_engine", 25.0)], "service string, memory_pct double")
     limits = spark.createDataFrame(list(metrics.MEMORY_LIMIT_GB.items()), "service string, limit_gb double")
     got = {r["service"]: r["memory_gb"] for r in metrics.to_gb(samples, limits).collect()}
-    assert got == {"postgres": 2.0, "materialize": 1.0}
+    assert got == {"source_db": 2.0, "view_engine": 1.0}
     status = spark.createDataFrame([("a", True, False), ("b", False, True)], "source string, hydrated boolean, failed boolean")
     assert metrics.is_hydrated(status).collect()[0][0] is False
     srcs = spark.createDataFrame([("a",)], "source string")
