@@ -310,7 +310,9 @@ def any_failed(status: DataFrame, sources: DataFrame, key: str = "source", flag:
 def metrics_snapshot(log: DataFrame, items: DataFrame, as_of, *, decimals: int | None = None) -> DataFrame:
     """One row per source: latency stats, end-to-end stats, current QPS and staleness gate."""
     lat = latency_stats(log, decimals=decimals)
-    e2e = sample_stats(reaction_time(log, items), ["source"], "end_to_end_ms", prefix="e2e_").drop("n")
+    # end-to-end values are whole microseconds / 1000: exact at 3 decimals
+    e2e = sample_stats(reaction_time(log, items), ["source"], "end_to_end_ms", prefix="e2e_",
+                       decimals=None if decimals is None else 3).drop("n")
     q = rolling_qps(log)
     cur = q.groupBy("source").agg(F.max_by(F.struct("ts", "qps"), F.struct("ts", "seq")).alias("_c"))
     cur = cur.select("source", F.col("_c.ts").alias("last_ts"), F.col("_c.qps").alias("qps"))

@@ -623,8 +623,11 @@ def q_latency_stats_last100(spark, d):
     return metrics.latency_stats(retail_tables(spark, d).query_log, cap=100, decimals=2)
 
 
-@query("latency_median", with_tables(
-    "SELECT source, COUNT(*) AS n, median(latency_ms) AS median FROM query_log GROUP BY source"))
+@query("latency_median", with_tables("""
+SELECT source, COUNT(*) AS n,
+       (list_sort(list(latency_ms))[(COUNT(*) + 1) // 2] + list_sort(list(latency_ms))[COUNT(*) // 2 + 1]) / 2
+         AS median
+FROM query_log GROUP BY source"""))
 def q_latency_median(spark, d):
     return metrics.median_by(retail_tables(spark, d).query_log, ["source"], "latency_ms")
 
@@ -723,9 +726,9 @@ def _refresh_log(t):
 
 @query("refresh_age", with_tables(f"""
 SELECT view_name,
-       epoch_us({_AS_OF_SQL}) / 1e6 - epoch_us(last_refresh) / 1e6 AS age_s,
+       (epoch_us({_AS_OF_SQL}) - epoch_us(last_refresh)) / 1e6 AS age_s,
        refresh_duration,
-       epoch_us({_AS_OF_SQL}) / 1e6 - epoch_us(last_refresh) / 1e6 + refresh_duration AS data_age_s
+       (epoch_us({_AS_OF_SQL}) - epoch_us(last_refresh)) / 1e6 + refresh_duration AS data_age_s
 FROM (SELECT source AS view_name, ts AS last_refresh, latency_ms / 1000.0 AS refresh_duration FROM query_log
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, latency_ms DESC) = 1) r"""))
 def q_refresh_age(spark, d):
@@ -841,7 +844,7 @@ e AS (
   SELECT q.source, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS v
   FROM query_log q JOIN products p ON q.product_id = p.product_id),
 e2e AS (
-  SELECT source, MAX(v) AS e2e_max, SUM(v) / COUNT(v) AS e2e_mean,
+  SELECT source, MAX(v) AS e2e_max, CAST(SUM(CAST(v AS DECIMAL(38,3))) AS DOUBLE) / COUNT(v) AS e2e_mean,
          CASE WHEN COUNT(v) >= 100 THEN list_sort(list(v))[(COUNT(v) * 99) // 100 + 1] ELSE MAX(v) END AS e2e_p99
   FROM e GROUP BY source),
 cur AS (
