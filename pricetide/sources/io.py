@@ -235,3 +235,50 @@ def to_document(df: DataFrame, key: str | None = None) -> DataFrame:
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
+
+
+def ingest_chunks(spark: SparkSession, name_or_schema, pattern_dir: str, out: str, checkpoint: str, *,
+                  max_files_per_trigger: int = 1, available_now: bool = True):
+    """Chunked CSV directory as a stream: each new chunk file is typed and appended to ``out`` (Parquet).
+
+    The file sink and the checkpoint make the append exactly-once: a restarted
+    ingest continues with the chunks it has not committed yet.
+    """
+    schema = schemas.SCHEMAS[name_or_schema] if isinstance(name_or_schema, str) else name_or_schema
+    raw = (spark.readStream.schema(_as_string_schema(schema)).option("header", True)
+           .option("maxFilesPerTrigger", int(max_files_per_trigger)).csv(pattern_dir))
+    typed = raw.select(*[_typed(f.name, f.dataType).alias(f.name) for f in schema.fields])
+    w = typed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+# Column comments of the published views (our own wording).
+VIEW_COMMENTS = {
+    "inventory_item": {
+        "product_id": "Product key; one row per product with at least one sale.",
+        "live_price": "Current price: base price times popularity, promotion, stock, demand and name factors.",
+        "last_update_time": "When the product row last changed; the freshness reference of the price.",
+    },
+    "dynamic_cart": {
+        "product_id": "Product in the cart.",
+        "product_name": "Name as stored on the cart line.",
+        "category_id": "Category of the product.",
+        "category_name": "Name of that category.",
+        "price": "Live price of the product.",
+        "available_stock": "Stock over all warehouses, counted once per cart line of the product.",
+    },
+    "category_totals": {
+        "category_id": "Category, or offset + id for the 'Other' bucket of a parent's direct items.",
+        "parent_id": "Parent category; NULL for roots.",
+        "has_subcategory": "Whether the category has children.",
+        "category_name": "Category name, or 'Other'.",
+        "total": "Sum of live prices of cart products in the category and all its descendants.",
+        "item_count": "Number of cart products in the category and all its descendants.",
+    },
+}
+
+
+def describe_view(df: DataFrame, view: str) -> DataFrame:
+    """Attach the view's column comments (field metadata travels into Parquet and the catalog)."""
+    return annotate(df, {c: t for c, t in VIEW_COMMENTS[view].items() if c in df.columns})

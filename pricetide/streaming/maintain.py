@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.operators import changes as ch
+from pricetide.sources import io
 from pricetide.operators import pricing
 from pricetide.streaming import store
 from pricetide.streaming import versioned as vt
@@ -233,7 +234,8 @@ def pricing_specs(products: DataFrame, sales: DataFrame, promotions: DataFrame,
 
 def price_views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Live price from the current products and the maintained per-product aggregates."""
-    return {"inventory_item": pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))}
+    items = pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))
+    return {"inventory_item": io.describe_view(items, "inventory_item")}
 
 
 def cart_views(categories: DataFrame, other_offset: int):
@@ -244,8 +246,10 @@ def cart_views(categories: DataFrame, other_offset: int):
         items = pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))
         dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, items, None,
                                   stock=aggs["stock"])
-        return {"inventory_item": items, "dynamic_cart": dc,
-                "category_totals": hierarchy.category_totals_closure(categories, dc, other_offset=other_offset)}
+        totals = hierarchy.category_totals_closure(categories, dc, other_offset=other_offset)
+        return {"inventory_item": io.describe_view(items, "inventory_item"),
+                "dynamic_cart": io.describe_view(dc, "dynamic_cart"),
+                "category_totals": io.describe_view(totals, "category_totals")}
 
     return views
 
@@ -264,7 +268,7 @@ def refresh_inventory_item(spark: SparkSession, tables: Mapping[str, DataFrame],
     t0 = time.time()
     items = pricing.inventory_item(tables["products"], tables["sales"], tables["promotions"],
                                    tables["inventory"])
-    vt.write_version(items, root, "inventory_item", version)
+    vt.write_version(io.describe_view(items, "inventory_item"), root, "inventory_item", version)
     duration = time.time() - t0
     when = (F.lit(str(as_of)).cast("timestamp_ntz") if as_of is not None
             else F.localtimestamp())
