@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import factors as fx
+from pricetide.sources.io import json_doc
 
 TOTAL_TYPE = "decimal(38,10)"   # numeric(20,10) of the reference, with head room
 
@@ -142,16 +143,16 @@ def cart_snapshot(cart_view: DataFrame, totals: DataFrame, expanded: Sequence[in
     items = cart_view.select(
         F.lit("item").alias("kind"),
         F.col("product_id").alias("id"),
-        F.to_json(F.struct("product_id", "product_name", "category_id", "category_name",
-                           "price", "available_stock")).alias("doc"))
+        json_doc("product_id", "product_name", "category_id", "category_name",
+                 "price", "available_stock").alias("doc"))
     subs = category_subtotals(totals, expanded).select(
         F.lit("category").alias("kind"),
         F.col("category_id").alias("id"),
-        F.to_json(F.struct("category_id", "parent_id", "has_subcategory", "category_name",
-                           "item_count", "subtotal", "categories_total")).alias("doc"))
+        json_doc("category_id", "parent_id", "has_subcategory", "category_name",
+                 "item_count", "subtotal", "categories_total").alias("doc"))
     tot = reconcile_cart(cart_view, totals).select(
         F.lit("total").alias("kind"), F.lit(None).cast("bigint").alias("id"),
-        F.to_json(F.struct("cart_total", "categories_total")).alias("doc"))
+        json_doc("cart_total", "categories_total").alias("doc"))
     return items.unionByName(subs).unionByName(tot)
 
 

@@ -241,7 +241,37 @@ def q_reconcile_cart(spark, d):
     return cartops.reconcile_cart(_cart(t), _totals(t))
 
 
-@query("cart_snapshot")
+def _snapshot_sql(expanded):
+    clause = f"OR parent_id IN ({', '.join(str(i) for i in expanded)})" if expanded else ""
+    return totaled(f"""
+WITH rt AS (
+  SELECT CAST(ROUND(CAST(SUM(total) AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS categories_total
+  FROM category_totals WHERE parent_id IS NULL),
+subtotals AS (
+  SELECT category_id, parent_id, has_subcategory, category_name, item_count,
+         CAST(ROUND(CAST(total AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS subtotal,
+         (SELECT categories_total FROM rt) AS categories_total
+  FROM category_totals WHERE parent_id IS NULL {clause}),
+ct AS (SELECT CAST(COALESCE(ROUND(CAST(SUM(price) AS DECIMAL(38,10)), 2), 0) AS DECIMAL(38,2)) AS cart_total
+       FROM dynamic_cart)
+SELECT 'item' AS kind, product_id AS id,
+       to_json({{'product_id': product_id, 'product_name': product_name, 'category_id': category_id,
+                'category_name': category_name, 'price': price, 'available_stock': available_stock}}) AS doc
+FROM dynamic_cart
+UNION ALL
+SELECT 'category', category_id,
+       to_json({{'category_id': category_id, 'parent_id': parent_id, 'has_subcategory': has_subcategory,
+                'category_name': category_name, 'item_count': item_count, 'subtotal': subtotal,
+                'categories_total': categories_total}})
+FROM subtotals
+UNION ALL
+SELECT 'total', CAST(NULL AS BIGINT),
+       to_json({{'cart_total': cart_total,
+                'categories_total': COALESCE((SELECT categories_total FROM rt), CAST(0 AS DECIMAL(38,2)))}})
+FROM ct""")
+
+
+@query("cart_snapshot", _snapshot_sql(EXPANDED))
 def q_cart_snapshot(spark, d):
     t = retail_tables(spark, d)
     return cartops.cart_snapshot(_cart(t), _totals(t), EXPANDED)
@@ -341,7 +371,11 @@ def q_defaults(spark, d):
     return io.with_defaults(joined, {"total_stock": 0})
 
 
-@query("to_document")
+@query("to_document", priced("""
+SELECT product_id,
+       to_json({'product_id': product_id, 'live_price': live_price,
+                'last_update_time': strftime(last_update_time, '%Y-%m-%d %H:%M:%S.%f')}) AS doc
+FROM inventory_item"""))
 def q_to_document(spark, d):
     return io.to_document(_items(retail_tables(spark, d)), key="product_id")
 
@@ -382,17 +416,51 @@ def q_downsample_sales(spark, d):
     return datagen.downsample_sales(t.sales, datagen.downsample_products(t.products))
 
 
-@query("gen_sales")
+from pricetide.functions.rand import uniform_sql  # noqa: E402
+
+_GEN_AS_OF = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+def _u(tag):
+    return uniform_sql(42, "p.product_id", "r.rnd", tag=tag)
+
+
+def _cents_sql(tag, units):
+    return f"CAST(CAST(floor({_u(tag)} * {units * 100}) AS BIGINT) * 0.01 AS DECIMAL(10,2))"
+
+
+def _shift_sql(tag, days, sign="-"):
+    return f"{_GEN_AS_OF} {sign} to_seconds(CAST(floor({_u(tag)} * {days * 86400}) AS BIGINT))"
+
+
+def _rounds_sql(rounds, per_round, tag):
+    keep = "" if per_round is None else \
+        f"WHERE {_u(tag)} * (SELECT COUNT(*) FROM products) < {float(per_round)}"
+    return f"FROM products p CROSS JOIN range(1, {rounds + 1}) r(rnd) {keep}"
+
+
+@query("gen_sales", with_tables(f"""
+SELECT p.product_id * 1000000 + r.rnd AS sale_id, p.product_id, {_cents_sql('sp', 800)} AS sale_price,
+       {_shift_sql('sd', 365)} AS sale_date, {_cents_sql('p', 1000)} AS price
+{_rounds_sql(5, None, 'sales')}"""))
 def q_gen_sales(spark, d):
     return datagen.gen_sales(retail_tables(spark, d).products, rounds=5, per_round=None)
 
 
-@query("gen_promotions")
+@query("gen_promotions", with_tables(f"""
+SELECT p.product_id * 1000000 + r.rnd AS promotion_id, p.product_id, {_cents_sql('d', 50)} AS promotion_discount,
+       {_shift_sql('s', 30)} AS start_date, {_shift_sql('e', 30, '+')} AS end_date, {_u('a')} < 0.3 AS active,
+       {_shift_sql('u', 30)} AS updated_at
+{_rounds_sql(5, 1000, 'promo')}"""))
 def q_gen_promotions(spark, d):
     return datagen.gen_promotions(retail_tables(spark, d).products, rounds=5, per_round=1000)
 
 
-@query("gen_inventory")
+@query("gen_inventory", with_tables(f"""
+SELECT p.product_id * 1000000 + r.rnd AS inventory_id, p.product_id,
+       CAST(floor({_u('st')} * 1001) AS INTEGER) AS stock, CAST(2 + floor({_u('w')} * 5) AS BIGINT) AS warehouse_id,
+       {_shift_sql('r', 30)} AS restock_date
+{_rounds_sql(5, 2000, 'inv')}"""))
 def q_gen_inventory(spark, d):
     return datagen.gen_inventory(retail_tables(spark, d).products, rounds=5, per_round=2000)
 

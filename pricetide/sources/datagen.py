@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.functions.rand import randint, uniform
+from pricetide.functions.rand import uniform
 from pricetide.operators.ordering import global_position
 
 # Fixed values of the generator: name suffix by id % 5, 10 categories,
@@ -36,8 +37,18 @@ def _ts(as_of) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
-def _minus_days(ts: Column, frac_days: Column) -> Column:
-    return F.timestamp_add("SECOND", (-frac_days * 86400).cast("bigint"), ts)
+def _cents(u: Column, units: int) -> Column:
+    """Money in [0, units) with 2 decimals, exact (no double -> decimal rounding)."""
+    return (F.floor(u * (units * 100)) * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
+
+
+def _shift_seconds(ts: Column, u: Column, max_days: int, sign: int = -1) -> Column:
+    """ts -/+ a whole number of seconds uniform in [0, max_days)."""
+    return F.timestamp_add("SECOND", F.floor(u * (max_days * 86400)) * sign, ts)
+
+
+# one generated row per (product, round); ids stay unique while rounds < ID_STRIDE
+ID_STRIDE = 1_000_000
 
 
 def gen_products(spark: SparkSession, n: int, *, seed: int = 42, as_of="2024-01-01 00:00:00",
@@ -48,7 +59,8 @@ def gen_products(spark: SparkSession, n: int, *, seed: int = 42, as_of="2024-01-
     gen = spark.range(1, n + 1).select(
         i.alias("product_id"),
         F.concat_ws(" ", F.lit("Product"), i.cast("string"), suffix).alias("product_name"),
-        (F.lit(50) + uniform(seed, i, tag="price") * 950).cast("decimal(10,2)").alias("base_price"),
+        (F.lit(Decimal("50.00")) + _cents(uniform(seed, i, tag="price"), 950)).cast("decimal(10,2)")
+        .alias("base_price"),
         (i % N_CATEGORIES + 1).alias("category_id"),
         (i % N_SUPPLIERS + 1).alias("supplier_id"),
         (uniform(seed, i, tag="avail") < P_AVAILABLE).alias("available"),
@@ -72,33 +84,38 @@ def _rounds(products: DataFrame, rounds: int, per_round: int | None, seed: int,
         return pairs
     n = products.agg(F.count(F.lit(1)).alias("_n"))            # one row
     return (pairs.crossJoin(F.broadcast(n))
-            .filter(uniform(seed, "product_id", "round", tag=tag) * F.col("_n") < F.lit(per_round))
+            .filter(uniform(seed, "product_id", "round", tag=tag) * F.col("_n") < F.lit(float(per_round)))
             .drop("_n"))
 
 
 def gen_sales(products: DataFrame, *, rounds: int = 100, per_round: int | None = 100_000, seed: int = 42,
               as_of="2024-01-01 00:00:00", hot_product: int | None = None, hot_share: float = 0.0) -> DataFrame:
-    """Sales over the last 365 days; optionally one hot product gets ``hot_share`` of all rows."""
+    """Sales over the last 365 days; optionally one hot product gets ``hot_share`` of all rows.
+
+    The hot product's extra rows are produced in chunks of 10,000 spread over
+    tasks (negative ids), so even the generator never builds one huge group.
+    """
+    k = ("product_id", "round")
     base = _rounds(products.select("product_id"), rounds, per_round, seed, "sales")
+    base = base.withColumn("sale_id", F.col("product_id") * ID_STRIDE + F.col("round"))
     if hot_product is not None and hot_share > 0:
         n_base = base.agg(F.count(F.lit(1)).alias("_n"))   # one row
         extra = (n_base.select(F.lit(hot_product).cast("bigint").alias("product_id"),
-                               F.ceil(F.col("_n") * hot_share / (1 - hot_share)).cast("int").alias("_k"))
-                 # split the hot product's extra rows into bounded chunks of 10k
-                 .select("product_id", "_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_k") - 1) / 10000)
-                                                                  .cast("int"))).alias("_chunk"))
+                               F.ceil(F.col("_n") * hot_share / (1 - hot_share)).cast("bigint").alias("_k"))
+                 .select("product_id", "_k", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                  F.floor((F.col("_k") - 1) / 10000))).alias("_chunk"))
                  .repartition("_chunk")
                  .select("product_id", F.explode(F.sequence(
                      F.col("_chunk") * 10000 + 1,
                      F.least(F.col("_k"), (F.col("_chunk") + 1) * 10000))).alias("_j"))
-                 .select("product_id", (-F.col("_j")).alias("round")))
+                 .select("product_id", (-F.col("_j")).alias("round"), (-F.col("_j")).alias("sale_id")))
         base = base.unionByName(extra)
     return base.select(
-        (F.abs(F.xxhash64(F.lit(seed), F.lit("sid"), "product_id", "round")) % F.lit(1 << 62)).alias("sale_id"),
+        "sale_id",
         "product_id",
-        (uniform(seed, "product_id", "round", tag="sp") * 800).cast("decimal(10,2)").alias("sale_price"),
-        _minus_days(_ts(as_of), uniform(seed, "product_id", "round", tag="sd") * 365).alias("sale_date"),
-        (uniform(seed, "product_id", "round", tag="p") * 1000).cast("decimal(10,2)").alias("price"),
+        _cents(uniform(seed, *k, tag="sp"), 800).alias("sale_price"),
+        _shift_seconds(_ts(as_of), uniform(seed, *k, tag="sd"), 365).alias("sale_date"),
+        _cents(uniform(seed, *k, tag="p"), 1000).alias("price"),
     )
 
 
@@ -108,12 +125,13 @@ def gen_promotions(products: DataFrame, *, rounds: int = 5, per_round: int | Non
     ts = _ts(as_of)
     k = ("product_id", "round")
     return base.select(
+        (F.col("product_id") * ID_STRIDE + F.col("round")).alias("promotion_id"),
         "product_id",
-        (uniform(seed, *k, tag="d") * 50).cast("decimal(10,2)").alias("promotion_discount"),
-        _minus_days(ts, uniform(seed, *k, tag="s") * 30).alias("start_date"),
-        _minus_days(ts, -uniform(seed, *k, tag="e") * 30).alias("end_date"),
+        _cents(uniform(seed, *k, tag="d"), 50).alias("promotion_discount"),
+        _shift_seconds(ts, uniform(seed, *k, tag="s"), 30).alias("start_date"),
+        _shift_seconds(ts, uniform(seed, *k, tag="e"), 30, sign=1).alias("end_date"),
         (uniform(seed, *k, tag="a") < 0.3).alias("active"),
-        _minus_days(ts, uniform(seed, *k, tag="u") * 30).alias("updated_at"),
+        _shift_seconds(ts, uniform(seed, *k, tag="u"), 30).alias("updated_at"),
     )
 
 
@@ -123,10 +141,11 @@ def gen_inventory(products: DataFrame, *, rounds: int = 5, per_round: int | None
     base = _rounds(products.select("product_id"), rounds, per_round, seed, "inv")
     k = ("product_id", "round")
     return base.select(
+        (F.col("product_id") * ID_STRIDE + F.col("round")).alias("inventory_id"),
         "product_id",
-        (F.lit(2) + randint(seed, 0, 4, *k, tag="w")).cast("bigint").alias("warehouse_id"),
-        F.round(uniform(seed, *k, tag="st") * 1000).cast("int").alias("stock"),
-        _minus_days(_ts(as_of), uniform(seed, *k, tag="r") * 30).alias("restock_date"),
+        (F.floor(uniform(seed, *k, tag="st") * 1001)).cast("int").alias("stock"),
+        (F.lit(2) + F.floor(uniform(seed, *k, tag="w") * 5)).cast("bigint").alias("warehouse_id"),
+        _shift_seconds(_ts(as_of), uniform(seed, *k, tag="r"), 30).alias("restock_date"),
     )
 
 

@@ -226,10 +226,20 @@ def analyze(spark: SparkSession, table: str, columns: Sequence[str] = ()) -> Non
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(columns)}")
 
 
+# JSON documents: NULL fields are kept, timestamps carry microseconds.
+JSON_DOC_OPTIONS = {"ignoreNullFields": "false",
+                    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+                    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
+
+
+def json_doc(*cols) -> Column:
+    return F.to_json(F.struct(*cols), JSON_DOC_OPTIONS)
+
+
 def to_document(df: DataFrame, key: str | None = None) -> DataFrame:
     """One JSON document per row (JSON lines when written with ``write.text``)."""
     cols = [key] if key else []
-    return df.select(*cols, F.to_json(F.struct(*df.columns)).alias("doc"))
+    return df.select(*cols, json_doc(*df.columns).alias("doc"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
