@@ -34,17 +34,27 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+SCRATCH_KEY = "pricetide.scratch.dir"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (tests, local runs) a fresh scratch folder is taken.
+    when it is unset (tests, local runs) a folder is taken: the context's
+    checkpoint folder if one was set, else a fresh scratch folder. The core
+    setting cannot change at run time, so the choice is kept under our own key.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_KEY, None)
+    sc = spark.sparkContext
     if not path:
-        path = tempfile.mkdtemp(prefix="pricetide-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        path = sc.getCheckpointDir()
+        if not path:
+            path = tempfile.mkdtemp(prefix="pricetide-ckpt-", dir="/tmp")
+            sc.setCheckpointDir(path)
+        spark.conf.set(SCRATCH_KEY, path)
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
