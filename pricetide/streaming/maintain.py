@@ -134,8 +134,7 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
     by_name = {s.name: s for s in specs}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prev = vt.latest_version(spark, root, below=batch_id)
-        man = vt.manifest(spark, root, prev) if prev is not None else {}
+        _, man = vt.latest_manifest(spark, root, below=batch_id)
         batch = batch.persist()
         # the table names in this batch: at most one row per table
         touched = {r[0] for r in batch.select("table").distinct().collect()}
@@ -168,31 +167,32 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
             if agg not in man:
                 # first batch: one full pass over the source, then only deltas
                 full_rows = fn(cur[src])
-                full = store.initial_state(full_rows, full_rows.columns, ("product_id",))
-                entry = store.write_base(root, agg, full, batch_id)
+                cols = full_rows.columns
+                entry = store.write_base(root, agg, store.initial_state(full_rows, cols, ("product_id",)), batch_id)
+                entry["cols"] = cols
             elif src in touched_products:
                 entry = man[agg]
-                old = vt.spark_read(spark, vt.table_path(root, f"{agg}.base", entry["base"]))
-                cols = [c for c in old.columns if c not in ("_seq", "_op")]
+                cols = entry["cols"]
                 tp = touched_products[src]
                 fresh = fn(cur[src].join(tp, "product_id", "left_semi"))
+                types = dict(fresh.dtypes)
                 gone = tp.join(fresh.select("product_id"), "product_id", "left_anti")
                 delta = (fresh.select(*cols, F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
                          .unionByName(gone.select(*[F.col(c) if c == "product_id" else
-                                                    F.lit(None).cast(old.schema[c].dataType).alias(c) for c in cols],
+                                                    F.lit(None).cast(types[c]).alias(c) for c in cols],
                                                   F.lit(batch_id).cast("bigint").alias("_seq"),
                                                   F.lit("D").alias("_op"))))
                 entry = store.add_delta(
                     spark, root, agg, entry, delta, batch_id, compact_every=compact_every,
                     compact=lambda e, a=agg, c=cols: store.state_of(
                         spark, root, a, e, c, ("product_id",), lambda: None))
+                entry["cols"] = cols
             else:
                 entry = man[agg]
             man[agg] = entry
-            base = vt.spark_read(spark, vt.table_path(root, f"{agg}.base", entry["base"]))
-            cols = [c for c in base.columns if c not in ("_seq", "_op")]
             aggs[agg.removeprefix("agg_")] = store.current(
-                store.state_of(spark, root, agg, entry, cols, ("product_id",), lambda: None), ("product_id",))
+                store.state_of(spark, root, agg, entry, entry["cols"], ("product_id",), lambda: None),
+                ("product_id",))
 
         for name, view in views_fn(cur, aggs).items():
             vt.write_version(view, root, name, batch_id)

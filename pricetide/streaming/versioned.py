@@ -66,6 +66,19 @@ def commit(spark: SparkSession, root: str, version: int, manifest: dict,
      .coalesce(1).write.mode("append").parquet(_commits(root)))
 
 
+def latest_manifest(spark: SparkSession, root: str, below: int | None = None) -> tuple[int | None, dict]:
+    """(newest committed version below ``below``, its manifest) in one read of the commit log."""
+    c = committed_versions(spark, root)
+    if c is None:
+        return None, {}
+    if below is not None:
+        c = c.filter(F.col("version") < below)
+    row = c.orderBy(F.col("version").desc(), F.col("committed_at").desc()).select("version", "manifest").first()
+    if row is None:
+        return None, {}
+    return int(row[0]), json.loads(row[1])
+
+
 def manifest(spark: SparkSession, root: str, version: int) -> dict:
     """name -> version folder (plain tables) or {"base": v, "deltas": [...]} (stores)."""
     c = committed_versions(spark, root)
