@@ -988,6 +988,17 @@ def q_refresh_inventory_item(spark, d):
     return vt.read_latest(spark, root, "inventory_item")
 
 
+@query("price_point_refreshed", priced(
+    "SELECT product_id, live_price AS price FROM inventory_item WHERE product_id = 1"))
+def q_price_point_refreshed(spark, d):
+    """E1 against the batch path: refresh the serving copy, then a point lookup on it."""
+    t = retail_tables(spark, d)
+    root = _scratch(spark, "refresh")
+    mt.refresh_inventory_item(spark, {"products": t.products, "sales": t.sales, "promotions": t.promotions,
+                                      "inventory": t.inventory}, root, as_of=AS_OF)
+    return pricing.price_of(vt.read_latest(spark, root, "inventory_item"), 1)
+
+
 def _stream_views(spark, d, view, with_cart=True):
     """Run the change feed (product changes + cart changes) through the maintained views."""
     t = retail_tables(spark, d)
