@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions import factors as fx
 from pricetide.sources.io import json_doc
 
 TOTAL_TYPE = "decimal(38,10)"   # numeric(20,10) of the reference, with head room
@@ -155,7 +154,3 @@ def cart_snapshot(cart_view: DataFrame, totals: DataFrame, expanded: Sequence[in
         json_doc("cart_total", "categories_total").alias("doc"))
     return items.unionByName(subs).unionByName(tot)
 
-
-__all__ = ["dynamic_cart", "sort_cart", "cart_total", "cart_summary", "visible_categories",
-           "category_subtotals", "sort_tree", "flat_subtotals", "category_list", "reconcile_cart",
-           "cart_stock", "cart_snapshot", "with_total", "roots_total", "fx"]
