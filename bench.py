@@ -4,7 +4,8 @@ Each query runs to completion through the ``noop`` sink (every row is
 produced, nothing is collected to the driver). A warm-up run of the flagship
 query is not counted.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_SHUFFLE_PARTITIONS
+(default = BENCH_CPUS; AQE coalesces further),
 BENCH_QUERIES (comma list to restrict), BENCH_REPEAT (default 1; best of N).
 """
 
@@ -48,7 +49,8 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES")
     names = [q for q in (wanted.split(",") if wanted else HEADLINE) if q in QUERIES]
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(master=f"local[{cpus}]",
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
 
     def run(name: str) -> float:
         t0 = time.perf_counter()
