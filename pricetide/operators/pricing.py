@@ -195,18 +195,36 @@ def price_inputs(sales: DataFrame, promotions: DataFrame, inventory: DataFrame,
     }
 
 
-def factors_from_inputs(products: DataFrame, inputs: dict[str, DataFrame], *,
-                        cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
-    """Every factor of the live price from product-sized inputs (see :func:`price_inputs`)."""
-    prods = products.select("product_id", "product_name", "base_price", "category_id",
-                            "last_update_time")
-    pop = popularity_bands(inputs["counts"].select("product_id", "sale_count").join(prods, "product_id"))
+def price_thresholds(products: DataFrame, inputs: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(per-category t3/t10 of sale counts, one row of global t3/t10 of stock totals).
+
+    Both come from bounded top-k computations; they are all a product's bands
+    depend on besides its own count and stock.
+    """
+    pop_ks = [edge for edge, _ in fx.POPULARITY_BANDS]
+    counts = inputs["counts"].select("product_id", "sale_count").join(
+        products.select("product_id", "category_id"), "product_id")
+    cat_th = kth_largest(counts, "sale_count", pop_ks, ["category_id"])
+    return cat_th, stock_thresholds(inputs["stock"].select("product_id", "total_stock"))
+
+
+def assemble_factors(products: DataFrame, inputs: dict[str, DataFrame], cat_th: DataFrame,
+                     stock_th: DataFrame, *, cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+    """Every factor of the live price for ``products``, given the thresholds of the whole table."""
+    pop_ks = [edge for edge, _ in fx.POPULARITY_BANDS]
+    stock_ks = [edge for edge, _ in fx.STOCK_BANDS]
+    prods = products.select("product_id", "product_name", "base_price", "category_id", "last_update_time")
+    pop = (inputs["counts"].select("product_id", "sale_count").join(prods, "product_id")
+           .join(cat_th, "category_id")
+           .withColumn("popularity_adjustment",
+                       fx.band_by_threshold("sale_count", [f"t{k}" for k in pop_ks],
+                                            [f for _, f in fx.POPULARITY_BANDS], fx.POPULARITY_OTHERWISE))
+           .drop(*[f"t{k}" for k in pop_ks]))
     totals = inputs["stock"].select("product_id", "total_stock")
-    ks = [edge for edge, _ in fx.STOCK_BANDS]
-    th = stock_thresholds(totals)     # one row (global aggregate of a bounded top-k)
-    sb = totals.crossJoin(F.broadcast(th)).select(
+    # stock_th is one row (global aggregate of a bounded top-k): broadcasting it is bounded
+    sb = totals.crossJoin(F.broadcast(stock_th)).select(
         "product_id",
-        fx.band_by_threshold("total_stock", [f"t{k}" for k in ks],
+        fx.band_by_threshold("total_stock", [f"t{k}" for k in stock_ks],
                              [f for _, f in fx.STOCK_BANDS], fx.STOCK_OTHERWISE).alias("stock_adjustment"))
     joined = (pop.join(inputs["recent"].select("product_id", "avg_price"), "product_id", "left")
               .join(inputs["promo"].select("product_id", "promotion_discount"), "product_id", "left")
@@ -224,6 +242,13 @@ def factors_from_inputs(products: DataFrame, inputs: dict[str, DataFrame], *,
     )
 
 
+def factors_from_inputs(products: DataFrame, inputs: dict[str, DataFrame], *,
+                        cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+    """Every factor of the live price from product-sized inputs (see :func:`price_inputs`)."""
+    cat_th, stock_th = price_thresholds(products, inputs)
+    return assemble_factors(products, inputs, cat_th, stock_th, cheap_pattern=cheap_pattern)
+
+
 def item_factors(products: DataFrame, sales: DataFrame, promotions: DataFrame,
                  inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
                  cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:

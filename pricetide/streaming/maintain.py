@@ -118,6 +118,79 @@ def _touched_products(state: DataFrame, incoming: DataFrame, keys) -> DataFrame:
     return old.unionByName(incoming.select("product_id")).distinct()
 
 
+# --------------------------------------------------------------------------- the live price, incrementally
+
+ITEM_COLS = ["product_id", "live_price", "last_update_time"]
+_PK = ("product_id",)
+
+
+def _changed_thresholds(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose (t3, t10) differ between two threshold tables (NULL-safe, either side missing)."""
+    o = old.select(*keys, F.col("t3").alias("_o3"), F.col("t10").alias("_o10"))
+    j = new.join(o, keys, "full") if keys else new.crossJoin(o)
+    same = F.col("t3").eqNullSafe(F.col("_o3")) & F.col("t10").eqNullSafe(F.col("_o10"))
+    return j.filter(~same)
+
+
+def _split_thresholds(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cat = both.filter(F.col("category_id").isNotNull())
+    stock = both.filter(F.col("category_id").isNull()).drop("category_id")
+    return cat, stock
+
+
+def _maintain_items(spark: SparkSession, root: str, man: dict, batch_id: int, cur: dict, aggs: dict,
+                    touched_products: dict, compact_every: int) -> DataFrame:
+    """Keep ``inventory_item`` as a store and re-price only the products whose price can move.
+
+    A product's price depends on its own row and aggregates, on its category's
+    3rd/10th largest sale count and on the global 3rd/10th largest stock. So
+    the products to re-price are: those the batch touched; those in categories
+    whose thresholds moved; and, when the stock thresholds moved, those with at
+    least the smaller of the old and new 10th largest stock (the top-10 bands
+    of either version). Everything else keeps its row.
+    """
+    products = cur["products"]
+    # thresholds are written first (one small table: the stock row has no
+    # category) and read back: computed once, used twice
+    cat_th, stock_th = pricing.price_thresholds(products, aggs)
+    both = cat_th.unionByName(stock_th.select(F.lit(None).cast("bigint").alias("category_id"), "t3", "t10"))
+    vt.write_version(both, root, "thresholds", batch_id)
+    cat_th, stock_th = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds", batch_id)))
+    entry = man.get("inventory_item")
+    if not isinstance(entry, dict):
+        items = pricing.live_price_of(pricing.assemble_factors(products, aggs, cat_th, stock_th))
+        entry = store.write_base(root, "inventory_item", store.initial_state(items, ITEM_COLS, _PK), batch_id)
+    else:
+        old_cat, old_stock = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds",
+                                                                                 man["thresholds"])))
+        parts = [tp for tp in touched_products.values()]
+        moved = _changed_thresholds(cat_th, old_cat, ["category_id"]).select("category_id")
+        parts.append(products.join(moved, "category_id", "left_semi").select("product_id"))
+        st = _changed_thresholds(stock_th, old_stock, [])        # zero or one row
+        floor_ = F.least(F.col("t10"), F.col("_o10"))
+        near_top = (aggs["stock"].crossJoin(F.broadcast(st))
+                    .filter(F.col("t10").isNull() | F.col("_o10").isNull() | (F.col("total_stock") >= floor_))
+                    .select("product_id"))
+        parts.append(near_top)
+        affected = parts[0]
+        for p in parts[1:]:
+            affected = affected.unionByName(p)
+        affected = affected.distinct()
+        fresh = pricing.live_price_of(pricing.assemble_factors(
+            products.join(affected, "product_id", "left_semi"), aggs, cat_th, stock_th))
+        gone = affected.join(fresh.select("product_id"), "product_id", "left_anti")
+        delta = (fresh.select(*ITEM_COLS, F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
+                 .unionByName(gone.select("product_id", F.lit(None).cast("decimal(20,6)").alias("live_price"),
+                                          F.lit(None).cast("timestamp_ntz").alias("last_update_time"),
+                                          F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("D").alias("_op"))))
+        entry = store.add_delta(spark, root, "inventory_item", entry, delta, batch_id, compact_every=compact_every,
+                                compact=lambda e: store.state_of(spark, root, "inventory_item", e, ITEM_COLS, _PK,
+                                                                 lambda: None))
+    entry.update({"cols": ITEM_COLS, "keys": list(_PK)})
+    man.update({"inventory_item": entry, "thresholds": batch_id})
+    return store.current(store.state_of(spark, root, "inventory_item", entry, ITEM_COLS, _PK, lambda: None), _PK)
+
+
 # --------------------------------------------------------------------------- the maintainer
 
 ViewsFn = Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, DataFrame]]
@@ -194,6 +267,9 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
                 store.state_of(spark, root, agg, entry, entry["cols"], ("product_id",), lambda: None),
                 ("product_id",))
 
+        if aggs and "products" in cur:
+            cur["inventory_item"] = _maintain_items(spark, root, man, batch_id, cur, aggs, touched_products,
+                                                    compact_every)
         for name, view in views_fn(cur, aggs).items():
             vt.write_version(view, root, name, batch_id)
             man[name] = batch_id
@@ -233,9 +309,8 @@ def pricing_specs(products: DataFrame, sales: DataFrame, promotions: DataFrame,
 
 
 def price_views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Live price from the current products and the maintained per-product aggregates."""
-    items = pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))
-    return {"inventory_item": io.describe_view(items, "inventory_item")}
+    """The live price itself is kept incrementally by the handler (store ``inventory_item``)."""
+    return {}
 
 
 def cart_views(categories: DataFrame, other_offset: int):
@@ -243,12 +318,10 @@ def cart_views(categories: DataFrame, other_offset: int):
     from pricetide.operators import hierarchy
 
     def views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        items = pricing.live_price_of(pricing.factors_from_inputs(cur["products"], aggs))
-        dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, items, None,
+        dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, cur["inventory_item"], None,
                                   stock=aggs["stock"])
         totals = hierarchy.category_totals_closure(categories, dc, other_offset=other_offset)
-        return {"inventory_item": io.describe_view(items, "inventory_item"),
-                "dynamic_cart": io.describe_view(dc, "dynamic_cart"),
+        return {"dynamic_cart": io.describe_view(dc, "dynamic_cart"),
                 "category_totals": io.describe_view(totals, "category_totals")}
 
     return views

@@ -89,8 +89,13 @@ def manifest(spark: SparkSession, root: str, version: int) -> dict:
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
-    """Table ``name`` as of committed ``version`` (following the manifest)."""
-    return spark.read.parquet(table_path(root, name, manifest(spark, root, version)[name]))
+    """Table ``name`` as of committed ``version`` (following the manifest; stores are resolved)."""
+    entry = manifest(spark, root, version)[name]
+    if isinstance(entry, dict):            # a base + deltas store (see pricetide.streaming.store)
+        from pricetide.streaming import store
+        keys = tuple(entry["keys"]) if entry.get("keys") else None
+        return store.current(store.state_of(spark, root, name, entry, entry["cols"], keys, lambda: None), keys)
+    return spark.read.parquet(table_path(root, name, entry))
 
 
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
