@@ -6,13 +6,31 @@ depends on seeded randomness or on a stream's progress only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from pricetide import schemas
+from pricetide.functions import factors
+from pricetide.functions.rand import uniform_sql
+from pricetide.operators import cart as cartops
+from pricetide.operators import changes
+from pricetide.operators import hierarchy
+from pricetide.operators import metrics
 from pricetide.operators import pricing
+from pricetide.plans.oracle import CART, CATEGORY_TOTALS, CART_CTE_NAMES, TOTALS_CTE_NAMES, rename
+from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over
+from pricetide.plans.oracle import OTHER_OFFSET_FIXTURE, carted, totaled, with_tables
 from pricetide.plans.oracle import oracle, priced
+from pricetide.session import scratch_path
+from pricetide.sources import datagen, io
+from pricetide.sources import testdata
 from pricetide.sources.testdata import retail_tables
+from pricetide.streaming import maintain as mt
+from pricetide.streaming import qps as qps_stream
+from pricetide.streaming import versioned as vt
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -92,9 +110,6 @@ def q_price_point(spark, d):
 
 # --------------------------------------------------------------------------- D4-D12
 
-from pricetide.operators import cart as cartops  # noqa: E402
-from pricetide.operators import hierarchy  # noqa: E402
-from pricetide.plans.oracle import OTHER_OFFSET_FIXTURE, carted, totaled, with_tables  # noqa: E402
 
 # Sample drill-down state of the cart page: one region and one nation opened.
 EXPANDED = (1, 103)
@@ -279,9 +294,6 @@ def q_cart_snapshot(spark, d):
 
 # --------------------------------------------------------------------------- S1-S22
 
-from pricetide import schemas  # noqa: E402
-from pricetide.sources import datagen, io  # noqa: E402
-
 
 @query("latest_by_key", with_tables("""
 SELECT sale_id, product_id, sale_price, sale_date, price FROM sales
@@ -416,8 +428,6 @@ def q_downsample_sales(spark, d):
     return datagen.downsample_sales(t.sales, datagen.downsample_products(t.products))
 
 
-from pricetide.functions.rand import uniform_sql  # noqa: E402
-
 _GEN_AS_OF = "TIMESTAMP '2024-01-01 00:00:00'"
 
 
@@ -467,11 +477,6 @@ def q_gen_inventory(spark, d):
 
 # --------------------------------------------------------------------------- M1, C1-C8
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from pricetide.operators import changes  # noqa: E402
-from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over  # noqa: E402
-from pricetide.sources import testdata  # noqa: E402
 
 AS_OF = "2024-02-01 00:00:00"
 _AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -665,9 +670,6 @@ def q_touch(spark, d):
 
 # --------------------------------------------------------------------------- M4-M19, W6-W11, A20-A21, D10
 
-from pricetide.functions import factors  # noqa: E402
-from pricetide.operators import metrics  # noqa: E402
-
 
 @query("latency_stats", with_tables("""
 SELECT source, COUNT(*) AS n, MAX(latency_ms) AS max_ms,
@@ -966,14 +968,6 @@ def q_compare_sources(spark, d):
 
 # --------------------------------------------------------------------------- D2, D3, M2, M3, M5
 
-import uuid  # noqa: E402
-
-from pricetide.plans.oracle import CART, CATEGORY_TOTALS, _CART_CTES, _TOTALS_CTES, rename  # noqa: E402
-from pricetide.session import scratch_path  # noqa: E402
-from pricetide.streaming import maintain as mt  # noqa: E402
-from pricetide.streaming import qps as qps_stream  # noqa: E402
-from pricetide.streaming import versioned as vt  # noqa: E402
-
 
 def _scratch(spark, what):
     return scratch_path(spark, f"{what}-{uuid.uuid4().hex}")
@@ -1042,8 +1036,8 @@ def _streamed_sql(body):
         body, CHANGE_FEEDS, _STREAMED,
         pricing_over(products="products_cur", suffix="_s"),
         rename(CART, {"shopping_cart": "cart_cur", "products": "products_cur",
-                      "inventory_item": "inventory_item_s"}, _CART_CTES, "_s"),
-        rename(CATEGORY_TOTALS, {"dynamic_cart": "dynamic_cart_s"}, _TOTALS_CTES, "_s"))
+                      "inventory_item": "inventory_item_s"}, CART_CTE_NAMES, "_s"),
+        rename(CATEGORY_TOTALS, {"dynamic_cart": "dynamic_cart_s"}, TOTALS_CTE_NAMES, "_s"))
 
 
 @query("stream_inventory_item", _streamed_sql(
