@@ -138,8 +138,31 @@ def _split_thresholds(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cat, stock
 
 
+def _category_thresholds(products: DataFrame, old_products: DataFrame | None, aggs: dict,
+                         touched_products: dict, old_cat: DataFrame | None) -> DataFrame:
+    """Per-category t3/t10, recomputed only for categories whose members or counts changed.
+
+    Sale counts change only with sales changes and membership only with product
+    changes, so the touched categories are the old and new categories of
+    those products; every other category keeps its previous thresholds.
+    """
+    if old_cat is None:
+        return pricing.price_thresholds(products, aggs)[0]
+    ids = [touched_products[t] for t in ("products", "sales") if t in touched_products]
+    if not ids:
+        return old_cat
+    tp = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1]).distinct()
+    cats = products.join(tp, "product_id", "left_semi").select("category_id")
+    if old_products is not None:
+        cats = cats.unionByName(old_products.join(tp, "product_id", "left_semi").select("category_id"))
+    cats = cats.distinct()
+    members = products.join(cats, "category_id", "left_semi")
+    fresh = pricing.price_thresholds(members, aggs)[0]
+    return old_cat.join(cats, "category_id", "left_anti").unionByName(fresh)
+
+
 def _maintain_items(spark: SparkSession, root: str, man: dict, batch_id: int, cur: dict, aggs: dict,
-                    touched_products: dict, compact_every: int) -> DataFrame:
+                    touched_products: dict, compact_every: int, old_products: DataFrame | None = None) -> DataFrame:
     """Keep ``inventory_item`` as a store and re-price only the products whose price can move.
 
     A product's price depends on its own row and aggregates, on its category's
@@ -150,19 +173,23 @@ def _maintain_items(spark: SparkSession, root: str, man: dict, batch_id: int, cu
     of either version). Everything else keeps its row.
     """
     products = cur["products"]
+    first = not isinstance(man.get("inventory_item"), dict)
+    old_cat = old_stock = None
+    if not first:
+        old_cat, old_stock = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds",
+                                                                                 man["thresholds"])))
     # thresholds are written first (one small table: the stock row has no
     # category) and read back: computed once, used twice
-    cat_th, stock_th = pricing.price_thresholds(products, aggs)
+    cat_th = _category_thresholds(products, old_products, aggs, touched_products, old_cat)
+    stock_th = pricing.stock_thresholds(aggs["stock"].select("product_id", "total_stock"))
     both = cat_th.unionByName(stock_th.select(F.lit(None).cast("bigint").alias("category_id"), "t3", "t10"))
     vt.write_version(both, root, "thresholds", batch_id)
     cat_th, stock_th = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds", batch_id)))
-    entry = man.get("inventory_item")
-    if not isinstance(entry, dict):
+    if first:
         items = pricing.live_price_of(pricing.assemble_factors(products, aggs, cat_th, stock_th))
         entry = store.write_base(root, "inventory_item", store.initial_state(items, ITEM_COLS, _PK), batch_id)
     else:
-        old_cat, old_stock = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds",
-                                                                                 man["thresholds"])))
+        entry = man["inventory_item"]
         parts = [tp for tp in touched_products.values()]
         moved = _changed_thresholds(cat_th, old_cat, ["category_id"]).select("category_id")
         parts.append(products.join(moved, "category_id", "left_semi").select("product_id"))
@@ -212,12 +239,14 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
         # the table names in this batch: at most one row per table
         touched = {r[0] for r in batch.select("table").distinct().collect()}
         states: dict[str, DataFrame] = {}
+        old_states: dict[str, DataFrame] = {}
         touched_products: dict[str, DataFrame] = {}
         for spec in specs:
             cols = spec.schema.fieldNames()
             entry = man.get(spec.name, store.empty_entry())
             state = store.state_of(spark, root, spec.name, entry, cols, spec.keys,
                                    lambda n=spec.name: snapshot[n])
+            old_states[spec.name] = state
             if spec.name in touched:
                 incoming = decode(batch, spec)
                 delta = store.decide(state, incoming, cols, spec.keys)
@@ -267,13 +296,26 @@ def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
                 store.state_of(spark, root, agg, entry, entry["cols"], ("product_id",), lambda: None),
                 ("product_id",))
 
+        # product-sized inputs are read several times per batch: cache them for
+        # this batch only (a lost block is recomputed from the written files)
+        cached = []
+        for name in ("products",):
+            if name in cur:
+                cur[name] = cur[name].persist()
+                cached.append(cur[name])
+        for name in list(aggs):
+            aggs[name] = aggs[name].persist()
+            cached.append(aggs[name])
         if aggs and "products" in cur:
+            old_products = current(old_states["products"], by_name["products"])
             cur["inventory_item"] = _maintain_items(spark, root, man, batch_id, cur, aggs, touched_products,
-                                                    compact_every)
+                                                    compact_every, old_products)
         for name, view in views_fn(cur, aggs).items():
             vt.write_version(view, root, name, batch_id)
             man[name] = batch_id
         vt.commit(spark, root, batch_id, man)
+        for df in cached:
+            df.unpersist()
         batch.unpersist()
 
     return handle
