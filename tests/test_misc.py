@@ -100,3 +100,12 @@ def test_global_order_statistics_and_rank(spark):
     ranks = sorted((r["v"], r["rank"]) for r in pricing.rank_desc(df, "v").collect())
     by_value = dict(ranks)
     assert by_value[9.0] == 1 and by_value[3.0] == 6 and by_value[1.0] == 10
+
+
+def test_views_append_and_distinct(spark):
+    from pricetide.sources import io
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k bigint, v string")
+    b = spark.createDataFrame([(3, "z")], "k bigint, v string")
+    io.register_views({"misc_a": io.append(a, b)})
+    assert spark.sql("SELECT COUNT(*) FROM misc_a").collect()[0][0] == 4
+    assert sorted(r["k"] for r in io.distinct_keys(spark.table("misc_a"), ["k"]).collect()) == [1, 2, 3]
