@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.schemas import QUERY_LOG
-from pricetide.streaming import maintain as mt
+from pricetide.streaming import store
 from pricetide.streaming import versioned as vt
-from pricetide.streaming.maintain import TableSpec
 
 # Fixed value: events later than 10 s behind the newest seen are dropped from
 # the windowed counts (the reference corrects everything; a stream must bound state).
@@ -56,20 +55,24 @@ def stream_qps(spark: SparkSession, log_path: str, root: str, *, window: str = "
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     counts = windowed_counts(reader.parquet(log_path), window, watermark)
-    spec = TableSpec("qps", counts.schema, ("source", "window_start"))
+
+    cols = counts.columns + ["qps"]
+    keys = ("source", "window_start")
+
+    def empty() -> DataFrame:
+        return spark.createDataFrame([], counts.schema).withColumn("qps", F.lit(None).cast("double"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        prev = vt.latest_version(spark, root, below=batch_id)
-        if prev is not None:
-            state = vt.spark_read(spark, vt.table_path(root, "state_qps", vt.manifest(spark, root, prev)["state_qps"]))
-        else:
-            state = mt.initial_state(spark.createDataFrame([], counts.schema), spec)
-        ch = batch.select(F.lit("U").alias("op"), F.lit(batch_id).cast("bigint").alias("seq"), *counts.columns)
-        state = mt.fold(state, ch, spec)
-        vt.write_version(state, root, "state_qps", batch_id)
-        cur = mt.current(vt.spark_read(spark, vt.table_path(root, "state_qps", batch_id)), spec)
-        vt.write_version(cur.withColumn("qps", F.col("n") / F.lit(float(window_seconds))), root, "qps", batch_id)
-        vt.commit(spark, root, batch_id, {"state_qps": batch_id, "qps": batch_id})
+        # update mode emits the running count of every window the batch touched;
+        # the newest batch wins per (source, window), kept as base + small deltas
+        _, man = vt.latest_manifest(spark, root, below=batch_id)
+        entry = man.get("qps", store.empty_entry())
+        delta = batch.select(*counts.columns, (F.col("n") / F.lit(float(window_seconds))).alias("qps"),
+                             F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("U").alias("_op"))
+        entry = store.add_delta(spark, root, "qps", entry, delta, batch_id,
+                                compact=lambda e: store.state_of(spark, root, "qps", e, cols, keys, empty))
+        entry.update({"cols": cols, "keys": list(keys)})
+        vt.commit(spark, root, batch_id, {"qps": entry})
 
     w = (counts.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", f"{root.rstrip('/')}/_qps_ckpt"))

@@ -39,17 +39,29 @@ def _resolve_keyed(rows: DataFrame, cols: list[str], keys) -> DataFrame:
 
 def state_of(spark: SparkSession, root: str, name: str, entry: dict, cols: list[str], keys,
              snapshot: Callable[[], DataFrame]) -> DataFrame:
-    """The state (tombstones / signed counts included) described by a manifest entry."""
-    base = (initial_state(snapshot(), cols, keys) if entry["base"] < 0
-            else vt.spark_read(spark, vt.table_path(root, f"{name}.base", entry["base"])))
+    """The state (tombstones / signed counts included) described by a manifest entry.
+
+    ``snapshot`` gives the rows before the first base; it may return None when
+    the store started empty (then the deltas alone are the state).
+    """
+    if entry["base"] < 0:
+        snap = snapshot()
+        base = initial_state(snap, cols, keys) if snap is not None else None
+    else:
+        base = vt.spark_read(spark, vt.table_path(root, f"{name}.base", entry["base"]))
     if not entry["deltas"]:
+        if base is None:
+            raise ValueError(f"store {name} has neither a base nor deltas")
         return base
     deltas = spark.read.parquet(*[vt.table_path(root, f"{name}.delta", v) for v in entry["deltas"]])
     if keys is None:
-        return (base.unionByName(deltas).groupBy(*cols).agg(F.sum("multiplicity").alias("multiplicity"))
+        rows = deltas if base is None else base.unionByName(deltas)
+        return (rows.groupBy(*cols).agg(F.sum("multiplicity").alias("multiplicity"))
                 .filter(F.col("multiplicity") != 0))
     keys = list(keys)
     newest = _resolve_keyed(deltas, cols, keys)
+    if base is None:
+        return newest
     return base.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
 
 
