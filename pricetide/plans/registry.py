@@ -1065,13 +1065,14 @@ def q_stream_qps(spark, d):
     t = retail_tables(spark, d)
     root = _scratch(spark, "qps")
     log = t.query_log
-    # files in event-time order, one write each, so the file source reads them in that order
+    # the log arrives in four parts in event-time order; each part is one run of
+    # the same checkpointed query (restart = exactly-once resume), so the
+    # watermark sees the parts in order whatever the file timestamps are
     bounds = log.agg(F.min("seq"), F.max("seq")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = (hi - lo) // 4 + 1
     for i in range(4):
         (log.filter((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
          .write.mode("append").parquet(f"{root}/log"))
-    q = qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out")
-    q.awaitTermination()
-    return vt.read_latest(spark, f"{root}/out", "qps")
+        qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out", max_files_per_trigger=None).awaitTermination()
+    return vt.read_latest(spark, f"{root}/out", "qps")
\ No newline at end of file

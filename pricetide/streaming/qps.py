@@ -43,7 +43,8 @@ def windowed_counts(log: DataFrame, window: str = "1 minute", watermark: str = W
 
 def stream_qps(spark: SparkSession, log_path: str, root: str, *, window: str = "1 minute",
                window_seconds: float = 60.0, watermark: str = WATERMARK,
-               max_files_per_trigger: int | None = 1, trigger: str = "availableNow") -> StreamingQuery:
+               max_files_per_trigger: int | None = 1, trigger: str = "availableNow",
+               compact_every: int = store.COMPACT_EVERY) -> StreamingQuery:
     """Windowed counts in *update* mode, upserted per micro-batch into a versioned table.
 
     Update mode emits a window's running count whenever it changes; the upsert
@@ -69,7 +70,7 @@ def stream_qps(spark: SparkSession, log_path: str, root: str, *, window: str = "
         entry = man.get("qps", store.empty_entry())
         delta = batch.select(*counts.columns, (F.col("n") / F.lit(float(window_seconds))).alias("qps"),
                              F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("U").alias("_op"))
-        entry = store.add_delta(spark, root, "qps", entry, delta, batch_id,
+        entry = store.add_delta(spark, root, "qps", entry, delta, batch_id, compact_every=compact_every,
                                 compact=lambda e: store.state_of(spark, root, "qps", e, cols, keys, empty))
         entry.update({"cols": cols, "keys": list(keys)})
         vt.commit(spark, root, batch_id, {"qps": entry})

@@ -120,3 +120,22 @@ def test_heartbeat_and_refresh_loop(spark, scratch):
         r.stop()
     assert spark.read.parquet(f"{scratch}/hb").count() >= 1
     assert vt.read_latest(spark, f"{scratch}/mv", "inventory_item").count() == 5
+
+
+def test_qps_stream_compacts_and_equals_batch(spark, scratch):
+    from pricetide.streaming import qps
+    rows = [(i, T0 + dt.timedelta(seconds=7 * i), "ab"[i % 2], 1.0, 1) for i in range(600)]
+    log = spark.createDataFrame(rows, schemas.QUERY_LOG)
+    for part in range(5):           # five parts in time order, one restart each -> five micro-batches
+        log.filter((F.col("seq") >= part * 120) & (F.col("seq") < (part + 1) * 120)) \
+            .write.mode("append").parquet(f"{scratch}/log")
+        qps.stream_qps(spark, f"{scratch}/log", f"{scratch}/out", compact_every=2,
+                       max_files_per_trigger=None).awaitTermination()
+    got = {(r["source"], r["window_start"]): r["n"] for r in vt.read_latest(spark, f"{scratch}/out", "qps").collect()}
+    expect = {}
+    for _, ts, src, _, _ in rows:
+        w = ts.replace(second=0, microsecond=0)
+        expect[(src, w)] = expect.get((src, w), 0) + 1
+    assert got == expect
+    man = vt.manifest(spark, f"{scratch}/out", vt.latest_version(spark, f"{scratch}/out"))
+    assert man["qps"]["base"] >= 0
