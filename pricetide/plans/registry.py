@@ -1003,8 +1003,9 @@ def _stream_views(spark, d, view, with_cart=True):
     feed = mt.encode_keyed(pc, "products", t.products.columns)
     if with_cart:
         feed = feed.unionByName(mt.encode_weighted(cc, "shopping_cart", cart_cols))
-    # several files, so that the stream folds the changes over several micro-batches
-    feed.repartitionByRange(4, "seq", "payload").write.parquet(f"{root}/feed")
+    # several files (folding does not depend on their order), so that the stream
+    # folds the changes over several micro-batches
+    feed.repartition(4, "seq").write.parquet(f"{root}/feed")
     snapshot = {"products": t.products, "sales": t.sales, "promotions": t.promotions,
                 "inventory": t.inventory, "shopping_cart": t.shopping_cart}
     specs = mt.pricing_specs(t.products, t.sales, t.promotions, t.inventory, t.shopping_cart)
