@@ -34,6 +34,8 @@ from pricetide.streaming import versioned as vt
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# progress reports of the last maintained-view stream run (read by bench.py for the micro-batch lag)
+LAST_STREAM_PROGRESS: list[dict] = []
 
 
 def query(name: str, sql: str | None = None):
@@ -1012,6 +1014,7 @@ def _stream_views(spark, d, view, with_cart=True):
     views = mt.cart_views(t.categories, OTHER_OFFSET_FIXTURE) if with_cart else mt.price_views
     q = mt.maintain(spark, f"{root}/feed", f"{root}/out", specs, snapshot, views, max_files_per_trigger=1)
     q.awaitTermination()
+    LAST_STREAM_PROGRESS[:] = [dict(p) for p in q.recentProgress]
     return vt.read_latest(spark, f"{root}/out", view)
 
 
