@@ -272,19 +272,19 @@ subtotals AS (
 ct AS (SELECT CAST(COALESCE(ROUND(CAST(SUM(price) AS DECIMAL(38,10)), 2), 0) AS DECIMAL(38,2)) AS cart_total
        FROM dynamic_cart)
 SELECT 'item' AS kind, product_id AS id,
-       to_json({{'product_id': product_id, 'product_name': product_name, 'category_id': category_id,
-                'category_name': category_name, 'price': price, 'available_stock': available_stock}}) AS doc
+       CAST(to_json({{'product_id': product_id, 'product_name': product_name, 'category_id': category_id,
+                'category_name': category_name, 'price': price, 'available_stock': available_stock}}) AS VARCHAR) AS doc
 FROM dynamic_cart
 UNION ALL
 SELECT 'category', category_id,
-       to_json({{'category_id': category_id, 'parent_id': parent_id, 'has_subcategory': has_subcategory,
+       CAST(to_json({{'category_id': category_id, 'parent_id': parent_id, 'has_subcategory': has_subcategory,
                 'category_name': category_name, 'item_count': item_count, 'subtotal': subtotal,
-                'categories_total': categories_total}})
+                'categories_total': categories_total}}) AS VARCHAR)
 FROM subtotals
 UNION ALL
 SELECT 'total', CAST(NULL AS BIGINT),
-       to_json({{'cart_total': cart_total,
-                'categories_total': COALESCE((SELECT categories_total FROM rt), CAST(0 AS DECIMAL(38,2)))}})
+       CAST(to_json({{'cart_total': cart_total,
+                'categories_total': COALESCE((SELECT categories_total FROM rt), CAST(0 AS DECIMAL(38,2)))}}) AS VARCHAR)
 FROM ct""")
 
 
@@ -387,8 +387,8 @@ def q_defaults(spark, d):
 
 @query("to_document", priced("""
 SELECT product_id,
-       to_json({'product_id': product_id, 'live_price': live_price,
-                'last_update_time': strftime(last_update_time, '%Y-%m-%d %H:%M:%S.%f')}) AS doc
+       CAST(to_json({'product_id': product_id, 'live_price': live_price,
+                     'last_update_time': strftime(last_update_time, '%Y-%m-%d %H:%M:%S.%f')}) AS VARCHAR) AS doc
 FROM inventory_item"""))
 def q_to_document(spark, d):
     return io.to_document(_items(retail_tables(spark, d)), key="product_id")

@@ -68,6 +68,26 @@ def canon_rows(cols, rows):
     return [cols[i] for i in order], out
 
 
+def duck_type(t) -> str:
+    """The DuckDB type name a Spark column type should come out as."""
+    from pyspark.sql import types as T
+    if isinstance(t, T.LongType):
+        return "BIGINT"
+    if isinstance(t, T.IntegerType):
+        return "INTEGER"
+    if isinstance(t, T.DoubleType):
+        return "DOUBLE"
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    if isinstance(t, T.StringType):
+        return "VARCHAR"
+    if isinstance(t, T.BooleanType):
+        return "BOOLEAN"
+    if isinstance(t, T.TimestampNTZType):
+        return "TIMESTAMP"
+    return t.simpleString()
+
+
 def compare(spark, key, sf_dir, con=None, verbose=True):
     from pricetide.plans.oracle import ORACLE
     from pricetide.plans.registry import QUERIES
@@ -79,13 +99,20 @@ def compare(spark, key, sf_dir, con=None, verbose=True):
     scols = sdf.columns
     if key not in ORACLE:
         return {"key": key, "ok": None, "rows": len(srows), "spark_s": t1 - t0}
+    rel = con.sql(ORACLE[key])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(ORACLE[key])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
+    type_diff = [(f.name, duck_type(f.dataType), dtypes.get(f.name)) for f in sdf.schema.fields
+                 if duck_type(f.dataType) != dtypes.get(f.name)]
     sc, sr = canon_rows(scols, srows)
     dc, dr = canon_rows(dcols, drows)
     ok = sc == dc and sr == dr
-    info = {"key": key, "ok": ok, "rows": len(srows), "oracle_rows": len(drows), "spark_s": round(t1 - t0, 2)}
+    info = {"key": key, "ok": ok, "rows": len(srows), "oracle_rows": len(drows), "spark_s": round(t1 - t0, 2),
+            "types_ok": not type_diff}
+    if type_diff:
+        info["type_diff"] = type_diff
     if not ok and verbose:
         if sc != dc:
             info["cols"] = (sc, dc)

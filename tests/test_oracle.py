@@ -23,6 +23,7 @@ def con():
 def test_query_matches_oracle(spark, con, key):
     info = compare(spark, key, SF_DIR, con)
     assert info["ok"] in (True, None), info
+    assert info.get("types_ok", True), info
     assert info["rows"] >= 0
 
 
