@@ -7,6 +7,7 @@ helpers exist for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,8 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (tests, local runs) a folder is taken: the context's
-    checkpoint folder if one was set, else a fresh scratch folder. The core
+    when it is unset a folder is taken: the context's checkpoint folder if one
+    was set, else, with a local master (tests, single-machine runs), a fresh
+    scratch folder. Any other master without a shared folder is an error: what
+    one machine writes to its own disk the others cannot read. The core
     setting cannot change at run time, so the choice is kept under our own key.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_KEY, None)
@@ -50,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = sc.getCheckpointDir()
         if not path:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError(
+                    f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
             path = tempfile.mkdtemp(prefix="pricetide-ckpt-", dir="/tmp")
             sc.setCheckpointDir(path)
         spark.conf.set(SCRATCH_KEY, path)
