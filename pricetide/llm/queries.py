@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
-from .common import table
+from . import huffman, mixing, packing
+from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,8 +15,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Scratch(spark, 'token-ids').base}/corpus"
+    huffman.write_ids(spark, table(spark, sf_dir, "documents"), WORD_BPE, folder)
+    return huffman.digests(spark, folder)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_source_mixing": op2_source_mixing,
+    "op5_huffman_ids": op5_huffman_ids,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_source_mixing": mixing.oracle_sql(),
+}
