@@ -46,13 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows again, in pieces of about SLICE_BYTES of text (a longer text is a piece of its own)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in pieces of about ``most`` bytes of text (a longer text is a piece of its own)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        at = (np.cumsum(size, dtype=np.int64) - 1) // SLICE_BYTES
+        at = (np.cumsum(size, dtype=np.int64) - 1) // most
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield batch.slice(lo, hi - lo)

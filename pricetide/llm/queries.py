@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, mixing, packing
+from . import huffman, mixing, ngram_join, packing
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,12 +25,18 @@ def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digests(spark, folder)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op5_huffman_ids": op5_huffman_ids,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(),
+    "op6_ngram_jaccard_join": ngram_join.oracle_sql(),
 }
