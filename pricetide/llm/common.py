@@ -188,25 +188,38 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix64((total[end] - total[start]) * _POW_INV[start] + (end - start).astype(np.uint64))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, start and end of each word in them, and the words before each text.
-
-    Words are runs between ASCII white space; none crosses two texts.
-    """
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and where each text's begin (one more entry than texts)."""
     texts = strings(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[:len(texts) + 1]
     held = texts.buffers()[2]
-    data = np.frombuffer(held, np.uint8)[:offsets[-1]] if held is not None else np.zeros(0, np.uint8)
-    black = np.ones(len(data) + 2, bool)
-    black[0] = black[-1] = False
-    black[1:-1] = (data != 32) & ((data < 9) | (data > 13))
-    first = black[1:-1] & ~black[:-2]
-    last = black[1:-1] & ~black[2:]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    first[inner] = black[1:-1][inner]
-    last[inner - 1] = black[1:-1][inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.frombuffer(held, np.uint8)[:offsets[-1]] if held is not None else np.zeros(0, np.uint8), offsets
+
+
+def runs_of(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of equal, non-zero ``kind``; none crosses the offsets (where texts begin)."""
+    edge = np.ones(len(kind) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    full = kind[start] != 0 if len(start) else np.zeros(0, bool)
+    return start[full], end[full]
+
+
+#: 1 for bytes that are not ASCII white space.
+BLACK = np.ones(256, np.uint8)
+BLACK[[32, *range(9, 14)]] = 0
+
+
+def words_of(texts: pa.Array, kind: np.ndarray = BLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, start and end of each word in them, and the words before each text.
+
+    Words are runs of bytes of one non-zero ``kind``, by default between ASCII
+    white space; none crosses two texts.
+    """
+    data, offsets = bytes_of(texts)
+    start, end = runs_of(kind[data], offsets)
     return data, start, end, np.searchsorted(start, offsets)
 
 

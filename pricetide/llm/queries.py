@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, mixing, ngram_join, packing
+from . import huffman, mixing, ngram_join, packing, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,11 +29,16 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_toxicity_chain": op9_toxicity_chain,
 }
 
 ORACLE: dict[str, str] = {
