@@ -1,4 +1,10 @@
-"""Corpus pipeline over ``documents``: each stage applies one training-data operator to all that the one before kept."""
+"""Corpus pipeline over ``documents``: each stage applies one training-data operator to all that the one before kept.
+
+toxicity (rejected documents go) -> n-gram Jaccard join (one document of each
+class stays) -> secret scan (secrets are masked) -> mixing to target weights
+(documents stand as often as the mix takes them) -> best-fit packing. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +13,46 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import packing
+from pricetide.llm import mixing, ngram_join, packing, secret_scan, toxicity
 from pricetide.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labelled among ``docs``, doesn't reject."""
+    return toxicity.without_toxic(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked ones: that with the smallest id."""
+    return ngram_join.one_of_each(spark, docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; found secrets are replaced in their texts."""
+    return secret_scan.without_secrets(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(spark, docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix with their place in sequences of 2048 tokens."""
     return packing.pack(spark, docs, WORD_BPE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
 
-#: The stages train models and sample by key; SQL can't express them.
+#: The stages train models and pack by a program; SQL can't express them.
 ORACLE_SQL = None
 
 

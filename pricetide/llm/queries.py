@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, mixing, ngram_join, packing, toxicity
+from . import huffman, mixing, ngram_join, packing, secret_scan, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,12 +33,17 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_toxicity_chain": op9_toxicity_chain,
+    "op10_secret_crf": op10_secret_crf,
 }
 
 ORACLE: dict[str, str] = {
