@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, mixing, ngram_join, packing, secret_scan, toxicity
+from . import huffman, mixing, ngram_join, packing, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'token-ids').base}/corpus"
     huffman.write_ids(spark, table(spark, sf_dir, "documents"), WORD_BPE, folder)
@@ -40,6 +44,7 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
+    "op3_maxscore_topk": op3_maxscore_topk,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_toxicity_chain": op9_toxicity_chain,
@@ -48,5 +53,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(),
+    "op3_maxscore_topk": topk.oracle_sql(),
     "op6_ngram_jaccard_join": ngram_join.oracle_sql(),
 }
