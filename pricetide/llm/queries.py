@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, mixing, ngram_join, packing, secret_scan, topk, toxicity
+from . import hnsw, huffman, mixing, ngram_join, packing, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_maxscore_topk": op3_maxscore_topk,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_secret_crf": op10_secret_crf,
 }
@@ -55,4 +60,5 @@ ORACLE: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(),
     "op3_maxscore_topk": topk.oracle_sql(),
     "op6_ngram_jaccard_join": ngram_join.oracle_sql(),
+    "op8_hnsw_near_dedup": hnsw.oracle_sql(),
 }
