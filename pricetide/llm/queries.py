@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, huffman, mixing, ngram_join, packing, secret_scan, topk, toxicity
+from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(spark, table(spark, sf_dir, "documents"), good)
+
+
 def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'token-ids').base}/corpus"
     huffman.write_ids(spark, table(spark, sf_dir, "documents"), WORD_BPE, folder)
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op3_maxscore_topk": op3_maxscore_topk,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
