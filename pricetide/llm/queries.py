@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, secret_scan, topk, toxicity
+from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, pii, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_secret_crf": op10_secret_crf,
