@@ -48,7 +48,7 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int
     """(bands, rows): the longest rows that reach the recall at the threshold with so many hashes."""
     best = None
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-threshold ** rows)) if threshold < 1 else 1
         if bands * rows <= hashes:
             best = (bands, rows)
     if best is None:
