@@ -26,8 +26,7 @@ HEADLINE = [
     "inventory_item",          # D1 live price per product
     "item_factors",            # every factor of D1
     "dynamic_cart",            # D4 live cart with stock
-    "category_totals_closure",  # D5 roll-up, closure form
-    "category_totals",         # D5 roll-up, recursive form
+    "category_totals",         # D5 roll-up
     "cart_snapshot",           # D6 cart page records
     "high_demand",             # A5/A6
     "popularity_score",        # W1 exact rank via histogram

@@ -1,22 +1,22 @@
 """Recursive category roll-up of the cart (``category_totals``).
 
-Two forms that must agree:
-
-* :func:`category_totals` — the reference's shape: a recursive CTE that bubbles
-  each category's *direct* totals up to every ancestor (Spark ``WITH RECURSIVE``);
-* :func:`category_totals_closure` — the scale form: the recursion runs only over
-  the category tree to get (node, ancestor) pairs, then the cart's per-category
-  totals are joined to it once and aggregated per ancestor.
-
-In both, the cart is reduced to one row per category *before* the recursion,
-so the recursive part never touches cart rows.
+The cart is reduced to one row per category, the category tree to its
+(node, ancestor) pairs, and the two are joined once and summed per ancestor. The
+pairs are built by doubling: after k steps every node knows its ancestors up
+to 2^k - 1 levels up and the one 2^k levels up, each step a join written to the
+shared folder, until no node has one that far up. Depth and size of the tree are
+not limited; a parent cycle shows as a node that is its own ancestor.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.session import scratch_path
+
 TOTAL_TYPE = "decimal(38,10)"
 # Fixed values of the synthetic rows: id offset and name of the 'Other' bucket.
 OTHER_OFFSET = 1000
@@ -39,32 +39,38 @@ def has_children(categories: DataFrame) -> DataFrame:
             .select("category_id", F.col("_pid").isNotNull().alias("has_subcategory")))
 
 
-def ancestor_closure(categories: DataFrame, max_depth: int = 100) -> DataFrame:
+def ancestor_closure(categories: DataFrame) -> DataFrame:
     """(category_id, ancestor_id, depth) for every node and each of its ancestors (itself at 0).
 
-    A parent cycle would recurse forever; it is stopped at ``max_depth`` and
-    raises an error naming a node on the cycle when the result is computed.
+    Raises ValueError naming a category on a parent cycle.
     """
     spark = categories.sparkSession
-    cats = categories.select("category_id", "parent_id")
-    closure = spark.sql(
-        """
-        WITH RECURSIVE anc(category_id, ancestor_id, depth) AS (
-          SELECT category_id, category_id, 0 FROM {cats}
-          UNION ALL
-          SELECT a.category_id, c.parent_id, a.depth + 1
-          FROM anc a JOIN {cats} c ON a.ancestor_id = c.category_id
-          WHERE c.parent_id IS NOT NULL AND a.depth < {max_depth}
-        )
-        SELECT category_id, ancestor_id, depth FROM anc
-        """, cats=cats, max_depth=int(max_depth))
-    # The guard is a filter (not a projected column) so that it survives column pruning.
-    guard = F.when(F.col("depth") >= max_depth,
-                   F.raise_error(F.concat(F.lit("category parent cycle (or depth > "),
-                                          F.lit(str(max_depth)), F.lit(") at category "),
-                                          F.col("category_id").cast("string"))).cast("boolean")
-                   ).otherwise(F.lit(True))
-    return closure.filter(guard)
+    base = scratch_path(spark, f"closure-{uuid.uuid4().hex}")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    known = written(categories.select("category_id", F.col("category_id").alias("ancestor_id"),
+                                      F.lit(0).alias("depth")), "known0")
+    jump = written(categories.where("parent_id IS NOT NULL")
+                   .select("category_id", F.col("parent_id").alias("up")), "jump0")
+    step = 1
+    while jump.head(1):
+        above = known.select(F.col("category_id").alias("up"), F.col("ancestor_id"), (F.col("depth") + step).alias("depth"))
+        farther = jump.join(above, "up").select("category_id", "ancestor_id", "depth")
+        # a parent outside the table is an ancestor without ancestors of its own
+        outside = jump.join(known.select(F.col("category_id").alias("up")).distinct(), "up", "left_anti")
+        farther = farther.unionByName(outside.select("category_id", F.col("up").alias("ancestor_id"),
+                                                     F.lit(step).alias("depth")))
+        known = written(known.unionByName(farther), f"known{step}")
+        on_cycle = known.where("category_id = ancestor_id AND depth > 0").select("category_id").head(1)
+        if on_cycle:
+            raise ValueError(f"category parent cycle at category {on_cycle[0][0]}")
+        jump = written(jump.join(jump.select(F.col("category_id").alias("up"), F.col("up").alias("next")), "up")
+                       .select("category_id", F.col("next").alias("up")), f"jump{step}")
+        step *= 2
+    return known
 
 
 def _other_rows(direct: DataFrame, has_sub: DataFrame, categories: DataFrame,
@@ -98,27 +104,6 @@ def _finish(rolled: DataFrame, direct: DataFrame, categories: DataFrame,
     return main.unionByName(_other_rows(direct, has_sub, categories, other_offset))
 
 
-def category_totals(categories: DataFrame, cart_view: DataFrame, *,
-                    other_offset: int = OTHER_OFFSET) -> DataFrame:
-    """Recursive form: WITH RECURSIVE bubbles direct totals to every ancestor."""
-    spark: SparkSession = categories.sparkSession
-    direct = direct_totals(cart_view)
-    cats = categories.select("category_id", "parent_id")
-    rolled = spark.sql(
-        """
-        WITH RECURSIVE rollup(category_id, total, item_count) AS (
-          SELECT category_id, total, item_count FROM {direct}
-          UNION ALL
-          SELECT c.parent_id, r.total, r.item_count
-          FROM rollup r JOIN {cats} c ON r.category_id = c.category_id
-          WHERE c.parent_id IS NOT NULL
-        )
-        SELECT category_id, SUM(total) AS total, SUM(item_count) AS item_count
-        FROM rollup GROUP BY category_id HAVING SUM(item_count) > 0
-        """, direct=direct, cats=cats)
-    return _finish(rolled, direct, categories, other_offset)
-
-
 def rollup_tree(closure: DataFrame, measures: DataFrame) -> DataFrame:
     """Sum per-node measures (category_id, total, item_count) into every ancestor."""
     return (measures.join(closure.select("category_id", "ancestor_id"), "category_id")
@@ -127,9 +112,8 @@ def rollup_tree(closure: DataFrame, measures: DataFrame) -> DataFrame:
             .filter(F.col("item_count") > 0))
 
 
-def category_totals_closure(categories: DataFrame, cart_view: DataFrame, *,
-                            other_offset: int = OTHER_OFFSET, max_depth: int = 100) -> DataFrame:
-    """Closure form: recurse over the tree only, then one join and one aggregate."""
+def category_totals(categories: DataFrame, cart_view: DataFrame, *,
+                    other_offset: int = OTHER_OFFSET) -> DataFrame:
+    """Totals of every category with lines below it, and the synthetic ``Other`` rows of direct lines."""
     direct = direct_totals(cart_view)
-    closure = ancestor_closure(categories, max_depth)
-    return _finish(rollup_tree(closure, direct), direct, categories, other_offset)
+    return _finish(rollup_tree(ancestor_closure(categories), direct), direct, categories, other_offset)

@@ -7,8 +7,9 @@ Scale rules used throughout:
 * time windows are evaluated per (group, time bucket) with the previous
   bucket's rows as read-only neighbours, so a hot source costs one bucket of
   rows per task, not its whole history;
-* "carry the last value forward" is a two-level scan: last value per bucket,
-  carried across buckets, then inside each bucket.
+* "carry the last value forward" is a two-level scan: last value per range of
+  time (ranges of about equally many rows), carried across ranges, then inside
+  each range.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import factors as fx
-from pricetide.operators.ordering import running_sum
+from pricetide.operators.ordering import range_bounds, range_of, running_sum
 
 EPOCH = "1970-01-01 00:00:00"
 # Fixed values of the reference's metrics: QPS window 1 s, history 3 min,
@@ -41,28 +42,52 @@ def micros(ts) -> Column:
 
 # --------------------------------------------------------------------------- order statistics
 
-def values_at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict) -> DataFrame:
-    """Per group: n and, for each ``name -> f(n)``, the value at 1-based ascending rank f(n).
+def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group, the distinct non-NULL values with their count ``_c`` and the running count ``_cum``.
 
-    Built on the histogram (group, value) -> count and a running count over
-    the *distinct* values, so a group's cost is its number of distinct values.
+    The running count is taken over ranges of values, so a group that holds
+    every row, all of them distinct, is still spread over all tasks.
     """
     by = list(by)
     hist = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
             .agg(F.count(F.lit(1)).alias("_c")))
+    return running_sum(hist, value, "_c", "_cum", by=by)
+
+
+def _at_ranks(cum: DataFrame, by: Sequence[str], value: str, ranks: dict, *more: Column) -> DataFrame:
+    """Per group: n, ``more`` aggregates of a :func:`histogram`, and the values at the 1-based ranks ``f(n)``.
+
+    Which values stand at the ranks is decided on (group, n) joined back to the
+    histogram: two aggregates of it, both partial before their shuffle.
+    """
+    by = list(by)
+    totals = cum.groupBy(*by).agg(F.max("_cum").alias("n"), *more)
+    names = [F.col(c).alias(f"_by_{c}") for c in by]
+    sized = cum.select(value, "_c", "_cum", *names)
     if by:
-        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        sized = sized.join(totals.select(*by, "n"), same)
     else:
-        # one global group: running count over range partitions of the distinct values
-        total = hist.agg(F.sum("_c").alias("_n"))          # one row
-        cum = running_sum(hist, [F.col(value)], "_c", "_cum").crossJoin(F.broadcast(total))
-    cum = cum.withColumn("_prev", F.col("_cum") - F.col("_c"))
-    aggs = []
+        sized = sized.crossJoin(F.broadcast(totals.select("n")))       # one row
+    found = []
     for name, f in ranks.items():
-        r = f(F.col("_n"))
-        aggs.append(F.max(F.when((F.col("_prev") < r) & (F.col("_cum") >= r), F.col(value))).alias(name))
-    return cum.groupBy(*by).agg(F.max("_n").alias("n"), *aggs)
+        r = f(F.col("n"))
+        hit = (F.col("_cum") - F.col("_c") < r) & (F.col("_cum") >= r)
+        found.append(F.max(F.when(hit, F.col(value))).alias(name))
+    picked = sized.groupBy(*[f"_by_{c}" for c in by]).agg(*found)
+    if not by:
+        return totals.crossJoin(F.broadcast(picked))                   # one row each
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return totals.join(picked, same).drop(*[f"_by_{c}" for c in by])
+
+
+def values_at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict) -> DataFrame:
+    """Per group: n and, for each ``name -> f(n)``, the value at 1-based ascending rank f(n)."""
+    return _at_ranks(histogram(df, by, value), by, value, ranks)
 
 
 def p99_rank(n: Column) -> Column:
@@ -75,18 +100,17 @@ def sample_stats(df: DataFrame, by: Sequence[str], value: str, *, decimals: int
     """n, max, mean and p99 per group; p99 is the max below 100 samples.
 
     ``decimals`` sums the values as exact decimals of that scale before the one
-    division of the mean (the values must carry no more digits).
+    division of the mean (the values must carry no more digits). All four come
+    from one histogram; a group without any non-NULL value has no row.
     """
-    by = list(by)
     v = F.col(value)
-    s = F.sum(v.cast(f"decimal(38,{decimals})")).cast("double") if decimals is not None else F.sum(v)
-    base = df.groupBy(*by).agg(F.max(v).alias(f"{prefix}max"),
-                               (s / F.count(v)).alias(f"{prefix}mean"))
-    p = values_at_ranks(df, by, value, {"_p99": p99_rank})
-    j = base.join(p, by) if by else base.crossJoin(p)
-    return j.select(*by, "n", f"{prefix}max", f"{prefix}mean",
-                    F.when(F.col("n") >= P99_MIN_SAMPLES, F.col("_p99"))
-                    .otherwise(F.col(f"{prefix}max")).alias(f"{prefix}p99"))
+    exact = v.cast(f"decimal(28,{decimals})") if decimals is not None else v
+    total = F.sum((exact * F.col("_c")).cast(f"decimal(38,{decimals})") if decimals is not None else exact * F.col("_c"))
+    stats = _at_ranks(histogram(df, by, value), by, value, {"_p99": p99_rank},
+                      F.max(v).alias(f"{prefix}max"), (total.cast("double") / F.sum("_c")).alias(f"{prefix}mean"))
+    return stats.select(*by, "n", f"{prefix}max", f"{prefix}mean",
+                        F.when(F.col("n") >= P99_MIN_SAMPLES, F.col("_p99"))
+                        .otherwise(F.col(f"{prefix}max")).alias(f"{prefix}p99"))
 
 
 def median_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -148,44 +172,52 @@ def history_window(df: DataFrame, ts: str = "ts", span: str = HISTORY) -> DataFr
             .drop("_newest"))
 
 
-def _bucketed(df: DataFrame, order: str, bucket_s: int) -> DataFrame:
-    return df.withColumn("_m", micros(order)).withColumn("_b", F.floor(F.col("_m") / (bucket_s * 1_000_000)))
+def _ranged(df: DataFrame, order: str, partitions: int | None) -> DataFrame:
+    """``_m``: the order in microseconds; ``_b``: its range, about equally many rows each whatever the rate."""
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = df.withColumn("_m", micros(order))
+    return t.withColumn("_b", range_of("_m", range_bounds(t.select("_m"), "_m", n)))
+
+
+def _last_before(t: DataFrame, by: Sequence[str], key: Column, value: Column) -> DataFrame:
+    """Per (group, range): the last non-NULL ``value`` of all earlier ranges of the group, as ``_carry``."""
+    last = t.groupBy(*by, "_b").agg(F.max(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))).alias("_v"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_b").alias("_at"),
+                       F.last("_v.v", ignorenulls=True).over(before).alias("_carry"))
+
+
+def _with_carry(t: DataFrame, by: Sequence[str], carry: DataFrame) -> DataFrame:
+    same = F.col("_b") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return t.join(carry, same)
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], order: str, value: str, out: str,
-                  tie: Sequence[str] = (), bucket_s: int = 3600) -> DataFrame:
+                  tie: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """``last(value) IGNORE NULLS`` up to each row, per group, in (order, tie) order."""
     by, tie = list(by), list(tie)
-    cols = df.columns
-    t = _bucketed(df, order, bucket_s)
-    key = F.struct("_m", *tie)
-    nn = (t.filter(F.col(value).isNotNull()).groupBy(*by, "_b")
-          .agg(F.max_by(F.col(value), key).alias("_v")))
-    buckets = t.select(*by, "_b").distinct().join(nn, [*by, "_b"], "left")
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(*by, "_b", F.last("_v", ignorenulls=True).over(wb).alias("_carry"))
+    t = _ranged(df, order, partitions)
+    carry = _last_before(t, by, F.struct("_m", *tie), F.col(value))
     wi = (Window.partitionBy(*by, "_b").orderBy("_m", *tie)
           .rowsBetween(Window.unboundedPreceding, 0))
-    return (t.join(carry, [*by, "_b"])
+    return (_with_carry(t, by, carry)
             .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(wi), F.col("_carry")))
-            .select(*cols, out))
+            .select(*df.columns, out))
 
 
 def previous_value(df: DataFrame, by: Sequence[str], order: str, value: str, out: str,
-                   tie: Sequence[str] = (), bucket_s: int = 3600) -> DataFrame:
-    """``lag(value)`` per group in (order, tie) order, evaluated bucket by bucket."""
+                   tie: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` per group in (order, tie) order, evaluated range by range."""
     by, tie = list(by), list(tie)
-    cols = df.columns
-    t = _bucketed(df, order, bucket_s)
-    key = F.struct("_m", *tie)
-    last_in = t.groupBy(*by, "_b").agg(F.max_by(F.col(value), key).alias("_v"))
-    wb = Window.partitionBy(*by).orderBy("_b")
-    carry = last_in.select(*by, "_b", F.lag("_v").over(wb).alias("_carry"))
+    t = _ranged(df, order, partitions)
+    carry = _last_before(t, by, F.struct("_m", *tie), F.struct(F.col(value).alias("x")))   # a NULL value counts as well
     wi = Window.partitionBy(*by, "_b").orderBy("_m", *tie)
-    return (t.join(carry, [*by, "_b"])
+    return (_with_carry(t, by, carry)
             .withColumn("_rn", F.row_number().over(wi))
-            .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.lag(value).over(wi)))
-            .select(*cols, out))
+            .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry.x")).otherwise(F.lag(value).over(wi)))
+            .select(*df.columns, out))
 
 
 def price_changed(df: DataFrame, by: Sequence[str] = ("source",), order: str = "ts", value: str = "price",
@@ -287,12 +319,9 @@ def to_gb(samples: DataFrame, limits: DataFrame, pct_col: str = "memory_pct", by
 def resource_stats(samples: DataFrame, by: str = "service", measures: Sequence[str] = ("cpu_pct", "memory_pct"),
                    order: Sequence[str] = ("ts",), decimals: int | None = None) -> DataFrame:
     """Per service and measure: last reading, max, mean, p99."""
-    out = None
+    out = samples.groupBy(by).agg(*[F.max_by(F.col(m), F.struct(*order)).alias(f"{m}_last") for m in measures])
     for m in measures:
-        last = samples.groupBy(by).agg(F.max_by(F.col(m), F.struct(*order)).alias(f"{m}_last"))
-        st = sample_stats(samples, [by], m, decimals=decimals, prefix=f"{m}_").drop("n")
-        part = last.join(st, by)
-        out = part if out is None else out.join(part, by)
+        out = out.join(sample_stats(samples, [by], m, decimals=decimals, prefix=f"{m}_").drop("n"), by, "left")
     return out
 
 

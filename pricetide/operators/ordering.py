@@ -1,10 +1,12 @@
 """Whole-table order without a single-partition window.
 
 ``ROW_NUMBER() OVER (ORDER BY ..)`` and ``SUM(..) OVER (ORDER BY ..)`` with no
-PARTITION BY move every row into one task. Here the rows are range
-partitioned on the order, each partition is numbered (or summed) on its own,
-and a partition's offset is the sum over the partitions before it — one row
-per partition, the only data that is broadcast.
+PARTITION BY (or with one very large partition) move every row into one task.
+Here the first order column is cut into ranges at fixed bounds: its quantiles,
+computed once and used as literals. Every row finds its range from its own
+value, so whatever a plan prunes, reuses or runs again, a row is always in the
+same range. Ranges are numbered (or summed) on their own; a range's offset is
+the sum over the ranges before it, one row per range.
 """
 
 from __future__ import annotations
@@ -13,38 +15,78 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Accuracy of the quantiles per range: a range holds its share of rows up to about a hundredth.
+_ACCURACY = 100
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
+
+def range_bounds(df: DataFrame, value: str, n: int) -> list:
+    """At most ``n - 1`` ascending values that cut ``df`` into ranges of about equal size.
+
+    Quantiles for numbers, dates and timestamps (one row is collected); for
+    other types the largest value of each of ``n`` range partitions.
+    """
+    if n < 2:
+        return []
+    if not isinstance(df.schema[value].dataType, (T.NumericType, T.DatetimeType)):
+        top = (df.select(F.col(value).alias("v")).repartitionByRange(n, "v").groupBy(F.spark_partition_id())
+               .agg(F.max("v").alias("v")).where("v IS NOT NULL").collect())       # at most n rows
+        return sorted({r["v"] for r in top})[:-1]
+    shares = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(value, shares, _ACCURACY * n).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def range_of(value: str, bounds: Sequence) -> Column:
+    """Number of bounds below the value: 0 for the first range (and for NULL), len(bounds) for the last."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*[F.lit(b) for b in bounds])
+    return F.size(F.filter(listed, lambda b: b < F.col(value)))
+
+
+def _ranges(df: DataFrame, partitions: int | None) -> int:
     return int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def global_position(df: DataFrame, order: Sequence[str], *, partitions: int | None = None,
                     out: str = "position") -> DataFrame:
     """1-based position of each row in ``order`` (which must be a total order, e.g. a key)."""
-    n = _partitions(df, partitions)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")      # one row per partition
-            .withColumn(out, F.col("_off") + local + 1)
-            .drop("_pid", "_mid", "_off"))
-
-
-def running_sum(df: DataFrame, order: Sequence[Column], weight: str, out: str, *,
-                partitions: int | None = None) -> DataFrame:
-    """Inclusive running SUM(weight) in ``order`` over the whole frame (ties: each row its own step)."""
-    n = _partitions(df, partitions)
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    w_local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_local", F.sum(weight).over(w_local))
-    totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")       # one row per partition
+    order = list(order)
+    bounds = range_bounds(df, order[0], _ranges(df, partitions))
+    ranged = df.withColumn("_range", range_of(order[0], bounds))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return (ranged.withColumn("_nth", F.row_number().over(inside))
+            .join(F.broadcast(offsets), "_range")                # one row per range
+            .withColumn(out, F.col("_off") + F.col("_nth"))
+            .drop("_range", "_nth", "_off"))
+
+
+def running_sum(df: DataFrame, value: str, weight: str, out: str, *, by: Sequence[str] = (),
+                descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """Inclusive running SUM(weight) in the order of ``value``, for each group of ``by`` (ties: each row its own step).
+
+    A group is cut into ranges too, so one that holds all rows is still spread over all tasks.
+    """
+    by = list(by)
+    bounds = range_bounds(df, value, _ranges(df, partitions))
+    place = range_of(value, bounds)
+    ranged = df.withColumn("_range", F.lit(len(bounds)) - place if descending else place)
+    step = F.col(value).desc() if descending else F.col(value).asc()
+    inside = Window.partitionBy(*by, "_range").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_tot"))
+    offsets = totals.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_at"),
+                            F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    if not by:
+        offsets = F.broadcast(offsets)                           # one row per range
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return (ranged.withColumn("_local", F.sum(weight).over(inside)).join(offsets, same)
             .withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_local", "_off"))
+            .drop("_range", "_at", "_local", "_off", *[f"_of_{c}" for c in by]))

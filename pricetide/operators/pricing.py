@@ -63,7 +63,7 @@ def rank_desc(df: DataFrame, value: str, partition_cols: Sequence[str] = (),
                             (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias(rank_col))
     else:
         # global rank: running sum over range partitions of the distinct values
-        run = running_sum(hist, [F.col(value).desc()], "_n", "_cum")
+        run = running_sum(hist, value, "_n", "_cum", descending=True)
         ranks = run.select(value, (F.col("_cum") - F.col("_n") + 1).alias(rank_col))
     return df.join(ranks, on=[*pcols, value], how="left")
 
@@ -153,17 +153,6 @@ def stock_bands(inventory: DataFrame) -> DataFrame:
         .alias("stock_adjustment"))
 
 
-def popularity_bands(pop_counts: DataFrame) -> DataFrame:
-    """Adds ``popularity_adjustment`` to (product_id, category_id, sale_count, ...)."""
-    ks = [edge for edge, _ in fx.POPULARITY_BANDS]
-    th = kth_largest(pop_counts, "sale_count", ks, ["category_id"])
-    return pop_counts.join(th, "category_id").withColumn(
-        "popularity_adjustment",
-        fx.band_by_threshold("sale_count", [f"t{k}" for k in ks],
-                             [f for _, f in fx.POPULARITY_BANDS], fx.POPULARITY_OTHERWISE),
-    ).drop(*[f"t{k}" for k in ks])
-
-
 def high_demand(products: DataFrame, sales: DataFrame,
                 counts: DataFrame | None = None) -> DataFrame:
     """Products sold more often than the mean per-product count, with their mean paid price."""

@@ -122,9 +122,8 @@ def _cart(t, dedupe_stock=False):
                                 dedupe_stock=dedupe_stock)
 
 
-def _totals(t, closure=True):
-    fn = hierarchy.category_totals_closure if closure else hierarchy.category_totals
-    return fn(t.categories, _cart(t), other_offset=OTHER_OFFSET_FIXTURE)
+def _totals(t):
+    return hierarchy.category_totals(t.categories, _cart(t), other_offset=OTHER_OFFSET_FIXTURE)
 
 
 @query("dynamic_cart", carted(
@@ -182,12 +181,12 @@ _CT_COLS = "category_id, parent_id, has_subcategory, category_name, total, item_
 
 @query("category_totals", totaled(f"SELECT {_CT_COLS} FROM category_totals"))
 def q_category_totals(spark, d):
-    return _totals(retail_tables(spark, d), closure=False)
+    return _totals(retail_tables(spark, d))
 
 
 @query("category_totals_closure", totaled(f"SELECT {_CT_COLS} FROM category_totals"))
 def q_category_totals_closure(spark, d):
-    return _totals(retail_tables(spark, d), closure=True)
+    return _totals(retail_tables(spark, d))
 
 
 @query("ancestor_closure", with_tables("""

@@ -362,7 +362,7 @@ def cart_views(categories: DataFrame, other_offset: int):
     def views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
         dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, cur["inventory_item"], None,
                                   stock=aggs["stock"])
-        totals = hierarchy.category_totals_closure(categories, dc, other_offset=other_offset)
+        totals = hierarchy.category_totals(categories, dc, other_offset=other_offset)
         return {"dynamic_cart": io.describe_view(dc, "dynamic_cart"),
                 "category_totals": io.describe_view(totals, "category_totals")}
 

@@ -128,7 +128,7 @@ def main(argv):
     from pricetide.session import build_session
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:] or list(QUERIES)
-    spark = build_session()
+    spark = build_session(shuffle_partitions=int(os.environ.get("ORACLE_PARTITIONS", "8")))
     con = duck_connect(sf_dir)
     bad = 0
     for k in keys:

@@ -173,11 +173,9 @@ def _cart_view(spark, rows):
         "price decimal(20,6), available_stock bigint")
 
 
-@pytest.mark.parametrize("closure", [True, False])
-def test_category_totals_tree(spark, closure):
+def test_category_totals_tree(spark):
     view = _cart_view(spark, [(1, 10, "2.5"), (2, 20, "4"), (3, 20, "1")])
-    fn = hierarchy.category_totals_closure if closure else hierarchy.category_totals
-    rows = {r["category_id"]: r for r in fn(_tree(spark), view).collect()}
+    rows = {r["category_id"]: r for r in hierarchy.category_totals(_tree(spark), view).collect()}
     assert set(rows) == {1, 10, 20, 1010}                      # 30 has nothing below: absent
     assert rows[1]["total"] == Decimal("7.5") and rows[1]["item_count"] == 3
     assert rows[10]["total"] == Decimal("7.5") and rows[10]["has_subcategory"]
@@ -191,19 +189,42 @@ def test_category_cycle_is_reported(spark):
     cats = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], schemas.CATEGORIES)
     view = _cart_view(spark, [(1, 1, "1")])
     with pytest.raises(Exception, match="cycle"):
-        hierarchy.category_totals_closure(cats, view, max_depth=10).collect()
+        hierarchy.category_totals(cats, view).collect()
+
+
+def test_closure_of_a_deep_chain_and_a_cycle_below_it(spark):
+    chain = spark.range(1, 151).selectExpr("id AS category_id", "CAST(id AS STRING) AS category_name",
+                                           "CASE WHEN id > 1 THEN id - 1 END AS parent_id")
+    got = {(r.category_id, r.ancestor_id): r.depth for r in hierarchy.ancestor_closure(chain).collect()}
+    assert got == {(c, a): c - a for c in range(1, 151) for a in range(1, c + 1)}
+    total = hierarchy.category_totals(chain, _cart_view(spark, [(1, 150, "2"), (2, 75, "3")])).where("category_id = 1")
+    assert total.first()["total"] == Decimal("5")
+    tail = chain.selectExpr("category_id", "category_name", "CASE WHEN category_id = 1 THEN 40 ELSE parent_id END AS parent_id")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.ancestor_closure(tail)
+
+
+def test_closure_above_a_million_pairs(spark):
+    """16,384 leaves in a binary tree below a chain of 60: more pairs than the engine's recursion allows rows."""
+    nodes = spark.range(1, 32768).selectExpr("id + 60 AS category_id", "CAST(id AS STRING) AS category_name",
+                                             "CASE WHEN id = 1 THEN 60 ELSE id DIV 2 + 60 END AS parent_id")
+    chain = spark.range(1, 61).selectExpr("id AS category_id", "CAST(id AS STRING) AS category_name",
+                                          "CASE WHEN id > 1 THEN id - 1 END AS parent_id")
+    got = hierarchy.ancestor_closure(chain.unionByName(nodes))
+    want = 60 * 61 // 2 + sum(2 ** k * (k + 61) for k in range(15))
+    assert got.count() == want > 2_000_000 and got.agg(F.max("depth")).first()[0] == 74
 
 
 def test_other_id_collision_raises(spark):
     cats = spark.createDataFrame([(1, "root", None), (2, "child", 1), (1001, "clash", 2)], schemas.CATEGORIES)
     view = _cart_view(spark, [(1, 1, "1"), (2, 2, "1")])
     with pytest.raises(Exception, match="collides"):
-        hierarchy.category_totals_closure(cats, view).collect()
+        hierarchy.category_totals(cats, view).collect()
 
 
 def test_expanded_filter(spark):
     view = _cart_view(spark, [(1, 10, "2.5"), (2, 20, "4")])
-    totals = hierarchy.category_totals_closure(_tree(spark), view)
+    totals = hierarchy.category_totals(_tree(spark), view)
     ids = lambda e: sorted(r["category_id"] for r in cartops.category_subtotals(totals, e).collect())
     assert ids([]) == [1]
     assert ids([999]) == [1]

@@ -24,7 +24,7 @@ def views(spark):
     factors = pricing.item_factors(t.products, t.sales, t.promotions, t.inventory)
     items = pricing.live_price_of(factors)
     dc = cartops.dynamic_cart(t.shopping_cart, t.products, t.categories, items, t.inventory)
-    totals = hierarchy.category_totals_closure(t.categories, dc, other_offset=10000)
+    totals = hierarchy.category_totals(t.categories, dc, other_offset=10000)
     return t, factors, items, dc, totals
 
 

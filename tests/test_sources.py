@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricetide import schemas
@@ -153,3 +154,37 @@ def test_view_comments_attached(spark):
     df = io.describe_view(QUERIES["inventory_item"](spark, "/root/testdata/sf0.001"), "inventory_item")
     assert "live price" in df.schema["live_price"].metadata["comment"].lower() or \
         "price" in df.schema["live_price"].metadata["comment"].lower()
+
+
+@pytest.mark.parametrize("partitions", [4, 8])
+def test_positions_are_exact_at_sf01_whatever_is_pruned(spark, partitions):
+    """Positions 1..n with a second column carried; the two uses of the ranges prune different columns."""
+    from pricetide.operators.ordering import global_position
+    from pricetide.sources.testdata import retail_tables
+    products = retail_tables(spark, "/root/testdata/sf0.1").products
+    got = global_position(products.select("product_id", "product_name"), ["product_id"], partitions=partitions)
+    rows = sorted((r.product_id, r.position) for r in got.collect())
+    assert [p for _, p in rows] == list(range(1, len(rows) + 1)) and len(rows) > 19_000
+
+
+def test_replenish_gives_distinct_ids_to_all_products(spark):
+    from pricetide.operators import changes
+    from pricetide.sources.testdata import retail_tables
+    t = retail_tables(spark, "/root/testdata/sf0.1")
+    targets = t.products.select("product_id").selectExpr("product_id", "CAST(product_id % 21 + 5 AS INT) AS stock")
+    got = changes.replenish(t.inventory.where("false"), targets, "2024-02-01 00:00:00")
+    n, distinct = got.selectExpr("count(*)", "count(DISTINCT inventory_id)").first()
+    assert n == distinct > 19_000
+
+
+def test_positions_of_text_and_of_a_running_sum_with_a_hot_group(spark):
+    from pricetide.operators.ordering import global_position, running_sum
+    df = spark.createDataFrame([(f"k{i:05d}", i, "all" if i % 10 else None, 2) for i in range(3000)],
+                               "k string, v int, g string, w int")
+    rows = sorted((r.k, r.position) for r in global_position(df, ["k"], partitions=7).collect())
+    assert [p for _, p in rows] == list(range(1, 3001))
+    for down in (False, True):
+        got = running_sum(df, "v", "w", "s", by=["g"], descending=down, partitions=9).collect()
+        for g in ("all", None):
+            mine = sorted((r for r in got if r.g == g), key=lambda r: -r.v if down else r.v)
+            assert [r.s for r in mine] == [2 * (i + 1) for i in range(len(mine))]
