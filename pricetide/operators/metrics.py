@@ -312,17 +312,24 @@ MEMORY_LIMIT_GB = {"source_db": 4.0, "view_engine": 4.0}
 
 def to_gb(samples: DataFrame, limits: DataFrame, pct_col: str = "memory_pct", by: str = "service") -> DataFrame:
     """Percent of the service's memory limit -> GB (limits: (service, limit_gb), one row per service)."""
-    return (samples.join(F.broadcast(limits), by, "left")
+    return (samples.join(limits, by, "left")
             .withColumn("memory_gb", F.col(pct_col) / 100.0 * F.col("limit_gb")).drop("limit_gb"))
 
 
 def resource_stats(samples: DataFrame, by: str = "service", measures: Sequence[str] = ("cpu_pct", "memory_pct"),
-                   order: Sequence[str] = ("ts",), decimals: int | None = None) -> DataFrame:
-    """Per service and measure: last reading, max, mean, p99."""
-    out = samples.groupBy(by).agg(*[F.max_by(F.col(m), F.struct(*order)).alias(f"{m}_last") for m in measures])
+                   order: Sequence[str] = ("ts",), decimals: int | None = None, as_of=None,
+                   limit_s: float = STALE_RESOURCE_S) -> DataFrame:
+    """Per service and measure: last reading, max, mean, p99.
+
+    With ``as_of``, they are NULL for a service whose newest sample (``last_ts``) is older than ``limit_s``.
+    """
+    out = samples.groupBy(by).agg(*[F.max_by(F.col(m), F.struct(*order)).alias(f"{m}_last") for m in measures],
+                                  F.max(order[0]).alias("last_ts"))
     for m in measures:
         out = out.join(sample_stats(samples, [by], m, decimals=decimals, prefix=f"{m}_").drop("n"), by, "left")
-    return out
+    if as_of is None:
+        return out.drop("last_ts")
+    return gate_stale(out, as_of, "last_ts", [c for c in out.columns if c not in (by, "last_ts")], limit_s)
 
 
 def is_hydrated(status: DataFrame, flag: str = "hydrated") -> DataFrame:
@@ -336,18 +343,46 @@ def any_failed(status: DataFrame, sources: DataFrame, key: str = "source", flag:
     return hit.agg((F.count(F.lit(1)) > 0).alias("any_failed"))
 
 
-def metrics_snapshot(log: DataFrame, items: DataFrame, as_of, *, decimals: int | None = None) -> DataFrame:
-    """One row per source: latency stats, end-to-end stats, current QPS and staleness gate."""
-    lat = latency_stats(log, decimals=decimals)
+def metrics_snapshot(log: DataFrame, items: DataFrame, refreshes: DataFrame, beats: DataFrame, replica_beats: DataFrame,
+                     as_of, *, batch_source: str, live_source: str, window_s: float = QPS_WINDOW_S,
+                     limit_s: float = STALE_S, cap: int = SAMPLE_CAP, decimals: int | None = None) -> DataFrame:
+    """One row per source: last reading, statistics of its newest readings, and how fresh its data is.
+
+    A source's first measurement is skipped. Latencies count while they are in
+    the trailing window of its newest reading, at most the newest ``cap``;
+    end-to-end times are the newest ``cap``. The batch source also has the age,
+    duration and duration statistics of its refreshes (``refreshes``: view_name
+    = source, last_refresh, refresh_duration), the live source the replication
+    lag. Everything but ``last_ts`` is NULL for a source whose newest reading is
+    older than ``limit_s``.
+    """
+    base = skip_warmup(log)
+    order = F.struct("ts", "seq")
+    last = (base.groupBy("source").agg(F.max_by(F.struct("ts", "latency_ms"), order).alias("_l"))
+            .select("source", F.col("_l.ts").alias("last_ts"), F.col("_l.latency_ms").alias("latency_ms")))
+    in_window = F.col("ts") >= F.timestamp_add("MICROSECOND", F.lit(-int(window_s * 1_000_000)), F.col("last_ts"))
+    recent = last_n(base, ["source"], ["ts", "seq"], cap).join(last.select("source", "last_ts"), "source").where(in_window)
+    lat = sample_stats(recent, ["source"], "latency_ms", decimals=decimals).select(
+        "source", "n", F.col("max").alias("max_ms"), F.col("mean").alias("mean_ms"), F.col("p99").alias("p99_ms"))
+    qps = (base.join(last.select("source", "last_ts"), "source").where(in_window)
+           .groupBy("source").agg((F.count(F.lit(1)) / F.lit(float(window_s))).alias("qps")))
+    reads = reaction_time(base, items)
+    now = reads.groupBy("source").agg(F.max_by("end_to_end_ms", order).alias("end_to_end_ms"))
     # end-to-end values are whole microseconds / 1000: exact at 3 decimals
-    e2e = sample_stats(reaction_time(log, items), ["source"], "end_to_end_ms", prefix="e2e_",
+    e2e = sample_stats(last_n(reads, ["source"], ["ts", "seq"], cap), ["source"], "end_to_end_ms", prefix="e2e_",
                        decimals=None if decimals is None else 3).drop("n")
-    q = rolling_qps(log)
-    cur = q.groupBy("source").agg(F.max_by(F.struct("ts", "qps"), F.struct("ts", "seq")).alias("_c"))
-    cur = cur.select("source", F.col("_c.ts").alias("last_ts"), F.col("_c.qps").alias("qps"))
-    snap = lat.join(e2e, "source", "left").join(cur, "source")
-    return gate_stale(snap, as_of, "last_ts",
-                      ["n", "max_ms", "mean_ms", "p99_ms", "e2e_max", "e2e_mean", "e2e_p99", "qps"])
+    price = (base.join(items.where("live_price IS NOT NULL").select("product_id", "live_price"), "product_id")
+             .groupBy("source").agg(F.max_by("live_price", order).alias("price")))
+    mine = refreshes.where(F.col("view_name") == batch_source)
+    age = refresh_age(mine, as_of).select(F.col("view_name").alias("source"), F.col("age_s").alias("refresh_age_s"),
+                                          "refresh_duration")
+    runs = sample_stats(mine, ["view_name"], "refresh_duration", decimals=decimals and decimals + 3, prefix="refresh_") \
+        .drop("n").withColumnRenamed("view_name", "source")
+    lag = heartbeat_lag(beats, replica_beats, as_of).select(F.lit(live_source).alias("source"), "lag_s")
+    snap = last.join(lat, "source")
+    for part in (qps, now, e2e, price, age, runs, lag):
+        snap = snap.join(part, "source", "left")
+    return gate_stale(snap, as_of, "last_ts", [c for c in snap.columns if c not in ("source", "last_ts")], limit_s)
 
 
 def compare_sources(view: DataFrame, batch: DataFrame, live: DataFrame, key: str = "product_id",

@@ -835,13 +835,13 @@ def _latest_reading(t):
 
 
 @query("gate_stale", with_tables("""
-SELECT source, last_ts, CASE WHEN (epoch_us(now_ts) - epoch_us(last_ts)) / 1e6 <= 3600.0 THEN latency_ms END
+SELECT source, last_ts, CASE WHEN (epoch_us(now_ts) - epoch_us(last_ts)) / 1e6 <= 1500.0 THEN latency_ms END
        AS latency_ms, now_ts
 FROM latest""", _LATEST_READING))
 def q_gate_stale(spark, d):
-    # one hour instead of two seconds: the event log is sparse (minutes apart)
+    # 25 minutes instead of two seconds: the event log is sparse, and some sources are older
     return metrics.gate_stale(_latest_reading(retail_tables(spark, d)), F.col("now_ts"), "last_ts",
-                              ["latency_ms"], limit_s=3600.0)
+                              ["latency_ms"], limit_s=1500.0)
 
 
 @query("lag_band", with_tables("""
@@ -883,53 +883,100 @@ def _res_sql(m):
 FROM samples GROUP BY service"""
 
 
-@query("resource_stats", with_tables(f"""
+_RESOURCES = f"""
 WITH samples AS (SELECT source AS service, ts, seq, latency_ms AS cpu_pct, latency_ms / 2 AS memory_pct FROM query_log),
-c AS ({_res_sql('cpu_pct')}), m AS ({_res_sql('memory_pct')})
-SELECT * FROM c JOIN m USING (service)"""))
+c AS ({_res_sql('cpu_pct')}), m AS ({_res_sql('memory_pct')})"""
+
+
+@query("resource_stats", with_tables(f"{_RESOURCES} SELECT * FROM c JOIN m USING (service)"))
 def q_resource_stats(spark, d):
     return metrics.resource_stats(_samples(retail_tables(spark, d)), order=["ts", "seq"], decimals=3)
 
 
+_RES_COLS = [f"{m}_{s}" for m in ("cpu_pct", "memory_pct") for s in ("last", "max", "mean", "p99")]
+
+
+@query("resource_stats_gated", with_tables(f"""{_RESOURCES},
+seen AS (SELECT service, max(ts) AS last_ts, (SELECT max(ts) FROM samples) AS now FROM samples GROUP BY service)
+SELECT service, last_ts, {", ".join(f"if(epoch_us(now) - epoch_us(last_ts) <= 1500e6, {c}, NULL) AS {c}" for c in _RES_COLS)}
+FROM c JOIN m USING (service) JOIN seen USING (service)"""))
+def q_resource_stats_gated(spark, d):
+    samples = _samples(retail_tables(spark, d))
+    now = samples.agg(F.max("ts")).first()[0]
+    return metrics.resource_stats(samples, order=["ts", "seq"], decimals=3, as_of=now, limit_s=1500.0)
+
+
+@query("memory_gb", with_tables("""
+SELECT source AS service, ts, seq, latency_ms AS cpu_pct, latency_ms / 2 AS memory_pct,
+       latency_ms / 2 / 100.0 * n AS memory_gb
+FROM query_log LEFT JOIN (SELECT event AS source, n FROM (VALUES ('view', 4.0::DOUBLE), ('click', 8.0)) v(event, n)) USING (source)"""))
+def q_memory_gb(spark, d):
+    limits = spark.createDataFrame([("view", 4.0), ("click", 8.0)], "service string, limit_gb double")
+    return metrics.to_gb(_samples(retail_tables(spark, d)), limits)
+
+
+@query("any_failed", with_tables("""
+SELECT count(*) > 0 AS any_failed FROM query_log WHERE source IN ('error', 'click') AND latency_ms > 99"""))
+def q_any_failed(spark, d):
+    status = retail_tables(spark, d).query_log.select("source", (F.col("latency_ms") > 99).alias("failed"))
+    wanted = spark.createDataFrame([("error",), ("click",)], "source string")
+    return metrics.any_failed(status, wanted)
+
+
 @query("hydrated", carted("SELECT bool_and(price IS NOT NULL) AS hydrated FROM dynamic_cart"))
 def q_hydrated(spark, d):
     c = _cart(retail_tables(spark, d))
     return metrics.is_hydrated(c.select(F.col("price").isNotNull().alias("hydrated")))
 
 
-_SNAPSHOT = with_tables("""
-WITH lat AS (
-  SELECT source, COUNT(*) AS n, MAX(latency_ms) AS max_ms,
-         CAST(SUM(CAST(latency_ms AS DECIMAL(38,2))) AS DOUBLE) / COUNT(*) AS mean_ms,
-         CASE WHEN COUNT(*) >= 100 THEN list_sort(list(latency_ms))[(COUNT(*) * 99) // 100 + 1]
-              ELSE MAX(latency_ms) END AS p99_ms
-  FROM query_log GROUP BY source),
-e AS (
-  SELECT q.source, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS v
-  FROM query_log q JOIN products p ON q.product_id = p.product_id),
-e2e AS (
-  SELECT source, MAX(v) AS e2e_max, CAST(SUM(CAST(v AS DECIMAL(38,3))) AS DOUBLE) / COUNT(v) AS e2e_mean,
-         CASE WHEN COUNT(v) >= 100 THEN list_sort(list(v))[(COUNT(v) * 99) // 100 + 1] ELSE MAX(v) END AS e2e_p99
-  FROM e GROUP BY source),
-cur AS (
-  SELECT source, ts AS last_ts, n_window / 1.0 AS qps FROM (
-    SELECT *, COUNT(*) OVER (PARTITION BY source ORDER BY ts
-                             RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS n_window
-    FROM query_log) q
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) = 1),
-snap AS (SELECT * FROM lat LEFT JOIN e2e USING (source) JOIN cur USING (source))
-SELECT source,
-       CASE WHEN fresh THEN n END AS n, CASE WHEN fresh THEN max_ms END AS max_ms,
-       CASE WHEN fresh THEN mean_ms END AS mean_ms, CASE WHEN fresh THEN p99_ms END AS p99_ms,
-       CASE WHEN fresh THEN e2e_max END AS e2e_max, CASE WHEN fresh THEN e2e_mean END AS e2e_mean,
-       CASE WHEN fresh THEN e2e_p99 END AS e2e_p99, last_ts, CASE WHEN fresh THEN qps END AS qps
-FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-30 23:59:59') - epoch_us(last_ts)) / 1e6 <= 2.0 AS fresh FROM snap) s""")
-
-
-@query("metrics_snapshot", _SNAPSHOT)
+def _stat_sql(value, scale, prefix):
+    """max, mean and p99 (the max below 100 values) of a column, as three output columns."""
+    return f"""max({value}) AS {prefix}max, sum({value}::DECIMAL(38,{scale}))::DOUBLE / count({value}) AS {prefix}mean,
+       if(count({value}) < 100, max({value}), list_sort(list({value}))[count({value}) * 99 // 100 + 1]) AS {prefix}p99"""
+
+
+# Ages at which the sparse event log has fresh and stale sources, and a window with more than 100 readings.
+_SNAP = {"batch_source": "click", "live_source": "view", "window_s": 172800.0, "limit_s": 1500.0}
+
+
+@query("metrics_snapshot", priced(f"""
+WITH base AS (SELECT * FROM query_log QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts, seq) > 1),
+reads AS (
+  SELECT base.*, (epoch_us(ts) - epoch_us(last_update_time)) / 1e3 AS ms, live_price,
+         row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) AS back
+  FROM base JOIN inventory_item USING (product_id)),
+windowed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) AS back FROM base
+  QUALIFY ts >= max(ts) OVER (PARTITION BY source) - INTERVAL 172800 SECOND),
+lat AS (
+  SELECT source, max(ts) AS last_ts, arg_max(latency_ms, (ts, seq)) AS latency_ms, count(*) AS n,
+         {_stat_sql('latency_ms', 2, 'l_')} FROM windowed WHERE back <= 100 GROUP BY source),
+qps AS (SELECT source, count(*) / 172800.0 AS qps FROM windowed GROUP BY source),
+e2e AS (SELECT source, arg_max(ms, (ts, seq)) AS end_to_end_ms, {_stat_sql('ms', 3, 'e2e_')} FROM reads
+        WHERE back <= 100 GROUP BY source),
+prices AS (SELECT source, arg_max(live_price, (ts, seq)) AS price FROM reads WHERE live_price IS NOT NULL GROUP BY source),
+runs AS (
+  SELECT source, arg_max(latency_ms / 1000.0, (ts, latency_ms)) AS refresh_duration, max(ts) AS refreshed,
+         {_stat_sql('latency_ms / 1000.0', 5, 'refresh_')} FROM query_log WHERE source = 'click' GROUP BY source),
+lag AS (
+  SELECT 'view' AS source, if(max(h.id) > arg_max(r.id, r.ts), (epoch_us(now) - epoch_us(max(r.ts))) / 1e6, 0.0) AS lag_s
+  FROM heartbeats h, replica_heartbeats r, (SELECT max(ts) AS now FROM query_log) GROUP BY now),
+joined AS (
+  SELECT *, max(last_ts) OVER () AS now FROM lat LEFT JOIN qps USING (source) LEFT JOIN e2e USING (source)
+  LEFT JOIN prices USING (source) LEFT JOIN runs USING (source) LEFT JOIN lag USING (source))
+SELECT source, last_ts, {", ".join(f"if(epoch_us(now) - epoch_us(last_ts) <= 1500e6, {v}, NULL) AS {n}" for n, v in (
+    ("latency_ms", "latency_ms"), ("n", "n"), ("max_ms", "l_max"), ("mean_ms", "l_mean"), ("p99_ms", "l_p99"),
+    ("qps", "qps"), ("end_to_end_ms", "end_to_end_ms"), ("e2e_max", "e2e_max"), ("e2e_mean", "e2e_mean"),
+    ("e2e_p99", "e2e_p99"), ("price", "price"),
+    ("refresh_age_s", "(epoch_us(now) - epoch_us(refreshed)) / 1e6"), ("refresh_duration", "refresh_duration"),
+    ("refresh_max", "refresh_max"), ("refresh_mean", "refresh_mean"), ("refresh_p99", "refresh_p99"),
+    ("lag_s", "lag_s")))}
+FROM joined"""))
 def q_metrics_snapshot(spark, d):
     t = retail_tables(spark, d)
-    return metrics.metrics_snapshot(t.query_log, t.products, "2024-01-30 23:59:59", decimals=2)
+    now = t.query_log.agg(F.max("ts")).first()[0]
+    return metrics.metrics_snapshot(t.query_log, _items(t), _refresh_log(t), t.heartbeats, t.replica_heartbeats, now,
+                                    decimals=2, **_SNAP)
 
 
 @query("compare_sources", with_tables("""
