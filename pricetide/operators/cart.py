@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.operators import hierarchy
+from pricetide.operators.ordering import global_position
+from pricetide.session import written
 from pricetide.sources.io import json_doc
 
 TOTAL_TYPE = "decimal(38,10)"   # numeric(20,10) of the reference, with head room
@@ -132,25 +135,32 @@ def cart_stock(cart: DataFrame, inventory: DataFrame) -> DataFrame:
             .join(inventory.select("product_id", "warehouse_id", "stock"), "product_id"))
 
 
-def cart_snapshot(cart_view: DataFrame, totals: DataFrame, expanded: Sequence[int] = ()) -> DataFrame:
+def cart_snapshot(cart_view: DataFrame, categories: DataFrame, expanded: Sequence[int] = (), *,
+                  other_offset: int = hierarchy.OTHER_OFFSET) -> DataFrame:
     """The cart page as JSON records: one per item, one per visible category, one total.
 
-    Emitted as rows (``kind``, ``doc``) rather than one nested document, so no
-    task or driver ever holds the whole cart; ``write.json`` of this frame is
-    the document in JSON-lines form.
+    Emitted as rows (``kind``, ``position``, ``id``, ``doc``) rather than one
+    nested document, so no task or driver ever holds the whole cart; items are
+    numbered from the most expensive, categories and the total have no position.
+    The cart is written once and summed once, to one row per category, from which
+    all totals follow.
     """
-    items = cart_view.select(
-        F.lit("item").alias("kind"),
+    cart_view = written(cart_view, "cart")
+    direct = written(hierarchy.direct_totals(cart_view), "cart-sums")
+    totals = written(hierarchy.category_totals(categories, None, other_offset=other_offset, direct=direct), "cart-totals")
+    placed = global_position(cart_view, ["price", "product_id", "product_name"], descending=True)
+    no_place = F.lit(None).cast("bigint").alias("position")
+    items = placed.select(
+        F.lit("item").alias("kind"), F.col("position").cast("bigint").alias("position"),
         F.col("product_id").alias("id"),
         json_doc("product_id", "product_name", "category_id", "category_name",
                  "price", "available_stock").alias("doc"))
     subs = category_subtotals(totals, expanded).select(
-        F.lit("category").alias("kind"),
+        F.lit("category").alias("kind"), no_place,
         F.col("category_id").alias("id"),
         json_doc("category_id", "parent_id", "has_subcategory", "category_name",
                  "item_count", "subtotal", "categories_total").alias("doc"))
-    tot = reconcile_cart(cart_view, totals).select(
-        F.lit("total").alias("kind"), F.lit(None).cast("bigint").alias("id"),
+    tot = reconcile_cart(direct.select(F.col("total").alias("price")), totals).select(
+        F.lit("total").alias("kind"), no_place, F.lit(None).cast("bigint").alias("id"),
         json_doc("cart_total", "categories_total").alias("doc"))
     return items.unionByName(subs).unionByName(tot)
-

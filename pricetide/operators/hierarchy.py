@@ -10,12 +10,10 @@ not limited; a parent cycle shows as a node that is its own ancestor.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.session import scratch_path
+from pricetide.session import written
 
 TOTAL_TYPE = "decimal(38,10)"
 # Fixed values of the synthetic rows: id offset and name of the 'Other' bucket.
@@ -44,17 +42,10 @@ def ancestor_closure(categories: DataFrame) -> DataFrame:
 
     Raises ValueError naming a category on a parent cycle.
     """
-    spark = categories.sparkSession
-    base = scratch_path(spark, f"closure-{uuid.uuid4().hex}")
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
     known = written(categories.select("category_id", F.col("category_id").alias("ancestor_id"),
-                                      F.lit(0).alias("depth")), "known0")
+                                      F.lit(0).alias("depth")), "closure")
     jump = written(categories.where("parent_id IS NOT NULL")
-                   .select("category_id", F.col("parent_id").alias("up")), "jump0")
+                   .select("category_id", F.col("parent_id").alias("up")), "closure-jump")
     step = 1
     while jump.head(1):
         above = known.select(F.col("category_id").alias("up"), F.col("ancestor_id"), (F.col("depth") + step).alias("depth"))
@@ -63,12 +54,12 @@ def ancestor_closure(categories: DataFrame) -> DataFrame:
         outside = jump.join(known.select(F.col("category_id").alias("up")).distinct(), "up", "left_anti")
         farther = farther.unionByName(outside.select("category_id", F.col("up").alias("ancestor_id"),
                                                      F.lit(step).alias("depth")))
-        known = written(known.unionByName(farther), f"known{step}")
+        known = written(known.unionByName(farther), "closure")
         on_cycle = known.where("category_id = ancestor_id AND depth > 0").select("category_id").head(1)
         if on_cycle:
             raise ValueError(f"category parent cycle at category {on_cycle[0][0]}")
         jump = written(jump.join(jump.select(F.col("category_id").alias("up"), F.col("up").alias("next")), "up")
-                       .select("category_id", F.col("next").alias("up")), f"jump{step}")
+                       .select("category_id", F.col("next").alias("up")), "closure-jump")
         step *= 2
     return known
 
@@ -112,8 +103,11 @@ def rollup_tree(closure: DataFrame, measures: DataFrame) -> DataFrame:
             .filter(F.col("item_count") > 0))
 
 
-def category_totals(categories: DataFrame, cart_view: DataFrame, *,
-                    other_offset: int = OTHER_OFFSET) -> DataFrame:
-    """Totals of every category with lines below it, and the synthetic ``Other`` rows of direct lines."""
-    direct = direct_totals(cart_view)
+def category_totals(categories: DataFrame, cart_view: DataFrame | None, *,
+                    other_offset: int = OTHER_OFFSET, direct: DataFrame | None = None) -> DataFrame:
+    """Totals of every category with lines below it, and the synthetic ``Other`` rows of direct lines.
+
+    ``direct`` may pass ready per-category sums (:func:`direct_totals`) instead of the cart.
+    """
+    direct = direct_totals(cart_view) if direct is None else direct
     return _finish(rollup_tree(ancestor_closure(categories), direct), direct, categories, other_offset)

@@ -51,15 +51,20 @@ def _ranges(df: DataFrame, partitions: int | None) -> int:
 
 
 def global_position(df: DataFrame, order: Sequence[str], *, partitions: int | None = None,
-                    out: str = "position") -> DataFrame:
-    """1-based position of each row in ``order`` (which must be a total order, e.g. a key)."""
+                    descending: bool = False, out: str = "position") -> DataFrame:
+    """1-based position of each row in ``order`` (which must be a total order, e.g. a key).
+
+    ``descending`` turns the first column round (NULL last), as in "most expensive first".
+    """
     order = list(order)
     bounds = range_bounds(df, order[0], _ranges(df, partitions))
-    ranged = df.withColumn("_range", range_of(order[0], bounds))
+    place = range_of(order[0], bounds)
+    ranged = df.withColumn("_range", F.lit(len(bounds)) - place if descending else place)
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_range").orderBy(*order)
+    first = F.col(order[0]).desc_nulls_last() if descending else F.col(order[0])
+    inside = Window.partitionBy("_range").orderBy(first, *order[1:])
     return (ranged.withColumn("_nth", F.row_number().over(inside))
             .join(F.broadcast(offsets), "_range")                # one row per range
             .withColumn(out, F.col("_off") + F.col("_nth"))

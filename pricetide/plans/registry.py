@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricetide import schemas
 from pricetide.functions import factors
-from pricetide.functions.rand import uniform_sql
+from pricetide.functions.rand import random_row, sample_n, uniform_sql
 from pricetide.operators import cart as cartops
 from pricetide.operators import changes
 from pricetide.operators import hierarchy
@@ -251,39 +251,32 @@ def q_reconcile_cart(spark, d):
 
 
 def _snapshot_sql(expanded):
-    clause = f"OR parent_id IN ({', '.join(str(i) for i in expanded)})" if expanded else ""
+    shown = " OR ".join(["parent_id IS NULL", *(f"parent_id = {i}" for i in expanded)])
+
+    def doc(*columns):
+        return "to_json({" + ", ".join(f"'{c}': {c}" for c in columns) + "})::VARCHAR"
+
     return totaled(f"""
-WITH rt AS (
-  SELECT CAST(ROUND(CAST(SUM(total) AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS categories_total
-  FROM category_totals WHERE parent_id IS NULL),
-subtotals AS (
-  SELECT category_id, parent_id, has_subcategory, category_name, item_count,
-         CAST(ROUND(CAST(total AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS subtotal,
-         (SELECT categories_total FROM rt) AS categories_total
-  FROM category_totals WHERE parent_id IS NULL {clause}),
-ct AS (SELECT CAST(COALESCE(ROUND(CAST(SUM(price) AS DECIMAL(38,10)), 2), 0) AS DECIMAL(38,2)) AS cart_total
-       FROM dynamic_cart)
-SELECT 'item' AS kind, product_id AS id,
-       CAST(to_json({{'product_id': product_id, 'product_name': product_name, 'category_id': category_id,
-                'category_name': category_name, 'price': price, 'available_stock': available_stock}}) AS VARCHAR) AS doc
+WITH sums AS (
+  SELECT (SELECT coalesce(round(sum(price)::DECIMAL(38,10), 2), 0)::DECIMAL(38,2) FROM dynamic_cart) AS cart_total,
+         (SELECT coalesce(round(sum(total), 2), 0)::DECIMAL(38,2) FROM category_totals WHERE parent_id IS NULL)
+           AS categories_total),
+shown AS (SELECT *, round(total, 2)::DECIMAL(38,2) AS subtotal FROM category_totals, sums WHERE {shown})
+SELECT 'item' AS kind, row_number() OVER (ORDER BY price DESC NULLS LAST, product_id, product_name) AS position,
+       product_id AS id,
+       {doc("product_id", "product_name", "category_id", "category_name", "price", "available_stock")} AS doc
 FROM dynamic_cart
 UNION ALL
-SELECT 'category', category_id,
-       CAST(to_json({{'category_id': category_id, 'parent_id': parent_id, 'has_subcategory': has_subcategory,
-                'category_name': category_name, 'item_count': item_count, 'subtotal': subtotal,
-                'categories_total': categories_total}}) AS VARCHAR)
-FROM subtotals
+SELECT 'category', NULL, category_id, {doc("category_id", "parent_id", "has_subcategory", "category_name", "item_count",
+                                           "subtotal", "categories_total")} FROM shown
 UNION ALL
-SELECT 'total', CAST(NULL AS BIGINT),
-       CAST(to_json({{'cart_total': cart_total,
-                'categories_total': COALESCE((SELECT categories_total FROM rt), CAST(0 AS DECIMAL(38,2)))}}) AS VARCHAR)
-FROM ct""")
+SELECT 'total', NULL, NULL, {doc("cart_total", "categories_total")} FROM sums""")
 
 
 @query("cart_snapshot", _snapshot_sql(EXPANDED))
 def q_cart_snapshot(spark, d):
     t = retail_tables(spark, d)
-    return cartops.cart_snapshot(_cart(t), _totals(t), EXPANDED)
+    return cartops.cart_snapshot(_cart(t), t.categories, EXPANDED, other_offset=OTHER_OFFSET_FIXTURE)
 
 
 # --------------------------------------------------------------------------- S1-S22
@@ -1010,6 +1003,89 @@ def q_compare_sources(spark, d):
 # --------------------------------------------------------------------------- D2, D3, M2, M3, M5
 
 
+# --------------------------------------------------------------------------- loading, change images, picks
+
+_PROMO_COLS = "promotion_id, product_id, promotion_discount, start_date, end_date, active, updated_at"
+
+
+@query("csv_round_trip", with_tables(f"SELECT {_PROMO_COLS} FROM promotions"))
+def q_csv_round_trip(spark, d):
+    """The promotions written as CSV with a header and read back with declared types."""
+    path = _scratch(spark, "csv")
+    (retail_tables(spark, d).promotions.write.option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+    return io.read_table(spark, "promotions", path)
+
+
+@query("csv_chunks_ingested", with_tables("SELECT sale_id, product_id, sale_price, sale_date, price FROM sales"))
+def q_csv_chunks_ingested(spark, d):
+    """Sales as CSV chunk files, ingested as a stream into a typed table."""
+    root = _scratch(spark, "chunks")
+    (retail_tables(spark, d).sales.write.option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{root}/csv"))
+    io.ingest_chunks(spark, "sales", f"{root}/csv", f"{root}/out", f"{root}/ckpt",
+                     max_files_per_trigger=1000).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("change_images", with_tables("""
+SELECT -1 AS w, product_id, base_price, available FROM products WHERE product_id % 3 < 2
+UNION ALL
+SELECT 1, product_id, CASE WHEN product_id % 3 = 0 THEN (base_price + 1)::DECIMAL(10,2) ELSE base_price END, available
+FROM products WHERE product_id % 3 <> 1"""))
+def q_change_images(spark, d):
+    """Before and after images (a third updates, deletes, inserts) as signed rows."""
+    row = F.struct("product_id", "base_price", "available")
+    raised = F.struct("product_id", (F.col("base_price") + 1).cast("decimal(10,2)").alias("base_price"), "available")
+    kind = F.col("product_id") % 3
+    images = retail_tables(spark, d).products.select(
+        F.when(kind == 0, "U").when(kind == 1, "D").otherwise("I").alias("op"), F.col("product_id").alias("seq"),
+        F.when(kind < 2, row).alias("before"), F.when(kind == 0, raised).when(kind == 2, row).alias("after"))
+    return changes.weighted(images)
+
+
+@query("parse_ids", with_tables("""
+SELECT seq, unnest(list_transform(list_filter(list_transform(
+         string_split(concat(product_id, ' , x', seq, ',', seq, ',,', latency_ms), ','), lambda x: trim(x)),
+         lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)) AS id
+FROM query_log"""))
+def q_parse_ids(spark, d):
+    log = retail_tables(spark, d).query_log
+    text = F.concat(F.col("product_id").cast("string"), F.lit(" , x"), F.col("seq").cast("string"), F.lit(","),
+                    F.col("seq").cast("string"), F.lit(",,"), F.col("latency_ms").cast("string"))
+    return log.select("seq", F.explode(factors.parse_ids(text)).alias("id"))
+
+
+@query("random_row", with_tables(f"""
+SELECT product_id, product_name FROM products ORDER BY {uniform_sql(7, "product_id", tag="pick")}, product_id LIMIT 1"""))
+def q_random_row(spark, d):
+    return random_row(retail_tables(spark, d).products.select("product_id", "product_name"), 7, ["product_id"])
+
+
+@query("sample_n", with_tables(f"""
+SELECT product_id, product_name FROM products ORDER BY {uniform_sql(7, "product_id", tag="sample")}, product_id LIMIT 50"""))
+def q_sample_n(spark, d):
+    return sample_n(retail_tables(spark, d).products.select("product_id", "product_name"), 50, 7, ["product_id"])
+
+
+@query("popularity_band", priced("""
+SELECT product_id, popularity_rank, CASE WHEN popularity_rank > 10 THEN 0.9::DOUBLE WHEN popularity_rank > 3 THEN 1.1
+       ELSE 1.2 END AS band FROM popularity_score"""))
+def q_popularity_band(spark, d):
+    """Bands of an explicit rank (the price itself uses thresholds)."""
+    t = retail_tables(spark, d)
+    ranked = pricing.popularity_score(t.sales, t.products)
+    return ranked.select("product_id", "popularity_rank",
+                         factors.band("popularity_rank", factors.POPULARITY_BANDS, factors.POPULARITY_OTHERWISE).alias("band"))
+
+
+@query("append", with_tables("""
+SELECT sale_id, product_id FROM sales UNION ALL SELECT sale_id, product_id FROM sales WHERE product_id % 2 = 0"""))
+def q_append(spark, d):
+    sales = retail_tables(spark, d).sales.select("sale_id", "product_id")
+    return io.append(sales, sales.where("product_id % 2 = 0"))
+
+
 def _scratch(spark, what):
     return scratch_path(spark, f"{what}-{uuid.uuid4().hex}")
 
