@@ -30,7 +30,6 @@ from pricetide.sources import testdata
 from pricetide.sources.testdata import retail_tables
 from pricetide.streaming import maintain as mt
 from pricetide.streaming import qps as qps_stream
-from pricetide.streaming import versioned as vt
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -1090,47 +1089,51 @@ def _scratch(spark, what):
     return scratch_path(spark, f"{what}-{uuid.uuid4().hex}")
 
 
-@query("refresh_inventory_item", priced("SELECT product_id, live_price, last_update_time FROM inventory_item"))
-def q_refresh_inventory_item(spark, d):
+def _refreshed(spark, d):
     t = retail_tables(spark, d)
     root = _scratch(spark, "refresh")
     mt.refresh_inventory_item(spark, {"products": t.products, "sales": t.sales, "promotions": t.promotions,
                                       "inventory": t.inventory}, root, as_of=AS_OF)
-    return vt.read_latest(spark, root, "inventory_item")
+    return mt.refreshed(spark, root)
+
+
+@query("refresh_inventory_item", priced("SELECT product_id, live_price, last_update_time FROM inventory_item"))
+def q_refresh_inventory_item(spark, d):
+    return _refreshed(spark, d)
 
 
 @query("price_point_refreshed", priced(
     "SELECT product_id, live_price AS price FROM inventory_item WHERE product_id = 1"))
 def q_price_point_refreshed(spark, d):
     """E1 against the batch path: refresh the serving copy, then a point lookup on it."""
-    t = retail_tables(spark, d)
-    root = _scratch(spark, "refresh")
-    mt.refresh_inventory_item(spark, {"products": t.products, "sales": t.sales, "promotions": t.promotions,
-                                      "inventory": t.inventory}, root, as_of=AS_OF)
-    return pricing.price_of(vt.read_latest(spark, root, "inventory_item"), 1)
+    return pricing.price_of(_refreshed(spark, d), 1)
 
 
-def _stream_views(spark, d, view, with_cart=True):
-    """Run the change feed (product changes + cart changes) through the maintained views."""
-    t = retail_tables(spark, d)
+def _streamed(spark, d, feed, snapshot):
+    """A maintainer that has loaded ``snapshot`` and folded ``feed``, a tenth of it delivered twice, in several batches."""
     root = _scratch(spark, "stream")
-    pc = testdata.product_changes(spark, d)
-    cc = testdata.cart_changes(spark, d, t.products)
-    cart_cols = t.shopping_cart.columns
-    feed = mt.encode_keyed(pc, "products", t.products.columns)
-    if with_cart:
-        feed = feed.unionByName(mt.encode_weighted(cc, "shopping_cart", cart_cols))
-    # several files (folding does not depend on their order), so that the stream
-    # folds the changes over several micro-batches
-    feed.repartition(4, "seq").write.parquet(f"{root}/feed")
-    snapshot = {"products": t.products, "sales": t.sales, "promotions": t.promotions,
-                "inventory": t.inventory, "shopping_cart": t.shopping_cart}
-    specs = mt.pricing_specs(t.products, t.sales, t.promotions, t.inventory, t.shopping_cart)
-    views = mt.cart_views(t.categories, OTHER_OFFSET_FIXTURE) if with_cart else mt.price_views
-    q = mt.maintain(spark, f"{root}/feed", f"{root}/out", specs, snapshot, views, max_files_per_trigger=1)
+    again = feed.where(F.pmod(F.xxhash64("change_id"), F.lit(10)) == 0)
+    feed.write.parquet(f"{root}/feed")
+    again.write.mode("append").parquet(f"{root}/feed")
+    files = len(spark.read.parquet(f"{root}/feed").inputFiles())
+    keeper = mt.Maintainer(spark, f"{root}/kept")
+    keeper.load(snapshot)
+    q = keeper.start(f"{root}/feed", max_files_per_trigger=files // 4 + 1)
     q.awaitTermination()
     LAST_STREAM_PROGRESS[:] = [dict(p) for p in q.recentProgress]
-    return vt.read_latest(spark, f"{root}/out", view)
+    return keeper
+
+
+def _snapshot(t, *names):
+    return {n: getattr(t, n) for n in ("products", "sales", "promotions", "inventory", *names)}
+
+
+def _stream_with_cart(spark, d):
+    """Product changes and cart changes over the snapshot."""
+    t = retail_tables(spark, d)
+    feed = mt.encode_rows(testdata.product_changes(spark, d), "products", t.products.columns).unionByName(
+        mt.encode_signed(testdata.cart_changes(spark, d, t.products), "shopping_cart", t.shopping_cart.columns))
+    return t, _streamed(spark, d, feed, _snapshot(t, "shopping_cart"))
 
 
 _STREAMED = f"""
@@ -1162,18 +1165,70 @@ def _streamed_sql(body):
 @query("stream_inventory_item", _streamed_sql(
     "SELECT product_id, live_price, last_update_time FROM inventory_item_s"))
 def q_stream_inventory_item(spark, d):
-    return _stream_views(spark, d, "inventory_item", with_cart=False)
+    t = retail_tables(spark, d)
+    feed = mt.encode_rows(testdata.product_changes(spark, d), "products", t.products.columns)
+    return _streamed(spark, d, feed, _snapshot(t)).inventory_item()
 
 
 @query("stream_cart", _streamed_sql(
     "SELECT product_id, product_name, category_id, category_name, price, available_stock FROM dynamic_cart_s"))
 def q_stream_cart(spark, d):
-    return _stream_views(spark, d, "dynamic_cart")
+    t, keeper = _stream_with_cart(spark, d)
+    return keeper.dynamic_cart(t.categories)
 
 
 @query("stream_category_totals", _streamed_sql(f"SELECT {_CT_COLS} FROM category_totals_s"))
 def q_stream_category_totals(spark, d):
-    return _stream_views(spark, d, "category_totals")
+    t, keeper = _stream_with_cart(spark, d)
+    return keeper.category_totals(t.categories, OTHER_OFFSET_FIXTURE)
+
+
+def _images(before, after):
+    """Row images of changes: what was, signed -1, and what is, signed +1."""
+    return before.withColumn("w", F.lit(-1)).unionByName(after.withColumn("w", F.lit(1)))
+
+
+_PRICES = "SELECT product_id, live_price, last_update_time FROM inventory_item"
+
+
+@query("stream_promotion_change", with_tables(f"{_PRICES}_c", """
+promotions_now AS (
+  SELECT promotion_id, product_id, promotion_discount, start_date, end_date,
+         CASE WHEN product_id % 7 = 0 THEN NOT active ELSE active END AS active, updated_at FROM promotions)""",
+    pricing_over(promotions="promotions_now", suffix="_c")))
+def q_stream_promotion_change(spark, d):
+    """M2: promotions of every seventh product toggled."""
+    t = retail_tables(spark, d)
+    old = t.promotions.where("product_id % 7 = 0")
+    feed = mt.encode_signed(_images(old, old.withColumn("active", ~F.col("active"))), "promotions", t.promotions.columns)
+    return _streamed(spark, d, feed, _snapshot(t)).inventory_item()
+
+
+@query("stream_stock_change", with_tables(f"{_PRICES}_c", """
+inventory_now AS (
+  SELECT inventory_id, product_id, CASE WHEN product_id % 5 = 0 THEN stock + 200 ELSE stock END AS stock,
+         warehouse_id, restock_date FROM inventory WHERE product_id % 5 <> 1)""",
+    pricing_over(inventory="inventory_now", suffix="_c")))
+def q_stream_stock_change(spark, d):
+    """M2: stock of every fifth product raised, of every other fifth removed."""
+    t = retail_tables(spark, d)
+    old = t.inventory.where("product_id % 5 < 2")
+    new = old.where("product_id % 5 = 0").withColumn("stock", F.col("stock") + 200)
+    return _streamed(spark, d, mt.encode_signed(_images(old, new), "inventory", t.inventory.columns),
+                     _snapshot(t)).inventory_item()
+
+
+@query("stream_sales_change", with_tables(f"{_PRICES}_c", """
+sales_now AS (
+  SELECT * FROM sales WHERE sale_id % 4 <> 0
+  UNION ALL SELECT sale_id, product_id, sale_price, sale_date + INTERVAL 60 DAY, price FROM sales WHERE product_id % 9 = 0)""",
+    pricing_over(sales="sales_now", suffix="_c")))
+def q_stream_sales_change(spark, d):
+    """M2: a quarter of the sales withdrawn, those of every ninth product repeated 60 days later."""
+    t = retail_tables(spark, d)
+    later = t.sales.where("product_id % 9 = 0").withColumn("sale_date", F.timestamp_add("DAY", F.lit(60), F.col("sale_date")))
+    feed = mt.encode_signed(_images(t.sales.where("sale_id % 4 = 0"), later), "sales", t.sales.columns)
+    return _streamed(spark, d, feed, _snapshot(t)).inventory_item()
 
 
 @query("stream_qps", with_tables("""
@@ -1181,17 +1236,10 @@ SELECT source, date_trunc('minute', ts) AS window_start, date_trunc('minute', ts
        COUNT(*) AS n, COUNT(*) / 60.0 AS qps
 FROM query_log GROUP BY source, date_trunc('minute', ts)"""))
 def q_stream_qps(spark, d):
-    t = retail_tables(spark, d)
+    """The log in four parts that each span the whole time: most rows of the later parts are late, and count."""
     root = _scratch(spark, "qps")
-    log = t.query_log
-    # the log arrives in four parts in event-time order; each part is one run of
-    # the same checkpointed query (restart = exactly-once resume), so the
-    # watermark sees the parts in order whatever the file timestamps are
-    bounds = log.agg(F.min("seq"), F.max("seq")).first()
-    lo, hi = int(bounds[0]), int(bounds[1])
-    step = (hi - lo) // 4 + 1
-    for i in range(4):
-        (log.filter((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
-         .write.mode("append").parquet(f"{root}/log"))
-        qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out", max_files_per_trigger=None).awaitTermination()
-    return vt.read_latest(spark, f"{root}/out", "qps")
\ No newline at end of file
+    log = retail_tables(spark, d).query_log
+    for part in range(4):
+        log.where(F.pmod("seq", F.lit(4)) == 3 - part).write.mode("append").parquet(f"{root}/log")
+        qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out").awaitTermination()
+    return qps_stream.read_qps(spark, f"{root}/out")

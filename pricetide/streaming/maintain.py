@@ -1,406 +1,291 @@
-"""Continuously maintained views: change feed -> table states -> views, per micro-batch.
-
-The change feed is one multiplexed stream of rows ``(table, op, seq, payload)``
-with the payload as JSON of the table's columns (a CDC topic in file form).
-Every micro-batch (``foreachBatch``):
-
-1. folds its change rows into the state of each touched table — keyed tables
-   keep the newest ``seq`` per key, tombstones included, so late or replayed
-   changes never resurrect or overwrite newer rows; keyless tables (the cart)
-   keep a counted bag whose multiplicities add up;
-2. writes the touched states as version ``batch_id`` and re-reads them, which
-   cuts the lineage at every batch;
-3. recomputes the views with the *batch* functions over the current tables
-   and writes them as version ``batch_id``;
-4. commits the version (manifest row last).
-
-A replayed ``batch_id`` starts again from the newest version committed before
-it and overwrites the same folders: the result is identical. Because folding
-is commutative per key (max of seq) or additive (bag), the micro-batch order
-of the files does not matter either.
+"""Maintained prices, cart and roll-up: a stream of row changes, and the views over what it keeps.
+
+The change feed has one row per row image: ``(change_id, table, op, seq, w,
+payload)`` with the payload as JSON of the table's columns. Products come as
+whole rows (insert, update, delete), the newest ``seq`` of a product counts.
+Sales, promotions, stock and cart lines come as signed images: w = -1 for the
+row before a change, +1 for the row after it. Everything kept of them is a sum of
+signs, so changes may arrive in any order and however late; a change delivered
+twice is dropped by its id (Spark's streaming state holds the ids).
+
+A micro-batch folds its changes into bucketed tables (:mod:`buckets`), reading
+only the buckets of the products it touches: counted sales, promotions and cart
+lines, summed stock, and per product the facts that a price depends on. The
+views are queries over these tables, one row per product: a price needs its
+product's facts and the thresholds of all facts, never a sale.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pricetide.operators import changes as ch
+from pricetide.functions import factors as fx
+from pricetide.operators import cart as cartops
+from pricetide.operators import hierarchy, pricing
 from pricetide.sources import io
-from pricetide.operators import pricing
-from pricetide.streaming import store
-from pricetide.streaming import versioned as vt
+from pricetide.streaming.buckets import BUCKETS, BucketedTable
 
 FEED_SCHEMA = T.StructType([
+    T.StructField("change_id", T.StringType(), False),
     T.StructField("table", T.StringType(), False),
     T.StructField("op", T.StringType(), False),
     T.StructField("seq", T.LongType(), False),
+    T.StructField("w", T.IntegerType(), False),
     T.StructField("payload", T.StringType(), True),
 ])
 
-
-@dataclass(frozen=True)
-class TableSpec:
-    name: str
-    schema: T.StructType               # payload columns, in table order
-    keys: tuple[str, ...] | None       # None = keyless bag (weights +1 / -1)
-
-
-# --------------------------------------------------------------------------- feed encoding
-
 # JSON payloads keep full microsecond timestamps (the default format cuts to ms).
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                 "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-def encode_keyed(changes: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Flat keyed change rows (op, seq, cols...) -> feed rows."""
-    return changes.select(F.lit(table).alias("table"), "op", F.col("seq").cast("bigint").alias("seq"),
-                          F.to_json(F.struct(*columns), JSON_OPTIONS).alias("payload"))
-
-
-def encode_weighted(rows: DataFrame, table: str, columns: list[str], weight: str = "w",
-                    seq: str | None = None) -> DataFrame:
-    """Weighted bag rows (w, cols...) -> feed rows: w=+1 is an insert, w=-1 a delete."""
-    s = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    return rows.select(F.lit(table).alias("table"),
-                       F.when(F.col(weight) > 0, "I").otherwise("D").alias("op"), s.alias("seq"),
-                       F.to_json(F.struct(*columns), JSON_OPTIONS).alias("payload"))
-
-
-def decode(feed: DataFrame, spec: TableSpec) -> DataFrame:
-    rows = feed.filter(F.col("table") == spec.name).select(
-        "op", "seq", F.from_json("payload", spec.schema, JSON_OPTIONS).alias("_p"))
-    return rows.select("op", "seq", *[F.col(f"_p.{f}").alias(f) for f in spec.schema.fieldNames()])
-
-
-# --------------------------------------------------------------------------- state folding
-
-def initial_state(snapshot: DataFrame, spec: TableSpec) -> DataFrame:
-    return store.initial_state(snapshot, spec.schema.fieldNames(), spec.keys)
-
-
-def fold(state: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
-    """Whole new state after one batch (state + its delta); used by small states."""
-    cols = spec.schema.fieldNames()
-    delta = store.decide(state, changes, cols, spec.keys)
-    if spec.keys is None:
-        return (state.unionByName(delta).groupBy(*cols).agg(F.sum("multiplicity").alias("multiplicity"))
-                .filter(F.col("multiplicity") != 0))
-    keys = list(spec.keys)
-    return state.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
-
-
-def current(state: DataFrame, spec: TableSpec) -> DataFrame:
-    return store.current(state, spec.keys)
-
-
-# --------------------------------------------------------------------------- per-product aggregates
-
-# aggregate name -> (source table, function of the source's current rows)
-AGGREGATES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "agg_counts": ("sales", pricing.sales_counts),
-    "agg_recent": ("sales", pricing.recent_prices),
-    "agg_promo": ("promotions", pricing.promotion_effect),
-    "agg_stock": ("inventory", pricing.inventory_totals),
+#: What is kept: table -> (columns, key). All sums are over signed rows.
+KEPT = {
+    "products": ("product_id bigint, seq bigint, op string, product_name string, base_price decimal(10,2), "
+                 "category_id bigint, last_update_time timestamp_ntz"),
+    "sales": "product_id bigint, sale_date timestamp_ntz, price decimal(20,4), n bigint, amount decimal(38,4)",
+    "promotions": "product_id bigint, promotion_discount decimal(10,2), n bigint",
+    "inventory": "product_id bigint, n bigint, stock bigint",
+    "shopping_cart": "product_id bigint, product_name string, n bigint",
+    "facts": ("product_id bigint, sale_count bigint, sale_price_sum decimal(38,4), avg_price double, "
+              "promotion_discount decimal(10,2), total_stock bigint"),
+}
+#: Columns of a change that are kept, per table.
+_PAYLOAD = {
+    "products": "product_id bigint, product_name string, base_price decimal(10,2), category_id bigint, "
+                "last_update_time timestamp_ntz",
+    "sales": "product_id bigint, sale_date timestamp_ntz, price decimal(20,4), sale_price decimal(20,4)",
+    "promotions": "product_id bigint, promotion_discount decimal(10,2), active boolean",
+    "inventory": "product_id bigint, stock bigint",
+    "shopping_cart": "product_id bigint, product_name string",
 }
 
 
-def _touched_products(state: DataFrame, incoming: DataFrame, keys) -> DataFrame:
-    """Products whose rows a batch may change: old and new product of each named key."""
-    keys = list(keys)
-    old = state.join(incoming.select(*keys).distinct(), keys, "left_semi").select("product_id")
-    return old.unionByName(incoming.select("product_id")).distinct()
-
-
-# --------------------------------------------------------------------------- the live price, incrementally
-
-ITEM_COLS = ["product_id", "live_price", "last_update_time"]
-_PK = ("product_id",)
-
-
-def _changed_thresholds(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose (t3, t10) differ between two threshold tables (NULL-safe, either side missing)."""
-    o = old.select(*keys, F.col("t3").alias("_o3"), F.col("t10").alias("_o10"))
-    j = new.join(o, keys, "full") if keys else new.crossJoin(o)
-    same = F.col("t3").eqNullSafe(F.col("_o3")) & F.col("t10").eqNullSafe(F.col("_o10"))
-    return j.filter(~same)
-
+def kept_tables(spark: SparkSession, root: str, buckets: int = BUCKETS) -> dict[str, BucketedTable]:
+    return {n: BucketedTable(spark, f"{root}/{n}", ddl, "product_id", buckets) for n, ddl in KEPT.items()}
 
-def _split_thresholds(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cat = both.filter(F.col("category_id").isNotNull())
-    stock = both.filter(F.col("category_id").isNull()).drop("category_id")
-    return cat, stock
 
+# --------------------------------------------------------------------------- feed
 
-def _category_thresholds(products: DataFrame, old_products: DataFrame | None, aggs: dict,
-                         touched_products: dict, old_cat: DataFrame | None) -> DataFrame:
-    """Per-category t3/t10, recomputed only for categories whose members or counts changed.
+def encode_rows(changes: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Whole-row changes (op, seq, columns) as feed rows; ``seq`` is unique in the table."""
+    seq = F.col("seq").cast("bigint")
+    return changes.select(F.concat_ws(":", F.lit(table), seq).alias("change_id"), F.lit(table).alias("table"), "op",
+                          seq.alias("seq"), F.lit(1).alias("w"),
+                          F.to_json(F.struct(*columns), JSON_OPTIONS).alias("payload"))
 
-    Sale counts change only with sales changes and membership only with product
-    changes, so the touched categories are the old and new categories of
-    those products; every other category keeps its previous thresholds.
-    """
-    if old_cat is None:
-        return pricing.price_thresholds(products, aggs)[0]
-    ids = [touched_products[t] for t in ("products", "sales") if t in touched_products]
-    if not ids:
-        return old_cat
-    tp = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1]).distinct()
-    cats = products.join(tp, "product_id", "left_semi").select("category_id")
-    if old_products is not None:
-        cats = cats.unionByName(old_products.join(tp, "product_id", "left_semi").select("category_id"))
-    cats = cats.distinct()
-    members = products.join(cats, "category_id", "left_semi")
-    fresh = pricing.price_thresholds(members, aggs)[0]
-    return old_cat.join(cats, "category_id", "left_anti").unionByName(fresh)
-
-
-def _maintain_items(spark: SparkSession, root: str, man: dict, batch_id: int, cur: dict, aggs: dict,
-                    touched_products: dict, compact_every: int, old_products: DataFrame | None = None) -> DataFrame:
-    """Keep ``inventory_item`` as a store and re-price only the products whose price can move.
-
-    A product's price depends on its own row and aggregates, on its category's
-    3rd/10th largest sale count and on the global 3rd/10th largest stock. So
-    the products to re-price are: those the batch touched; those in categories
-    whose thresholds moved; and, when the stock thresholds moved, those with at
-    least the smaller of the old and new 10th largest stock (the top-10 bands
-    of either version). Everything else keeps its row.
-    """
-    products = cur["products"]
-    first = not isinstance(man.get("inventory_item"), dict)
-    old_cat = old_stock = None
-    if not first:
-        old_cat, old_stock = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds",
-                                                                                 man["thresholds"])))
-    # thresholds are written first (one small table: the stock row has no
-    # category) and read back: computed once, used twice
-    cat_th = _category_thresholds(products, old_products, aggs, touched_products, old_cat)
-    stock_th = pricing.stock_thresholds(aggs["stock"].select("product_id", "total_stock"))
-    both = cat_th.unionByName(stock_th.select(F.lit(None).cast("bigint").alias("category_id"), "t3", "t10"))
-    vt.write_version(both, root, "thresholds", batch_id)
-    cat_th, stock_th = _split_thresholds(vt.spark_read(spark, vt.table_path(root, "thresholds", batch_id)))
-    if first:
-        items = pricing.live_price_of(pricing.assemble_factors(products, aggs, cat_th, stock_th))
-        entry = store.write_base(root, "inventory_item", store.initial_state(items, ITEM_COLS, _PK), batch_id)
-    else:
-        entry = man["inventory_item"]
-        parts = [tp for tp in touched_products.values()]
-        moved = _changed_thresholds(cat_th, old_cat, ["category_id"]).select("category_id")
-        parts.append(products.join(moved, "category_id", "left_semi").select("product_id"))
-        st = _changed_thresholds(stock_th, old_stock, [])        # zero or one row
-        floor_ = F.least(F.col("t10"), F.col("_o10"))
-        near_top = (aggs["stock"].crossJoin(F.broadcast(st))
-                    .filter(F.col("t10").isNull() | F.col("_o10").isNull() | (F.col("total_stock") >= floor_))
-                    .select("product_id"))
-        parts.append(near_top)
-        affected = parts[0]
-        for p in parts[1:]:
-            affected = affected.unionByName(p)
-        affected = affected.distinct()
-        fresh = pricing.live_price_of(pricing.assemble_factors(
-            products.join(affected, "product_id", "left_semi"), aggs, cat_th, stock_th))
-        gone = affected.join(fresh.select("product_id"), "product_id", "left_anti")
-        delta = (fresh.select(*ITEM_COLS, F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
-                 .unionByName(gone.select("product_id", F.lit(None).cast("decimal(20,6)").alias("live_price"),
-                                          F.lit(None).cast("timestamp_ntz").alias("last_update_time"),
-                                          F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("D").alias("_op"))))
-        entry = store.add_delta(spark, root, "inventory_item", entry, delta, batch_id, compact_every=compact_every,
-                                compact=lambda e: store.state_of(spark, root, "inventory_item", e, ITEM_COLS, _PK,
-                                                                 lambda: None))
-    entry.update({"cols": ITEM_COLS, "keys": list(_PK)})
-    man.update({"inventory_item": entry, "thresholds": batch_id})
-    return store.current(store.state_of(spark, root, "inventory_item", entry, ITEM_COLS, _PK, lambda: None), _PK)
-
-
-# --------------------------------------------------------------------------- the maintainer
-
-ViewsFn = Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, DataFrame]]
-
-
-def batch_handler(spark: SparkSession, root: str, specs: list[TableSpec],
-                  snapshot: Mapping[str, DataFrame], views_fn: ViewsFn, *,
-                  compact_every: int = store.COMPACT_EVERY):
-    """The ``foreachBatch`` function of :func:`maintain` (also usable directly on a batch).
-
-    ``views_fn(tables, aggregates)`` gets the current tables and the current
-    per-product aggregates (:data:`AGGREGATES`) and returns the views to write.
-    """
-    by_name = {s.name: s for s in specs}
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        _, man = vt.latest_manifest(spark, root, below=batch_id)
+def encode_signed(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Signed row images (w, columns) as feed rows; equal images are told apart by their number."""
+    payload = F.to_json(F.struct(*columns), JSON_OPTIONS)
+    numbered = rows.select("w", payload.alias("payload")).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("w", "payload").orderBy("payload")))
+    return numbered.select(F.concat_ws(":", F.lit(table), "w", F.sha2("payload", 256), "nth").alias("change_id"),
+                           F.lit(table).alias("table"), F.when(F.col("w") > 0, "I").otherwise("D").alias("op"),
+                           F.lit(0).cast("bigint").alias("seq"), F.col("w").cast("int").alias("w"), "payload")
+
+
+def decode(feed: DataFrame, table: str) -> DataFrame:
+    """Feed rows of a table as (op, seq, w, kept columns)."""
+    return (feed.where(F.col("table") == table)
+            .select("op", "seq", "w", F.from_json("payload", _PAYLOAD[table], JSON_OPTIONS).alias("_p"))
+            .select("op", "seq", "w", "_p.*"))
+
+
+# --------------------------------------------------------------------------- folding
+
+def _as_kept(table: str, rows: DataFrame) -> DataFrame:
+    """Changes (op, seq, w, columns) in the form of the kept table, not yet added up."""
+    if table == "products":
+        return rows.select("product_id", "seq", "op", "product_name", "base_price", "category_id", "last_update_time")
+    w = F.col("w").cast("bigint")
+    if table == "sales":
+        return rows.select("product_id", "sale_date", F.col("price").cast("decimal(20,4)").alias("price"), w.alias("n"),
+                           (F.col("w") * F.col("sale_price")).cast("decimal(38,4)").alias("amount"))
+    if table == "promotions":
+        return rows.where("active").select("product_id", "promotion_discount", w.alias("n"))
+    if table == "inventory":
+        return rows.select("product_id", w.alias("n"), (w * F.col("stock")).cast("bigint").alias("stock"))
+    return rows.select("product_id", "product_name", w.alias("n"))
+
+
+def _added_up(table: str, rows: DataFrame) -> DataFrame:
+    """One row per kept key: the newest product row, or sums of signed rows (a key whose sums are 0 is gone)."""
+    if table == "products":
+        rest = [c for c in rows.columns if c not in ("product_id", "seq", "op")]
+        best = rows.groupBy("product_id").agg(F.max(F.struct("seq", "op", *rest)).alias("_b"))
+        return best.select("product_id", "_b.*")
+    if table == "sales":
+        return (rows.groupBy("product_id", "sale_date", "price")
+                .agg(F.sum("n").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("amount")).where("n <> 0 OR amount <> 0"))
+    if table == "inventory":
+        return rows.groupBy("product_id").agg(F.sum("n").alias("n"), F.sum("stock").alias("stock")).where("n <> 0")
+    keys = [c for c in rows.columns if c != "n"]
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def _facts(sales: DataFrame, promotions: DataFrame, inventory: DataFrame) -> DataFrame:
+    """What a price depends on, per product, from the counted tables."""
+    counts = sales.groupBy("product_id").agg(F.sum("n").alias("sale_count"),
+                                             F.sum("amount").cast("decimal(38,4)").alias("sale_price_sum"))
+    newest = Window.partitionBy("product_id").orderBy(F.desc("sale_date"), F.desc("price"))
+    before = newest.rowsBetween(Window.unboundedPreceding, -1)
+    top = (sales.where("n > 0").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= fx.RECENT_SALES)
+           .withColumn("room", fx.RECENT_SALES - F.coalesce(F.sum("n").over(before), F.lit(0)))
+           .withColumn("take", F.greatest(F.lit(0), F.least("n", "room"))))
+    recent = top.groupBy("product_id").agg(
+        (F.sum(F.col("price") * F.col("take")).cast("double") / F.sum("take")).alias("avg_price"))
+    best = promotions.where("n > 0").groupBy("product_id").agg(F.min("promotion_discount").alias("promotion_discount"))
+    stock = inventory.select("product_id", F.col("stock").alias("total_stock"))
+    out = counts.where("sale_count > 0")
+    for part in (recent, best, stock):
+        out = out.join(part, "product_id", "full")
+    return out
+
+
+class Maintainer:
+    """Loads a snapshot as version 0 and folds micro-batches; batch b gives version b + 1."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.tables = spark, root, kept_tables(spark, root, buckets)
+
+    def load(self, snapshot: Mapping[str, DataFrame]) -> None:
+        """Freeze the snapshot's tables (one pass over each; a missing table is empty)."""
+        every = range(self.tables["facts"].buckets)
+        for name, payload in _PAYLOAD.items():
+            columns = T.StructType.fromDDL(payload).fieldNames()
+            if name not in snapshot:
+                self.tables[name].write(self.spark.createDataFrame([], self.tables[name].schema), 0, every)
+                continue
+            rows = snapshot[name].select(F.lit("I").alias("op"), F.lit(-1).cast("bigint").alias("seq"),
+                                         F.lit(1).alias("w"), *columns)
+            self.tables[name].write(_added_up(name, _as_kept(name, rows)), 0, every)
+        self._write_facts(0, every)
+
+    def _write_facts(self, version: int, touched) -> None:
+        """Facts of the buckets ``touched``; ``version`` of each counted table is there already."""
+        if touched:
+            parts = [self.tables[n].read(version, touched) for n in ("sales", "promotions", "inventory")]
+            self.tables["facts"].write(_facts(*parts), version, touched)
+
+    def fold(self, batch: DataFrame, batch_id: int) -> None:
+        """The ``foreachBatch`` function. A batch that runs again gives the same versions."""
+        version = batch_id + 1
         batch = batch.persist()
-        # the table names in this batch: at most one row per table
-        touched = {r[0] for r in batch.select("table").distinct().collect()}
-        states: dict[str, DataFrame] = {}
-        old_states: dict[str, DataFrame] = {}
-        touched_products: dict[str, DataFrame] = {}
-        for spec in specs:
-            cols = spec.schema.fieldNames()
-            entry = man.get(spec.name, store.empty_entry())
-            state = store.state_of(spark, root, spec.name, entry, cols, spec.keys,
-                                   lambda n=spec.name: snapshot[n])
-            old_states[spec.name] = state
-            if spec.name in touched:
-                incoming = decode(batch, spec)
-                delta = store.decide(state, incoming, cols, spec.keys)
-                if spec.keys is not None and "product_id" in cols:
-                    touched_products[spec.name] = _touched_products(state, incoming, spec.keys)
-                entry = store.add_delta(
-                    spark, root, spec.name, entry, delta, batch_id, compact_every=compact_every,
-                    compact=lambda e, sp=spec, c=cols: store.state_of(
-                        spark, root, sp.name, e, c, sp.keys, lambda n=sp.name: snapshot[n]))
-                state = store.state_of(spark, root, spec.name, entry, cols, spec.keys,
-                                       lambda n=spec.name: snapshot[n])
-            man[spec.name] = entry
-            states[spec.name] = state
-        cur = {name: current(states[name], by_name[name]) for name in states}
-
-        aggs: dict[str, DataFrame] = {}
-        for agg, (src, fn) in AGGREGATES.items():
-            if src not in cur:
+        names = [r[0] for r in batch.select("table").distinct().collect()]       # at most one row per table
+        priced: set[int] = set()
+        for name in names:
+            kept = self.tables[name]
+            kept.prune(batch_id)
+            incoming = _as_kept(name, decode(batch, name))
+            touched = kept.touched(incoming)
+            if not touched:
                 continue
-            if agg not in man:
-                # first batch: one full pass over the source, then only deltas
-                full_rows = fn(cur[src])
-                cols = full_rows.columns
-                entry = store.write_base(root, agg, store.initial_state(full_rows, cols, ("product_id",)), batch_id)
-                entry["cols"] = cols
-            elif src in touched_products:
-                entry = man[agg]
-                cols = entry["cols"]
-                tp = touched_products[src]
-                fresh = fn(cur[src].join(tp, "product_id", "left_semi"))
-                types = dict(fresh.dtypes)
-                gone = tp.join(fresh.select("product_id"), "product_id", "left_anti")
-                delta = (fresh.select(*cols, F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("I").alias("_op"))
-                         .unionByName(gone.select(*[F.col(c) if c == "product_id" else
-                                                    F.lit(None).cast(types[c]).alias(c) for c in cols],
-                                                  F.lit(batch_id).cast("bigint").alias("_seq"),
-                                                  F.lit("D").alias("_op"))))
-                entry = store.add_delta(
-                    spark, root, agg, entry, delta, batch_id, compact_every=compact_every,
-                    compact=lambda e, a=agg, c=cols: store.state_of(
-                        spark, root, a, e, c, ("product_id",), lambda: None))
-                entry["cols"] = cols
-            else:
-                entry = man[agg]
-            man[agg] = entry
-            aggs[agg.removeprefix("agg_")] = store.current(
-                store.state_of(spark, root, agg, entry, entry["cols"], ("product_id",), lambda: None),
-                ("product_id",))
-
-        # product-sized inputs are read several times per batch: cache them for
-        # this batch only (a lost block is recomputed from the written files)
-        cached = []
-        for name in ("products",):
-            if name in cur:
-                cur[name] = cur[name].persist()
-                cached.append(cur[name])
-        for name in list(aggs):
-            aggs[name] = aggs[name].persist()
-            cached.append(aggs[name])
-        if aggs and "products" in cur:
-            old_products = current(old_states["products"], by_name["products"])
-            cur["inventory_item"] = _maintain_items(spark, root, man, batch_id, cur, aggs, touched_products,
-                                                    compact_every, old_products)
-        for name, view in views_fn(cur, aggs).items():
-            vt.write_version(view, root, name, batch_id)
-            man[name] = batch_id
-        vt.commit(spark, root, batch_id, man)
-        for df in cached:
-            df.unpersist()
+            old = kept.read(batch_id, touched)
+            kept.write(_added_up(name, old.unionByName(incoming.select(*old.columns))), version, touched)
+            if name in ("sales", "promotions", "inventory"):
+                priced.update(touched)
+        self.tables["facts"].prune(batch_id)
+        self._write_facts(version, sorted(priced))
         batch.unpersist()
 
-    return handle
-
-
-def maintain(spark: SparkSession, feed_path: str, root: str, specs: list[TableSpec],
-             snapshot: Mapping[str, DataFrame], views_fn: ViewsFn, *, checkpoint: str | None = None,
-             trigger: str = "availableNow", max_files_per_trigger: int | None = None,
-             processing_time: str = "5 seconds", compact_every: int = store.COMPACT_EVERY) -> StreamingQuery:
-    """Start the maintained-view stream over parquet change files under ``feed_path``."""
-    reader = spark.readStream.schema(FEED_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    feed = reader.parquet(feed_path)
-    handler = batch_handler(spark, root, specs, snapshot, views_fn, compact_every=compact_every)
-    w = (feed.writeStream.foreachBatch(handler)
-         .option("checkpointLocation", checkpoint or f"{root.rstrip('/')}/_stream_ckpt"))
-    w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime=processing_time)
-    return w.start()
-
-
-# --------------------------------------------------------------------------- standard specs and views
-
-def pricing_specs(products: DataFrame, sales: DataFrame, promotions: DataFrame, inventory: DataFrame,
-                  cart: DataFrame | None = None) -> list[TableSpec]:
-    specs = [TableSpec("products", products.schema, ("product_id",)),
-             TableSpec("sales", sales.schema, ("sale_id",)),
-             TableSpec("promotions", promotions.schema, ("promotion_id",)),
-             TableSpec("inventory", inventory.schema, ("inventory_id",))]
-    if cart is not None:
-        specs.append(TableSpec("shopping_cart", cart.schema, None))
-    return specs
-
-
-def price_views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The live price itself is kept incrementally by the handler (store ``inventory_item``)."""
-    return {}
-
-
-def cart_views(categories: DataFrame, other_offset: int):
-    from pricetide.operators import cart as cartops
-    from pricetide.operators import hierarchy
-
-    def views(cur: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        dc = cartops.dynamic_cart(cur["shopping_cart"], cur["products"], categories, cur["inventory_item"], None,
-                                  stock=aggs["stock"])
-        totals = hierarchy.category_totals(categories, dc, other_offset=other_offset)
-        return {"dynamic_cart": io.describe_view(dc, "dynamic_cart"),
-                "category_totals": io.describe_view(totals, "category_totals")}
-
-    return views
-
-
-# --------------------------------------------------------------------------- D2: batch refresh
+    def start(self, feed_path: str, *, max_files_per_trigger: int | None = None, available_now: bool = True,
+              interval: str = "5 seconds") -> StreamingQuery:
+        """Fold the Parquet change files under ``feed_path`` as they come."""
+        reader = self.spark.readStream.schema(FEED_SCHEMA)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+        once = reader.parquet(feed_path).dropDuplicates(["change_id"])
+        writer = (once.writeStream.outputMode("append").foreachBatch(self.fold)
+                  .option("checkpointLocation", f"{self.root}/checkpoint"))
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+        return writer.start()
+
+    # ------------------------------------------------------------------ views
+
+    def version(self) -> int:
+        """Version of the last batch that Spark has committed (0: the snapshot)."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        path = jvm.Path(f"{self.root}/checkpoint/commits/*")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        done = [int(n) for n in (s.getPath().getName() for s in found) if n.isdigit()]
+        return max(done) + 1 if done else 0
+
+    def products(self, version: int) -> DataFrame:
+        return self.tables["products"].read(version).where("op <> 'D'").drop("op", "seq")
+
+    def _inputs(self, version: int) -> dict[str, DataFrame]:
+        facts = self.tables["facts"].read(version)
+        return {
+            "counts": facts.where("sale_count > 0").select("product_id", "sale_count", "sale_price_sum"),
+            "recent": facts.where("avg_price IS NOT NULL").select("product_id", "avg_price"),
+            "promo": facts.where("promotion_discount IS NOT NULL").select("product_id", "promotion_discount"),
+            "stock": facts.where("total_stock IS NOT NULL").select("product_id", "total_stock"),
+        }
+
+    def inventory_item(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        items = pricing.live_price_of(pricing.factors_from_inputs(self.products(version), self._inputs(version)))
+        return io.describe_view(items, "inventory_item")
+
+    def dynamic_cart(self, categories: DataFrame, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        lines = self.tables["shopping_cart"].read(version).where("n > 0").withColumnRenamed("n", "multiplicity")
+        view = cartops.dynamic_cart(lines, self.products(version), categories, self.inventory_item(version), None,
+                                    stock=self._inputs(version)["stock"])
+        return io.describe_view(view, "dynamic_cart")
+
+    def category_totals(self, categories: DataFrame, other_offset: int = hierarchy.OTHER_OFFSET,
+                        version: int | None = None) -> DataFrame:
+        totals = hierarchy.category_totals(categories, self.dynamic_cart(categories, version), other_offset=other_offset)
+        return io.describe_view(totals, "category_totals")
+
+
+# --------------------------------------------------------------------------- batch refresh
 
 def refresh_inventory_item(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, *,
                            as_of=None, view_name: str = "mv_inventory_item") -> DataFrame:
-    """Recompute the live price table as the next version and upsert the refresh log row.
+    """Recompute the live price table as a new copy, then log it; returns the log's newest row per view.
 
-    Returns the refresh log (view_name, last_refresh, refresh_duration) of the new version.
+    A copy counts once it is in the log, so a refresh that fails half way is never read.
     """
-    prev = vt.latest_version(spark, root)
-    version = 0 if prev is None else prev + 1
-    man = vt.manifest(spark, root, prev) if prev is not None else {}
-    t0 = time.time()
+    log_path, started = f"{root}/refresh_log", time.time()
+    before = refresh_log(spark, root)
+    last = before.where(F.col("view_name") == view_name).select("copy").first()
+    copy = last[0] + 1 if last else 0
     items = pricing.inventory_item(tables["products"], tables["sales"], tables["promotions"],
                                    tables["inventory"])
     # key-clustered serving copy: point lookups by product_id prune row groups
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    served = (io.describe_view(items, "inventory_item")
-              .repartitionByRange(n, "product_id").sortWithinPartitions("product_id"))
-    vt.write_version(served, root, "inventory_item", version)
-    duration = time.time() - t0
-    when = (F.lit(str(as_of)).cast("timestamp_ntz") if as_of is not None
-            else F.localtimestamp())
+    io.write_serving(io.describe_view(items, "inventory_item"), "product_id", f"{root}/{view_name}/copy={copy}")
+    when = (F.lit(str(as_of)).cast("timestamp_ntz") if as_of is not None else F.localtimestamp())
     row = spark.range(1).select(F.lit(view_name).alias("view_name"), when.alias("last_refresh"),
-                                F.lit(float(duration)).alias("refresh_duration"))
-    if "refresh_log" in man:
-        log = ch.upsert_log(vt.spark_read(spark, vt.table_path(root, "refresh_log", man["refresh_log"])), row)
-    else:
-        log = row
-    vt.write_version(log, root, "refresh_log", version)
-    man.update({"inventory_item": version, "refresh_log": version})
-    vt.commit(spark, root, version, man)
-    return vt.read_version(spark, root, "refresh_log", version)
+                                F.lit(float(time.time() - started)).alias("refresh_duration"), F.lit(copy).alias("copy"))
+    row.coalesce(1).write.mode("append").parquet(log_path)
+    return refresh_log(spark, root).drop("copy")
+
+
+_LOG = "view_name string, last_refresh timestamp_ntz, refresh_duration double, copy int"
+
+
+def refresh_log(spark: SparkSession, root: str) -> DataFrame:
+    """(view_name, last_refresh, refresh_duration, copy): the newest refresh of each view."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/refresh_log")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _LOG)
+    return io.latest_by_key(spark.read.schema(_LOG).parquet(f"{root}/refresh_log"), ["view_name"], ["copy"])
+
+
+def refreshed(spark: SparkSession, root: str, view_name: str = "mv_inventory_item") -> DataFrame:
+    """The newest logged copy of a view."""
+    copy = refresh_log(spark, root).where(F.col("view_name") == view_name).select("copy").first()
+    if copy is None:
+        raise ValueError(f"{view_name} has not been refreshed under {root}")
+    return spark.read.parquet(f"{root}/{view_name}/copy={copy[0]}")
 
 
 def refresh_loop(spark: SparkSession, tables_fn: Callable[[], Mapping[str, DataFrame]], root: str, *,
@@ -417,7 +302,7 @@ def refresh_loop(spark: SparkSession, tables_fn: Callable[[], Mapping[str, DataF
             try:
                 refresh_inventory_item(spark, tables_fn(), root)
                 return
-            except Exception:   # retry the whole refresh; versions make it idempotent
+            except Exception:   # retry the whole refresh; an unlogged copy is overwritten
                 if attempt == retries:
                     raise
                 time.sleep(min(2 ** attempt, 30))

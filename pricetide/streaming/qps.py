@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.schemas import QUERY_LOG
-from pricetide.streaming import store
-from pricetide.streaming import versioned as vt
+from pricetide.streaming.buckets import BUCKETS, BucketedTable
 
-# Fixed value: events later than 10 s behind the newest seen are dropped from
-# the windowed counts (the reference corrects everything; a stream must bound state).
-WATERMARK = "10 seconds"
-
-QPS_SCHEMA_DDL = "source string, window_start timestamp_ntz, window_end timestamp_ntz, n bigint, qps double"
+QPS_SCHEMA = "source string, window_start timestamp_ntz, window_end timestamp_ntz, n bigint, qps double"
 
 
 def _epoch_ntz() -> F.Column:
@@ -22,7 +17,7 @@ def _epoch_ntz() -> F.Column:
 
 
 def _as_instant(ntz) -> F.Column:
-    """TIMESTAMP_NTZ read as UTC -> TIMESTAMP (watermarks need the latter); no session zone involved."""
+    """TIMESTAMP_NTZ read as UTC -> TIMESTAMP (windows need the latter); no session zone involved."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch_ntz(), ntz))
 
 
@@ -30,52 +25,50 @@ def _as_ntz(instant) -> F.Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch_ntz())
 
 
-def windowed_counts(log: DataFrame, window: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
-    """Queries per source and tumbling window, with a watermark that bounds the state."""
+def windowed_counts(log: DataFrame, window: str = "1 minute", watermark: str | None = None) -> DataFrame:
+    """Queries per source and tumbling window.
+
+    Without a watermark every row counts however late, and the state keeps one
+    number per source and window. With one, the state is bounded by it and rows
+    later than that are dropped (``numRowsDroppedByWatermark`` in the progress).
+    """
     timed = log.withColumn("_et", _as_instant(F.col("ts")))
-    w = F.window("_et", window)
-    return (timed.withWatermark("_et", watermark)
-            .groupBy("source", w.alias("w"))
+    timed = timed.withWatermark("_et", watermark) if watermark else timed
+    return (timed.groupBy("source", F.window("_et", window).alias("w"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select("source", _as_ntz(F.col("w.start")).alias("window_start"),
                     _as_ntz(F.col("w.end")).alias("window_end"), "n"))
 
 
+def rates(spark: SparkSession, root: str, buckets: int = BUCKETS) -> BucketedTable:
+    """The table that :func:`stream_qps` maintains; windows are bucketed by their start."""
+    return BucketedTable(spark, f"{root}/rates", QPS_SCHEMA, "window_start", buckets)
+
+
+def read_qps(spark: SparkSession, root: str, buckets: int = BUCKETS) -> DataFrame:
+    return rates(spark, root, buckets).read(1 << 31)
+
+
 def stream_qps(spark: SparkSession, log_path: str, root: str, *, window: str = "1 minute",
-               window_seconds: float = 60.0, watermark: str = WATERMARK,
-               max_files_per_trigger: int | None = 1, trigger: str = "availableNow",
-               compact_every: int = store.COMPACT_EVERY) -> StreamingQuery:
-    """Windowed counts in *update* mode, upserted per micro-batch into a versioned table.
-
-    Update mode emits a window's running count whenever it changes; the upsert
-    keeps the newest count per (source, window), so the table is complete even
-    for windows the watermark has not closed yet, while Spark's state only
-    holds windows newer than the watermark.
-    """
+               window_seconds: float = 60.0, watermark: str | None = None, buckets: int = BUCKETS,
+               max_files_per_trigger: int | None = None, trigger: str = "availableNow") -> StreamingQuery:
+    """Windowed counts in *update* mode: a batch replaces the rows of the windows it changed."""
     reader = spark.readStream.schema(QUERY_LOG)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     counts = windowed_counts(reader.parquet(log_path), window, watermark)
-
-    cols = counts.columns + ["qps"]
-    keys = ("source", "window_start")
-
-    def empty() -> DataFrame:
-        return spark.createDataFrame([], counts.schema).withColumn("qps", F.lit(None).cast("double"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        # update mode emits the running count of every window the batch touched;
-        # the newest batch wins per (source, window), kept as base + small deltas
-        _, man = vt.latest_manifest(spark, root, below=batch_id)
-        entry = man.get("qps", store.empty_entry())
-        delta = batch.select(*counts.columns, (F.col("n") / F.lit(float(window_seconds))).alias("qps"),
-                             F.lit(batch_id).cast("bigint").alias("_seq"), F.lit("U").alias("_op"))
-        entry = store.add_delta(spark, root, "qps", entry, delta, batch_id, compact_every=compact_every,
-                                compact=lambda e: store.state_of(spark, root, "qps", e, cols, keys, empty))
-        entry.update({"cols": cols, "keys": list(keys)})
-        vt.commit(spark, root, batch_id, {"qps": entry})
-
-    w = (counts.writeStream.outputMode("update").foreachBatch(upsert)
+    table = rates(spark, root, buckets)
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.withColumn("qps", F.col("n") / F.lit(float(window_seconds))).persist()
+        table.prune(batch_id - 1)
+        touched = table.touched(fresh)
+        if touched:
+            old = table.read(batch_id - 1, touched).join(fresh, ["source", "window_start"], "left_anti")
+            table.write(old.unionByName(fresh.select(*old.columns)), batch_id, touched)
+        fresh.unpersist()
+
+    w = (counts.writeStream.outputMode("update").foreachBatch(replace)
          .option("checkpointLocation", f"{root.rstrip('/')}/_qps_ckpt"))
     w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime="1 second")
     return w.start()

@@ -1,19 +1,13 @@
-"""Invariants on the derived tables and randomized change sequences (stream == batch)."""
+"""Invariants on the derived tables."""
 
-import datetime as dt
-import json
-import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide import schemas
 from pricetide.operators import cart as cartops
-from pricetide.operators import changes, hierarchy, pricing
+from pricetide.operators import hierarchy, pricing
 from pricetide.sources.testdata import retail_tables
-from pricetide.streaming import maintain as mt
-from pricetide.streaming import versioned as vt
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,80 +63,3 @@ def test_popularity_band_monotone(views, spark):
     for lst in per_cat.values():
         lst.sort()
         assert all(a[1] <= b[1] for a, b in zip(lst, lst[1:]))
-
-
-# --------------------------------------------------------------------------- randomized change sequences
-
-T0 = dt.datetime(2024, 1, 1)
-
-
-def _base(spark):
-    prods = spark.createDataFrame([(i, f"p{i}", Decimal(f"{10 + i}.00"), 100 + i % 3, 1, True, T0)
-                                   for i in range(1, 9)], schemas.PRODUCTS)
-    sales = spark.createDataFrame([(i, 1 + i % 8, Decimal(f"{5 + i % 7}.0000"), T0 + dt.timedelta(hours=i),
-                                    Decimal(f"{5 + i % 7}.00")) for i in range(40)], schemas.SALES)
-    promos = spark.createDataFrame([(1, 2, Decimal("10.00"), T0, T0, True, T0)], schemas.PROMOTIONS)
-    inv = spark.createDataFrame([(i, i, 3 * i, 1, T0) for i in range(1, 9)], schemas.INVENTORY)
-    return {"products": prods, "sales": sales, "promotions": promos, "inventory": inv}
-
-
-def _random_changes(rnd, n):
-    out, seq = [], 1000
-    for _ in range(n):
-        seq += rnd.randrange(1, 5)
-        kind = rnd.choice(["products", "sales", "promotions", "inventory"])
-        op = rnd.choice(["I", "U", "U", "D"])
-        if kind == "products":
-            pid = rnd.randrange(1, 11)
-            p = {"product_id": pid, "product_name": rnd.choice(["cheap x", f"p{pid}", "Y"]),
-                 "base_price": f"{rnd.randrange(1, 50)}.00", "category_id": 100 + rnd.randrange(0, 3),
-                 "supplier_id": 1, "available": True, "last_update_time": "2024-01-03T00:00:00.000000"}
-        elif kind == "sales":
-            p = {"sale_id": rnd.randrange(0, 60), "product_id": rnd.randrange(1, 11),
-                 "sale_price": f"{rnd.randrange(1, 20)}.0000",
-                 "sale_date": f"2024-01-0{rnd.randrange(1, 9)}T00:00:00.000000", "price": f"{rnd.randrange(1, 20)}.00"}
-        elif kind == "promotions":
-            p = {"promotion_id": rnd.randrange(1, 6), "product_id": rnd.randrange(1, 11),
-                 "promotion_discount": f"{rnd.randrange(0, 60)}.00", "start_date": "2024-01-01T00:00:00.000000",
-                 "end_date": "2024-01-09T00:00:00.000000", "active": rnd.random() < 0.7,
-                 "updated_at": "2024-01-01T00:00:00.000000"}
-        else:
-            p = {"inventory_id": rnd.randrange(1, 12), "product_id": rnd.randrange(1, 11),
-                 "stock": rnd.randrange(0, 40), "warehouse_id": 1, "restock_date": "2024-01-01T00:00:00.000000"}
-        out.append((kind, op, seq, p))
-    return out
-
-
-KEYS = {"products": ["product_id"], "sales": ["sale_id"], "promotions": ["promotion_id"],
-        "inventory": ["inventory_id"]}
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_change_sequences_stream_equals_batch(spark, scratch, seed):
-    rnd = random.Random(seed)
-    base = _base(spark)
-    chs = _random_changes(rnd, 30)
-    rnd.shuffle(chs)                                   # files arrive in any order
-    batches = [chs[i:i + 10] for i in range(0, len(chs), 10)]
-    specs = mt.pricing_specs(base["products"], base["sales"], base["promotions"], base["inventory"])
-    h = mt.batch_handler(spark, scratch, specs, base, mt.price_views, compact_every=3)
-    for b, rows in enumerate(batches):
-        feed = spark.createDataFrame([(k, op, s, json.dumps(p)) for k, op, s, p in rows], mt.FEED_SCHEMA)
-        h(feed, b)
-        if b == 1:
-            h(feed, b)                                 # a replayed batch changes nothing
-    got = {r["product_id"]: r["live_price"] for r in vt.read_latest(spark, scratch, "inventory_item").collect()}
-
-    final = {}
-    for name, df in base.items():
-        spec = next(s for s in specs if s.name == name)
-        rows = [(op, s, *[p.get(f) for f in spec.schema.fieldNames()]) for k, op, s, p in chs if k == name]
-        if rows:
-            ch = spark.createDataFrame(rows, f"op string, seq bigint, {', '.join(f'{f.name} string' for f in spec.schema.fields)}")
-            ch = ch.select("op", "seq", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields])
-            final[name] = changes.apply_changes(df, ch, KEYS[name])
-        else:
-            final[name] = df
-    expect = {r["product_id"]: r["live_price"] for r in pricing.inventory_item(
-        final["products"], final["sales"], final["promotions"], final["inventory"]).collect()}
-    assert got == expect
