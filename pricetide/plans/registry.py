@@ -438,27 +438,27 @@ def _rounds_sql(rounds, per_round, tag):
 @query("gen_sales", with_tables(f"""
 SELECT p.product_id * 1000000 + r.rnd AS sale_id, p.product_id, {_cents_sql('sp', 800)} AS sale_price,
        {_shift_sql('sd', 365)} AS sale_date, {_cents_sql('p', 1000)} AS price
-{_rounds_sql(5, None, 'sales')}"""))
+{_rounds_sql(100, None, 'sales')}"""))
 def q_gen_sales(spark, d):
-    return datagen.gen_sales(retail_tables(spark, d).products, rounds=5, per_round=None)
+    return datagen.gen_sales(retail_tables(spark, d).products, rounds=100, per_round=None)
 
 
 @query("gen_promotions", with_tables(f"""
 SELECT p.product_id * 1000000 + r.rnd AS promotion_id, p.product_id, {_cents_sql('d', 50)} AS promotion_discount,
        {_shift_sql('s', 30)} AS start_date, {_shift_sql('e', 30, '+')} AS end_date, {_u('a')} < 0.3 AS active,
        {_shift_sql('u', 30)} AS updated_at
-{_rounds_sql(5, 1000, 'promo')}"""))
+{_rounds_sql(5, None, 'promo')}"""))
 def q_gen_promotions(spark, d):
-    return datagen.gen_promotions(retail_tables(spark, d).products, rounds=5, per_round=1000)
+    return datagen.gen_promotions(retail_tables(spark, d).products, rounds=5, per_round=None)
 
 
 @query("gen_inventory", with_tables(f"""
 SELECT p.product_id * 1000000 + r.rnd AS inventory_id, p.product_id,
        CAST(floor({_u('st')} * 1001) AS INTEGER) AS stock, CAST(2 + floor({_u('w')} * 5) AS BIGINT) AS warehouse_id,
        {_shift_sql('r', 30)} AS restock_date
-{_rounds_sql(5, 2000, 'inv')}"""))
+{_rounds_sql(5, None, 'inv')}"""))
 def q_gen_inventory(spark, d):
-    return datagen.gen_inventory(retail_tables(spark, d).products, rounds=5, per_round=2000)
+    return datagen.gen_inventory(retail_tables(spark, d).products, rounds=5, per_round=None)
 
 
 # --------------------------------------------------------------------------- M1, C1-C8
