@@ -98,6 +98,20 @@ def expand_bag(bag: DataFrame, chunk: int = 10_000) -> DataFrame:
             .drop("_u"))
 
 
+# --------------------------------------------------------------------------- filters and inserts by key
+
+def exclude_ids(df: DataFrame, col: str, ids: Sequence[int]) -> DataFrame:
+    """Rows whose ``col`` is set and none of ``ids`` (a short list of literals)."""
+    kept = df.filter(F.col(col).isNotNull())
+    return kept.filter(~F.col(col).isin([int(i) for i in ids])) if ids else kept
+
+
+def insert_new(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``base`` and those ``rows`` whose key it doesn't have yet (INSERT .. ON CONFLICT DO NOTHING)."""
+    fresh = rows.join(base.select(*keys), list(keys), "left_anti")
+    return base.unionByName(fresh.select(*base.columns))
+
+
 # --------------------------------------------------------------------------- ids
 
 def next_ids(base: DataFrame, rows: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
@@ -233,7 +247,7 @@ def add_to_cart(cart: DataFrame, products: DataFrame, inventory: DataFrame, *, a
 
 def cart_delete(cart: DataFrame, *, seed: int = 42, smallest: bool = False, keep_product: int = 1) -> DataFrame:
     """Delete every cart line whose ts equals the ts of one line of another product than 1."""
-    cand = cart.filter(F.col("product_id") != F.lit(keep_product)).select("ts", "product_id")
+    cand = exclude_ids(cart, "product_id", [keep_product]).select("ts", "product_id")
     pick = random_row(cand, seed, ["ts", "product_id"], smallest=smallest).select("ts")
     return cart.join(F.broadcast(pick), "ts", "left_anti")   # one row
 

@@ -334,6 +334,32 @@ def q_audit_fk(spark, d):
     return out
 
 
+@query("audit_fk_orphans", with_tables("""
+SELECT 'sales' AS table_name, 'product_id' AS column_name, product_id AS value, count(*) AS n FROM sales
+WHERE product_id NOT IN (SELECT product_id FROM products WHERE available) GROUP BY product_id"""))
+def q_audit_fk_orphans(spark, d):
+    """The same audit where it finds something: sales of products that are not available."""
+    t = retail_tables(spark, d)
+    return io.audit_fk(t.sales, "product_id", t.products.where("available"), "product_id", "sales")
+
+
+@query("exclude_ids", with_tables("""
+SELECT product_id, category_id FROM products WHERE category_id IS NOT NULL AND category_id NOT IN (101, 1002, 1013)"""))
+def q_exclude_ids(spark, d):
+    return changes.exclude_ids(retail_tables(spark, d).products.select("product_id", "category_id"),
+                               "category_id", [101, 1002, 1013])
+
+
+@query("insert_new", with_tables("""
+SELECT product_id, stock FROM (SELECT product_id, max(stock) AS stock FROM inventory GROUP BY product_id)
+UNION ALL SELECT product_id, 0 FROM products WHERE product_id NOT IN (SELECT product_id FROM inventory)"""))
+def q_insert_new(spark, d):
+    """Products without stock get a row, the others keep theirs."""
+    t = retail_tables(spark, d)
+    held = t.inventory.groupBy("product_id").agg(F.max("stock").alias("stock"))
+    return changes.insert_new(held, t.products.select("product_id", F.lit(0).alias("stock")), ["product_id"])
+
+
 _NN_TABLES = ("products", "sales", "inventory", "promotions", "shopping_cart", "categories")
 
 
@@ -851,14 +877,14 @@ WITH e AS (
   SELECT q.source, q.ts, (epoch_us(q.ts) - epoch_us(p.last_update_time)) / 1e3 AS end_to_end_ms
   FROM query_log q JOIN products p ON q.product_id = p.product_id
   QUALIFY row_number() OVER (PARTITION BY q.source ORDER BY q.ts DESC, q.seq DESC) = 1)
-SELECT source, CAST(NULL AS DOUBLE) AS age, end_to_end_ms AS last_age, ts AS last_ts,
-       end_to_end_ms + (epoch_us({_AS_OF_SQL}) - epoch_us(ts)) / 1e3 AS age_ms
+SELECT source, CASE WHEN source < 'd' THEN end_to_end_ms END AS age, end_to_end_ms AS last_age, ts AS last_ts,
+       coalesce(age, end_to_end_ms + (epoch_us({_AS_OF_SQL}) - epoch_us(ts)) / 1e3) AS age_ms
 FROM e"""))
 def q_extrapolate_age(spark, d):
     t = retail_tables(spark, d)
     rt = metrics.reaction_time(t.query_log, t.products)
     last = rt.groupBy("source").agg(F.max_by(F.struct("ts", "end_to_end_ms"), F.struct("ts", "seq")).alias("_l"))
-    df = last.select("source", F.lit(None).cast("double").alias("age"),
+    df = last.select("source", F.when(F.col("source") < "d", F.col("_l.end_to_end_ms")).alias("age"),
                      F.col("_l.end_to_end_ms").alias("last_age"), F.col("_l.ts").alias("last_ts"))
     return metrics.extrapolate_age(df, AS_OF, "age", "last_age", "last_ts")
 
@@ -921,6 +947,12 @@ def q_hydrated(spark, d):
     return metrics.is_hydrated(c.select(F.col("price").isNotNull().alias("hydrated")))
 
 
+@query("hydrated_not", carted("SELECT bool_and(price < 1000) AS hydrated FROM dynamic_cart"))
+def q_hydrated_not(spark, d):
+    c = _cart(retail_tables(spark, d))
+    return metrics.is_hydrated(c.select((F.col("price") < 1000).alias("hydrated")))
+
+
 def _stat_sql(value, scale, prefix):
     """max, mean and p99 (the max below 100 values) of a column, as three output columns."""
     return f"""max({value}) AS {prefix}max, sum({value}::DECIMAL(38,{scale}))::DOUBLE / count({value}) AS {prefix}mean,

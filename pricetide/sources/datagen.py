@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions.rand import uniform
+from pricetide.operators.changes import insert_new
 from pricetide.operators.ordering import global_position
 
 # Fixed values of the generator: name suffix by id % 5, 10 categories,
@@ -68,7 +69,7 @@ def gen_products(spark: SparkSession, n: int, *, seed: int = 42, as_of="2024-01-
     )
     if existing is None:
         return gen
-    return existing.unionByName(gen.join(existing.select("product_id"), "product_id", "left_anti"))
+    return insert_new(existing, gen, ["product_id"])
 
 
 def _rounds(products: DataFrame, rounds: int, per_round: int | None, seed: int, tag: str) -> DataFrame:
