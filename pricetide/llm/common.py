@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import gc
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 from pricetide.session import scratch_path
 
 #: Text handled at once inside a task, whatever the size of an Arrow batch.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
+
+
+ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1800
 
 
 class Scratch:
@@ -28,11 +33,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # texts are long: where the session has no size of its own for Arrow batches, they hold fewer rows
+        if spark.conf.get(ARROW_ROWS) == "10000":
+            spark.conf.set(ARROW_ROWS, TEXTS_PER_BATCH)
         self.base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -66,18 +74,21 @@ def strings(column: pa.Array) -> pa.Array:
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start .. start + size - 1 of each pair, one after another."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 # --------------------------------------------------------------------------- token ids
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else one from 256 up."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in seen]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def _byte_letters() -> str:
+    """The letters that stand for bytes 0 to 255 in a byte-level vocabulary: visible ones themselves, others from 256 up."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return "".join(chr(b if b in seen else next(more)) for b in range(256))
 
 
 class Encoder:
@@ -91,40 +102,57 @@ class Encoder:
     """
 
     #: Words remembered in a task; beyond it the memory starts anew.
-    KNOWN = 300_000
+    KNOWN = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+        gc.set_threshold(200_000, 50, 1000)            # the many small objects here hold no cycles
 
-    def _whole(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}                # word -> its number in the arrays below
+        self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word of letters; the whole library where case or composition depend on more than single letters."""
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _spelled(self, word: str) -> str | None:
+        """A word of letters as the model reads it; None where case or composition depend on more than single letters."""
         low = word.lower()
-        if not low.isascii():
-            if "\u03a3" in word or not low.isalpha() or not unicodedata.is_normalized("NFC", word):
-                return self._whole([word])[0]
-            low = low.encode().decode("latin-1").translate(self.letters)
-        return tuple([t.id for t in self.model.tokenize(low)])
+        if "\u03a3" in word or not low.isalpha() or not unicodedata.is_normalized("NFC", word):
+            return None
+        return codecs.charmap_decode(low.encode(), "strict", self.letters)[0]
 
-    def _ids(self, words: list[str], letters: list[bool]) -> list[tuple[int, ...]]:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in ``ids`` and ``size``, new words appended."""
         if len(self.known) > self.KNOWN:
-            self.known.clear()
-        known = self.known
-        hard = [w for w, plain in zip(words, letters) if not plain and w not in known]
-        known.update(zip(hard, self._whole(hard)))
-        for word, plain in zip(words, letters):
-            if plain and word not in known:
-                known[word] = self._word(word)
-        return [known[w] for w in words]
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's begin (one more entry than texts)."""
+            self._forget()
+        known, tokenize = self.known, self.model.tokenize
+        new = [w for w in words if w not in known]
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        own = [[t.id for t in tokenize(w.lower())] for w in plain]
+        hard = []
+        for word in new if len(plain) < len(new) else ():
+            if not word.isascii():
+                spelled = self._spelled(word) if word.isalpha() else None
+                if spelled is not None:
+                    plain.append(word)
+                    own.append([t.id for t in tokenize(spelled)])
+                    continue
+            elif word.isalpha():
+                continue
+            hard.append(word)
+        own += self._whole(hard)
+        known.update(zip(plain + hard, range(len(self.size), len(self.size) + len(own))))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.int32)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, own), np.int32, len(own))])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin (one more entry than texts); ``end`` is put behind each text."""
         texts = strings(texts)
         if not pc.any(pc.match_substring(texts, "<|")).as_py():     # else capitals may hide a special token
             texts = pc.ascii_lower(texts)
@@ -135,21 +163,30 @@ class Encoder:
         bare = pc.utf8_slice_codeunits(each, 0, -1)
         split = pc.and_(pc.or_(pc.ends_with(each, "."), pc.ends_with(each, ",")), pc.utf8_is_alpha(bare))
         core = pc.if_else(split, bare, each).dictionary_encode()
-        own = self._ids(core.dictionary.to_pylist(), [w.isalpha() for w in core.dictionary.to_pylist()])
-        tails = self._ids([".", ","], [False, False])
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(chain.from_iterable(chain(own, tails)), np.int32)
-        begin = np.cumsum(size) - size
-        at = core.indices.to_numpy(zero_copy_only=False)
-        tail = np.where(split.to_numpy(zero_copy_only=False), np.where(pc.ends_with(each, ","), 1, 0), -1)
-        # a word's ids: those of its letters, then of the point or comma behind them (one id each)
-        begin = np.stack([begin[at], len(flat) - 2 + np.maximum(tail, 0)], 1).ravel()
-        size = np.stack([size[at], tail >= 0], 1).astype(np.int64)
-        flat, size = flat[ranges(begin, size.ravel())], size.sum(1)
-        which = coded.indices.to_numpy(zero_copy_only=False)
+        own = self._numbers([*core.dictionary.to_pylist(), ".", ","])
+        point, comma = own[-2:]
+        tail = np.where(pc.ends_with(each, ",").to_numpy(zero_copy_only=False), comma, point)
+        begin, split = np.cumsum(self.size) - self.size, split.to_numpy(zero_copy_only=False)
+        # a word's ids: those of its letters, then of the point or comma behind them
+        parts = np.stack([own[core.indices.to_numpy(zero_copy_only=False)], tail], 1)
+        size = self.size[parts] * np.stack([np.ones(len(split), bool), split], 1)
+        flat, size = self.ids[ranges(begin[parts].ravel(), size.ravel())], size.sum(1, dtype=np.int32)
+        which, cut = coded.indices.to_numpy(zero_copy_only=False), cut - cut[0]
+        del texts, words, coded, each, bare, core, parts, begin
+        if end is not None:
+            which = np.insert(which, cut[1:], len(size))
+            cut = cut + np.arange(len(cut))
+            flat, size = np.append(flat, np.int32(end)), np.append(size, np.int32(1))
         sizes = size[which]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return flat[ranges((np.cumsum(size) - size)[which], sizes)], total[cut - cut[0]]
+        total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cut]
+        starts = (np.cumsum(size) - size).astype(np.int32)[which]
+        return flat[ranges(starts, sizes)], total
+
+
+def binaries(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The stretches of an array between the entries of ``begin``, as binary values without a copy of each."""
+    at = pa.py_buffer((begin * data.itemsize).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 # --------------------------------------------------------------------------- word hashes

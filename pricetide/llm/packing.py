@@ -159,16 +159,16 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_i
         encode, seen = Encoder(tokenizer_path), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in slices(batches, "text"):
-            ids, begin = encode(batch.column("text"))
-            size = np.diff(begin) + 1
-            ids = np.insert(ids, begin[1:], end_id).astype("<u4")
+            ids, begin = encode(batch.column("text"), end_id)
+            size, ids = np.diff(begin), ids.astype("<u4")
             pieces = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), pieces)
             number = count_up(pieces)
             start = number * capacity
             length = np.minimum(capacity, size[row] - start)
             lo = (np.cumsum(size) - size)[row] + start
-            parts = [ids[a:b].tobytes() for a, b in zip(lo.tolist(), (lo + length).tolist())]
+            whole = memoryview(ids).cast("B")
+            parts = [whole[4 * a:4 * b] for a, b in zip(lo.tolist(), (lo + length).tolist())]
             order = np.argsort(length, kind="stable")
             nth = np.empty(len(length), np.int64)
             nth[order] = count_up(np.unique(length, return_counts=True)[1])
@@ -179,7 +179,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_i
                     pa.array(np.full(len(row), part), pa.int32()), pa.array(nth)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             if with_ids:
-                cols.append(pa.array(parts, pa.binary()))
+                cols.append(pa.array(map(bytes, parts), pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
