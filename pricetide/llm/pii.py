@@ -42,7 +42,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLES = "|".join((*FEMALE, *MALE))
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 _EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+")
-_IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+_IP = rf"(?<![\p{{L}}\p{{N}}])(?<![0-9]\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 _SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 _PHONE = (r"(?<![\p{L}\p{N}+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
           r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])")
@@ -129,6 +129,14 @@ def _last(script: str, part: str, ending: str) -> str:
     return ending if part == "surname" else _SYLLABLES[script][0][6] + ending
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap condition that every text with an entity meets: an at sign, a digit, or a title."""
+    out = text.rlike("[@0-9]")
+    for title in ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Mme", "Monsieur"):
+        out = out | text.contains(title)
+    return out
+
+
 def parts(match: Column) -> Column:
     """The entities in a match: an array of (kind, canonical value); a name has one or two, in their order."""
     name = F.trim(F.regexp_replace(match, rf"^(?:{_TITLES})\.? ", ""))
@@ -187,7 +195,7 @@ def replace(spark: SparkSession, docs: DataFrame, *, key: str = KEY) -> DataFram
     """doc_id, text with every entity replaced, and n_entities, for every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(spark, "pii")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
+    has = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(ENTITY), F.lit(False))
     ids = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]
     found = scratch.write(rows.where(has).select(*ids, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("m"))
                           .dropDuplicates(["k1", "k2"]), "found")
