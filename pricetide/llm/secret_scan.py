@@ -10,7 +10,7 @@ overlap no base span are added as kind ``crf``.
 
 Training takes windows of at most WINDOW characters around the first span of at
 most TRAIN_DOCS texts with base spans, and the first WINDOW characters of as
-many texts without (those with the smallest hash of their text); the tokens of
+many texts without (those with the smallest checksum of their text); the tokens of
 base spans are the examples. These bounds hold for training alone: scanning
 reads whole texts.
 
@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +38,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bytes_of, hash_runs, runs_of, slices, strings
+from .common import Scratch, bytes_of, hash_runs, runs_of, slices, strings
 
 TRAIN_DOCS, WINDOW = 400, 2000
 KINDS = ("assign", "access", "hex", "crf")
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 #: The base patterns. A match counts if the named group is long enough.
 _WORD = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -63,6 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+_FIRST = re.compile(_ANY)
 _LONG_HEX = re.compile("[0-9a-f]{24,}")
 
 
@@ -281,14 +284,33 @@ def gold_states(texts: list[str], data, offsets, start, end) -> np.ndarray:
 
 def train(spark: SparkSession, docs: DataFrame, *, texts: int = TRAIN_DOCS, window: int = WINDOW) -> Field:
     """Fit the field on windows of at most ``texts`` texts with base spans and as many without."""
-    lines = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    marked = (lines.select(F.xxhash64("text").alias("h"), F.col("text").rlike(_ANY).alias("found"),
-                           F.substring("text", F.greatest(F.lit(1), F.regexp_instr("text", F.lit(_ANY)) - window // 2),
-                                       F.lit(window)).alias("piece")))
-    parts = []
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bool, dict[tuple[int, str], None]] = {True: {}, False: {}}
+        for batch in slices(batches, "text", PIECE):
+            column = strings(batch.column("text"))
+            marked = pc.match_substring_regex(column, _ANY).to_numpy(zero_copy_only=False)
+            for text, found in zip(column, marked.tolist()):
+                kept, h = best[found], zlib.crc32(text.as_buffer())
+                if len(kept) < 2 * texts or h < limit[found]:
+                    value = text.as_py()
+                    at = max(0, _FIRST.search(value).start() - window // 2) if found else 0
+                    kept[h, value[at:at + window]] = None
+                    if len(kept) >= 4 * texts:
+                        best[found] = dict.fromkeys(sorted(kept)[:2 * texts])
+                        limit[found] = max(best[found])[0]
+        for found, kept in best.items():
+            rows = sorted(kept)[:texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([found] * len(rows), pa.bool_()), pa.array([h for h, _ in rows], pa.int64()),
+                 pa.array([piece for _, piece in rows], pa.string())], ["found", "h", "piece"])
+
+    limit = {True: 1 << 32, False: 1 << 32}
+    picked = Scratch(spark, "secret-scan").write(
+        docs.select("text").mapInArrow(pick, "found boolean, h bigint, piece string"), "picked")
+    parts: list[str] = []
     for found in (True, False):                        # at most `texts` windows of `window` characters each
-        parts += [r["piece"] for r in marked.where(F.col("found") == found).orderBy("h", "piece")
-                  .select("piece").limit(texts).collect()]
+        parts += [r["piece"] for r in picked.where(F.col("found") == found).distinct().orderBy("h", "piece")
+                  .limit(texts).collect()]
     parts = sorted(set(parts))
     data, offsets, start, end, features = tokens(pa.array(parts, pa.string()))
     first = np.searchsorted(start, offsets)
