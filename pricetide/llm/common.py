@@ -218,7 +218,7 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """A 64-bit hash of the bytes data[start:end] of each run, from one running polynomial sum."""
     global _POW, _POW_INV
     if len(_POW) <= len(data):
-        n = 1 << int(len(data)).bit_length()
+        n = (len(data) // (1 << 18) + 1) << 18
         _POW, _POW_INV = _powers(_P, n), _powers(_INV, n)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POW[:len(data)], out=total[1:])

@@ -36,7 +36,7 @@ VOCABULARY = 60_000
 #: Weight of the bigram's relative frequency; the rest is the smoothed word frequency.
 LAMBDA, ALPHA = 0.7, 0.5
 UNKNOWN, START, FIRST = 0, 1, 2
-PIECE, PIECES = 4 << 20, 4                             # bytes hashed at once, pieces in a chunk
+PIECE, PIECES = 1 << 20, 16                           # bytes hashed at once, pieces in a chunk
 BUCKET_WORDS, BUCKETS = 4_000_000, 48
 
 

@@ -41,7 +41,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Hashes of a signature at most.
 HASHES = 128
 BLOCK = 128
-HASH_SLICE = 4 << 20
+HASH_SLICE = 1 << 20
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

@@ -40,7 +40,7 @@ KEPT = 1500
 LEAST_TEXTS, LEAST_G = 4, 20.0
 FOLDS = 4
 THRESHOLD = 0.5
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 #: Words by which a toxic text counts as an example of the first two categories.
 INSULT = ("idiot", "moron", "loser", "clown", "scum", "trash")
