@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pricetide.session import scratch_path
 
 #: Text handled at once inside a task, whatever the size of an Arrow batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 
 
-ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1800
+ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 
 
 class Scratch:
@@ -77,7 +77,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 31 else np.int64
-    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    ends -= sizes
+    np.subtract(starts, ends, out=ends)
+    out = np.repeat(ends.astype(kind), sizes)
     out += np.arange(total, dtype=kind)
     return out
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Encoder, Scratch, slices
+from .common import Encoder, Scratch, binaries, slices
 
 MAX_BITS = 18
 BLOCK = 1 << 18
@@ -84,14 +84,16 @@ def canonical(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(ids: np.ndarray, bits: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of ``ids`` in big-endian order, and where every CHECKPOINT-th id begins."""
     size = bits[ids]
-    end = np.cumsum(size)
+    end = np.cumsum(size, dtype=np.int64)
     begin = end - size
-    word, shift = begin >> 5, (64 - size - (begin & 31)).astype(np.uint64)
+    word, shift = begin >> 5, (64 - size - (begin & 31)).view(np.uint64)
     put = codes[ids] << shift
     out = np.zeros((int(end[-1]) + 31) // 32 + 2, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    out[word[first]] += np.add.reduceat(put >> np.uint64(32), first)
-    out[word[first] + 1] += np.add.reduceat(put & np.uint64(0xFFFFFFFF), first)
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    # ids that begin in one 32-bit word: their bits there and in the next word don't overlap, so sums join them
+    joined, at = np.add.reduceat(put, first), word[first]
+    out[at] += joined >> np.uint64(32)
+    out[at + 1] += joined & np.uint64(0xFFFFFFFF)
     return out.astype(">u4").tobytes()[:(int(end[-1]) + 7) // 8], begin[::CHECKPOINT].astype("<u4")
 
 
@@ -147,32 +149,33 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder:
     scratch = Scratch(spark, "huffman")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder, total = Encoder(tokenizer_path), np.zeros(vocabulary, np.int64)
         for batch in slices(batches, "text"):
-            ids, begin = encoder(batch.column("text"))
-            ids = np.insert(ids, begin[1:], end_id).astype("<u4")
-            cut = begin + np.arange(len(begin))
-            small = ids.astype("<u2") if vocabulary <= 1 << 16 else ids
-            rows = [small[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows, pa.binary()), pa.array(np.diff(cut))], ["doc_id", "ids", "n"])
+            ids, begin = encoder(batch.column("text"), end_id)
+            total += np.bincount(ids, minlength=vocabulary)
+            rows = binaries(ids.astype(width), begin)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.nulls(len(rows), pa.binary())], names_)
+        # one more row a task: how often it has seen each id
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([total.astype("<u8").tobytes()], pa.binary())], names_)
 
     from tokenizers import Tokenizer
+    names_ = ["doc_id", "ids", "seen"]
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    coded = scratch.write(source.mapInArrow(tokens, "doc_id bigint, ids binary, n bigint"), "ids")
+    coded = scratch.write(source.mapInArrow(tokens, "doc_id bigint, ids binary, seen binary"), "ids")
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for row in batch.column("ids"):
-                total += np.bincount(np.frombuffer(row.as_buffer(), width), minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+            for row in batch.column("seen"):
+                total += np.frombuffer(row.as_buffer(), "<u8").astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for i, n in (coded.select("ids").mapInArrow(histogram, "id bigint, n bigint")
+    for i, n in (coded.where("seen IS NOT NULL").select("seen").mapInArrow(add_up, "id bigint, n bigint")
                  .groupBy("id").agg(F.sum("n")).collect()):       # at most one row an id of the vocabulary
         counts[i] = n
     bits = code_lengths(counts, max_bits)
@@ -215,7 +218,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
              pa.binary(), pa.binary()]
     parts = max(1, -(-int(counts.sum()) // RANGE_IDS))
-    (coded.drop("n").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    (coded.where("seen IS NULL").drop("seen").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
      .mapInArrow(blocks, "part int, block int, first_doc bigint, n int, skip bigint, doc_ids array<bigint>, "
                          "sizes array<int>, checkpoints binary, payload binary")
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
@@ -241,7 +244,8 @@ def read_ids(spark: SparkSession, folder: str, *, with_ids: bool = False) -> Dat
             for row in batch.to_pylist():
                 ids = decode(row["payload"], np.frombuffer(row["checkpoints"], "<u4"), row["n"]).astype("<u4")
                 end = np.cumsum(row["sizes"])
-                runs = [ids[a:b].tobytes() for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
+                whole = memoryview(ids).cast("B")
+                runs = [whole[4 * a:4 * b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
                 k = len(runs)
                 cols = [pa.array(np.full(k, row["part"]), pa.int32()), pa.array(row["first_doc"] + np.arange(k)),
                         pa.array([row["skip"]] + [0] * (k - 1), pa.int64()), pa.array(end - row["sizes"], pa.int64()),
@@ -249,7 +253,7 @@ def read_ids(spark: SparkSession, folder: str, *, with_ids: bool = False) -> Dat
                         pa.array([zlib.crc32(x) for x in runs], pa.int64()),
                         pa.array(np.full(k, row["block"]), pa.int32())]
                 if with_ids:
-                    cols.append(pa.array(runs, pa.binary()))
+                    cols.append(pa.array(map(bytes, runs), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["part", "nth", "first", "inside", "doc_id", "n", "crc32", "block", *(["ids"] if with_ids else [])]
