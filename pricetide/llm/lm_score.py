@@ -1,18 +1,21 @@
 """Cross-entropy difference of documents under a target and a background language model.
 
-Both are bigram models over one vocabulary, the VOCABULARY most frequent words
-of all documents (others are one unknown word), with the same interpolation
-and smoothing; the background's smoothing is scaled to its size, so the models
-are matched. A document's score is its loss per word under the target model
-minus that under the background model: the lower, the more like the target.
+Both are bigram models over one vocabulary, all different words of all
+documents, with the same interpolation and smoothing; the background's
+smoothing is scaled to its size, so the models are matched. A document's score
+is its loss per word under the target model minus that under the background
+model: the lower, the more like the target. Words that no document holds share
+one unknown word's smoothing.
 
 The background is every document, the target every document of the labelled
-choice; counts cover all of them. Texts become word numbers once, in chunks of
-some megabytes. A chunk sends its different bigrams with their counts to
-buckets of the bigrams' hash; a bucket adds them up over all chunks and sends
-every chunk the totals of its own bigrams back, by which the chunk scores its
-documents. So no model is ever in one place, a frequent bigram costs one entry
-a chunk, and what is shuffled grows with the different bigrams of the chunks.
+choice; counts cover all of them. Texts become 64-bit word hashes once, in
+chunks of some megabytes that list their different words. A chunk sends its
+different bigrams, words and contexts with their counts to buckets of their
+keys' hash; a bucket adds them up over all chunks and sends every chunk the
+totals of its own back, with the bucket's number of different words and of
+tokens, by which the chunk scores its documents. So no model is ever in one
+place, a frequent bigram costs one entry a chunk, and what is shuffled grows
+with the different bigrams of the chunks.
 
 Null and empty texts have no words: losses and score are null. Rows with equal
 doc_id are scored each for itself, and are target documents together. Without
@@ -32,14 +35,33 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hash_runs, mix64, slices, words_of
 
-VOCABULARY = 60_000
 #: Weight of the bigram's relative frequency; the rest is the smoothed word frequency.
 LAMBDA, ALPHA = 0.7, 0.5
-UNKNOWN, START, FIRST = 0, 1, 2
+UNKNOWN, START = 0, 1                                 # in place of a word's hash
 PIECE, PIECES = 1 << 20, 16                           # bytes hashed at once, pieces in a chunk
 BUCKET_WORDS, BUCKETS = 4_000_000, 48
 
 
+def _packed(values: np.ndarray, steps: bool = False) -> bytes:
+    """Whole numbers (or the steps between them) byte by byte: all first bytes, all second ones, ..., compressed."""
+    if not len(values):
+        return np.zeros(2, "<i8").tobytes()
+    values = np.diff(values, prepend=values.dtype.type(0)) if steps else values
+    kind = "<u8" if values.max(initial=0) >> 32 else "<u4"
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T)
+    head = np.array([len(values), planes.nbytes], "<i8").tobytes()
+    return head + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(blob: bytes, steps: bool = False) -> np.ndarray:
+    n, size = np.frombuffer(blob[:16], "<i8").tolist()
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(blob[16:], size, asbytes=True), np.uint8).reshape(-1, n)
+    values = np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(np.uint64)
+    return np.cumsum(values, dtype=np.uint64) if steps else values
+
+
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, start, end, first = words_of(texts)
     return hash_runs(data, start, end).view(np.int64), first
@@ -57,32 +79,28 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     return np.array([r["word"] for r in best], np.int64)
 
 
-def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """chunk, doc_ids, sizes, ids: chunks of documents as word numbers (u16)."""
-    order = np.argsort(words, kind="stable")
-    held = words[order]
-
-    def number(hashes: np.ndarray) -> np.ndarray:
-        if not len(held):
-            return np.zeros(len(hashes), "<u2")
-        at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
-        return np.where(held[at] == hashes, order[at] + FIRST, UNKNOWN).astype("<u2")
-
+def encoded(docs: DataFrame, kept: np.ndarray | None = None) -> DataFrame:
+    """chunk, n, doc_ids, sizes, words, ids: chunks of n words as numbers in the list of their different words' hashes,
+    roughly by frequency; with ``kept`` all other words are one unknown word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held_ids, held_sizes, held_words, pieces = TaskContext.get().partitionId() << 32, [], [], [], 0
+        chunk, held_ids, held_sizes, held_words, have = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def out() -> pa.RecordBatch:
+            words, ids, count = np.unique(np.concatenate(held_words), return_inverse=True, return_counts=True)
+            order = np.argsort(-np.frexp(count)[1], kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([held_ids], pa.list_(pa.int64())),
+                [pa.array([chunk], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([held_ids], pa.list_(pa.int64())),
                  pa.array([np.concatenate(held_sizes).tolist()], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(held_words).tobytes()], pa.binary())], ["chunk", "doc_ids", "sizes", "ids"])
+                 pa.array([_packed(words[order], True)], pa.binary()),
+                 pa.array([_packed(rank[ids])], pa.binary())], ["chunk", "n", "doc_ids", "sizes", "words", "ids"])
 
-        have = 0
         for batch in slices(batches, "text", PIECE):
             hashes, first = _hashes(batch.column("text"))
             held_ids += batch.column("doc_id").to_pylist()
             held_sizes.append(np.diff(first))
-            held_words.append(number(hashes))
+            held_words.append((hashes if kept is None else np.where(np.isin(hashes, kept), hashes, UNKNOWN)).view(np.uint64))
             have += batch.column("text").nbytes
             if have >= PIECE * PIECES:
                 yield out()
@@ -91,16 +109,40 @@ def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
             yield out()
 
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-            .mapInArrow(run, "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, ids binary"))
+            .mapInArrow(run, "chunk bigint, n bigint, doc_ids array<bigint>, sizes array<bigint>, words binary, ids binary"))
+
+
+def _word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of words are odd, those of bigrams and contexts even."""
+    return mix64(words) | np.uint64(1)
 
 
-def _bigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """previous << 16 | word, for every word; the first of a document follows START."""
-    ids = ids.astype(np.uint32)
-    before = np.concatenate([[np.uint32(START)], ids[:-1]]).astype(np.uint32)[:len(ids)]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[first] = START
-    return before << np.uint32(16) | ids
+class _Chunk:
+    """A chunk's keys (of its different bigrams, then words, then contexts), and each word's bigram."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.array(row["sizes"], np.int64)
+        words, ids = _unpacked(row["words"], True), _unpacked(row["ids"]).astype(np.int64)
+        self.n_words = m = len(words)
+        before = np.concatenate([[m], ids[:-1]])[:len(ids)]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = m          # START is behind the words
+        pairs, self.pair = np.unique(before * (m + 1) + ids, return_inverse=True)
+        self.context, self.word = pairs // (m + 1), pairs % (m + 1)
+        context = mix64(np.append(words, np.uint64(START)) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+        bigram = mix64(context[self.context] + words[self.word])
+        self.keys = np.concatenate([bigram & ~np.uint64(1), _word_keys(words), context & ~np.uint64(1)])
+
+    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs in the chunk, or in the chosen words of it."""
+        n = np.bincount(self.pair if chosen is None else self.pair[chosen], minlength=len(self.word))
+        return np.concatenate([n, np.bincount(self.word, n, self.n_words),
+                               np.bincount(self.context, n, self.n_words + 1)]).astype(np.int64)
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' places in order, and where each bucket (a range of keys) but the first begins."""
+        order = np.argsort(self.keys, kind="stable")
+        bucket = (self.keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return order, np.searchsorted(bucket, np.arange(1, buckets, dtype=np.uint64))
 
 
 def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
@@ -110,93 +152,76 @@ def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(flag, sizes)
 
 
-def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int = VOCABULARY) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int | None = None) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for every row of ``docs`` (doc_id, text);
-    ``targets`` has the doc_ids of target documents."""
+    ``targets`` has the doc_ids of target documents. With ``size`` only so many most frequent words are told apart."""
     scratch = Scratch(spark, "lm-score")
     texts = docs.select("doc_id", F.lower("text").alias("text"))
-    words = vocabulary(texts, min(size, (1 << 16) - FIRST))
-    chunks = scratch.write(encoded(texts, words), "chunks")
+    chunks = scratch.write(encoded(texts, None if size is None else vocabulary(texts, size)), "chunks")
     place = chunks.select("chunk", F.posexplode("doc_ids").alias("nth", "doc_id"))
     wanted = targets.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     flagged = place.join(wanted, "doc_id").groupBy("chunk").agg(F.collect_list("nth").alias("target"))
     chunks = scratch.write(chunks.join(scratch.write(flagged, "flagged"), "chunk", "left"), "marked")
     scratch.drop("chunks")
-
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, 1 << 16), np.int64)           # words and contexts, background and target
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, ids = np.array(row["sizes"], np.int64), np.frombuffer(row["ids"], "<u2")
-                own, pair = _targets(row, sizes), _bigrams(ids, sizes)
-                for k, x in enumerate((ids, pair >> np.uint32(16))):
-                    total[2 * k] += np.bincount(x, minlength=1 << 16)
-                    total[2 * k + 1] += np.bincount(x[own], minlength=1 << 16)
-        seen = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(t[seen]) for t in total)], ["id", *names])
-
-    names = ["word", "word_t", "context", "context_t"]
-    table = np.zeros((4, 1 << 16), np.float64)
-    schema = "id bigint, " + ", ".join(f"{c} bigint" for c in names)
-    for row in (chunks.select("sizes", "ids", "target").mapInArrow(unigrams, schema).groupBy("id")
-                .agg(*[F.sum(c).alias(c) for c in names]).collect()):       # at most 65,536 rows
-        table[:, row["id"]] = [row[c] for c in names]
-    buckets = max(BUCKETS, -(-int(table[0].sum()) // BUCKET_WORDS))
+    buckets = max(BUCKETS, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes, ids = np.array(row["sizes"], np.int64), np.frombuffer(row["ids"], "<u2")
-                pair = _bigrams(ids, sizes)
-                each, code = np.unique(pair, return_inverse=True)
-                n = np.bincount(code, minlength=len(each))
-                n_t = np.bincount(code[_targets(row, sizes)], minlength=len(each))
-                bucket = (mix64(each.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                used, first = np.unique(bucket[order], return_index=True)
-                parts = np.split(order, first[1:]) if len(used) else []
+                own = _Chunk(row)
+                order, edges = own.by_bucket(buckets)
+                # a row for every bucket, empty or not: each answers with its share of the models' sizes
+                cols = [[_packed(x, c is own.keys) for x in np.split(c[order], edges)]
+                        for c in (own.keys, own.counts(), own.counts(_targets(row, own.sizes)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int64()), pa.array(np.full(len(used), row["chunk"]), pa.int64()),
-                     *(pa.array([x[p].astype("<u4").tobytes() for p in parts], pa.binary()) for x in (each, n, n_t))],
-                    ["bucket", "chunk", "pairs", "n", "n_t"])
+                    [pa.array(np.arange(buckets)), pa.array(np.full(buckets, row["chunk"]), pa.int64()),
+                     *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "keys", "n", "n_t"])
 
     def add_up(bucket: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x.as_buffer(), "<u4") for x in bucket.column("pairs").combine_chunks()]
-        each, code = np.unique(np.concatenate(lists), return_inverse=True)
-        ends = np.cumsum([len(x) for x in lists])[:-1]
-        back = []
+        sent = [_unpacked(x, True) for x in bucket.column("keys").to_pylist()]
+        ends = np.cumsum([len(x) for x in sent])[:-1]
+        each, code = np.unique(np.concatenate(sent), return_inverse=True)
+        word = (each & np.uint64(1)).astype(bool)
+        known = int((word & (each != _word_keys(np.array([UNKNOWN], np.uint64)))).sum())
+        cols, sums = [], []
         for c in ("n", "n_t"):
-            own = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in bucket.column(c).combine_chunks()])
-            total = np.bincount(code, own, len(each))[code]
-            back.append(pa.array([x.astype("<u8").tobytes() for x in np.split(total, ends)], pa.binary()))
-        return pa.Table.from_arrays([bucket.column("chunk"), bucket.column("pairs"), *back], ["chunk", "pairs", "n", "n_t"])
-
-    sent = chunks.select("chunk", "sizes", "ids", "target").mapInArrow(
-        send, "bucket bigint, chunk bigint, pairs binary, n binary, n_t binary")
-    totals = sent.groupBy("bucket").applyInArrow(add_up, "chunk bigint, pairs binary, n binary, n_t binary")
+            total = np.bincount(code, np.concatenate([_unpacked(x) for x in bucket.column(c).to_pylist()]), len(each))
+            total = total.astype(np.int64)
+            sums.append(int(total[word].sum()))
+            cols.append(pa.array([_packed(x) for x in np.split(total[code], ends)], pa.binary()))
+        size_ = [pa.array(np.full(len(sent), x, np.int64)) for x in (known, *sums)]
+        return pa.Table.from_arrays([bucket.column("chunk"), bucket.column("bucket"), *cols, *size_],
+                                    ["chunk", "bucket", "n", "n_t", "words", "tokens", "tokens_t"])
+
+    sent = chunks.select("chunk", "sizes", "words", "ids", "target").mapInArrow(
+        send, "bucket bigint, chunk bigint, keys binary, n binary, n_t binary")
+    totals = sent.groupBy("bucket").applyInArrow(
+        add_up, "chunk bigint, bucket bigint, n binary, n_t binary, words bigint, tokens bigint, tokens_t bigint")
 
     def losses(chunk: pa.Table, back: pa.Table) -> pa.Table:
-        out = []
-        pairs = [np.frombuffer(x.as_buffer(), "<u4") for x in back.column("pairs").combine_chunks()]
-        pairs = np.concatenate([*pairs, np.zeros(0, "<u4")])
-        order = np.argsort(pairs, kind="stable")
-        counts = [np.concatenate([*(np.frombuffer(x.as_buffer(), "<u8") for x in back.column(c).combine_chunks()),
-                                  np.zeros(0, "<u8")])[order].astype(float) for c in ("n", "n_t")]
-        loss = [_loss(pairs[order], counts[k], table[k], table[2 + k], len(words), table[1].sum()) for k in (0, 1)]
-        for row in chunk.to_pylist():
-            sizes, ids = np.array(row["sizes"], np.int64), np.frombuffer(row["ids"], "<u2")
-            at = np.searchsorted(pairs[order], _bigrams(ids, sizes))
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            sums = [np.bincount(of, x[at], len(sizes)) for x in loss]
-            means = [np.divide(s, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0) for s in sums]
-            cols = [means[1], means[0], means[1] - means[0]]
-            out.append(pa.Table.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(sizes),
-                 *(pa.array(c, pa.float64(), from_pandas=True) for c in cols)],
-                ["doc_id", "n_words", "target_loss", "background_loss", "score"]))
-        return pa.concat_tables(out) if out else _NO_SCORES
-
-    held = chunks.select("chunk", "doc_ids", "sizes", "ids")
+        if not chunk.num_rows:
+            return _NO_SCORES
+        (row,) = chunk.to_pylist()
+        own = _Chunk(row)
+        order, _ = own.by_bucket(buckets)
+        back = back.sort_by("bucket")
+        vocabulary_, *tokens = (int(np.sum(back.column(c).to_numpy())) for c in ("words", "tokens", "tokens_t"))
+        sizes, of = own.sizes, np.repeat(np.arange(len(own.sizes)), own.sizes)
+        means = []
+        for k, c in enumerate(("n", "n_t")):
+            total = np.zeros(len(order))
+            total[order] = np.concatenate([_unpacked(x) for x in back.column(c).to_pylist()])
+            pair, word, context = np.split(total, np.cumsum([len(own.word), own.n_words]))
+            loss = _loss(pair, word[own.word], context[own.context], tokens[k], vocabulary_, tokens[1])
+            sums = np.bincount(of, loss[own.pair], len(sizes))
+            means.append(np.divide(sums, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0))
+        cols = [means[1], means[0], means[1] - means[0]]
+        return pa.Table.from_arrays(
+            [pa.array(row["doc_ids"], pa.int64()), pa.array(sizes),
+             *(pa.array(c, pa.float64(), from_pandas=True) for c in cols)],
+            ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    held = chunks.select("chunk", "doc_ids", "sizes", "words", "ids")
     return held.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
         losses, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
 
@@ -205,12 +230,11 @@ _NO_SCORES = pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([
                        **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
 
 
-def _loss(pairs: np.ndarray, n: np.ndarray, words: np.ndarray, contexts: np.ndarray, size: int,
-          matched: float) -> np.ndarray:
-    """-ln p of every bigram; smoothing is ALPHA a word in a model of ``matched`` words, and in proportion in others."""
-    word, context = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
-    alpha = ALPHA * (words.sum() / matched if matched and words.sum() else 1.0)
-    single = (words[word] + alpha) / (words.sum() + alpha * (size + 1))
-    seen = contexts[context]
-    share = np.divide(n, seen, out=np.zeros(len(n)), where=seen > 0)
-    return -np.log(np.where(seen > 0, LAMBDA * share + (1 - LAMBDA) * single, single))
+def _loss(pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray, tokens: int, size: int,
+          matched: int) -> np.ndarray:
+    """-ln p of bigrams by the counts of themselves, their words and contexts, in a model of ``tokens`` words; smoothing
+    is ALPHA a word in a model of ``matched`` words, and in proportion in others."""
+    alpha = ALPHA * (tokens / matched if matched and tokens else 1.0)
+    single = (words + alpha) / (tokens + alpha * (size + 1))
+    share = np.divide(pairs, contexts, out=np.zeros(len(pairs)), where=contexts > 0)
+    return -np.log(np.where(contexts > 0, LAMBDA * share + (1 - LAMBDA) * single, single))

@@ -239,6 +239,19 @@ def test_scores_equal_a_plain_program(spark, monkeypatch, targets):
     assert all(r.score is None if not r.n_words else abs(r.score - r.target_loss + r.background_loss) < 1e-12 for r in got)
 
 
+def test_every_word_is_told_apart(spark):
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(70_000)] * 2            # more words than 16 bits number, none of them rare
+    rng.shuffle(names)
+    rows = [(i, " ".join(names[i * 1400:(i + 1) * 1400])) for i in range(100)]
+    want = _plain_scores(rows, set(range(10)), None, dict.fromkeys(names, 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_score.score(spark, df, df.select("doc_id").where("doc_id < 10")).collect()}
+    for doc, n, target, background in want:
+        assert got[doc].n_words == n
+        assert abs(got[doc].target_loss - target) < 1e-9 and abs(got[doc].background_loss - background) < 1e-9
+
+
 def test_scores_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm_score.score(spark, df, df.select("doc_id")).collect() == []
