@@ -9,10 +9,12 @@ the shared folder.
 
 Every two shards of a label then meet in a task, and each one's vectors are
 searched in the other's graph (a shard alone: in its own). A beam whose worst
-entry still links is widened for that vector. An audit compares some of the
-vectors with all of the shard; while the beams found less than RECALL of the
-links, all beams are doubled, at last to the whole shard. Links count by their
-cosine in double precision. The task returns each vector's links and one tie to
+entry still links is widened for that vector. An audit compares vectors chosen by
+a hash with all of the shard, as many as it takes to see AUDIT groups' worth of
+links; while the beams found less than RECALL of them, all beams are doubled, at
+last to the whole shard. In the audit a vector's links (without itself) weigh one
+over their number, so a large group counts no more than a pair. Links count by
+their cosine in double precision. The task returns each vector's links and one tie to
 a linked vector, and the ties' components are the duplicates' groups; pairs are
 never rows.
 
@@ -35,7 +37,7 @@ from .topk import usable
 
 THRESHOLD, SHARD = 0.93, 8192
 #: Ties per vector in upper layers and in the lowest, first beam, vectors inserted together, audit of a search.
-TIES, TIES0, BEAM, BATCH, AUDIT, RECALL = 12, 24, 48, 256, 64, 0.99
+TIES, TIES0, BEAM, BATCH, AUDIT, RECALL = 12, 24, 48, 256, 256, 0.99
 #: Neighbours looked at in one step of all beams together (bounds the step's memory).
 STEP_CELLS = 1 << 15
 #: A beam of one in so many of the shard gives way to comparing all of it.
@@ -208,11 +210,36 @@ def _exact(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, th
     return out
 
 
+def audit(graph: Graph, held: np.ndarray, wanted: np.ndarray, unit: np.ndarray,
+          threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (row of wanted, row of held) links, none of a vector with itself, of rows of wanted taken in the order of a
+    hash until their links are worth AUDIT groups, or all rows."""
+    order = np.argsort(mix64(np.arange(len(wanted), dtype=np.uint64) + np.uint64(991)))
+    left, right, worth = [np.zeros(0, int)], [np.zeros(0, int)], 0.0
+    for lo in range(0, len(order), 256):
+        if worth >= AUDIT:
+            break
+        some = order[lo:lo + 256]
+        r, c = np.nonzero(unit[some] @ graph.unit.T >= threshold - 1e-3)
+        r = some[r]
+        keep = _exact(wanted, held, r, c, threshold)
+        if held is wanted:
+            keep &= r != c
+        left.append(r[keep])
+        right.append(c[keep])
+        worth += float((1 / np.unique(r[keep], return_counts=True)[1]).sum())
+    return np.concatenate(left), np.concatenate(right)
+
+
 def find(graph: Graph, held: np.ndarray, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(row of wanted, row of held) pairs with cosine >= threshold that the graph of ``held`` yields."""
     n, size = len(held), np.sqrt((wanted * wanted).sum(1, keepdims=True))
     unit = (wanted / size).astype(np.float32)
     loose, width = threshold - 1e-3, min(BEAM, n)
+    sure = audit(graph, held, wanted, unit, threshold)
+    sure_key = sure[0] * n + sure[1]
+    links = np.bincount(sure[0], minlength=len(wanted))[sure[0]]
+    weight = 1.0 / (links * links)                          # each vector's links together: one over their number
     while True:
         left, right = [], []
         rows, beam = np.arange(len(wanted)), width
@@ -232,13 +259,10 @@ def find(graph: Graph, held: np.ndarray, wanted: np.ndarray, threshold: float) -
         left, right = np.concatenate([*left, np.zeros(0, int)]), np.concatenate([*right, np.zeros(0, int)])
         keep = _exact(wanted, held, left, right, threshold)
         left, right = left[keep], right[keep]
-        count = np.bincount(left, minlength=len(wanted))
-        some = np.unique(np.concatenate([np.argsort(-count, kind="stable")[:AUDIT // 2],
-                                         np.linspace(0, len(wanted) - 1, AUDIT // 2).astype(int)]))
-        r, c = np.nonzero(unit[some] @ graph.unit.T >= loose)
-        true = int(_exact(wanted, held, some[r], c, threshold).sum())
-        if count[some].sum() >= RECALL * true or WHOLE * width >= n:
-            return left, right
+        key = left * n + right
+        if weight[np.isin(sure_key, key)].sum() >= RECALL * weight.sum() or WHOLE * width >= n:
+            key = np.union1d(key, sure_key)                 # what the audit saw is known
+            return key // n, key % n
         width *= 2
 
 

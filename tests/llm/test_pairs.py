@@ -158,6 +158,21 @@ def test_graph_recall_on_a_shard():
     assert len(left) >= 0.99 * want
 
 
+def test_pairs_beside_a_hot_group_are_found():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32))
+    x[:1000] = x[0] + 0.05 * rng.normal(size=(1000, 32))          # hundreds of links a vector
+    x[3900:] = x[3800:3900] + 0.05 * rng.normal(size=(100, 32))   # 100 pairs
+    graph = hnsw.build((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), np.arange(len(x)))
+    for layer in graph.layers:                                    # that no other vector leads to
+        layer[layer >= 3800] = -1
+    graph.entry = int(np.flatnonzero((graph.layers[-1][:3800] >= 0).any(1))[0])
+    left, right = hnsw.find(graph, x, x, 0.93)
+    pairs = set(zip(left.tolist(), right.tolist()))
+    assert sum((i, i + 100) in pairs and (i + 100, i) in pairs for i in range(3800, 3900)) >= 99
+    assert len(pairs) == len(left) >= 0.99 * 1000 * 1000
+
+
 @pytest.mark.parametrize("shard", [40, 8192])
 def test_near_duplicates_equal_brute_force(spark, shard):
     x = _clustered(240, 16, 2).astype(np.float32)
