@@ -1,7 +1,8 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Entities are e-mail addresses, phone numbers, IP addresses, card numbers,
-social security numbers, and names behind a title. Every different entity of
+social security numbers, and names behind a title, with the bare mentions of
+their parts in the same text. Every different entity of
 the corpus gets one replacement, derived from a keyed hash of its kind and
 value, so it reads the same wherever it occurs (a number whatever its
 punctuation, a surname with or without a given name) and nothing of it can be
@@ -10,7 +11,7 @@ told without the key:
 * numbers keep their length, punctuation and first digit, cards that pass the
   check sum pass it again, IP addresses stay valid;
 * e-mail addresses keep the pattern of their local part, at a reserved domain;
-* names keep title, case and script (Latin, Cyrillic, Greek), given names the
+* names keep title, particles, case and script (Latin, Cyrillic, Greek), given names the
   gender that the title tells.
 
 A collision check over the distinct entities keeps replacements apart: one that
@@ -34,13 +35,23 @@ from .common import Scratch
 KEY = "pricetide-surrogates"
 MOST_ATTEMPTS = 60
 
-#: Titles that show a gender.
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme")
-MALE = ("Mr", "Herr", "Señor", "Monsieur")
+#: Titles that show a gender, and those that don't.
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mme", "Mlle", "Signora",
+          "Lady", "Dame", "Госпожа", "госпожа", "Г-жа", "г-жа", "Κυρία", "κυρία", "Κα", "κα")
+MALE = ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Signor", "Sir", "Lord", "Господин", "господин", "Г-н", "г-н",
+        "Κύριος", "κύριος", "Κύριο", "κύριο", "Κος", "κος", "κ")
+NEUTRAL = ("Mx", "Dr", "Dra", "Prof", "Professor", "Доктор", "доктор", "Профессор", "профессор", "Δρ", "Καθηγητής")
+#: Small words inside a name; they stay.
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "do", "du", "la", "le", "ten",
+             "ter", "zu", "zum", "zur", "y", "bin", "ibn", "al", "el")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLES = "|".join((*FEMALE, *MALE))
-_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+_TITLES = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
+_HEAD = rf"(?:(?:{_TITLES})\.? )+"
+_PART = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+|\p{Lu}(?=\.)"
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)})[ -]|[dl]['’])*"
+_NAME = (rf"(?<![\p{{L}}\p{{N}}]){_HEAD}{_SMALL}(?:{_PART})"
+         rf"(?:(?:[ -]|(?<=[^\p{{L}}]\p{{Lu}})\.[ -]?){_SMALL}(?:{_PART}))*(?![\p{{L}}\p{{M}}])")
 _EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+")
 _IP = rf"(?<![\p{{L}}\p{{N}}])(?<![0-9]\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 _SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
@@ -119,7 +130,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
            .when(kind.isin("phone", "ssn"), _like(value, h, 1)))
     for script, (_, vowels) in _SYLLABLES.items():
         for part, syllables, ending in (("surname", 3, {"latin": "n", "cyrillic": "н", "greek": "ν"}[script]),
-                                        ("female", 2, vowels[0]), ("male", 2, vowels[3])):
+                                        ("female", 2, vowels[0]), ("male", 2, vowels[3]), ("neutral", 2, vowels[4])):
             out = out.when(kind == f"{part}_{script}",
                            _name(h, script, longer + syllables - int(part != "surname"), _last(script, part, ending)))
     return out
@@ -132,41 +143,62 @@ def _last(script: str, part: str, ending: str) -> str:
 def may_hold(text: Column) -> Column:
     """A cheap condition that every text with an entity meets: an at sign, a digit, or a title."""
     out = text.rlike("[@0-9]")
-    for title in ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Mme", "Monsieur"):
-        out = out | text.contains(title)
+    titles = (*FEMALE, *MALE, *NEUTRAL)
+    for title in titles:
+        if not any(t != title and t in title for t in titles):          # a title that holds another needs no look
+            out = out | text.contains(title)
     return out
 
 
+def name_words(match: Column) -> Column:
+    """The parts of a name behind its titles, in their order."""
+    return F.regexp_extract_all(F.regexp_replace(match, f"^{_HEAD}", ""), F.lit(_PART), F.lit(0))
+
+
 def parts(match: Column) -> Column:
-    """The entities in a match: an array of (kind, canonical value); a name has one or two, in their order."""
-    name = F.trim(F.regexp_replace(match, rf"^(?:{_TITLES})\.? ", ""))
-    words = F.split(name, "[ -]")
+    """The entities in a match: an array of (kind, canonical value); a name has one a part, in their order.
+    A bare mention comes as its kind and word, a \\u0001 before each."""
+    name, words = F.regexp_replace(match, f"^{_HEAD}", ""), name_words(match)
     script = (F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek")
               .otherwise("latin"))
-    gender = F.when(match.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "female").otherwise("male")
+    title = F.regexp_extract(match, f"^{_HEAD}", 0)
+    shows = lambda titles: title.rlike(rf"(?:^| )(?:{'|'.join(titles)})\.? ")
+    gender = F.when(shows(FEMALE), "female").when(shows(MALE), "male").otherwise("neutral")
     one = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
-    surname = one(F.concat(F.lit("surname_"), script), F.lower(F.element_at(words, -1)))
-    given = one(F.concat(gender, F.lit("_"), script), F.lower(F.element_at(words, 1)))
+    names = F.transform(words, lambda w, i: one(
+        F.concat(F.when(i == F.size(words) - 1, "surname").otherwise(gender), F.lit("_"), script), F.lower(w)))
+    bare = F.split(match, "\u0001")
     digits = _digits(match)
     kind = (F.when(match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
             .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(match.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$"), "card").otherwise("phone"))
-    return (F.when(match.contains("@"), F.array(one(F.lit("email"), F.lower(match))))
-            .when(match.rlike(rf"^(?:{_TITLES})\b"), F.when(F.size(words) > 1, F.array(given, surname))
-                  .otherwise(F.array(surname)))
+    return (F.when(match.startswith("\u0001"), F.array(one(F.get(bare, F.lit(1)), F.lower(F.get(bare, F.lit(2))))))
+            .when(match.contains("@"), F.array(one(F.lit("email"), F.lower(match))))
+            .when(title != "", names)
             .otherwise(F.array(one(kind, F.when(kind == "ip", match).otherwise(digits)))))
 
 
 def fill(match: Column, new: Column) -> Column:
     """The match with its parts' replacements ``new`` (an array) in its own format."""
-    head = F.regexp_extract(match, rf"^(?:{_TITLES})\.? ", 0)
-    between = F.regexp_extract(match, rf"^(?:{_TITLES})\.? \p{{L}}+([ -])", 1)
+    head = F.regexp_extract(match, f"^{_HEAD}", 0)
+    gaps = F.split(F.regexp_replace(match, f"^{_HEAD}", ""), _PART, -1)
+    # an initial stays one letter
+    shown = F.zip_with(name_words(match), new, lambda w, x: F.when(F.length(w) == 1, F.substr(x, F.lit(1), F.lit(1))).otherwise(x))
+    name = F.concat(head, F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, F.size(new)), shown, lambda g, x: F.array(g, x))), ""),
+                    F.element_at(gaps, -1))
     number = F.array_join(F.transform(F.sequence(F.lit(1), F.length(match)), lambda i: F.when(
         F.substr(match, i.cast("int"), F.lit(1)).rlike("[0-9]"),
         F.substr(new[0], F.length(_digits(F.substr(match, F.lit(1), i.cast("int")))), F.lit(1)))
         .otherwise(F.substr(match, i.cast("int"), F.lit(1)))), "")
-    whole = match.contains("@") | match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    return (F.when(whole, new[0]).when(head != "", F.concat(head, new[0], F.when(F.size(new) > 1, F.concat(between, F.get(new, F.lit(1)))).otherwise(""))).otherwise(number))
+    whole = match.contains("@") | match.startswith("\u0001") | match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    return F.when(whole, new[0]).when(head != "", name).otherwise(number)
+
+
+def mentions(text: Column) -> Column:
+    """The parts of names behind a title in a text: an array of (word, kind), initials left out."""
+    of = lambda n: F.zip_with(name_words(n), parts(n), lambda w, p: F.struct(w.alias("word"), p["kind"].alias("kind")))
+    every = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), of))
+    return F.array_distinct(F.filter(every, lambda e: F.length(e["word"]) > 1))
 
 
 def replacements(spark: SparkSession, entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
@@ -197,8 +229,14 @@ def replace(spark: SparkSession, docs: DataFrame, *, key: str = KEY) -> DataFram
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     has = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(ENTITY), F.lit(False))
     ids = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]
-    found = scratch.write(rows.where(has).select(*ids, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("m"))
-                          .dropDuplicates(["k1", "k2"]), "found")
+    named = (rows.where(has).select(*ids, "text").dropDuplicates(["k1", "k2"]).withColumn("known", mentions(F.col("text")))
+             .withColumn("pattern", F.when(F.size("known") == 0, ENTITY).otherwise(F.concat(
+                 F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("known.word"), "|"),
+                 F.lit(r")(?![\p{L}\p{M}\p{N}])")))))
+    bare = lambda m, known: F.get(F.filter(known, lambda e: e["word"] == m), F.lit(0))["kind"]
+    found = scratch.write(named.select("k1", "k2", "pattern", F.transform(
+        F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), lambda m: F.coalesce(
+            F.concat(F.lit("\u0001"), bare(m, F.col("known")), F.lit("\u0001"), m), m)).alias("m")), "found")
     matches = scratch.write(found.select(F.explode("m").alias("match")).distinct()
                             .withColumn("parts", parts(F.col("match"))), "matches")
     entities = scratch.write(matches.select(F.explode("parts").alias("p")).select("p.kind", "p.value").distinct(),
@@ -209,11 +247,11 @@ def replace(spark: SparkSession, docs: DataFrame, *, key: str = KEY) -> DataFram
               .groupBy("match").agg(F.sort_array(F.collect_list(F.struct("nth", "new"))).alias("new"))
               .select("match", fill(F.col("match"), F.col("new.new")).alias("fill")))
     filled = scratch.write(filled, "filled")
-    fills = (found.select("k1", "k2", F.posexplode("m").alias("at", "match")).join(filled, "match")
-             .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("at", "fill"))).alias("f"))
-             .select("k1", "k2", F.col("f.fill").alias("fills")))
+    fills = (found.select("k1", "k2", "pattern", F.posexplode("m").alias("at", "match")).join(filled, "match")
+             .groupBy("k1", "k2", "pattern").agg(F.sort_array(F.collect_list(F.struct("at", "fill"))).alias("f"))
+             .select("k1", "k2", "pattern", F.col("f.fill").alias("fills")))
     fills = scratch.write(fills, "fills")
-    gaps = F.split("text", ENTITY, -1)
+    gaps = F.split("text", F.col("pattern"), -1)
     woven = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, F.size("fills")), F.col("fills"),
                                                        lambda g, f: F.array(g, f))), ""), F.element_at(gaps, -1))
     changed = (rows.where(has).select("*", *ids).join(fills, ["k1", "k2"])

@@ -42,6 +42,20 @@ def test_surrogates_are_consistent_and_keep_format(spark):
     assert pii.replace(spark, df.where("false")).collect() == []
 
 
+def test_whole_names_and_their_later_mentions(spark):
+    text = ("Mr John Paul Smith met Mr McDonald, Mrs O'Brien, Dr Anna Weber and Herr Dr. Jan van der Berg. Then Smith, "
+            "O'Brien's friend Weber, McDonald and Berg left; г-жа Анна Петрова и Петрова; κυρία Μαρία Παππά. Smithers stayed")
+    out = pii.replace(spark, spark.createDataFrame([(1, text), (2, "Smith alone")], "doc_id bigint, text string")).collect()
+    texts = {r.doc_id: r.text for r in out}
+    w = r"([\w']+)"
+    m = re.fullmatch(rf"Mr {w} {w} {w} met Mr {w}, Mrs {w}, Dr {w} {w} and Herr Dr. {w} van der {w}. Then {w}, {w}'s friend {w}, {w} "
+                     rf"and {w} left; г-жа {w} {w} и {w}; κυρία {w} {w}. Smithers stayed", texts[1])
+    assert m, texts[1]
+    assert not re.search(r"John|Paul|Smith\b|Donald|Brien|Anna|Weber|Jan\b|Berg|Анна|Петров|Μαρία|Παππά", texts[1])
+    assert (m[3], m[5], m[7], m[4], m[9], m[16]) == (m[10], m[11], m[12], m[13], m[14], m[17])
+    assert texts[2] == "Smith alone"                                  # no name is detected in that text
+
+
 def test_surrogates_never_collide(spark):
     """More phone numbers of few digits than a single draw keeps apart: 2,000 of 10,000, all with one first digit."""
     from pricetide.llm.common import Scratch
