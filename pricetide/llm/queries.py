@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, pii, resample, secret_scan, topk, toxicity
+from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, phrases, pii, resample, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,10 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_secret_crf": op10_secret_crf,
     "op12_target_resampling": op12_target_resampling,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.oracle_sql(),
     "op8_hnsw_near_dedup": hnsw.oracle_sql(),
     "op12_target_resampling": resample.oracle_sql(),
+    "op13_phrase_collocations": phrases.oracle_sql(),
 }
