@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, phrases, pii, resample, secret_scan, topk, toxicity
+from . import hnsw, huffman, lm_score, mixing, ngram_join, packing, phrases, pii, quality, resample, secret_scan, topk, toxicity
 from .common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_secret_crf": op10_secret_crf,
+    "op11_compression_quality": op11_compression_quality,
     "op12_target_resampling": op12_target_resampling,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
