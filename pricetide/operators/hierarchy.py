@@ -84,7 +84,7 @@ def _other_rows(direct: DataFrame, has_sub: DataFrame, categories: DataFrame,
                     "total", "item_count"))
 
 
-def _finish(rolled: DataFrame, direct: DataFrame, categories: DataFrame,
+def finish(rolled: DataFrame, direct: DataFrame, categories: DataFrame,
             other_offset: int) -> DataFrame:
     has_sub = has_children(categories)
     main = (rolled.join(categories.select("category_id", "parent_id", "category_name"), "category_id")
@@ -110,4 +110,4 @@ def category_totals(categories: DataFrame, cart_view: DataFrame | None, *,
     ``direct`` may pass ready per-category sums (:func:`direct_totals`) instead of the cart.
     """
     direct = direct_totals(cart_view) if direct is None else direct
-    return _finish(rollup_tree(ancestor_closure(categories), direct), direct, categories, other_offset)
+    return finish(rollup_tree(ancestor_closure(categories), direct), direct, categories, other_offset)

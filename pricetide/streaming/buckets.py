@@ -10,12 +10,14 @@ is the same. Older versions go when a later batch begins.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricetide.session import written
+
 #: Buckets of a table; choose them so that a bucket's rows fit a task (the number is part of the layout).
 BUCKETS = 16
 
@@ -73,3 +75,121 @@ class BucketedTable:
             for v in old[:-1]:
                 path = jvm.Path(f"{self.path}/bucket={b}/v={v}")
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class LoggedTable:
+    """A table kept as a content per bucket and the rows appended to it since: a batch writes only what it adds.
+
+    ``add_up`` turns the rows of a key, from the content and from appended rows
+    in any order, into what the table holds now. Bucket folders hold
+    ``kind=full`` (the whole content as of a version) and ``kind=more`` (rows
+    that a version appended). A bucket with many appended parts is compacted:
+    its content is written anew, as of a version, beside the old one. Nothing
+    is changed in place, so a reader of an older version goes on reading it until
+    :meth:`prune` is told that no one needs it. A batch that runs again
+    overwrites its own parts.
+    """
+
+    #: Bytes of content that a bucket should hold, and appended parts after which it is compacted.
+    BUCKET_BYTES, PARTS = 64 << 20, 8
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str,
+                 add_up: Callable[[DataFrame], DataFrame], buckets: int | None = None):
+        self.spark, self.path, self.key, self.add_up = spark, path, key, add_up
+        kinds = T.StructType.fromDDL(schema)
+        self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kinds.fields])
+        self._buckets = buckets
+
+    @property
+    def buckets(self) -> int:
+        """Number of buckets: part of the layout, so it is read from the folders once the table is there."""
+        if self._buckets is None:
+            self._buckets = len({b for b, _, _ in self._parts()})
+        return self._buckets
+
+    def bucket(self, key: str | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(key or self.key)), F.lit(self.buckets)).cast("int")
+
+    def _parts(self) -> list[tuple[int, int, str]]:
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        path = jvm.Path(f"{self.path}/bucket=*/v=*/kind=*")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        out = []
+        for status in found:
+            b, v, kind = re.search(r"bucket=(\d+)/v=(\d+)/kind=(\w+)$", status.getPath().toString()).groups()
+            out.append((int(b), int(v), kind))
+        return out
+
+    def load(self, rows: DataFrame) -> None:
+        """The content as of version 0; without a number of buckets, there is one for every BUCKET_BYTES of it."""
+        rows = rows.select(*self.schema.fieldNames())
+        if self._buckets is None:
+            staged = written(rows, "loading")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(staged.inputFiles()[0]).getParent() if staged.inputFiles() else None
+            size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() if path else 0
+            self._buckets, rows = max(1, -(-size // self.BUCKET_BYTES)), staged
+        self._write(rows, 0, "full", range(self._buckets))
+
+    def _write(self, rows: DataFrame, version: int, kind: str, marked: Iterable[int] = ()) -> None:
+        full = rows.select(*self.schema.fieldNames(), self.bucket().alias("bucket"))
+        if marked:
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+            # a row without a key in each bucket, so that an empty one has a folder too
+            marks = self.spark.range(self.buckets).select(*nothing, F.col("id").cast("int").alias("bucket"))
+            full = full.unionByName(marks.where(F.col("bucket").isin(*marked))).repartition(min(self.buckets, 200), "bucket")
+        (full.withColumns({"v": F.lit(version), "kind": F.lit(kind)}).sortWithinPartitions("bucket", self.key)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v", "kind")
+         .parquet(self.path))
+
+    def append(self, rows: DataFrame, version: int) -> None:
+        """Rows that ``version`` adds (few: they are written as they are dealt, by bucket)."""
+        self._write(rows.coalesce(4), version, "more")
+
+    def read(self, upto: int, only: Iterable[int] | None = None) -> DataFrame:
+        """All rows that count as of version ``upto``, not added up, of all buckets or of those named."""
+        wanted, parts = None if only is None else set(only), self._parts()
+        paths = []
+        for b in {b for b, _, _ in parts}:
+            if wanted is not None and b not in wanted:
+                continue
+            base = max(v for x, v, kind in parts if x == b and kind == "full" and v <= upto)
+            paths.append(f"{self.path}/bucket={b}/v={base}/kind=full")
+            paths += [f"{self.path}/bucket={b}/v={v}/kind=more" for x, v, kind in parts
+                      if x == b and kind == "more" and base < v <= upto]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).where(F.col(self.key).isNotNull())
+
+    def now(self, upto: int) -> DataFrame:
+        return self.add_up(self.read(upto))
+
+    def of(self, keys: DataFrame, upto: int) -> DataFrame:
+        """What the table holds of the rows whose key is in ``keys`` (one column): only their buckets are read."""
+        name = keys.columns[0]
+        if self.buckets > 1:
+            only = [r[0] for r in keys.select(self.bucket(name).alias("b")).distinct().collect()]   # at most `buckets`
+            rows = self.read(upto, only)
+        else:
+            rows = self.read(upto)
+        return self.add_up(rows.join(keys.select(F.col(name).alias(self.key)).distinct(), self.key, "left_semi"))
+
+    def compact(self, version: int) -> list[int]:
+        """Write the content of buckets with many appended parts anew, as of ``version``; the buckets so written."""
+        parts, due = self._parts(), []
+        for b in sorted({b for b, _, _ in parts}):
+            base = max((v for x, v, kind in parts if x == b and kind == "full" and v <= version), default=0)
+            if sum(x == b and kind == "more" and base < v <= version for x, v, kind in parts) >= self.PARTS:
+                due.append(b)
+        if due:
+            self._write(self.add_up(self.read(version, due)), version, "full", due)
+        return due
+
+    def prune(self, upto: int) -> None:
+        """Remove what no reader of ``upto`` or later needs."""
+        jvm, parts = self.spark._jvm.org.apache.hadoop.fs, self._parts()
+        for b in {b for b, _, _ in parts}:
+            base = max((v for x, v, kind in parts if x == b and kind == "full" and v <= upto), default=0)
+            for x, v, kind in parts:
+                if x == b and (v < base or (v == base and kind == "more")):
+                    path = jvm.Path(f"{self.path}/bucket={b}/v={v}/kind={kind}")
+                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
