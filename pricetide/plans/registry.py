@@ -20,6 +20,7 @@ from pricetide.operators import changes
 from pricetide.operators import hierarchy
 from pricetide.operators import metrics
 from pricetide.operators import pricing
+from pricetide.operators.ordering import global_position
 from pricetide.plans.oracle import CART, CATEGORY_TOTALS, CART_CTE_NAMES, TOTALS_CTE_NAMES, rename
 from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over
 from pricetide.plans.oracle import OTHER_OFFSET_FIXTURE, carted, totaled, with_tables
@@ -28,6 +29,7 @@ from pricetide.session import scratch_path
 from pricetide.sources import datagen, io
 from pricetide.sources import testdata
 from pricetide.sources.testdata import retail_tables
+from pricetide.streaming import live
 from pricetide.streaming import maintain as mt
 from pricetide.streaming import qps as qps_stream
 
@@ -1164,7 +1166,8 @@ def _stream_with_cart(spark, d):
     """Product changes and cart changes over the snapshot."""
     t = retail_tables(spark, d)
     feed = mt.encode_rows(testdata.product_changes(spark, d), "products", t.products.columns).unionByName(
-        mt.encode_signed(testdata.cart_changes(spark, d, t.products), "shopping_cart", t.shopping_cart.columns))
+        mt.encode_signed(global_position(testdata.cart_change_lines(spark, d, t.products), ["order_id", "line"]),
+                         "shopping_cart", t.shopping_cart.columns, "position"))
     return t, _streamed(spark, d, feed, _snapshot(t, "shopping_cart"))
 
 
@@ -1232,7 +1235,8 @@ def q_stream_promotion_change(spark, d):
     """M2: promotions of every seventh product toggled."""
     t = retail_tables(spark, d)
     old = t.promotions.where("product_id % 7 = 0")
-    feed = mt.encode_signed(_images(old, old.withColumn("active", ~F.col("active"))), "promotions", t.promotions.columns)
+    feed = mt.encode_signed(global_position(_images(old, old.withColumn("active", ~F.col("active"))), ["promotion_id", "w"]),
+                            "promotions", t.promotions.columns, "position")
     return _streamed(spark, d, feed, _snapshot(t)).inventory_item()
 
 
@@ -1246,7 +1250,7 @@ def q_stream_stock_change(spark, d):
     t = retail_tables(spark, d)
     old = t.inventory.where("product_id % 5 < 2")
     new = old.where("product_id % 5 = 0").withColumn("stock", F.col("stock") + 200)
-    return _streamed(spark, d, mt.encode_signed(_images(old, new), "inventory", t.inventory.columns),
+    return _streamed(spark, d, mt.encode_signed(_images(old, new), "inventory", t.inventory.columns, "inventory_id"),
                      _snapshot(t)).inventory_item()
 
 
@@ -1259,10 +1263,183 @@ def q_stream_sales_change(spark, d):
     """M2: a quarter of the sales withdrawn, those of every ninth product repeated 60 days later."""
     t = retail_tables(spark, d)
     later = t.sales.where("product_id % 9 = 0").withColumn("sale_date", F.timestamp_add("DAY", F.lit(60), F.col("sale_date")))
-    feed = mt.encode_signed(_images(t.sales.where("sale_id % 4 = 0"), later), "sales", t.sales.columns)
+    feed = mt.encode_signed(global_position(_images(t.sales.where("sale_id % 4 = 0"), later), ["sale_id", "w"]), "sales",
+                            t.sales.columns, "position")
     return _streamed(spark, d, feed, _snapshot(t)).inventory_item()
 
 
+# --------------------------------------------------------------------------- live views
+
+def _log(rows, table, log, columns, order, before=None, after=None):
+    """Change rows of a log, positions 1, 2, .. in the order of a key; before and after are conditions (None: always)."""
+    image = lambda when, prefix: F.when(when, F.struct(*[F.col(prefix + c).alias(c) for c in columns]))
+    changed = [c for c in rows.columns if c.startswith("new_")]
+    full = rows.select("*", *[F.col(c).alias(f"new_{c}") for c in columns if f"new_{c}" not in changed])
+    placed = global_position(full, order)
+    has = [F.lit(True) if x is None else F.expr(x) for x in (before, after)]
+    op = F.when(~has[0], "I").when(~has[1], "D").otherwise("U")
+    return live.changes(placed.select("position", op.alias("op"), image(has[0], "").alias("before"),
+                                      image(has[1], "new_").alias("after")), table, log)
+
+
+def _live_feed(spark, d, t):
+    """Changes of all tables: restocking, promotions that end, withdrawn sales, product events, cart lines, a moved part of the tree."""
+    stock = t.inventory.where("stock < 30").withColumn("new_stock", (F.col("stock") * 4 + 1).cast("int"))
+    ended = t.promotions.where("active AND promotion_discount >= 8").withColumn("new_active", F.lit(False))
+    products = testdata.product_changes(spark, d).withColumnRenamed("seq", "position")
+    columns = [c for c in t.products.columns if c in products.columns]
+    whole = F.struct(*columns)
+    products = live.changes(products.select("position", "op", F.when(F.col("op") == "D", whole).alias("before"),
+                                            F.when(F.col("op") != "D", whole).alias("after")), "products", "events")
+    cart = testdata.cart_change_lines(spark, d, t.products)
+    moved = t.categories.where("parent_id BETWEEN 1 AND 5 AND length(category_name) = 5").withColumn(
+        "new_parent_id", F.lit(1).cast(t.categories.schema["parent_id"].dataType))
+    feeds = [_log(stock, "inventory", "stock", t.inventory.columns, ["inventory_id"]),
+             _log(ended, "promotions", "promotions", t.promotions.columns, ["promotion_id"]),
+             _log(t.sales.where("sale_price < 5000"), "sales", "sales", t.sales.columns, ["sale_id"], after="false"),
+             products,
+             _log(cart, "shopping_cart", "cart", t.shopping_cart.columns, ["order_id", "line"], before="w < 0", after="w > 0"),
+             _log(moved, "categories", "tree", t.categories.columns, ["category_id"])]
+    out = feeds[0]
+    for more in feeds[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _followed(spark, feed, snapshot, positions=None, batches=2):
+    """Live views that have loaded a snapshot and followed ``feed``, part of it delivered twice, in some micro-batches."""
+    root = _scratch(spark, "live")
+    feed.write.parquet(f"{root}/feed")
+    spark.read.schema(feed.schema).parquet(f"{root}/feed").where(F.pmod(F.xxhash64("log", "position"), F.lit(10)) == 0) \
+        .coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    files = len(spark.read.parquet(f"{root}/feed").inputFiles())
+    views = live.LiveViews(spark, f"{root}/kept")
+    views.load(snapshot, positions)
+    q = views.start(f"{root}/feed", max_files_per_trigger=-(-files // batches))
+    q.awaitTermination()
+    LAST_LIVE_PROGRESS[:] = [dict(p) for p in q.recentProgress]
+    return views
+
+
+#: Views that have followed the whole feed, per application and folder: the keys that read them share the run.
+_FOLLOWED: dict[tuple[str, str], live.LiveViews] = {}
+LAST_LIVE_PROGRESS: list[dict] = []
+
+
+def _live_views(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FOLLOWED:
+        t = retail_tables(spark, d)
+        _FOLLOWED[key] = _followed(spark, _live_feed(spark, d, t), {n: getattr(t, n) for n in live.IMAGES})
+    return _FOLLOWED[key]
+
+
+_LIVE_TABLES = {"products": "products_cur", "sales": "sales_now", "promotions": "promotions_now", "inventory": "inventory_now"}
+_LIVE_CART = {"shopping_cart": "cart_cur", "products": "products_cur", "inventory_item": "inventory_item_c",
+              "categories": "categories_now", "inventory": "inventory_now"}
+
+
+def _live_sql(body):
+    return with_tables(
+        body, CHANGE_FEEDS, _STREAMED, """
+inventory_now AS (
+  SELECT inventory_id, product_id, CASE WHEN stock < 30 THEN stock * 4 + 1 ELSE stock END AS stock, warehouse_id, restock_date
+  FROM inventory),
+promotions_now AS (
+  SELECT promotion_id, product_id, promotion_discount, start_date, end_date,
+         active AND promotion_discount < 8 AS active, updated_at FROM promotions),
+sales_now AS (SELECT * FROM sales WHERE NOT sale_price < 5000),
+categories_now AS (
+  SELECT category_id, category_name,
+         CASE WHEN parent_id BETWEEN 1 AND 5 AND length(category_name) = 5 THEN 1 ELSE parent_id END AS parent_id FROM categories)""",
+        PRICING, CART, CATEGORY_TOTALS, pricing_over(**_LIVE_TABLES, suffix="_c"),
+        rename(CART, _LIVE_CART, CART_CTE_NAMES, "_c"),
+        rename(CATEGORY_TOTALS, {"dynamic_cart": "dynamic_cart_c", "categories": "categories_now"}, TOTALS_CTE_NAMES, "_c"))
+
+
+@query("stream_price_deltas", _live_sql("""
+SELECT product_id, old.live_price AS old_price, new.live_price AS new_price
+FROM inventory_item old FULL JOIN inventory_item_c new USING (product_id)
+WHERE old.live_price IS DISTINCT FROM new.live_price"""))
+def q_stream_price_deltas(spark, d):
+    """M2: every price that the feed changes, as the stream logged it."""
+    views = _live_views(spark, d)
+    return views.price_deltas(0, views.version())
+
+
+@query("stream_category_deltas", _live_sql(f"""
+SELECT category_id, (coalesce(new.total, 0) - coalesce(old.total, 0))::DECIMAL(38,10) AS total,
+       (coalesce(new.item_count, 0) - coalesce(old.item_count, 0))::BIGINT AS item_count
+FROM (SELECT * FROM category_totals WHERE category_id < {OTHER_OFFSET_FIXTURE}) old
+FULL JOIN (SELECT * FROM category_totals_c WHERE category_id < {OTHER_OFFSET_FIXTURE}) new USING (category_id)
+WHERE coalesce(new.total, 0) <> coalesce(old.total, 0) OR coalesce(new.item_count, 0) <> coalesce(old.item_count, 0)"""))
+def q_stream_category_deltas(spark, d):
+    """M3: what cart, price and tree changes add to the sums of categories."""
+    views = _live_views(spark, d)
+    return views.category_deltas(0, views.version())
+
+
+@query("stream_live_prices", _live_sql("SELECT product_id, live_price, last_update_time FROM inventory_item_c"))
+def q_stream_live_prices(spark, d):
+    return _live_views(spark, d).reader().inventory_item()
+
+
+@query("stream_live_totals", _live_sql(f"SELECT {_CT_COLS} FROM category_totals_c"))
+def q_stream_live_totals(spark, d):
+    return _live_views(spark, d).reader().category_totals(OTHER_OFFSET_FIXTURE)
+
+
+@query("stream_live_cart", _live_sql(
+    "SELECT product_id, product_name, category_id, category_name, price, available_stock FROM dynamic_cart_c"))
+def q_stream_live_cart(spark, d):
+    return _live_views(spark, d).reader().dynamic_cart()
+
+
+@query("stream_live_recent_prices", _live_sql("SELECT product_id, avg_price FROM recent_prices_c"))
+def q_stream_live_recent_prices(spark, d):
+    """The ten newest of each product after sales were withdrawn."""
+    return _live_views(spark, d).reader().recent_prices()
+
+
+@query("stream_live_reconcile", _live_sql("""
+SELECT round(sum(price), 2)::DECIMAL(38,2) AS cart_total,
+       (SELECT round(sum(total), 2) FROM category_totals_c WHERE parent_id IS NULL)::DECIMAL(38,2) AS categories_total,
+       (round(sum(price), 2) - (SELECT round(sum(total), 2) FROM category_totals_c WHERE parent_id IS NULL))::DECIMAL(38,2) AS delta
+FROM dynamic_cart_c"""))
+def q_stream_live_reconcile(spark, d):
+    """Cart and categories of one version."""
+    reader = _live_views(spark, d).reader()
+    return cartops.reconcile_cart(reader.dynamic_cart(), reader.category_totals(OTHER_OFFSET_FIXTURE))
+
+
+@query("stream_value_returns", with_tables("""
+SELECT product_id, SUM(stock + 1)::BIGINT AS total_stock FROM inventory GROUP BY product_id"""))
+def q_stream_value_returns(spark, d):
+    """Every stock goes up by one, back, and up again: three changes, two of them alike."""
+    t = retail_tables(spark, d)
+    steps = t.inventory.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
+    up = F.pmod(F.col("step"), F.lit(2))
+    feed = _log(steps.withColumn("new_stock", (F.col("stock") + 1 - up).cast("int")).withColumn("stock", (F.col("stock") + up).cast("int")),
+                "inventory", "stock", t.inventory.columns, ["inventory_id", "step"])
+    return _followed(spark, feed, {"inventory": t.inventory}).reader().stock()
+
+
+@query("stream_cut_over", priced("SELECT product_id, live_price, last_update_time FROM inventory_item"))
+def q_stream_cut_over(spark, d):
+    """Snapshots taken in the middle of the logs of sales and stock, then the whole logs."""
+    t = retail_tables(spark, d)
+    sales = global_position(t.sales, ["sale_id"])
+    stock = global_position(t.inventory, ["inventory_id"])
+    half = {n: rows.count() // k for n, rows, k in (("sales", t.sales, 2), ("inventory", t.inventory, 3))}
+    feed = _log(t.sales, "sales", "sales", t.sales.columns, ["sale_id"], before="false").unionByName(
+        _log(t.inventory, "inventory", "stock", t.inventory.columns, ["inventory_id"], before="false"))
+    snapshot = {"products": t.products, "promotions": t.promotions,
+                "sales": sales.where(F.col("position") <= half["sales"]).drop("position"),
+                "inventory": stock.where(F.col("position") <= half["inventory"]).drop("position")}
+    positions = {("sales", "sales"): half["sales"], ("stock", "inventory"): half["inventory"]}
+    return _followed(spark, feed, snapshot, positions).reader().inventory_item()
+
+
 @query("stream_qps", with_tables("""
 SELECT source, date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end,
        COUNT(*) AS n, COUNT(*) / 60.0 AS qps

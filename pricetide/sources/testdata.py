@@ -243,13 +243,19 @@ def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cart_changes(spark: SparkSession, sf_dir: str, prods: DataFrame | None = None) -> DataFrame:
     """Weighted cart rows: +1 per line of a pending order (status P), -1 per returned open line."""
+    return cart_change_lines(spark, sf_dir, prods).drop("order_id", "line")
+
+
+def cart_change_lines(spark: SparkSession, sf_dir: str, prods: DataFrame | None = None) -> DataFrame:
+    """:func:`cart_changes` with the order and line that each comes from, which tell equal rows apart."""
     orders = read_raw(spark, sf_dir, "orders")
-    li = read_raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    li = read_raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     prods = prods if prods is not None else products(spark, sf_dir)
     lines = (orders.join(li, orders.o_orderkey == li.l_orderkey)
              .join(prods, F.col("l_partkey") == prods.product_id))
     w = (F.when(F.col("o_orderstatus") == "P", F.lit(1))
          .when((F.col("o_orderstatus") == "O") & (F.col("l_returnflag") == "R"), F.lit(-1)))
     return (lines.select(w.alias("w"), prods.product_id, prods.product_name, prods.category_id,
-                         prods.base_price.alias("price"), F.col("o_orderdate").alias("ts"))
+                         prods.base_price.alias("price"), F.col("o_orderdate").alias("ts"),
+                         F.col("o_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"))
             .filter(F.col("w").isNotNull()))

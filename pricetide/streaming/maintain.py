@@ -20,7 +20,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -80,14 +80,18 @@ def encode_rows(changes: DataFrame, table: str, columns: list[str]) -> DataFrame
                           F.to_json(F.struct(*columns), JSON_OPTIONS).alias("payload"))
 
 
-def encode_signed(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Signed row images (w, columns) as feed rows; equal images are told apart by their number."""
-    payload = F.to_json(F.struct(*columns), JSON_OPTIONS)
-    numbered = rows.select("w", payload.alias("payload")).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("w", "payload").orderBy("payload")))
-    return numbered.select(F.concat_ws(":", F.lit(table), "w", F.sha2("payload", 256), "nth").alias("change_id"),
-                           F.lit(table).alias("table"), F.when(F.col("w") > 0, "I").otherwise("D").alias("op"),
-                           F.lit(0).cast("bigint").alias("seq"), F.col("w").cast("int").alias("w"), "payload")
+def encode_signed(rows: DataFrame, table: str, columns: list[str], position: Column | str) -> DataFrame:
+    """Signed row images (w, columns) as feed rows.
+
+    ``position`` tells the change that an image belongs to: its place in the
+    source's log, or the id of the event. Equal images at different positions
+    are different changes; an image counts once per position and sign.
+    """
+    at = F.col(position) if isinstance(position, str) else position
+    return rows.select(F.concat_ws(":", F.lit(table), at.cast("string"), F.col("w").cast("string")).alias("change_id"),
+                       F.lit(table).alias("table"), F.when(F.col("w") > 0, "I").otherwise("D").alias("op"),
+                       F.lit(0).cast("bigint").alias("seq"), F.col("w").cast("int").alias("w"),
+                       F.to_json(F.struct(*columns), JSON_OPTIONS).alias("payload"))
 
 
 def decode(feed: DataFrame, table: str) -> DataFrame:
