@@ -16,7 +16,7 @@ from pricetide import schemas
 from pricetide.functions import factors
 from pricetide.functions.rand import random_row, sample_n, uniform_sql
 from pricetide.operators import cart as cartops
-from pricetide.operators import changes
+from pricetide.operators import change_rows, changes
 from pricetide.operators import hierarchy
 from pricetide.operators import metrics
 from pricetide.operators import pricing
@@ -650,7 +650,7 @@ def q_cart_delete(spark, d):
 _JITTER_DELTA = "((product_id + stock) % 5 + 1) * CASE WHEN (product_id + stock) % 2 = 0 THEN 1 ELSE -1 END"
 
 
-@query("stock_jitter", with_tables(f"""
+_JITTER_SQL = with_tables(f"""
 WITH RECURSIVE pairs AS (
   SELECT product_id, stock, {_JITTER_DELTA} AS d,
          row_number() OVER (PARTITION BY product_id ORDER BY stock) AS k
@@ -666,22 +666,81 @@ steps(inventory_id, k, s) AS (
 ),
 final AS (SELECT inventory_id, arg_max(s, k) AS s FROM steps GROUP BY inventory_id)
 SELECT i.inventory_id, i.product_id, CAST(COALESCE(f.s, i.stock) AS INTEGER) AS stock, i.warehouse_id, i.restock_date
-FROM inventory i LEFT JOIN final f ON i.inventory_id = f.inventory_id"""))
+FROM inventory i LEFT JOIN final f ON i.inventory_id = f.inventory_id""")
+
+
+def _jitter_delta():
+    return (((F.col("product_id") + F.col("stock")) % 5 + 1)
+            * F.when((F.col("product_id") + F.col("stock")) % 2 == 0, 1).otherwise(-1))
+
+
+@query("stock_jitter", _JITTER_SQL)
 def q_stock_jitter(spark, d):
     t = retail_tables(spark, d)
-    delta = (((F.col("product_id") + F.col("stock")) % 5 + 1)
-             * F.when((F.col("product_id") + F.col("stock")) % 2 == 0, 1).otherwise(-1))
-    return changes.stock_jitter(t.shopping_cart, t.inventory, delta=delta)
+    return changes.stock_jitter(t.shopping_cart, t.inventory, delta=_jitter_delta())
 
 
-@query("touch", with_tables(f"""
+_TOUCH_SQL = with_tables(f"""
 SELECT product_id, product_name, base_price, category_id, supplier_id, available,
        CASE WHEN product_id = 1 THEN {_AS_OF_SQL} ELSE last_update_time END AS last_update_time
-FROM products"""))
+FROM products""")
+
+
+@query("touch", _TOUCH_SQL)
 def q_touch(spark, d):
     return changes.touch(retail_tables(spark, d).products, [1], AS_OF)
 
 
+# --------------------------------------------------------------------------- C2-C8 as change rows, folded into their tables
+
+@query("toggle_promotion_rows", _toggle_sql("CAST(1 AS BIGINT)"))
+def q_toggle_promotion_rows(spark, d):
+    t = retail_tables(spark, d)
+    return change_rows.folded(t.promotions, change_rows.toggle_promotion(t.products, t.promotions, 1, AS_OF))
+
+
+@query("replenish_rows", with_tables(_REPLENISHED, """
+targets AS (SELECT DISTINCT product_id, CAST(5 + product_id % 21 AS INTEGER) AS stock FROM shopping_cart)"""))
+def q_replenish_rows(spark, d):
+    t = retail_tables(spark, d)
+    wanted = t.shopping_cart.select("product_id").distinct().withColumn("stock", F.lit(5) + F.col("product_id") % 21)
+    return change_rows.folded(t.inventory, change_rows.replenish(t.inventory, wanted, AS_OF))
+
+
+@query("add_to_cart_rows", with_tables("SELECT * FROM shopping_cart UNION ALL SELECT * FROM added", _CART_ADD))
+def q_add_to_cart_rows(spark, d):
+    t = retail_tables(spark, d)
+    rows = change_rows.add_to_cart(t.shopping_cart, t.products, t.inventory, as_of=AS_OF, stock=15, smallest=True)
+    return change_rows.folded(t.shopping_cart, rows["shopping_cart"])
+
+
+@query("cart_delete_rows", with_tables("""
+SELECT * FROM shopping_cart
+WHERE ts <> (SELECT ts FROM shopping_cart WHERE product_id <> 1 ORDER BY ts, product_id LIMIT 1)"""))
+def q_cart_delete_rows(spark, d):
+    cart = retail_tables(spark, d).shopping_cart
+    return change_rows.folded(cart, change_rows.cart_delete(cart, smallest=True))
+
+
+@query("stock_jitter_rows", _JITTER_SQL)
+def q_stock_jitter_rows(spark, d):
+    t = retail_tables(spark, d)
+    return change_rows.folded(t.inventory, change_rows.stock_jitter(t.shopping_cart, t.inventory, _jitter_delta()))
+
+
+@query("touch_rows", _TOUCH_SQL)
+def q_touch_rows(spark, d):
+    products = retail_tables(spark, d).products
+    return change_rows.folded(products, change_rows.touch(products, [1], AS_OF))
+
+
+@query("add_product_rows", with_tables("SELECT * FROM products2", _ADDED))
+def q_add_product_rows(spark, d):
+    t = retail_tables(spark, d)
+    tabs = {"products": t.products, "sales": t.sales, "inventory": t.inventory, "shopping_cart": t.shopping_cart}
+    return change_rows.folded(t.products, change_rows.add_product(tabs, as_of=AS_OF, **_NEW_PRODUCT)["products"])
+
+
 # --------------------------------------------------------------------------- M4-M19, W6-W11, A20-A21, D10
 
 
