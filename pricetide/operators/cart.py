@@ -142,12 +142,11 @@ def cart_snapshot(cart_view: DataFrame, categories: DataFrame, expanded: Sequenc
     Emitted as rows (``kind``, ``position``, ``id``, ``doc``) rather than one
     nested document, so no task or driver ever holds the whole cart; items are
     numbered from the most expensive, categories and the total have no position.
-    The cart is written once and summed once, to one row per category, from which
-    all totals follow.
+    The cart is written once; sums, totals and places are read from that.
     """
     cart_view = written(cart_view, "cart")
-    direct = written(hierarchy.direct_totals(cart_view), "cart-sums")
-    totals = written(hierarchy.category_totals(categories, None, other_offset=other_offset, direct=direct), "cart-totals")
+    direct = hierarchy.direct_totals(cart_view)
+    totals = hierarchy.category_totals(categories, None, other_offset=other_offset, direct=direct)
     placed = global_position(cart_view, ["price", "product_id", "product_name"], descending=True)
     no_place = F.lit(None).cast("bigint").alias("position")
     items = placed.select(

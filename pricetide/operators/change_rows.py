@@ -94,8 +94,7 @@ def add_to_cart(cart: DataFrame, products: DataFrame, inventory: DataFrame, *, a
 
 def cart_delete(cart: DataFrame, *, seed: int = 42, smallest: bool = False, keep_product: int = 1) -> DataFrame:
     """Every cart line with the ts of one picked line of another product."""
-    others = ch.exclude_ids(cart, "product_id", [keep_product]).select("ts", "product_id")
-    pick = random_row(others, seed, ["ts", "product_id"], smallest=smallest).select("ts")                    # one row
+    pick = ch.picked_line(cart, seed=seed, smallest=smallest, keep_product=keep_product).select("ts")        # one row
     return _delete(cart.join(F.broadcast(pick), "ts", "left_semi").select(*cart.columns))
 
 
@@ -134,9 +133,7 @@ def add_product(tables: dict[str, DataFrame], *, name: str, category_id: int, pr
 
 def folded(base: DataFrame, rows: DataFrame) -> DataFrame:
     """``base`` after the changes, rows counted as often as they are there."""
-    signed = rows.select(F.explode(F.array(F.struct(F.lit(-1).alias("w"), F.col("before").alias("i")),
-                                           F.struct(F.lit(1).alias("w"), F.col("after").alias("i")))).alias("x")).where("x.i IS NOT NULL")
-    return ch.expand_bag(ch.apply_changes_bag(base, signed.select("x.w", "x.i.*")))
+    return ch.expand_bag(ch.apply_changes_bag(base, ch.weighted(rows)))
 
 
 def logged(rows: DataFrame, table: str, log: str, order: Sequence[str], start: int = 0) -> DataFrame:

@@ -245,10 +245,16 @@ def add_to_cart(cart: DataFrame, products: DataFrame, inventory: DataFrame, *, a
 
 # --------------------------------------------------------------------------- C6
 
+def picked_line(cart: DataFrame, *, seed: int, smallest: bool, keep_product: int) -> DataFrame:
+    """One cart line (ts, product_id) of another product than ``keep_product``."""
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    lines = exclude_ids(cart, "product_id", [keep_product]).select("ts", since.alias("_at"), "product_id")
+    return random_row(lines, seed, ["_at", "product_id"], smallest=smallest).select("ts", "product_id")
+
+
 def cart_delete(cart: DataFrame, *, seed: int = 42, smallest: bool = False, keep_product: int = 1) -> DataFrame:
     """Delete every cart line whose ts equals the ts of one line of another product than 1."""
-    cand = exclude_ids(cart, "product_id", [keep_product]).select("ts", "product_id")
-    pick = random_row(cand, seed, ["ts", "product_id"], smallest=smallest).select("ts")
+    pick = picked_line(cart, seed=seed, smallest=smallest, keep_product=keep_product).select("ts")
     return cart.join(F.broadcast(pick), "ts", "left_anti")   # one row
 
 

@@ -395,3 +395,45 @@ def compare_sources(view: DataFrame, batch: DataFrame, live: DataFrame, key: str
     return j.select(key, "view_price", "batch_price", "live_price",
                     (F.col("batch_price") - F.col("view_price")).alias("batch_diff"),
                     (F.col("live_price") - F.col("view_price")).alias("live_diff"))
+
+
+def readings_at(moments: DataFrame, log: DataFrame, sources: Sequence[str], *, value: str = "latency_ms", ts: str = "ts",
+                source: str = "source", tie: Sequence[str] = ("seq",), partitions: int | None = None) -> DataFrame:
+    """Every moment (all columns, time ``ts``) with the newest reading of each source at or before it.
+
+    Adds ``<source>_<value>`` and ``<source>_age_s`` for each of ``sources`` (null
+    before a source's first reading; a reading without a time counts nowhere). One pass over moments and readings in
+    the order of time, cut into ranges of about equally many rows: what each
+    range begins with is carried from the ranges before it, one row a range, so
+    there is no join on an inequality and a frequent source is spread like any other.
+    """
+    kept = F.struct(*moments.columns)
+    reading = F.struct(F.col(value).alias("v"), F.col(ts).alias("at"))
+    rows = (log.where(F.col(source).isin(list(sources)) & F.col(ts).isNotNull()).select(
+                F.col(ts).alias("_ts"), F.lit(0).alias("_kind"), F.struct(*tie).alias("_tie"), F.col(source).alias("_source"),
+                reading.alias("_reading"), F.lit(None).cast(moments.select(kept.alias("m")).schema["m"].dataType).alias("_moment"))
+            .unionByName(moments.select(F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), kept.alias("_moment")), allowMissingColumns=True))
+    t = _ranged(rows, "_ts", partitions)
+    inside = Window.partitionBy("_b").orderBy("_m", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found, names = [], {}
+    for i, name in enumerate(sources):
+        own = F.when(F.col("_source") == name, F.col("_reading"))
+        carry = _last_before(t, [], F.struct("_m", "_kind", "_tie"), own).select(F.col("_at").alias(f"_at{i}"), F.col("_carry").alias(f"_carry{i}"))
+        found.append((carry, f"_b = _at{i}"))
+        names[name] = F.coalesce(F.last(own, ignorenulls=True).over(inside), F.col(f"_carry{i}"))
+    for carry, same in found:
+        t = t.join(F.broadcast(carry), F.expr(same))                      # one row per range
+    out = t.withColumns({f"_of_{n}": c for n, c in names.items()}).where("_kind = 1")
+    more = []
+    for n in sources:
+        more += [F.col(f"_of_{n}.v").alias(f"{n}_{value}"), fx.seconds_between(F.col("_ts"), F.col(f"_of_{n}.at")).alias(f"{n}_age_s")]
+    return out.select("_moment.*", *more)
+
+
+def compare_latency(moments: DataFrame, log: DataFrame, view: str, batch: str, live: str, **options) -> DataFrame:
+    """Latency of the three paths at the same moments (all columns of ``moments``), and their differences to the view."""
+    at = readings_at(moments, log, [view, batch, live], value="latency_ms", **options)
+    named = at.withColumnsRenamed({f"{s}_{c}": f"{role}_{c}" for role, s in (("view", view), ("batch", batch), ("live", live))
+                                   for c in ("latency_ms", "age_s")})
+    return (named.withColumn("batch_diff_ms", F.col("batch_latency_ms") - F.col("view_latency_ms"))
+            .withColumn("live_diff_ms", F.col("live_latency_ms") - F.col("view_latency_ms")))

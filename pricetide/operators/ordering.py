@@ -38,12 +38,35 @@ def range_bounds(df: DataFrame, value: str, n: int) -> list:
     return sorted(set(found or []))
 
 
+#: Bounds that one tree of comparisons decides; beyond, a tree picks a stretch of bounds and the rest is looked up in it.
+_TREE = 128
+
+
 def range_of(value: str, bounds: Sequence) -> Column:
-    """Number of bounds below the value: 0 for the first range (and for NULL), len(bounds) for the last."""
-    if not bounds:
-        return F.lit(0)
-    listed = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(listed, lambda b: b < F.col(value)))
+    """Number of bounds below the value: 0 for the first range (and for NULL), len(bounds) for the last.
+
+    Up to _TREE bounds are a binary tree of compiled comparisons. With more, the
+    tree finds the stretch between every k-th bound, k about the square root of
+    their number, and only that stretch is searched.
+    """
+    col = F.col(value)
+
+    def tree(edges: Sequence, results: Sequence[Column]) -> Column:
+        if not edges:
+            return results[0]
+        mid = len(edges) // 2
+        return F.when(col > F.lit(edges[mid]), tree(edges[mid + 1:], results[mid + 1:])).otherwise(
+            tree(edges[:mid], results[:mid + 1]))
+
+    if len(bounds) <= _TREE:
+        return tree(bounds, [F.lit(i) for i in range(len(bounds) + 1)])
+    step = max(-(-len(bounds) // _TREE), int(len(bounds) ** 0.5))
+    edges = bounds[step - 1::step]
+    # each stretch without the bound that ends it, which the tree has compared; the last may be empty
+    listed = F.array(*[F.array(*[F.lit(b) for b in bounds[i * step:(i + 1) * step - 1] or bounds[-1:]]) for i in range(len(edges) + 1)])
+    at = tree(edges, [F.lit(i) for i in range(len(edges) + 1)])
+    inside = F.filter(F.get(listed, at), lambda b: b < col)
+    return at * step + F.size(inside)
 
 
 def _ranges(df: DataFrame, partitions: int | None) -> int:

@@ -1092,6 +1092,34 @@ def q_compare_sources(spark, d):
     return metrics.compare_sources(view, batch, live)
 
 
+def _as_of_sql(role, source):
+    return f"""ASOF LEFT JOIN (SELECT ts AS at, arg_max(latency_ms, seq) AS v FROM query_log WHERE source = '{source}' GROUP BY ts) {role}
+  ON h.ts >= {role}.at"""
+
+
+@query("compare_sources_latency", with_tables(f"""
+SELECT h.id, h.ts, vw.v AS view_latency_ms, bt.v AS batch_latency_ms, lv.v AS live_latency_ms,
+       date_diff('microsecond', vw.at, h.ts) / 1e6 AS view_age_s, date_diff('microsecond', bt.at, h.ts) / 1e6 AS batch_age_s,
+       date_diff('microsecond', lv.at, h.ts) / 1e6 AS live_age_s,
+       bt.v - vw.v AS batch_diff_ms, lv.v - vw.v AS live_diff_ms
+FROM heartbeats h {_as_of_sql("vw", "view")} {_as_of_sql("bt", "purchase")} {_as_of_sql("lv", "click")}"""))
+def q_compare_sources_latency(spark, d):
+    """D10, latency half: what each of three logs read last at every heartbeat."""
+    t = retail_tables(spark, d)
+    return metrics.compare_latency(t.heartbeats, t.query_log, "view", "purchase", "click")
+
+
+@query("register_views", with_tables("""
+SELECT c.category_name, COUNT(*) AS n, SUM(p.base_price)::DECIMAL(20,2) AS base_price
+FROM products p JOIN categories c ON c.category_id = p.category_id GROUP BY c.category_name"""))
+def q_register_views(spark, d):
+    """Plain SQL over the tables by name."""
+    t = retail_tables(spark, d)
+    io.register_views({"products": t.products, "categories": t.categories})
+    return spark.sql("SELECT c.category_name, COUNT(*) AS n, SUM(p.base_price) AS base_price "
+                     "FROM products p JOIN categories c ON c.category_id = p.category_id GROUP BY c.category_name")
+
+
 # --------------------------------------------------------------------------- D2, D3, M2, M3, M5
 
 
