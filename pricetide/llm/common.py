@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import ctypes
 import gc
 import unicodedata
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pricetide.session import scratch_path
 
 #: Text handled at once inside a task, whatever the size of an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
@@ -64,6 +65,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield batch.slice(lo, hi - lo)
+    released()
+
+
+def released() -> None:
+    """Give memory that Arrow and the C library hold for later back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def strings(column: pa.Array) -> pa.Array:
@@ -103,8 +113,8 @@ class Encoder:
     gives for the whole text.
     """
 
-    #: Words remembered in a task; beyond it the memory starts anew.
-    KNOWN = 400_000
+    #: Words remembered in a task, and bytes of them; beyond either the memory starts anew.
+    KNOWN, KNOWN_BYTES = 400_000, 12 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -116,6 +126,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}                # word -> its number in the arrays below
+        self.letters_known = 0
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _whole(self, words: list[str]) -> list[list[int]]:
@@ -130,7 +141,7 @@ class Encoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """The words' numbers in ``ids`` and ``size``, new words appended."""
-        if len(self.known) > self.KNOWN:
+        if len(self.known) > self.KNOWN or self.letters_known > self.KNOWN_BYTES:
             self._forget()
         known, tokenize = self.known, self.model.tokenize
         new = [w for w in words if w not in known]
@@ -149,9 +160,10 @@ class Encoder:
             hard.append(word)
         own += self._whole(hard)
         known.update(zip(plain + hard, range(len(self.size), len(self.size) + len(own))))
+        self.letters_known += sum(map(len, plain)) + sum(map(len, hard))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.int32)])
         self.size = np.concatenate([self.size, np.fromiter(map(len, own), np.int32, len(own))])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry than texts); ``end`` is put behind each text."""
@@ -168,7 +180,7 @@ class Encoder:
         own = self._numbers([*core.dictionary.to_pylist(), ".", ","])
         point, comma = own[-2:]
         tail = np.where(pc.ends_with(each, ",").to_numpy(zero_copy_only=False), comma, point)
-        begin, split = np.cumsum(self.size) - self.size, split.to_numpy(zero_copy_only=False)
+        begin, split = np.cumsum(self.size, dtype=np.int64) - self.size, split.to_numpy(zero_copy_only=False)
         # a word's ids: those of its letters, then of the point or comma behind them
         parts = np.stack([own[core.indices.to_numpy(zero_copy_only=False)], tail], 1)
         size = self.size[parts] * np.stack([np.ones(len(split), bool), split], 1)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Encoder, Scratch, binaries, slices
+from .common import Encoder, Scratch, binaries, released, slices
 
 MAX_BITS = 18
 BLOCK = 1 << 18
@@ -155,6 +155,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder:
             total += np.bincount(ids, minlength=vocabulary)
             rows = binaries(ids.astype(width), begin)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.nulls(len(rows), pa.binary())], names_)
+        del encoder
+        released()
         # one more row a task: how often it has seen each id
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                                           pa.array([total.astype("<u8").tobytes()], pa.binary())], names_)
@@ -213,6 +215,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder:
         if held:
             nth -= 1
             yield block()
+        released()
 
     names = ["part", "block", "first_doc", "n", "skip", "doc_ids", "sizes", "checkpoints", "payload"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),

@@ -13,7 +13,7 @@ or empty text has none and links with nothing.
 3. Classes are shuffled on band hashes. Within a hash every class is tied to
    the smallest id there, so a hash costs as many rows as it has classes. The
    components of these ties are clusters, outside which there is no candidate.
-4. A cluster is dealt out in blocks of about BLOCK classes, every two blocks
+4. A cluster is dealt out in blocks of bounded classes and n-grams, every two blocks
    meet in a task with their full n-gram sets, and pairs that share a band are
    compared exactly. A task returns, for each class, how many documents it
    links to there and one tie to a linked class, enough for the components.
@@ -30,17 +30,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, hash_runs, mix64, slices, words_of
+from .common import Scratch, components, hash_runs, mix64, released, slices, words_of
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Hashes of a signature at most.
 HASHES = 128
-BLOCK = 128
+#: Classes and n-grams of a block, about.
+BLOCK, BLOCK_GRAMS = 128, 1 << 18
 HASH_SLICE = 1 << 20
 
 
@@ -156,17 +156,20 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates(["doc_id", "k1"]).sort_values("doc_id", kind="stable")
-        ids, block, size = (cell[c].to_numpy() for c in ("doc_id", "block", "size"))
-        sets = [np.frombuffer(g, np.uint64) for g in cell["grams"]]
-        bands = np.stack(cell["bands"].to_numpy())
+    def run(cell: pa.Table) -> pa.Table:
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        ids, words = (cell.column(c).to_numpy() for c in ("doc_id", "k1"))
+        order = np.lexsort((words, ids))
+        order = order[np.append(True, (np.diff(ids[order]) != 0) | (np.diff(words[order]) != 0))]       # rows of a lost task once
+        cell = cell.take(pa.array(order)).combine_chunks()
+        ids, block, size = (cell.column(c).to_numpy() for c in ("doc_id", "block", "size"))
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in cell.column("grams")]
+        bands = np.stack([np.asarray(b.values) for b in cell.column("bands")])
         same = np.zeros((len(ids), len(ids)), bool)
         for b in range(bands.shape[1]):
             same |= bands[:, b, None] == bands[None, :, b]
-        inside = int(cell["i"].iloc[0]) == int(cell["j"].iloc[0])
         same &= ids[:, None] < ids[None, :]
-        if not inside:
+        if i != j:
             same &= block[:, None] != block[None, :]
         left, right = np.nonzero(same)
         n = np.array([len(s) for s in sets])
@@ -177,7 +180,10 @@ def _compare(threshold: float):
         links = np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))
         tie = ids[roots(len(ids), left, right)]
         has = links > 0
-        return pd.DataFrame({"a": tie[has], "b": ids[has], "links": links[has].astype(np.int64)})
+        out = pa.table({"a": tie[has], "b": ids[has], "links": links[has].astype(np.int64)})
+        del cell, sets, bands, same
+        released()
+        return out
 
     return run
 
@@ -192,13 +198,16 @@ def join(spark: SparkSession, docs: DataFrame, *, n: int = N, threshold: float =
     signed = scratch.write(signatures(texts, n, bands, rows), "signed")
     known = signed.where("doc_id IS NOT NULL AND grams > 0")
     classes = scratch.write(known.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")), "classes")
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"),
+        F.first("grams").alias("n_grams")), "classes")
     banded = scratch.write(classes.select("id", F.explode("bands").alias("h")), "banded")
     shared = scratch.write(banded.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
                            .where("n > 1").drop("n"), "shared")
     ties = banded.join(shared, "h").where("a < id").select("a", F.col("id").alias("b")).distinct()
     clusters = scratch.write(components(spark, scratch.write(ties, "ties"), scratch, "cluster"), "clusters")
-    blocks = (clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    # blocks of about BLOCK classes, smaller where the sets are large: two of them meet in a task
+    blocks = (classes.join(clusters, "id").groupBy("component").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")))
     members = (classes.join(clusters, "id").join(blocks, "component")
                .select("id", "k1", "size", "bands", "component", "blocks",
                        F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")))
@@ -208,7 +217,7 @@ def join(spark: SparkSession, docs: DataFrame, *, n: int = N, threshold: float =
     cells = (sets.withColumnRenamed("id", "doc_id").withColumn("o", other)
              .withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
              .drop("o", "blocks"))
-    verified = scratch.write(cells.groupBy("component", "i", "j").applyInPandas(
+    verified = scratch.write(cells.groupBy("component", "i", "j").applyInArrow(
         _compare(threshold), "a bigint, b bigint, links bigint"), "verified")
     linked = components(spark, scratch.write(verified.where("a < b").select("a", "b").distinct(), "links"),
                         scratch, "component")

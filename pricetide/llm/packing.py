@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, Scratch, slices
+from .common import Encoder, Scratch, released, slices
 
 CAPACITY = 2048
 #: Share of the scarcest length's count that one round of the linear program takes.
@@ -182,6 +182,8 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_i
                 cols.append(pa.array(map(bytes, parts), pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        del encode
+        released()
 
     schema = f"{PIECE}, part int, nth bigint" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
