@@ -27,5 +27,5 @@ def test_query_matches_sql(spark, key):
 def test_entry_has_all_operators():
     import __spark_entry__ as entry
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
