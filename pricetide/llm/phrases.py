@@ -175,7 +175,7 @@ def _by_context(sequence: np.ndarray, depth: int) -> np.ndarray:
     order = np.argsort(rank, kind="stable")
     while span < depth:
         key = rank * (int(rank.max(initial=0)) + 1)
-        key[:n - span] += rank[span:]
+        key[:max(0, n - span)] += rank[span:]
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty(n, np.int64)
