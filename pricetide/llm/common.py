@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pricetide.session import scratch_path
 
 #: Text handled at once inside a task, whatever the size of an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
-ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
+ARROW_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 class Scratch:
