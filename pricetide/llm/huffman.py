@@ -221,7 +221,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
              pa.binary(), pa.binary()]
     parts = max(1, -(-int(counts.sum()) // RANGE_IDS))
-    (coded.where("seen IS NULL").drop("seen").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    (coded.where("seen IS NULL").drop("seen").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
      .mapInArrow(blocks, "part int, block int, first_doc bigint, n int, skip bigint, doc_ids array<bigint>, "
                          "sizes array<int>, checkpoints binary, payload binary")
      .write.option("compression", "none").parquet(f"{folder}/blocks"))

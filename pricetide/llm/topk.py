@@ -3,7 +3,7 @@
 A vector's components are its terms and their integer values; a posting list
 is one component of all vectors of a shard. Candidates are dealt to shards by
 a hash of their id, queries to blocks, and every block meets every shard in a
-task. There the postings are walked in blocks of candidates:
+task (all vectors are copied to each block of queries, as each is searched in all). There the postings are walked in blocks of candidates:
 
 * each query term has a bound, the most it can add in this block;
 * terms with the smallest bounds whose sum stays below the k-th best score so
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 K, EVERY, SCALE = 20, 20, 64
-#: Candidates in a shard at most (about), shards at least, queries in a block, candidates in a block of postings.
-SHARD, SHARDS, QUERIES, STEP = 4096, 16, 512, 512
+#: Candidates in a shard (about): at most, at least; queries in a block.
+SHARD, LEAST, QUERIES = 4096, 512, 512
+#: Shards that the rows are dealt to if that leaves at least LEAST in each; blocks of a shard's postings.
+SHARDS, BLOCKS = 16, 8
 #: Non-essential postings probed before candidates are looked at again.
 PROBE = 6
 
@@ -50,8 +52,18 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def size_of_shards(rows: int, shard: int = SHARD) -> int:
+    """Candidates in a shard: several blocks of postings in each, however few the rows."""
+    return min(shard, max(LEAST, -(-rows // SHARDS)))
+
+
+def non_essential(total: np.ndarray, goal) -> int:
+    """How many terms, smallest bounds first with running sums ``total``, can't lift a candidate to ``goal``."""
+    return int(np.searchsorted(np.maximum.accumulate(total), goal, "left"))
+
+
 def best(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, high: np.ndarray, low: np.ndarray,
-         k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+         k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (scores, ids) of one query, ids other than ``own``, by MaxScore.
 
     ``postings``: terms x candidates; ``high`` and ``low``: their extremes per term and block of ``step`` candidates.
@@ -63,7 +75,7 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, hig
         bound = np.maximum(query[terms] * high[terms, b], query[terms] * low[terms, b])
         order = np.argsort(bound, kind="stable")
         total = np.cumsum(bound[order])
-        split = 0 if goal is None else int(np.searchsorted(np.maximum.accumulate(total), goal, "left"))
+        split = 0 if goal is None else non_essential(total, goal)
         rest = total[split - 1] if split else 0
         main = terms[order[split:]]
         score = query[main] @ part[main]
@@ -119,7 +131,7 @@ def _search(k: int, step: int):
 
 
 def search(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SCALE,
-           shard: int = SHARD, queries: int = QUERIES, step: int = STEP) -> DataFrame:
+           shard: int = SHARD, queries: int = QUERIES, step: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` (vec_id, embedding) for those with
     vec_id divisible by ``every``, by the inner product of floor(scale * component)."""
     scratch = Scratch(spark, "topk")
@@ -130,7 +142,9 @@ def search(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int =
     rows = scratch.write(rows, "rows")
     asked = F.col("vec_id") % every == 0
     n, n_asked = rows.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
-    shards, blocks = max(SHARDS, -(-n // shard)), max(1, -(-n_asked // queries))
+    size = size_of_shards(n, shard)
+    shards, blocks = max(1, -(-n // size)), max(1, -(-n_asked // queries))
+    step = step or max(1, size // BLOCKS)
     deal = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     held = rows.select(deal("vec_id", shards, 1).alias("shard"), each(blocks).alias("block"), "vec_id", "vector",

@@ -125,6 +125,23 @@ def test_topk_equals_brute_force(spark, step):
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+def test_terms_of_few_vectors_become_non_essential(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    x[1:60] = x[0] + rng.integers(-2, 3, (59, 64))
+    splits, plain = [], topk.non_essential
+    monkeypatch.setattr(topk, "non_essential", lambda total, goal: splits.append(plain(total, goal)) or splits[-1])
+    step = topk.size_of_shards(500) // topk.BLOCKS
+    cuts, postings = range(0, 500, step), np.ascontiguousarray(x.T)
+    high = np.stack([postings[:, c:c + step].max(1) for c in cuts], 1)
+    low = np.stack([postings[:, c:c + step].min(1) for c in cuts], 1)
+    score, who = topk.best(x[0], 0, np.arange(500), postings, high, low, 20, step)
+    want = sorted((-int(x[0] @ x[c]), c) for c in range(1, 500))[:20]
+    assert [(-int(s), int(w)) for s, w in zip(score, who)] == want
+    assert len(splits) == 7 and min(splits) > 32                        # more than half of the postings, in every later block
+
+
 def test_topk_with_large_values_and_few_rows(spark):
     df = spark.createDataFrame([(0, [3.0e7, 1.0]), (1, [3.0e7, -1.0]), (2, [3.0e7, 0.5])], "vec_id bigint, embedding array<float>")
     one = int(64 * 3.0e7)
@@ -153,7 +170,7 @@ def test_graph_recall_on_a_shard():
     near = np.argsort(-(unit[:100] @ unit.T), axis=1)[:, :10]
     found = graph.search(unit[:100], 48)[0][:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near.tolist(), found.tolist())]) >= 0.9
-    left, right = hnsw.find(graph, x, x, 0.93)
+    left, right, _ = hnsw.find(graph, x, x, 0.93)
     want = int((unit.astype(float) @ unit.T.astype(float) >= 0.93).sum())
     assert len(left) >= 0.99 * want
 
@@ -167,7 +184,7 @@ def test_pairs_beside_a_hot_group_are_found():
     for layer in graph.layers:                                    # that no other vector leads to
         layer[layer >= 3800] = -1
     graph.entry = int(np.flatnonzero((graph.layers[-1][:3800] >= 0).any(1))[0])
-    left, right = hnsw.find(graph, x, x, 0.93)
+    left, right, _ = hnsw.find(graph, x, x, 0.93)
     pairs = set(zip(left.tolist(), right.tolist()))
     assert sum((i, i + 100) in pairs and (i + 100, i) in pairs for i in range(3800, 3900)) >= 99
     assert len(pairs) == len(left) >= 0.99 * 1000 * 1000
@@ -191,6 +208,31 @@ def test_near_duplicates_equal_brute_force(spark, shard):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("pairs", [0, 20, 400])
+def test_sparse_links_come_from_the_graph(pairs):
+    rng = np.random.default_rng(pairs)
+    x = rng.normal(size=(6000, 64))
+    x[6000 - pairs:] = x[:pairs] + 0.1 * rng.normal(size=(pairs, 64))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    left, right, audits = hnsw.find(hnsw.build(unit, np.arange(len(x))), x, x, 0.93)
+    found = {(a, b) for a, b in zip(left.tolist(), right.tolist()) if a < b}
+    want = {(i, 6000 - pairs + i) for i in range(pairs)}
+    assert found <= want and len(found) >= 0.99 * len(want)
+    assert not audits["whole"] and audits["audited"] <= 6000 / 16 and audits["probed"] >= 0.99
+
+
+def test_audits_are_reported_and_small_labels_use_the_graph(spark, scratch):
+    x = np.random.default_rng(3).normal(size=(900, 16))
+    x[450:] = x[:450] + 0.05 * np.random.default_rng(4).normal(size=(450, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], "ab"[i % 450 % 2]) for i in range(900)],
+                               "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: r.component_id for r in hnsw.near_duplicates(spark, df, shard=300, report=scratch + "/a").collect()}
+    assert np.mean([got[i] == i % 450 for i in range(900)]) >= 0.99
+    audits = spark.read.parquet(scratch + "/a").collect()
+    assert len(audits) == 2 * 4 and not any(r.whole for r in audits)    # two shards a label: each, and both ways
+    assert all(r.audited <= -(-r.vectors // 16) and min(r.probed, r.linked) >= 0.99 for r in audits)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert hnsw.near_duplicates(spark, df).collect() == []
