@@ -20,7 +20,7 @@ from pricetide.operators import change_rows, changes
 from pricetide.operators import hierarchy
 from pricetide.operators import metrics
 from pricetide.operators import pricing
-from pricetide.operators.ordering import global_position
+from pricetide.operators.ordering import global_position, range_bounds, range_of
 from pricetide.plans.oracle import CART, CATEGORY_TOTALS, CART_CTE_NAMES, TOTALS_CTE_NAMES, rename
 from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over
 from pricetide.plans.oracle import OTHER_OFFSET_FIXTURE, carted, totaled, with_tables
@@ -32,6 +32,7 @@ from pricetide.sources.testdata import retail_tables
 from pricetide.streaming import live
 from pricetide.streaming import maintain as mt
 from pricetide.streaming import qps as qps_stream
+from pricetide.streaming.trailing import LiveMetrics
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -1024,7 +1025,7 @@ def _stat_sql(value, scale, prefix):
 _SNAP = {"batch_source": "click", "live_source": "view", "window_s": 172800.0, "limit_s": 1500.0}
 
 
-@query("metrics_snapshot", priced(f"""
+_SNAPSHOT_SQL = f"""
 WITH base AS (SELECT * FROM query_log QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts, seq) > 1),
 reads AS (
   SELECT base.*, (epoch_us(ts) - epoch_us(last_update_time)) / 1e3 AS ms, live_price,
@@ -1056,7 +1057,10 @@ SELECT source, last_ts, {", ".join(f"if(epoch_us(now) - epoch_us(last_ts) <= 150
     ("refresh_age_s", "(epoch_us(now) - epoch_us(refreshed)) / 1e6"), ("refresh_duration", "refresh_duration"),
     ("refresh_max", "refresh_max"), ("refresh_mean", "refresh_mean"), ("refresh_p99", "refresh_p99"),
     ("lag_s", "lag_s")))}
-FROM joined"""))
+FROM joined"""
+
+
+@query("metrics_snapshot", priced(_SNAPSHOT_SQL))
 def q_metrics_snapshot(spark, d):
     t = retail_tables(spark, d)
     now = t.query_log.agg(F.max("ts")).first()[0]
@@ -1539,3 +1543,38 @@ def q_stream_qps(spark, d):
         log.where(F.pmod("seq", F.lit(4)) == 3 - part).write.mode("append").parquet(f"{root}/log")
         qps_stream.stream_qps(spark, f"{root}/log", f"{root}/out").awaitTermination()
     return qps_stream.read_qps(spark, f"{root}/out")
+
+
+def _followed_log(spark, t, window_s):
+    """The log in four parts by time, in each of which rows come up to two days late and out of order; a restart a part."""
+    root = _scratch(spark, "trailing")
+    late = F.timestamp_add("SECOND", F.pmod(F.xxhash64("seq"), F.lit(170_000)).cast("int"), F.col("ts"))
+    came = t.query_log.withColumn("_came", late)
+    bounds = range_bounds(came, "_came", 4)
+    views = LiveMetrics(spark, f"{root}/out", window_s=window_s, bucket_s=43_200.0, delay="2 days")   # a sparse log
+    for part in range(len(bounds) + 1):
+        (came.where(range_of("_came", bounds) == part).drop("_came").orderBy(F.xxhash64("seq", F.lit(part)))
+         .write.mode("append").parquet(f"{root}/log"))
+        for stream in views.start(f"{root}/log"):
+            stream.awaitTermination()
+    return views
+
+
+@query("stream_trailing_qps", with_tables("""
+SELECT source, seq, n_window, n_window / 60.0 AS qps
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY source ORDER BY ts
+                               RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n_window
+      FROM query_log) q"""))
+def q_stream_trailing_qps(spark, d):
+    """W6 live: counts of the trailing window, from a stream with late rows."""
+    return _followed_log(spark, retail_tables(spark, d), 60.0).trailing()
+
+
+@query("stream_metrics_snapshot", priced(_SNAPSHOT_SQL))
+def q_stream_metrics_snapshot(spark, d):
+    """M15 live: the snapshot from the kept newest readings and counts."""
+    t = retail_tables(spark, d)
+    options = {k: v for k, v in _SNAP.items() if k != "window_s"}
+    now = t.query_log.agg(F.max("ts")).first()[0]
+    return _followed_log(spark, t, _SNAP["window_s"]).snapshot(
+        _items(t), _refresh_log(t), t.heartbeats, t.replica_heartbeats, now, decimals=2, **options)
