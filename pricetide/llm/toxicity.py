@@ -12,8 +12,10 @@ category come to the driver, where the models (a few thousand weights) are
 fitted. Scoring reads every word of every text.
 
 Training takes at most ``rows`` labelled documents, those with the smallest
-hash of their id; of texts that share their smallest 5-word hash (copies) one
-is used. The bound is the parameter TRAIN_ROWS; all else covers all documents.
+hash of their id; of texts with the same words in the same order the one with
+the smallest id is used. The first two categories are toxic texts that hold one
+of the ten words below: where a corpus holds none of them both are empty, and the
+chain is its last classifier alone. The bound is the parameter TRAIN_ROWS; all else covers all documents.
 
 Null and empty texts have no features: they get the probabilities of the
 intercepts. A category without examples has probability 0. Repeated rows are
@@ -27,12 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, hash_runs, slices, strings, words_of
-from .ngram_join import ngram_sets
 
 TRAIN_ROWS = 12_000
 KEPT = 1500
@@ -164,19 +166,23 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, rows: int
             texts = strings(batch.column("text"))
             codes, first = hashed(texts)
             each = [np.unique(codes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            least = [int(own[0].view(np.int64)) if len(own) else 0 for own, _, _ in ngram_sets(texts, 5)]
+            same = [xxhash.xxh64(np.ascontiguousarray(codes[a:b]).tobytes()).intdigest() - (1 << 63)
+                    for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             seed = [[int(np.isin(_seed_hashes(w), own).any()) for own in each] for w in (INSULT, DEMEANING)]
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(least, pa.int64()), *(pa.array(np.array(s) * toxic, pa.int32()) for s in seed),
+                [batch.column("id"), pa.array(same, pa.int64()), *(pa.array(np.array(s) * toxic, pa.int32()) for s in seed),
                  pa.array(toxic.astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()),
                                           pa.array(np.concatenate(each), pa.int64()))],
-                ["id", "least", *names, "codes"])
+                ["id", "same", *names, "codes"])
 
-    sample = scratch.write(
-        held.mapInArrow(sketch, "id bigint, least bigint, insult int, demeaning int, toxic int, codes array<bigint>")
-        .dropDuplicates(["id"]).dropDuplicates(["least"]), "sample")
+    def one(frame: DataFrame, key: str, order: str) -> DataFrame:
+        return frame.groupBy(key).agg(F.min_by(F.struct(*frame.columns), F.struct(order, "toxic")).alias("r")).select("r.*")
+
+    # texts with the same words are one example, that with the smallest id; a training set doesn't depend on row order
+    told = held.mapInArrow(sketch, "id bigint, same bigint, insult int, demeaning int, toxic int, codes array<bigint>")
+    sample = scratch.write(one(one(told, "id", "same"), "same", "id"), "sample")
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).first()
     n, counts = total["n"], {c: total[c] or 0 for c in names}
     seen = scratch.write(sample.select(*names, F.explode("codes").alias("code")).groupBy("code").agg(

@@ -118,6 +118,23 @@ def test_chain_without_examples_rejects_nothing(spark):
     assert toxicity.classify(spark, docs.where("false"), clean).collect() == []
 
 
+
+def test_training_takes_the_smallest_id_of_equal_texts_in_any_order(spark):
+    shared = "this very long line of a license is in all of them "
+    rows = [(i, shared + (f"you idiot scum number{i}" if i % 2 else f"a fine garden number{i}")) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(200, 0), (201, 1)], "doc_id bigint, toxic int")
+    rows += [(200, "Shared, words"), (201, "shared words")]
+    schema, chains = "doc_id bigint, text string", []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order + rows[:20], schema).repartition(5)
+        chains.append(toxicity.train(spark, docs, labels))
+    a, b = chains
+    assert len(a.features) and (a.features == b.features).all() and a.intercepts == b.intercepts
+    assert all((x == y).all() for x, y in zip(a.weights + a.chained, b.weights + b.chained))
+    got = toxicity.classify(spark, spark.createDataFrame(rows[:120], schema), labels).collect()
+    assert all(r.rejected == bool(r.doc_id % 2) for r in got)
+
+
 def test_later_models_use_earlier_probabilities():
     rng = np.random.default_rng(0)
     a = rng.random(2000) < 0.3
