@@ -7,6 +7,8 @@ built: stock is summed per product and cart rows are counted per
 is exactly the reference's SUM over the fanned-out rows. Both sides are
 pre-aggregated with partial aggregates, so a product that fills a third of the
 cart costs one row per map task.
+
+``by`` names key columns of all tables (such as ``vertical``), as in :mod:`pricing`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ TOTAL_TYPE = "decimal(38,10)"   # numeric(20,10) of the reference, with head roo
 
 def dynamic_cart(cart: DataFrame, products: DataFrame, categories: DataFrame,
                  items: DataFrame, inventory: DataFrame | None, *, dedupe_stock: bool = False,
-                 stock: DataFrame | None = None) -> DataFrame:
+                 stock: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(product_id, product_name, category_id, category_name, price, available_stock).
 
     Unknown products, products outside the category table and products without
@@ -37,16 +39,17 @@ def dynamic_cart(cart: DataFrame, products: DataFrame, categories: DataFrame,
     """
     # a counted bag (a ``multiplicity`` column, as kept by the stream) or plain rows
     units = F.sum("multiplicity") if "multiplicity" in cart.columns else F.count(F.lit(1))
-    grouped = cart.groupBy("product_id", "product_name").agg(units.alias("_mult"))
-    stock = (stock.select("product_id", F.col("total_stock").alias("_stock")) if stock is not None
-             else inventory.groupBy("product_id").agg(F.sum("stock").alias("_stock")))
+    key = [*by, "product_id"]
+    grouped = cart.groupBy(*key, "product_name").agg(units.alias("_mult"))
+    stock = (stock.select(*key, F.col("total_stock").alias("_stock")) if stock is not None
+             else inventory.groupBy(*key).agg(F.sum("stock").alias("_stock")))
     mult = F.lit(1) if dedupe_stock else F.col("_mult")
     return (grouped
-            .join(products.select("product_id", "category_id"), "product_id")
-            .join(categories.select("category_id", "category_name"), "category_id")
-            .join(items.select("product_id", F.col("live_price").alias("price")), "product_id")
-            .join(stock, "product_id", "left")
-            .select("product_id", "product_name", "category_id", "category_name", "price",
+            .join(products.select(*key, "category_id"), key)
+            .join(categories.select(*by, "category_id", "category_name"), [*by, "category_id"])
+            .join(items.select(*key, F.col("live_price").alias("price")), key)
+            .join(stock, key, "left")
+            .select(*key, "product_name", "category_id", "category_name", "price",
                     F.coalesce(F.col("_stock") * mult, F.lit(0)).cast("bigint").alias("available_stock")))
 
 
@@ -55,9 +58,9 @@ def sort_cart(cart_view: DataFrame) -> DataFrame:
     return cart_view.orderBy(F.col("price").desc_nulls_last(), "product_id")
 
 
-def cart_total(cart_view: DataFrame) -> DataFrame:
-    """One row: ROUND(SUM(price)::numeric, 2), 0 for an empty cart."""
-    return cart_view.agg(
+def cart_total(cart_view: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row: ROUND(SUM(price)::numeric, 2), 0 for an empty cart; with ``by`` one row per value that has lines."""
+    return cart_view.groupBy(*by).agg(
         F.coalesce(F.round(F.sum("price").cast(TOTAL_TYPE), 2), F.lit(0).cast(TOTAL_TYPE))
         .cast("decimal(38,2)").alias("cart_total"))
 
@@ -86,23 +89,25 @@ def visible_categories(totals: DataFrame, expanded: Sequence[int] = ()) -> DataF
     return totals.filter(cond)
 
 
-def with_total(df: DataFrame, value: str, total_df: DataFrame, alias: str) -> DataFrame:
-    """Repeat a one-row scalar on every row (scalar subquery as a broadcast cross join)."""
-    return df.crossJoin(F.broadcast(total_df.select(F.col(value).alias(alias))))
+def with_total(df: DataFrame, value: str, total_df: DataFrame, alias: str,
+               by: Sequence[str] = ()) -> DataFrame:
+    """Repeat a one-row scalar on every row (scalar subquery as a broadcast cross join), or one per value of ``by``."""
+    total = total_df.select(*by, F.col(value).alias(alias))
+    return df.join(total, list(by), "left") if by else df.crossJoin(F.broadcast(total))
 
 
-def roots_total(totals: DataFrame) -> DataFrame:
-    return (totals.filter(F.col("parent_id").isNull())
+def roots_total(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return (totals.filter(F.col("parent_id").isNull()).groupBy(*by)
             .agg(F.round(F.sum("total").cast(TOTAL_TYPE), 2).cast("decimal(38,2)")
                  .alias("categories_total")))
 
 
-def category_subtotals(totals: DataFrame, expanded: Sequence[int] = ()) -> DataFrame:
+def category_subtotals(totals: DataFrame, expanded: Sequence[int] = (), by: Sequence[str] = ()) -> DataFrame:
     """Visible categories with subtotal rounded to cents and the roots' total on every row."""
     vis = visible_categories(totals, expanded).select(
-        "category_id", "parent_id", "has_subcategory", "category_name", "item_count",
+        *by, "category_id", "parent_id", "has_subcategory", "category_name", "item_count",
         F.round(F.col("total").cast(TOTAL_TYPE), 2).cast("decimal(38,2)").alias("subtotal"))
-    return with_total(vis, "categories_total", roots_total(totals), "categories_total")
+    return with_total(vis, "categories_total", roots_total(totals, by), "categories_total", by)
 
 
 def sort_tree(df: DataFrame) -> DataFrame:
@@ -119,12 +124,13 @@ def category_list(categories: DataFrame) -> DataFrame:
     return categories.select("category_id", "category_name").distinct().orderBy("category_name")
 
 
-def reconcile_cart(cart_view: DataFrame, totals: DataFrame) -> DataFrame:
+def reconcile_cart(cart_view: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cart total against the sum of root totals; delta 0 when every cart category is in the tree."""
-    ct = cart_total(cart_view)
-    rt = roots_total(totals)
-    return (ct.crossJoin(rt)   # one row each
-            .select("cart_total",
+    ct = cart_total(cart_view, by)
+    rt = roots_total(totals, by)
+    both = ct.join(rt, list(by), "left") if by else ct.crossJoin(rt)   # one row each
+    return (both
+            .select(*by, "cart_total",
                     F.coalesce("categories_total", F.lit(0).cast("decimal(38,2)")).alias("categories_total"))
             .withColumn("delta", (F.col("cart_total") - F.col("categories_total")).cast("decimal(38,2)")))
 

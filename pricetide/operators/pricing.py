@@ -13,6 +13,11 @@ Plan shape, chosen for scale:
   so no single task ever sorts a whole category or the whole inventory;
 * every per-product side is hash partitioned on ``product_id``, so the final
   left joins reuse one partitioning.
+
+``by`` names key columns that all tables carry beside their own keys (such as
+``vertical``): every group, join, window and threshold then holds within one
+value of them, so one job prices many verticals as if each ran alone. A row
+with NULL in one of them belongs to none and vanishes.
 """
 
 from __future__ import annotations
@@ -70,25 +75,25 @@ def rank_desc(df: DataFrame, value: str, partition_cols: Sequence[str] = (),
 
 # --------------------------------------------------------------------------- parts of D1
 
-def sales_counts(sales: DataFrame) -> DataFrame:
+def sales_counts(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """COUNT(*) and SUM(sale_price) per product (one shared pre-aggregate)."""
-    return sales.groupBy("product_id").agg(
+    return sales.groupBy(*by, "product_id").agg(
         F.count(F.lit(1)).alias("sale_count"),
         F.sum("sale_price").alias("sale_price_sum"),
     )
 
 
-def recent_prices(sales: DataFrame, n: int = fx.RECENT_SALES) -> DataFrame:
+def recent_prices(sales: DataFrame, n: int = fx.RECENT_SALES, by: Sequence[str] = ()) -> DataFrame:
     """Average list price of each product's ``n`` newest sales.
 
     Ties on ``sale_date`` are broken by the higher price, so the result is a
     function of the data (the reference leaves such ties arbitrary).
     """
-    w = Window.partitionBy("product_id").orderBy(F.col("sale_date").desc(), F.col("price").desc())
-    top = (sales.select("product_id", "sale_date", "price")
+    w = Window.partitionBy(*by, "product_id").orderBy(F.col("sale_date").desc(), F.col("price").desc())
+    top = (sales.select(*by, "product_id", "sale_date", "price")
            .withColumn("_rn", F.row_number().over(w))
            .filter(F.col("_rn") <= n))
-    return top.groupBy("product_id").agg(
+    return top.groupBy(*by, "product_id").agg(
         (F.sum("price").cast("double") / F.count(F.lit(1))).alias("avg_price"))
 
 
@@ -97,12 +102,12 @@ def active_promotions(promotions: DataFrame) -> DataFrame:
     return promotions.filter(F.col("active"))
 
 
-def promotion_effect(promotions: DataFrame, products: DataFrame | None = None) -> DataFrame:
+def promotion_effect(promotions: DataFrame, products: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Smallest active discount per product (the smallest, not the best)."""
-    pe = (active_promotions(promotions).groupBy("product_id")
+    pe = (active_promotions(promotions).groupBy(*by, "product_id")
           .agg(F.min("promotion_discount").alias("promotion_discount")))
     if products is not None:
-        pe = pe.join(products.select("product_id"), "product_id", "left_semi")
+        pe = pe.join(products.select(*by, "product_id"), [*by, "product_id"], "left_semi")
     return pe
 
 
@@ -120,11 +125,11 @@ def popularity_score(sales: DataFrame, products: DataFrame) -> DataFrame:
     return ranked.select("product_id", "category_id", "popularity_rank", "sale_count")
 
 
-def inventory_totals(inventory: DataFrame) -> DataFrame:
+def inventory_totals(inventory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     # product_id is NOT NULL in the model; saying so keeps the two uses of the
     # totals (thresholds and bands) one identical, reusable subplan
     return (inventory.filter(F.col("product_id").isNotNull())
-            .groupBy("product_id").agg(F.sum("stock").alias("total_stock")))
+            .groupBy(*by, "product_id").agg(F.sum("stock").alias("total_stock")))
 
 
 def inventory_status(inventory: DataFrame) -> DataFrame:
@@ -134,33 +139,38 @@ def inventory_status(inventory: DataFrame) -> DataFrame:
         "product_id", "total_stock", "stock_rank")
 
 
-def stock_thresholds(totals: DataFrame) -> DataFrame:
-    """One row: 3rd and 10th largest total stock (NULL when fewer rows)."""
+def stock_thresholds(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """3rd and 10th largest total stock (NULL when fewer rows): one row, or one per value of ``by``."""
     ks = [edge for edge, _ in fx.STOCK_BANDS]
-    return kth_largest(totals, "total_stock", ks)
+    return kth_largest(totals, "total_stock", ks, by)
+
+
+def _with_thresholds(totals: DataFrame, th: DataFrame, by: Sequence[str]) -> DataFrame:
+    # without ``by`` th is one row by construction (global aggregate of a bounded top-k): broadcasting it is bounded;
+    # with it, it has a row per value and AQE broadcasts it by its measured size
+    return totals.join(th, list(by)) if by else totals.crossJoin(F.broadcast(th))
 
 
-def stock_bands(inventory: DataFrame) -> DataFrame:
+def stock_bands(inventory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stock adjustment per product with inventory, without a global sort."""
-    totals = inventory_totals(inventory)
+    totals = inventory_totals(inventory, by)
     ks = [edge for edge, _ in fx.STOCK_BANDS]
-    th = stock_thresholds(totals)
-    # th is one row by construction (global aggregate): broadcasting it is bounded.
-    return totals.crossJoin(F.broadcast(th)).select(
-        "product_id", "total_stock",
+    th = stock_thresholds(totals, by)
+    return _with_thresholds(totals, th, by).select(
+        *by, "product_id", "total_stock",
         fx.band_by_threshold("total_stock", [f"t{k}" for k in ks],
                              [f for _, f in fx.STOCK_BANDS], fx.STOCK_OTHERWISE)
         .alias("stock_adjustment"))
 
 
 def high_demand(products: DataFrame, sales: DataFrame,
-                counts: DataFrame | None = None) -> DataFrame:
+                counts: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Products sold more often than the mean per-product count, with their mean paid price."""
-    counts = counts if counts is not None else sales_counts(sales)
-    mean = counts.agg((F.sum("sale_count") / F.count(F.lit(1))).alias("_mean"))   # one row
-    return (counts.join(products.select("product_id"), "product_id")
-            .crossJoin(F.broadcast(mean)).filter(F.col("sale_count") > F.col("_mean"))
-            .select("product_id",
+    counts = counts if counts is not None else sales_counts(sales, by)
+    mean = counts.groupBy(*by).agg((F.sum("sale_count") / F.count(F.lit(1))).alias("_mean"))   # one row (per value of by)
+    return (_with_thresholds(counts.join(products.select(*by, "product_id"), [*by, "product_id"]), mean, by)
+            .filter(F.col("sale_count") > F.col("_mean"))
+            .select(*by, "product_id",
                     (F.col("sale_price_sum").cast("double") / F.col("sale_count"))
                     .alias("avg_sale_price"),
                     F.col("sale_count").alias("total_sales")))
@@ -169,56 +179,58 @@ def high_demand(products: DataFrame, sales: DataFrame,
 # --------------------------------------------------------------------------- D1
 
 def price_inputs(sales: DataFrame, promotions: DataFrame, inventory: DataFrame, *,
-                 top_n: int = fx.RECENT_SALES) -> dict[str, DataFrame]:
+                 top_n: int = fx.RECENT_SALES, by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The four per-product aggregates the live price is made of (each keyed by product_id).
 
     They are what a stream maintains incrementally: recomputing them for the
     products a change touches is enough, everything after is product-sized.
     """
     return {
-        "counts": sales_counts(sales),                                   # sale_count, sale_price_sum
-        "recent": recent_prices(sales, top_n),                           # avg_price
-        "promo": promotion_effect(promotions),                           # promotion_discount
-        "stock": inventory_totals(inventory),                            # total_stock
+        "counts": sales_counts(sales, by),                                   # sale_count, sale_price_sum
+        "recent": recent_prices(sales, top_n, by),                           # avg_price
+        "promo": promotion_effect(promotions, by=by),                           # promotion_discount
+        "stock": inventory_totals(inventory, by),                            # total_stock
     }
 
 
-def price_thresholds(products: DataFrame, inputs: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def price_thresholds(products: DataFrame, inputs: dict[str, DataFrame],
+                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(per-category t3/t10 of sale counts, one row of global t3/t10 of stock totals).
 
     Both come from bounded top-k computations; they are all a product's bands
     depend on besides its own count and stock.
     """
     pop_ks = [edge for edge, _ in fx.POPULARITY_BANDS]
-    counts = inputs["counts"].select("product_id", "sale_count").join(
-        products.select("product_id", "category_id"), "product_id")
-    cat_th = kth_largest(counts, "sale_count", pop_ks, ["category_id"])
-    return cat_th, stock_thresholds(inputs["stock"].select("product_id", "total_stock"))
+    counts = inputs["counts"].select(*by, "product_id", "sale_count").join(
+        products.select(*by, "product_id", "category_id"), [*by, "product_id"])
+    cat_th = kth_largest(counts, "sale_count", pop_ks, [*by, "category_id"])
+    return cat_th, stock_thresholds(inputs["stock"].select(*by, "product_id", "total_stock"), by)
 
 
 def assemble_factors(products: DataFrame, inputs: dict[str, DataFrame], cat_th: DataFrame,
-                     stock_th: DataFrame, *, cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+                     stock_th: DataFrame, *, cheap_pattern: str = fx.CHEAP_PATTERN,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Every factor of the live price for ``products``, given the thresholds of the whole table."""
     pop_ks = [edge for edge, _ in fx.POPULARITY_BANDS]
     stock_ks = [edge for edge, _ in fx.STOCK_BANDS]
-    prods = products.select("product_id", "product_name", "base_price", "category_id", "last_update_time")
-    pop = (inputs["counts"].select("product_id", "sale_count").join(prods, "product_id")
-           .join(cat_th, "category_id")
+    prods = products.select(*by, "product_id", "product_name", "base_price", "category_id", "last_update_time")
+    key = [*by, "product_id"]
+    pop = (inputs["counts"].select(*by, "product_id", "sale_count").join(prods, key)
+           .join(cat_th, [*by, "category_id"])
            .withColumn("popularity_adjustment",
                        fx.band_by_threshold("sale_count", [f"t{k}" for k in pop_ks],
                                             [f for _, f in fx.POPULARITY_BANDS], fx.POPULARITY_OTHERWISE))
            .drop(*[f"t{k}" for k in pop_ks]))
-    totals = inputs["stock"].select("product_id", "total_stock")
-    # stock_th is one row (global aggregate of a bounded top-k): broadcasting it is bounded
-    sb = totals.crossJoin(F.broadcast(stock_th)).select(
-        "product_id",
+    totals = inputs["stock"].select(*by, "product_id", "total_stock")
+    sb = _with_thresholds(totals, stock_th, by).select(
+        *by, "product_id",
         fx.band_by_threshold("total_stock", [f"t{k}" for k in stock_ks],
                              [f for _, f in fx.STOCK_BANDS], fx.STOCK_OTHERWISE).alias("stock_adjustment"))
-    joined = (pop.join(inputs["recent"].select("product_id", "avg_price"), "product_id", "left")
-              .join(inputs["promo"].select("product_id", "promotion_discount"), "product_id", "left")
-              .join(sb, "product_id", "left"))
+    joined = (pop.join(inputs["recent"].select(*by, "product_id", "avg_price"), key, "left")
+              .join(inputs["promo"].select(*by, "product_id", "promotion_discount"), key, "left")
+              .join(sb, key, "left"))
     return joined.select(
-        "product_id",
+        *by, "product_id",
         "base_price",
         "popularity_adjustment",
         "avg_price",
@@ -231,23 +243,23 @@ def assemble_factors(products: DataFrame, inputs: dict[str, DataFrame], cat_th:
 
 
 def factors_from_inputs(products: DataFrame, inputs: dict[str, DataFrame], *,
-                        cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+                        cheap_pattern: str = fx.CHEAP_PATTERN, by: Sequence[str] = ()) -> DataFrame:
     """Every factor of the live price from product-sized inputs (see :func:`price_inputs`)."""
-    cat_th, stock_th = price_thresholds(products, inputs)
-    return assemble_factors(products, inputs, cat_th, stock_th, cheap_pattern=cheap_pattern)
+    cat_th, stock_th = price_thresholds(products, inputs, by)
+    return assemble_factors(products, inputs, cat_th, stock_th, cheap_pattern=cheap_pattern, by=by)
 
 
 def item_factors(products: DataFrame, sales: DataFrame, promotions: DataFrame,
                  inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
-                 cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
+                 cheap_pattern: str = fx.CHEAP_PATTERN, by: Sequence[str] = ()) -> DataFrame:
     """Every factor of the live price, one row per product with at least one sale."""
-    return factors_from_inputs(products, price_inputs(sales, promotions, inventory, top_n=top_n),
-                               cheap_pattern=cheap_pattern)
+    return factors_from_inputs(products, price_inputs(sales, promotions, inventory, top_n=top_n, by=by),
+                               cheap_pattern=cheap_pattern, by=by)
 
 
-def live_price_of(factors: DataFrame) -> DataFrame:
+def live_price_of(factors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return factors.select(
-        "product_id",
+        *by, "product_id",
         fx.live_price("base_price", "popularity_adjustment", "promotion_discount",
                       "stock_adjustment", "demand_multiplier", "additional_discount")
         .alias("live_price"),
@@ -257,10 +269,10 @@ def live_price_of(factors: DataFrame) -> DataFrame:
 
 def inventory_item(products: DataFrame, sales: DataFrame, promotions: DataFrame,
                    inventory: DataFrame, *, top_n: int = fx.RECENT_SALES,
-                   cheap_pattern: str = fx.CHEAP_PATTERN) -> DataFrame:
-    """(product_id, live_price, last_update_time) for every product with a sale."""
+                   cheap_pattern: str = fx.CHEAP_PATTERN, by: Sequence[str] = ()) -> DataFrame:
+    """(product_id, live_price, last_update_time) for every product with a sale, behind the columns of ``by``."""
     return live_price_of(item_factors(products, sales, promotions, inventory, top_n=top_n,
-                                      cheap_pattern=cheap_pattern))
+                                      cheap_pattern=cheap_pattern, by=by), by)
 
 
 def price_of(items: DataFrame, product_id: int) -> DataFrame:

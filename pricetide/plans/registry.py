@@ -25,7 +25,7 @@ from pricetide.plans.oracle import CART, CATEGORY_TOTALS, CART_CTE_NAMES, TOTALS
 from pricetide.plans.oracle import CHANGE_FEEDS, PRICING, pricing_over
 from pricetide.plans.oracle import OTHER_OFFSET_FIXTURE, carted, totaled, with_tables
 from pricetide.plans.oracle import oracle, priced
-from pricetide.session import scratch_path
+from pricetide.session import scratch_path, written
 from pricetide.sources import datagen, io
 from pricetide.sources import testdata
 from pricetide.sources.testdata import retail_tables
@@ -307,6 +307,87 @@ def q_with_vertical(spark, d):
     return io.with_vertical(retail_tables(spark, d).products, "retail")
 
 
+# A second vertical over the same ids, with other prices, sales, promotions, stock and cart lines.
+_SECURITIES = """
+products_s AS (SELECT * REPLACE (CAST(base_price * 2 AS DECIMAL(10,2)) AS base_price) FROM products),
+sales_s AS (SELECT * FROM sales WHERE sale_price >= 20000),
+promotions_s AS (SELECT * REPLACE (NOT active AS active) FROM promotions),
+inventory_s AS (SELECT * FROM inventory WHERE warehouse_id <= 3),
+shopping_cart_s AS (SELECT * FROM shopping_cart WHERE price >= 910),
+categories_s AS (SELECT * REPLACE (concat_ws(' ', 'Fund', category_name) AS category_name) FROM categories)"""
+_SECURITIES_NAMES = {n: f"{n}_s" for n in ("products", "sales", "promotions", "inventory", "shopping_cart",
+                                           "categories", "inventory_item")}
+_PRICING_S = pricing_over("products_s", "sales_s", "promotions_s", "inventory_s", suffix="_s")
+_TOTALS_S = rename(f"{CART},{CATEGORY_TOTALS}", _SECURITIES_NAMES, CART_CTE_NAMES + TOTALS_CTE_NAMES, "_s")
+
+
+def _both(cte: str, cols: str) -> str:
+    return f"SELECT 'retail' AS vertical, {cols} FROM {cte} UNION ALL SELECT 'securities', {cols} FROM {cte}_s"
+
+
+def _verticals(spark, d):
+    """The tables of both verticals, written by vertical and read back."""
+    t = retail_tables(spark, d)
+    own = {n: getattr(t, n) for n in ("products", "sales", "promotions", "inventory", "shopping_cart", "categories")}
+    other = {
+        "products": own["products"].withColumn("base_price", (F.col("base_price") * 2).cast("decimal(10,2)")),
+        "sales": own["sales"].where("sale_price >= 20000"),
+        "promotions": own["promotions"].withColumn("active", ~F.col("active")),
+        "inventory": own["inventory"].where("warehouse_id <= 3"),
+        "shopping_cart": own["shopping_cart"].where("price >= 910"),
+        "categories": own["categories"].withColumn("category_name", F.concat_ws(" ", F.lit("Fund"), "category_name")),
+    }
+    root = scratch_path(spark, f"verticals-{uuid.uuid4().hex}")
+    io.write_verticals(own, root, vertical="retail")
+    io.write_verticals(other, root, vertical="securities")
+    return io.read_verticals(spark, root, list(own))
+
+
+def _vertical_items(v):
+    return pricing.inventory_item(v["products"], v["sales"], v["promotions"], v["inventory"], by=[io.VERTICAL])
+
+
+def _vertical_cart(v):
+    return cartops.dynamic_cart(v["shopping_cart"], v["products"], v["categories"], _vertical_items(v), v["inventory"],
+                                by=[io.VERTICAL])
+
+
+@query("vertical_items", with_tables(_both("inventory_item", "product_id, live_price, last_update_time"),
+                                     PRICING, _SECURITIES, _PRICING_S))
+def q_vertical_items(spark, d):
+    """One job prices two verticals that share their ids."""
+    return _vertical_items(_verticals(spark, d))
+
+
+@query("vertical_high_demand", with_tables(_both("high_demand", "product_id, avg_sale_price, total_sales"),
+                                           PRICING, _SECURITIES, _PRICING_S))
+def q_vertical_high_demand(spark, d):
+    v = _verticals(spark, d)
+    return pricing.high_demand(v["products"], v["sales"], by=[io.VERTICAL])
+
+
+@query("vertical_category_totals", with_tables(
+    _both("category_totals", "category_id, parent_id, has_subcategory, category_name, total, item_count"),
+    PRICING, CART, CATEGORY_TOTALS, _SECURITIES, _PRICING_S, _TOTALS_S))
+def q_vertical_category_totals(spark, d):
+    """Both verticals' carts rolled up, each along its own tree."""
+    v = _verticals(spark, d)
+    return hierarchy.category_totals(v["categories"], _vertical_cart(v), other_offset=OTHER_OFFSET_FIXTURE, by=[io.VERTICAL])
+
+
+@query("vertical_reconcile", with_tables("""
+SELECT vertical, sum(price)::DECIMAL(38,2) AS cart_total, sum(price)::DECIMAL(38,2) AS categories_total,
+       0::DECIMAL(38,2) AS delta
+FROM (SELECT 'retail' AS vertical, round(sum(price), 2) AS price FROM dynamic_cart
+      UNION ALL SELECT 'securities', round(sum(price), 2) FROM dynamic_cart_s)
+WHERE price IS NOT NULL GROUP BY vertical""", PRICING, CART, CATEGORY_TOTALS, _SECURITIES, _PRICING_S, _TOTALS_S))
+def q_vertical_reconcile(spark, d):
+    v = _verticals(spark, d)
+    view = written(_vertical_cart(v), "cart")
+    totals = hierarchy.category_totals(v["categories"], view, other_offset=OTHER_OFFSET_FIXTURE, by=[io.VERTICAL])
+    return cartops.reconcile_cart(view, totals, by=[io.VERTICAL])
+
+
 @query("audit_pk", with_tables(
     "SELECT sale_id, COUNT(*) AS n FROM sales GROUP BY sale_id HAVING COUNT(*) > 1"))
 def q_audit_pk(spark, d):

@@ -116,8 +116,34 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, keys: Sequence[str] = (
                            for c in df.columns])
 
 
+VERTICAL = "vertical"
+
+
 def with_vertical(df: DataFrame, vertical: str) -> DataFrame:
-    return df.withColumn("vertical", F.lit(vertical))
+    return df.withColumn(VERTICAL, F.lit(vertical))
+
+
+def write_verticals(tables: Mapping[str, DataFrame], root: str, *, vertical: str | None = None,
+                    mode: str = "append") -> None:
+    """Every table under ``root``, one folder per vertical; ``vertical`` tags tables that don't carry the column.
+
+    Rows of a vertical are spread over the tasks that hold them, so one that
+    holds most rows is still written by all tasks.
+    """
+    for name, df in tables.items():
+        tagged = df if vertical is None else with_vertical(df, vertical)
+        tagged.write.mode(mode).partitionBy(VERTICAL).parquet(f"{root}/{name}")
+
+
+def read_verticals(spark: SparkSession, root: str, names: Sequence[str],
+                   verticals: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The tables written by :func:`write_verticals`, of all or some verticals (others' folders aren't read)."""
+    out = {}
+    for name in names:
+        df = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+        df = df.withColumn(VERTICAL, F.col(VERTICAL).cast("string"))
+        out[name] = df if verticals is None else df.where(F.col(VERTICAL).isin(list(verticals)))
+    return out
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
