@@ -12,10 +12,12 @@ choice; counts cover all of them. Texts become 64-bit word hashes once, in
 chunks of some megabytes that list their different words. A chunk sends its
 different bigrams, words and contexts with their counts to buckets of their
 keys' hash; a bucket adds them up over all chunks and sends every chunk the
-totals of its own back, with the bucket's number of different words and of
-tokens, by which the chunk scores its documents. So no model is ever in one
-place, a frequent bigram costs one entry a chunk, and what is shuffled grows
-with the different bigrams of the chunks.
+totals of its own back, by which the chunk scores its documents. A chunk sends
+nothing to a bucket that it has no key for, so messages never outnumber the
+chunks' different keys; the models' sizes (different words, tokens) are three
+numbers counted beforehand. So no model is ever in one place, a frequent bigram
+costs one entry a chunk, and what is shuffled grows with the different bigrams
+of the chunks.
 
 Null and empty texts have no words: losses and score are null. Rows with equal
 doc_id are scored each for itself, and are target documents together. Without
@@ -138,11 +140,11 @@ class _Chunk:
         return np.concatenate([n, np.bincount(self.word, n, self.n_words),
                                np.bincount(self.context, n, self.n_words + 1)]).astype(np.int64)
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys' places in order, and where each bucket (a range of keys) but the first begins."""
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys' places in order, the buckets (ranges of keys) that have any, and where each begins."""
         order = np.argsort(self.keys, kind="stable")
-        bucket = (self.keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        return order, np.searchsorted(bucket, np.arange(1, buckets, dtype=np.uint64))
+        held, first = np.unique((self.keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
+        return order, held.astype(np.int64), first
 
 
 def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
@@ -152,6 +154,21 @@ def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(flag, sizes)
 
 
+def model_sizes(chunks: DataFrame) -> tuple[int, int, int]:
+    """Different words (but the unknown one), words, and words of target documents in all chunks."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("words"):
+                each = _unpacked(blob.as_py(), True)
+                yield pa.RecordBatch.from_arrays([pa.array(each[each != UNKNOWN].view(np.int64))], ["word"])
+
+    known = chunks.select("words").mapInArrow(words, "word bigint").distinct().count()
+    in_targets = F.aggregate(F.coalesce("target", F.array().cast("array<int>")), F.lit(0).cast("bigint"),
+                             lambda sum_, nth: sum_ + F.get(F.col("sizes"), nth))
+    row = chunks.agg(F.sum("n").alias("n"), F.sum(in_targets).alias("n_t")).first()
+    return known, row["n"] or 0, row["n_t"] or 0
+
+
 def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int | None = None) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for every row of ``docs`` (doc_id, text);
     ``targets`` has the doc_ids of target documents. With ``size`` only so many most frequent words are told apart."""
@@ -163,49 +180,42 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int
     flagged = place.join(wanted, "doc_id").groupBy("chunk").agg(F.collect_list("nth").alias("target"))
     chunks = scratch.write(chunks.join(scratch.write(flagged, "flagged"), "chunk", "left"), "marked")
     scratch.drop("chunks")
-    buckets = max(BUCKETS, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    vocabulary_, *tokens = model_sizes(chunks)
+    buckets = max(BUCKETS, -(-tokens[0] // BUCKET_WORDS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = _Chunk(row)
-                order, edges = own.by_bucket(buckets)
-                # a row for every bucket, empty or not: each answers with its share of the models' sizes
-                cols = [[_packed(x, c is own.keys) for x in np.split(c[order], edges)]
+                order, held, first = own.by_bucket(buckets)
+                cols = [[_packed(x, c is own.keys) for x in np.split(c[order], first[1:])]
                         for c in (own.keys, own.counts(), own.counts(_targets(row, own.sizes)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(buckets)), pa.array(np.full(buckets, row["chunk"]), pa.int64()),
+                    [pa.array(held), pa.array(np.full(len(held), row["chunk"]), pa.int64()),
                      *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "keys", "n", "n_t"])
 
     def add_up(bucket: pa.Table) -> pa.Table:
         sent = [_unpacked(x, True) for x in bucket.column("keys").to_pylist()]
         ends = np.cumsum([len(x) for x in sent])[:-1]
         each, code = np.unique(np.concatenate(sent), return_inverse=True)
-        word = (each & np.uint64(1)).astype(bool)
-        known = int((word & (each != _word_keys(np.array([UNKNOWN], np.uint64)))).sum())
-        cols, sums = [], []
+        cols = []
         for c in ("n", "n_t"):
             total = np.bincount(code, np.concatenate([_unpacked(x) for x in bucket.column(c).to_pylist()]), len(each))
-            total = total.astype(np.int64)
-            sums.append(int(total[word].sum()))
-            cols.append(pa.array([_packed(x) for x in np.split(total[code], ends)], pa.binary()))
-        size_ = [pa.array(np.full(len(sent), x, np.int64)) for x in (known, *sums)]
-        return pa.Table.from_arrays([bucket.column("chunk"), bucket.column("bucket"), *cols, *size_],
-                                    ["chunk", "bucket", "n", "n_t", "words", "tokens", "tokens_t"])
+            cols.append(pa.array([_packed(x) for x in np.split(total.astype(np.int64)[code], ends)], pa.binary()))
+        return pa.Table.from_arrays([bucket.column("chunk"), bucket.column("bucket"), *cols], ["chunk", "bucket", "n", "n_t"])
 
     sent = chunks.select("chunk", "sizes", "words", "ids", "target").mapInArrow(
         send, "bucket bigint, chunk bigint, keys binary, n binary, n_t binary")
     totals = sent.groupBy("bucket").applyInArrow(
-        add_up, "chunk bigint, bucket bigint, n binary, n_t binary, words bigint, tokens bigint, tokens_t bigint")
+        add_up, "chunk bigint, bucket bigint, n binary, n_t binary")
 
     def losses(chunk: pa.Table, back: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return _NO_SCORES
         (row,) = chunk.to_pylist()
         own = _Chunk(row)
-        order, _ = own.by_bucket(buckets)
+        order, _, _ = own.by_bucket(buckets)
         back = back.sort_by("bucket")
-        vocabulary_, *tokens = (int(np.sum(back.column(c).to_numpy())) for c in ("words", "tokens", "tokens_t"))
         sizes, of = own.sizes, np.repeat(np.arange(len(own.sizes)), own.sizes)
         means = []
         for k, c in enumerate(("n", "n_t")):

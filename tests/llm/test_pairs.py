@@ -309,6 +309,26 @@ def test_every_word_is_told_apart(spark):
         assert abs(got[doc].target_loss - target) < 1e-9 and abs(got[doc].background_loss - background) < 1e-9
 
 
+def test_chunks_write_only_to_buckets_of_their_keys():
+    rng = np.random.default_rng(8)
+
+    def messages(chunks, buckets):
+        sent = 0
+        for _ in range(chunks):
+            ids = rng.integers(0, 30, 60)
+            words = np.sort(rng.integers(1, 1 << 62, 30, dtype=np.uint64))
+            own = lm_score._Chunk({"sizes": [40, 20], "words": lm_score._packed(words, True), "ids": lm_score._packed(ids)})
+            order, held, first = own.by_bucket(buckets)
+            parts = np.split(own.keys[order], first[1:])
+            assert len(parts) == len(held) <= len(own.keys) and all(len(p) for p in parts)
+            assert all(((p >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) == b).all() for p, b in zip(parts, held))
+            sent += len(held)
+        return sent
+
+    few, many = messages(20, 1_000), messages(80, 4_000)         # four times the text, so four times the buckets
+    assert many < 4.8 * few
+
+
 def test_scores_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm_score.score(spark, df, df.select("doc_id")).collect() == []
