@@ -1,23 +1,31 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Entities are e-mail addresses, phone numbers, IP addresses, card numbers,
-social security numbers, and names behind a title, with the bare mentions of
-their parts in the same text. Every different entity of
+Entities are e-mail addresses, phone numbers (international and national), IP
+addresses, social security numbers, card numbers and IBANs that pass their check
+sums (others are plain numbers and stay), and names behind a title, with the bare
+mentions of their parts in the same text. A part's bare mention stays if it may
+well be an ordinary word: if the text also has it in lower case, or if, over
+all documents, the word (in any case) stands in at least COMMON times as many
+texts as hold it in a name behind a title. The name behind the title is replaced
+as a whole in any case. Every different entity of
 the corpus gets one replacement, derived from a keyed hash of its kind and
 value, so it reads the same wherever it occurs (a number whatever its
 punctuation, a surname with or without a given name) and nothing of it can be
-told without the key:
+told without the key, which the caller has to give:
 
-* numbers keep their length, punctuation and first digit, cards that pass the
-  check sum pass it again, IP addresses stay valid;
+* numbers keep their length, punctuation and (while there is room) first digit,
+  cards pass the check sum, IBANs theirs and keep the country, IP addresses stay valid;
 * e-mail addresses keep the pattern of their local part, at a reserved domain;
 * names keep title, particles, case and script (Latin, Cyrillic, Greek), given names the
   gender that the title tells.
 
 A collision check over the distinct entities keeps replacements apart: one that
 equals another entity's replacement, or a value that occurs in the corpus, is
-drawn again with the next attempt, until none is left. Each attempt is a table
-in the shared folder; only those still pending go on.
+drawn again with the next attempt, until none is left. Where a space of numbers
+is crowded, later attempts may change the first digit and may draw a value that
+occurs (as another entity's replacement); only a space that is all but full ends
+in an error. Each attempt is a table in the shared folder; only those still
+pending go on.
 
 Texts without entities pass through without a shuffle; of the others only the
 matches are joined with the replacements, and once per different text. Null
@@ -32,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-KEY = "pricetide-surrogates"
-MOST_ATTEMPTS = 60
+#: A later mention stays if its word is in so many times the texts that have it in a name behind a title.
+COMMON = 20
+#: Attempts after which the first digit may change, values that occur may be drawn, and drawing ends.
+ANY_DIGIT, ANY_VALUE, MOST_ATTEMPTS = 8, 20, 200
 
 #: Titles that show a gender, and those that don't.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mme", "Mlle", "Signora",
@@ -56,10 +66,14 @@ _EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(
 _IP = rf"(?<![\p{{L}}\p{{N}}])(?<![0-9]\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 _SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 _PHONE = (r"(?<![\p{L}\p{N}+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
-          r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])")
+          r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])"
+          r"|(?<![\p{L}\p{N}+.,-])0[1-9](?:(?:[ .-][0-9]{2}){4}|[0-9]{0,3}[ /-][0-9]{5,8})(?![\p{L}\p{N}]|[.,-][0-9])")
 _CARD = (r"(?<![\p{L}\p{N}])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\p{L}\p{N}])"
          r"|(?<![\p{L}\p{N}+])[0-9]{13,19}(?![\p{L}\p{N}])")
-ENTITY = "|".join((_EMAIL, _NAME, _IP, _SSN, _CARD, _PHONE))
+_IBAN = (r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])")
+ENTITY = "|".join((_EMAIL, _NAME, _IBAN, _IP, _SSN, _CARD, _PHONE))
+
+_IBAN_SHAPE = "^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"
 
 #: Letters of names that are made up; consonants and vowels of each script.
 _SYLLABLES = {"latin": ("bdfgklmnprst", "aeiou"), "cyrillic": ("бдвгклмнпрст", "аеиоу"), "greek": ("βδφγκλμνπρστ", "αειου")}
@@ -104,8 +118,23 @@ def _check_sum(digits: Column) -> Column:
 def _card(value: Column, h: Column) -> Column:
     made = _like(value, h, 1)
     head = F.substr(made, F.lit(1), F.length(made) - 1)
-    right = F.concat(head, ((10 - _check_sum(F.concat(head, F.lit("0")))) % 10).cast("string"))
-    return F.when(_check_sum(value) == 0, right).otherwise(made)
+    return F.concat(head, ((10 - _check_sum(F.concat(head, F.lit("0")))) % 10).cast("string"))
+
+
+def _mod97(account: Column, head: Column) -> Column:
+    """An IBAN's number modulo 97: the account and then country and check digits, letters as 10 to 35."""
+    return F.aggregate(F.filter(F.split(F.concat(account, head), ""), lambda c: c != ""), F.lit(0), lambda a, c: F.when(
+        c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def _valid_iban(value: Column) -> Column:
+    return _mod97(F.substr(value, F.lit(5)), F.substr(value, F.lit(1), F.lit(4))) == 1
+
+
+def _iban(value: Column, h: Column) -> Column:
+    country, account = F.substr(value, F.lit(1), F.lit(2)), _like(F.substr(value, F.lit(5)), h)
+    check = (98 - _mod97(account, F.concat(country, F.lit("00")))).cast("string")
+    return F.concat(country, F.lpad(check, 2, "0"), account)
 
 
 def _name(h: Column, script: str, syllables: Column, ending: str) -> Column:
@@ -115,7 +144,7 @@ def _name(h: Column, script: str, syllables: Column, ending: str) -> Column:
     return F.initcap(F.concat(made, F.lit(ending)))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity (kind, canonical value) at an attempt."""
     h = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")), 512)
     longer = F.floor(attempt / 2).cast("int")
@@ -127,7 +156,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
            .when(kind == "ip", F.concat_ws(".", (_byte(h, 0) % 223 + 1).cast("string"), _byte(h, 1).cast("string"),
                                            _byte(h, 2).cast("string"), (_byte(h, 3) % 254 + 1).cast("string")))
            .when(kind == "card", _card(value, h))
-           .when(kind.isin("phone", "ssn"), _like(value, h, 1)))
+           .when(kind == "iban", _iban(value, h))
+           .when(kind.isin("phone", "ssn"), F.when(attempt < ANY_DIGIT, _like(value, h, 1)).otherwise(_like(value, h))))
     for script, (_, vowels) in _SYLLABLES.items():
         for part, syllables, ending in (("surname", 3, {"latin": "n", "cyrillic": "н", "greek": "ν"}[script]),
                                         ("female", 2, vowels[0]), ("male", 2, vowels[3]), ("neutral", 2, vowels[4])):
@@ -156,7 +186,8 @@ def name_words(match: Column) -> Column:
 
 
 def parts(match: Column) -> Column:
-    """The entities in a match: an array of (kind, canonical value); a name has one a part, in their order.
+    """The entities in a match: an array of (kind, canonical value); a name has one a part, in their order,
+    a number that fails its check sum none.
     A bare mention comes as its kind and word, a \\u0001 before each."""
     name, words = F.regexp_replace(match, f"^{_HEAD}", ""), name_words(match)
     script = (F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek")
@@ -168,14 +199,16 @@ def parts(match: Column) -> Column:
     names = F.transform(words, lambda w, i: one(
         F.concat(F.when(i == F.size(words) - 1, "surname").otherwise(gender), F.lit("_"), script), F.lower(w)))
     bare = F.split(match, "\u0001")
-    digits = _digits(match)
+    digits, plain = _digits(match), F.regexp_replace(match, " ", "")
     kind = (F.when(match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
             .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(match.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$"), "card").otherwise("phone"))
     return (F.when(match.startswith("\u0001"), F.array(one(F.get(bare, F.lit(1)), F.lower(F.get(bare, F.lit(2))))))
             .when(match.contains("@"), F.array(one(F.lit("email"), F.lower(match))))
             .when(title != "", names)
-            .otherwise(F.array(one(kind, F.when(kind == "ip", match).otherwise(digits)))))
+            .when(match.rlike(_IBAN_SHAPE), F.filter(F.array(one(F.lit("iban"), plain)), lambda e: _valid_iban(e["value"])))
+            .otherwise(F.filter(F.array(one(kind, F.when(kind == "ip", match).otherwise(digits))),
+                                lambda e: (e["kind"] != "card") | (_check_sum(e["value"]) == 0))))
 
 
 def fill(match: Column, new: Column) -> Column:
@@ -190,8 +223,11 @@ def fill(match: Column, new: Column) -> Column:
         F.substr(match, i.cast("int"), F.lit(1)).rlike("[0-9]"),
         F.substr(new[0], F.length(_digits(F.substr(match, F.lit(1), i.cast("int")))), F.lit(1)))
         .otherwise(F.substr(match, i.cast("int"), F.lit(1)))), "")
+    account = F.array_join(F.transform(F.sequence(F.lit(1), F.length(match)), lambda i: F.when(
+        F.substr(match, i.cast("int"), F.lit(1)) == " ", " ").otherwise(
+        F.substr(new[0], F.length(F.regexp_replace(F.substr(match, F.lit(1), i.cast("int")), " ", "")), F.lit(1)))), "")
     whole = match.contains("@") | match.startswith("\u0001") | match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    return F.when(whole, new[0]).when(head != "", name).otherwise(number)
+    return F.when(whole, new[0]).when(head != "", name).when(match.rlike(_IBAN_SHAPE), account).otherwise(number)
 
 
 def mentions(text: Column) -> Column:
@@ -201,18 +237,20 @@ def mentions(text: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda e: F.length(e["word"]) > 1))
 
 
-def replacements(spark: SparkSession, entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """(kind, value, new) for distinct entities (kind, value): no two of a kind alike, none a value that occurs."""
+def replacements(spark: SparkSession, entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """(kind, value, new) for distinct entities (kind, value): no two of a kind alike, and while there is room none
+    a value that occurs; never its own."""
     pending = entities.withColumn("attempt", F.lit(0))
     done = scratch.write(entities.limit(0).withColumn("new", F.col("value")), "done0")
     for attempt in range(MOST_ATTEMPTS):
         drawn = scratch.write(
             pending.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
             .withColumn("id", F.lower("new")), f"drawn{attempt}")
-        first = drawn.groupBy("kind", "id").agg(F.min("value").alias("value"))      # one of those that drew the same
-        taken = (done.select("kind", F.lower("new").alias("id"))
-                 .unionByName(entities.select("kind", F.col("value").alias("id"))))
-        good = (drawn.join(first, ["kind", "id", "value"]).join(taken, ["kind", "id"], "left_anti")
+        first = drawn.where(F.col("id") != F.lower("value")).groupBy("kind", "id").agg(F.min("value").alias("value"))      # one of those that drew the same
+        taken = done.select("kind", F.lower("new").alias("id"))
+        if attempt < ANY_VALUE:
+            taken = taken.unionByName(entities.select("kind", F.lower("value").alias("id")))
+        good = (drawn.where(F.col("id") != F.lower("value")).join(first, ["kind", "id", "value"]).join(taken, ["kind", "id"], "left_anti")
                 .select("kind", "value", "new"))
         good = scratch.write(good, f"good{attempt}")
         done = done.unionByName(good)
@@ -220,16 +258,44 @@ def replacements(spark: SparkSession, entities: DataFrame, scratch: Scratch, key
                                 f"pending{attempt}")
         if not pending.head(1):
             return done
-    raise RuntimeError(f"replacements still collide after {MOST_ATTEMPTS} attempts")
-
-
-def replace(spark: SparkSession, docs: DataFrame, *, key: str = KEY) -> DataFrame:
-    """doc_id, text with every entity replaced, and n_entities, for every row of ``docs`` (doc_id, text)."""
+    raise RuntimeError(f"replacements still collide after {MOST_ATTEMPTS} attempts: a space of numbers is full")
+
+
+def later_mentions(rows: DataFrame, ids: list[Column], has: Column, scratch: Scratch) -> DataFrame:
+    """(k1, k2, known) for texts with names behind titles: the parts (word, kind) whose bare mentions are replaced."""
+    lower_case = lambda e: F.regexp_like("text", F.concat(
+        F.lit(r"(?<![\p{L}\p{N}])"), F.lower(e["word"]), F.lit(r"(?![\p{L}\p{M}\p{N}])")))
+    named = scratch.write(
+        rows.where(has).select(*ids, "text", mentions(F.col("text")).alias("known")).where(F.size("known") > 0)
+        .withColumn("known", F.filter("known", lambda e: ~lower_case(e)))
+        .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.first("known").alias("known")), "named")
+    parts_ = named.select("k1", "k2", "n", F.posexplode("known").alias("at", "e")).withColumn("word", F.lower("e.word"))
+    if not parts_.head(1):
+        return named.select("k1", "k2", "known")
+    in_names = parts_.select("k1", "k2", "n", "word").distinct().groupBy("word").agg(F.sum("n").alias("titled"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+"))
+    used = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    common = scratch.write(in_names.join(used, "word").where(F.col("n") >= COMMON * F.col("titled")).select("word"), "common")
+    return scratch.write(
+        parts_.join(common, "word", "left_anti").groupBy("k1", "k2")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("known")).select("k1", "k2", F.col("known.e").alias("known")),
+        "later")
+
+
+def replace(spark: SparkSession, docs: DataFrame, *, key: str) -> DataFrame:
+    """doc_id, text with every entity replaced, and n_entities, for every row of ``docs`` (doc_id, text).
+
+    ``key`` is the caller's secret: with it the replacements of a short number space could be tried out.
+    """
+    if not key:
+        raise ValueError("replacements need a key")
     scratch = Scratch(spark, "pii")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     has = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(ENTITY), F.lit(False))
     ids = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]
-    named = (rows.where(has).select(*ids, "text").dropDuplicates(["k1", "k2"]).withColumn("known", mentions(F.col("text")))
+    later = later_mentions(rows, ids, has, scratch)
+    named = (rows.where(has).select(*ids, "text").dropDuplicates(["k1", "k2"]).join(later, ["k1", "k2"], "left")
+             .withColumn("known", F.coalesce("known", F.array().cast(later.schema["known"].dataType)))
              .withColumn("pattern", F.when(F.size("known") == 0, ENTITY).otherwise(F.concat(
                  F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("known.word"), "|"),
                  F.lit(r")(?![\p{L}\p{M}\p{N}])")))))
@@ -245,16 +311,17 @@ def replace(spark: SparkSession, docs: DataFrame, *, key: str = KEY) -> DataFram
     filled = (matches.select("match", F.posexplode("parts").alias("nth", "p"))
               .select("match", "nth", "p.kind", "p.value").join(new, ["kind", "value"])
               .groupBy("match").agg(F.sort_array(F.collect_list(F.struct("nth", "new"))).alias("new"))
-              .select("match", fill(F.col("match"), F.col("new.new")).alias("fill")))
-    filled = scratch.write(filled, "filled")
+              .select("match", fill(F.col("match"), F.col("new.new")).alias("fill"), F.lit(1).alias("entity")))
+    stays = matches.where(F.size("parts") == 0).select("match", F.col("match").alias("fill"), F.lit(0).alias("entity"))
+    filled = scratch.write(filled.unionByName(stays), "filled")
     fills = (found.select("k1", "k2", "pattern", F.posexplode("m").alias("at", "match")).join(filled, "match")
-             .groupBy("k1", "k2", "pattern").agg(F.sort_array(F.collect_list(F.struct("at", "fill"))).alias("f"))
-             .select("k1", "k2", "pattern", F.col("f.fill").alias("fills")))
+             .groupBy("k1", "k2", "pattern").agg(F.sort_array(F.collect_list(F.struct("at", "fill"))).alias("f"), F.sum("entity").alias("n_entities"))
+             .select("k1", "k2", "pattern", F.col("f.fill").alias("fills"), "n_entities"))
     fills = scratch.write(fills, "fills")
     gaps = F.split("text", F.col("pattern"), -1)
     woven = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, F.size("fills")), F.col("fills"),
                                                        lambda g, f: F.array(g, f))), ""), F.element_at(gaps, -1))
     changed = (rows.where(has).select("*", *ids).join(fills, ["k1", "k2"])
-               .select("doc_id", woven.alias("text"), F.size("fills").cast("bigint").alias("n_entities")))
+               .select("doc_id", woven.alias("text"), "n_entities"))
     same = rows.where(~has).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
     return same.unionByName(changed)

@@ -21,7 +21,7 @@ ROWS = [(1, TEXT), (2, None), (3, ""), (4, "clean 1.2.3 text 12345, no. 7 at 10:
 
 def test_surrogates_are_consistent_and_keep_format(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id bigint, text string, kind string")
-    got = pii.replace(spark, df).collect()
+    got = pii.replace(spark, df, key="k").collect()
     texts = {}
     for r in got:
         texts.setdefault(r.doc_id, []).append(r.text)
@@ -39,13 +39,13 @@ def test_surrogates_are_consistent_and_keep_format(spark):
     for secret in ("3824", "Tist", "8.196", "Schmidt", "4111-1111", "6789", "Петров"):
         assert secret not in out
     assert pii.replace(spark, df, key="other").where("doc_id = 1").first().text != out
-    assert pii.replace(spark, df.where("false")).collect() == []
+    assert pii.replace(spark, df.where("false"), key="k").collect() == []
 
 
 def test_whole_names_and_their_later_mentions(spark):
     text = ("Mr John Paul Smith met Mr McDonald, Mrs O'Brien, Dr Anna Weber and Herr Dr. Jan van der Berg. Then Smith, "
             "O'Brien's friend Weber, McDonald and Berg left; г-жа Анна Петрова и Петрова; κυρία Μαρία Παππά. Smithers stayed")
-    out = pii.replace(spark, spark.createDataFrame([(1, text), (2, "Smith alone")], "doc_id bigint, text string")).collect()
+    out = pii.replace(spark, spark.createDataFrame([(1, text), (2, "Smith alone")], "doc_id bigint, text string"), key="k").collect()
     texts = {r.doc_id: r.text for r in out}
     w = r"([\w']+)"
     m = re.fullmatch(rf"Mr {w} {w} {w} met Mr {w}, Mrs {w}, Dr {w} {w} and Herr Dr. {w} van der {w}. Then {w}, {w}'s friend {w}, {w} "
@@ -61,17 +61,103 @@ def test_surrogates_never_collide(spark):
     from pricetide.llm.common import Scratch
     rows = [("phone", f"1{i:04d}") for i in range(2000)] + [("surname_latin", f"name{i}") for i in range(3000)]
     entities = spark.createDataFrame(rows, "kind string, value string")
-    got = pii.replacements(spark, entities, Scratch(spark, "test")).collect()
+    got = pii.replacements(spark, entities, Scratch(spark, "test"), "k").collect()
     assert sorted((r.kind, r.value) for r in got) == sorted(rows)
     assert len({(r.kind, r.new.lower()) for r in got}) == len(rows)
     assert not {(r.kind, r.new.lower()) for r in got} & set(rows)
 
 
 def test_surrogates_run_no_python(spark):
-    df = pii.replace(spark, spark.createDataFrame(ROWS, "doc_id bigint, text string"))
+    df = pii.replace(spark, spark.createDataFrame(ROWS, "doc_id bigint, text string"), key="k")
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def _iban(country, account):
+    number = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{account}"
+
+
+def test_replacements_equal_a_plain_reading(spark):
+    """Texts of plain words and written entities: the words stay, entities map one to one, in their own format."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def luhn(body, right):
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+        return body + str((-total + (0 if right else 3)) % 10)
+
+    def entity():
+        kind = rng.choice(["iban", "card", "email", "ip", "ssn", "national", "pairs", "plus"])
+        if kind == "iban":
+            value = _iban("DE", digits(18)) if rng.random() < 0.5 else _iban("GB", "WEST" + digits(14))
+            return kind, value, [value, " ".join(value[i:i + 4] for i in range(0, len(value), 4))]
+        if kind == "card":
+            value = luhn("4" + digits(14), True)
+            return kind, value, [value, *(sep.join(value[i:i + 4] for i in range(0, 16, 4)) for sep in " -")]
+        if kind == "email":
+            value = f"{rng.choice(['ann', 'bo'])}.{digits(3)}@mail{digits(1)}.org"
+            return kind, value, [value, value.upper()]
+        if kind == "ip":
+            value = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+            return kind, value, [value]
+        if kind == "ssn":
+            value = f"{digits(3)}-{digits(2)}-{digits(4)}"
+            return kind, value, [value]
+        if kind == "national":
+            a, b = "03" + digits(2), digits(7)
+            return "phone", a + b, [f"{a} {b}", f"{a}/{b}"]
+        if kind == "pairs":
+            value = ["06", *(digits(2) for _ in range(4))]
+            return "phone", "".join(value), [" ".join(value), ".".join(value)]
+        a, b = "1743" + digits(3), digits(4)
+        return "phone", a + b, [f"+{a[0]} ({a[1:4]}) {a[4:]}-{b}", f"+{a[0]} {a[1:4]} {a[4:]} {b}"]
+
+    pool = [entity() for _ in range(40)]
+    wrong = [luhn("5" + digits(14), False), "DE00" + digits(18), "GB33 WEST 1234 5698 7654 33", digits(12)]
+    rows, wanted = [], []
+    for doc in range(30):
+        parts, text = [], "so"
+        for i in range(rng.randint(0, 8)):
+            kind, value, forms = rng.choice(pool)
+            form = rng.choice(forms)
+            text += f" <{form}> w{i}x {rng.choice(['', '[' + rng.choice(wrong) + '] '])}and"
+            parts.append((kind, value, form))
+        rows.append((doc, text))
+        wanted.append(parts)
+    got = {r.doc_id: r for r in pii.replace(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), key="k").collect()}
+    new_of, bare = {}, lambda s: re.sub(r"[^0-9A-Za-z@]", "", s).lower()
+    for (doc, text), parts in zip(rows, wanted):
+        out = got[doc]
+        assert out.n_entities == len(parts)
+        assert re.sub("<[^>]*>", "<>", out.text) == re.sub("<[^>]*>", "<>", text)          # all else stays
+        for (kind, value, form), new in zip(parts, re.findall("<([^>]*)>", out.text)):
+            if kind not in ("ip", "email"):
+                assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", form))
+            assert new_of.setdefault((kind, value), bare(new)) == bare(new) != bare(value)
+            if kind == "card":
+                assert luhn(bare(new)[:-1], True) == bare(new)
+            if kind == "iban":
+                plain = new.replace(" ", "")
+                assert plain[:2] == value[:2] and _iban(plain[:2], plain[4:]) == plain
+    assert len(set(new_of.values())) == len(new_of) > 20
+    assert not set(new_of.values()) & {bare(v) for _, v, _ in pool}
+
+
+def test_ordinary_words_are_no_later_mentions(spark):
+    rows = [(1, "Frau Müller Geld verloren. Das Geld war weg, sagt Müller."), (2, "Mr Will Young will go. Will he? Young people.")]
+    rows += [(10 + i, f"Das Geld und young people {i}") for i in range(60)]
+    texts = {r.doc_id: r.text for r in pii.replace(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), key="k").collect()}
+    m = re.fullmatch(r"Frau (\w+) (\w+) verloren. Das Geld war weg, sagt (\w+).", texts[1])
+    assert m and m[1] != "Müller" and m[2] != "Geld" and m[3] != "Müller"      # whole name behind the title; later only the surname
+    assert re.fullmatch(r"Mr (?!Will)\w+ (?!Young)\w+ will go. Will he\? Young people.", texts[2])
+    assert all(texts[i] == t for i, t in rows[2:])
+
+
+def test_replacements_need_a_key(spark):
+    with pytest.raises(ValueError, match="key"):
+        pii.replace(spark, spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), key="")
+
+
 # --------------------------------------------------------------------------- toxicity
 
 
