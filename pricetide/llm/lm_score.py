@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_runs, mix64, slices, words_of
+from .common import Scratch, hash_runs, mix64, released, slices, words_of
 
 #: Weight of the bigram's relative frequency; the rest is the smoothed word frequency.
 LAMBDA, ALPHA = 0.7, 0.5
@@ -119,6 +119,12 @@ def _word_keys(words: np.ndarray) -> np.ndarray:
     return mix64(words) | np.uint64(1)
 
 
+def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (ranges of keys) that have any of the sorted keys, and where each begins."""
+    held, first = np.unique((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
+    return held.astype(np.int64), first
+
+
 class _Chunk:
     """A chunk's keys (of its different bigrams, then words, then contexts), and each word's bigram."""
 
@@ -126,9 +132,15 @@ class _Chunk:
         self.sizes = np.array(row["sizes"], np.int64)
         words, ids = _unpacked(row["words"], True), _unpacked(row["ids"]).astype(np.int64)
         self.n_words = m = len(words)
-        before = np.concatenate([[m], ids[:-1]])[:len(ids)]
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = m          # START is behind the words
-        pairs, self.pair = np.unique(before * (m + 1) + ids, return_inverse=True)
+        before *= m + 1
+        before += ids
+        del ids
+        pairs, pair = np.unique(before, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del before, pair
         self.context, self.word = pairs // (m + 1), pairs % (m + 1)
         context = mix64(np.append(words, np.uint64(START)) ^ np.uint64(0xC2B2AE3D27D4EB4F))
         bigram = mix64(context[self.context] + words[self.word])
@@ -143,8 +155,7 @@ class _Chunk:
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The keys' places in order, the buckets (ranges of keys) that have any, and where each begins."""
         order = np.argsort(self.keys, kind="stable")
-        held, first = np.unique((self.keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
-        return order, held.astype(np.int64), first
+        return order, *_buckets(self.keys[order], buckets)
 
 
 def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
@@ -154,19 +165,32 @@ def _targets(row: dict, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(flag, sizes)
 
 
-def model_sizes(chunks: DataFrame) -> tuple[int, int, int]:
-    """Different words (but the unknown one), words, and words of target documents in all chunks."""
+def model_sizes(chunks: DataFrame) -> tuple[int, int, int, int]:
+    """Buckets, different words (but the unknown one), words, and words of target documents in all chunks."""
+    in_targets = F.aggregate(F.coalesce("target", F.array().cast("array<int>")), F.lit(0).cast("bigint"),
+                             lambda sum_, nth: sum_ + F.get(F.col("sizes"), nth))
+    row = chunks.agg(F.sum("n").alias("n"), F.sum(in_targets).alias("n_t")).first()
+    buckets = max(BUCKETS, -(-(row["n"] or 0) // BUCKET_WORDS))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("words"):
                 each = _unpacked(blob.as_py(), True)
-                yield pa.RecordBatch.from_arrays([pa.array(each[each != UNKNOWN].view(np.int64))], ["word"])
+                keys = np.sort(mix64(each[each != UNKNOWN]))
+                held, first = _buckets(keys, buckets)
+                if len(held):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(held), pa.array([_packed(x, True) for x in np.split(keys, first[1:])], pa.binary())],
+                        ["bucket", "keys"])
+        released()
 
-    known = chunks.select("words").mapInArrow(words, "word bigint").distinct().count()
-    in_targets = F.aggregate(F.coalesce("target", F.array().cast("array<int>")), F.lit(0).cast("bigint"),
-                             lambda sum_, nth: sum_ + F.get(F.col("sizes"), nth))
-    row = chunks.agg(F.sum("n").alias("n"), F.sum(in_targets).alias("n_t")).first()
-    return known, row["n"] or 0, row["n_t"] or 0
+    def count(bucket: pa.Table) -> pa.Table:
+        each = np.unique(np.concatenate([_unpacked(x, True) for x in bucket.column("keys").to_pylist()]))
+        return pa.table({"n": pa.array([len(each)], pa.int64())})
+
+    known = (chunks.select("words").mapInArrow(words, "bucket bigint, keys binary")
+             .groupBy("bucket").applyInArrow(count, "n bigint").agg(F.sum("n")).first()[0])
+    return buckets, known or 0, row["n"] or 0, row["n_t"] or 0
 
 
 def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int | None = None) -> DataFrame:
@@ -180,8 +204,7 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int
     flagged = place.join(wanted, "doc_id").groupBy("chunk").agg(F.collect_list("nth").alias("target"))
     chunks = scratch.write(chunks.join(scratch.write(flagged, "flagged"), "chunk", "left"), "marked")
     scratch.drop("chunks")
-    vocabulary_, *tokens = model_sizes(chunks)
-    buckets = max(BUCKETS, -(-tokens[0] // BUCKET_WORDS))
+    buckets, vocabulary_, *tokens = model_sizes(chunks)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +216,8 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(held), pa.array(np.full(len(held), row["chunk"]), pa.int64()),
                      *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "keys", "n", "n_t"])
+                del own, order, cols
+                released()
 
     def add_up(bucket: pa.Table) -> pa.Table:
         sent = [_unpacked(x, True) for x in bucket.column("keys").to_pylist()]
@@ -216,7 +241,7 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int
         own = _Chunk(row)
         order, _, _ = own.by_bucket(buckets)
         back = back.sort_by("bucket")
-        sizes, of = own.sizes, np.repeat(np.arange(len(own.sizes)), own.sizes)
+        sizes, of = own.sizes, np.repeat(np.arange(len(own.sizes), dtype=np.int32), own.sizes)
         means = []
         for k, c in enumerate(("n", "n_t")):
             total = np.zeros(len(order))
@@ -226,6 +251,8 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, size: int
             sums = np.bincount(of, loss[own.pair], len(sizes))
             means.append(np.divide(sums, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0))
         cols = [means[1], means[0], means[1] - means[0]]
+        del own, order, total, pair, word, context, loss, sums
+        released()
         return pa.Table.from_arrays(
             [pa.array(row["doc_ids"], pa.int64()), pa.array(sizes),
              *(pa.array(c, pa.float64(), from_pandas=True) for c in cols)],
