@@ -1205,6 +1205,23 @@ def q_register_views(spark, d):
                      "FROM products p JOIN categories c ON c.category_id = p.category_id GROUP BY c.category_name")
 
 
+_STATISTICS_COLS = ("sale_id", "product_id", "price", "sale_price")
+
+
+@query("column_statistics", with_tables(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, MIN({c})::VARCHAR AS minimum, MAX({c})::VARCHAR AS maximum, "
+    f"COUNT(*) - COUNT({c}) AS nulls FROM sales" for c in _STATISTICS_COLS)))
+def q_column_statistics(spark, d):
+    """What ANALYZE finds out about the whole sales table."""
+    name = f"sales_{uuid.uuid4().hex}"
+    retail_tables(spark, d).sales.write.option("path", scratch_path(spark, name)).saveAsTable(name)
+    try:
+        io.analyze(spark, name, _STATISTICS_COLS)
+        return io.column_statistics(spark, name, _STATISTICS_COLS)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 # --------------------------------------------------------------------------- D2, D3, M2, M3, M5
 
 
@@ -1315,6 +1332,27 @@ def q_price_point_refreshed(spark, d):
     return pricing.price_of(_refreshed(spark, d), 1)
 
 
+@query("stream_refresh_loop", priced("SELECT product_id, live_price, last_update_time FROM inventory_item"))
+def q_refresh_loop(spark, d):
+    """A loop of refreshes, the first of them before any promotion is there; what a later one has stored."""
+    t = retail_tables(spark, d)
+    root, calls = _scratch(spark, "refresh-loop"), []
+
+    def tables():
+        calls.append(1)
+        return {"products": t.products, "sales": t.sales, "inventory": t.inventory,
+                "promotions": t.promotions if len(calls) > 1 else t.promotions.where("false")}
+
+    loop = mt.refresh_loop(spark, tables, root, interval="1 second")
+    try:
+        while not mt.refresh_log(spark, root).where("copy > 0").head(1):
+            if loop.awaitTermination(1):            # raises what the loop failed with
+                raise RuntimeError("the refresh loop ended")
+    finally:
+        loop.stop()
+    return mt.refreshed(spark, root)
+
+
 def _streamed(spark, d, feed, snapshot):
     """A maintainer that has loaded ``snapshot`` and folded ``feed``, a tenth of it delivered twice, in several batches."""
     root = _scratch(spark, "stream")

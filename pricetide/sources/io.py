@@ -252,6 +252,15 @@ def analyze(spark: SparkSession, table: str, columns: Sequence[str] = ()) -> Non
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(columns)}")
 
 
+def column_statistics(spark: SparkSession, table: str, columns: Sequence[str]) -> DataFrame:
+    """(column_name, minimum, maximum, nulls) as the catalog knows them after :func:`analyze`; catalog metadata only."""
+    rows = []
+    for c in columns:
+        info = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} {c}").collect()}
+        rows.append((c, info["min"], info["max"], int(info["num_nulls"])))
+    return spark.createDataFrame(rows, "column_name string, minimum string, maximum string, nulls bigint")
+
+
 # JSON documents: NULL fields are kept, timestamps carry microseconds.
 JSON_DOC_OPTIONS = {"ignoreNullFields": "false",
                     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
