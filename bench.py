@@ -27,6 +27,7 @@ HEADLINE = [
     "item_factors",            # every factor of D1
     "dynamic_cart",            # D4 live cart with stock
     "category_totals",         # D5 roll-up
+    "category_totals_closure", # D5, the roll-up as a second key
     "cart_snapshot",           # D6 cart page records
     "high_demand",             # A5/A6
     "popularity_score",        # W1 exact rank via histogram
