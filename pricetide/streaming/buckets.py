@@ -120,6 +120,12 @@ class LoggedTable:
             out.append((int(b), int(v), kind))
         return out
 
+    def _versions(self) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for b, v, _ in self._parts():
+            out.setdefault(b, []).append(v)
+        return out
+
     def load(self, rows: DataFrame) -> None:
         """The content as of version 0; without a number of buckets, there is one for every BUCKET_BYTES of it."""
         rows = rows.select(*self.schema.fieldNames())
@@ -136,14 +142,15 @@ class LoggedTable:
             nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
             # a row without a key in each bucket, so that an empty one has a folder too
             marks = self.spark.range(self.buckets).select(*nothing, F.col("id").cast("int").alias("bucket"))
-            full = full.unionByName(marks.where(F.col("bucket").isin(*marked))).repartition(min(self.buckets, 200), "bucket")
-        (full.withColumns({"v": F.lit(version), "kind": F.lit(kind)}).sortWithinPartitions("bucket", self.key)
+            full = full.unionByName(marks.where(F.col("bucket").isin(*marked)))
+        # by bucket, several small buckets a task and several tasks a large one
+        (full.hint("rebalance", F.col("bucket")).withColumns({"v": F.lit(version), "kind": F.lit(kind)}).sortWithinPartitions("bucket", self.key)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v", "kind")
          .parquet(self.path))
 
     def append(self, rows: DataFrame, version: int) -> None:
-        """Rows that ``version`` adds (few: they are written as they are dealt, by bucket)."""
-        self._write(rows.coalesce(4), version, "more")
+        """Rows that ``version`` adds, however many."""
+        self._write(rows, version, "more")
 
     def read(self, upto: int, only: Iterable[int] | None = None) -> DataFrame:
         """All rows that count as of version ``upto``, not added up, of all buckets or of those named."""

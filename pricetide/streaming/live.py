@@ -100,12 +100,16 @@ def changes(rows: DataFrame, table: str, log: str, position: str = "position") -
                        F.col("op").cast("string").alias("op"), image("before").alias("before"), image("after").alias("after"))
 
 
+def _outside(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (log, position, ..) whose position no interval of ``seen`` holds."""
+    inside = seen.select(F.col("log").alias("_log"), "lo", "hi")
+    return rows.join(inside, (F.col("log") == F.col("_log")) & F.col("position").between(F.col("lo"), F.col("hi")), "left_anti")
+
+
 def not_seen(batch: DataFrame, seen: DataFrame, cuts: DataFrame) -> DataFrame:
     """Changes of ``batch`` that no interval of ``seen`` (log, lo, hi) holds and that no snapshot (``cuts``) has, each once."""
     first = batch.where("log IS NOT NULL AND position IS NOT NULL").dropDuplicates(["log", "position"])
-    inside = seen.select(F.col("log").alias("_log"), "lo", "hi")
-    new = first.join(inside, (F.col("log") == F.col("_log")) & F.col("position").between(F.col("lo"), F.col("hi")), "left_anti")
-    return (new.join(cuts.select("log", "table", F.col("position").alias("_cut")), ["log", "table"], "left")
+    return (_outside(first, seen).join(cuts.select("log", "table", F.col("position").alias("_cut")), ["log", "table"], "left")
             .where("_cut IS NULL OR position > _cut").drop("_cut"))
 
 
@@ -113,9 +117,11 @@ def with_seen(seen: DataFrame, batch: DataFrame, block: int = 1 << 16) -> DataFr
     """The intervals of ``seen`` and of the batch's positions, joined where they touch.
 
     Positions become runs inside blocks first, so that a log of many positions
-    is numbered in many tasks; what is left are few runs a log.
+    is numbered in many tasks; what is left are few runs a log. Positions that an
+    interval holds already are left out, else each of a sparse second delivery
+    would be a run of its own.
     """
-    at = batch.where("log IS NOT NULL AND position IS NOT NULL").select("log", "position").distinct()
+    at = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL").select("log", "position").distinct(), seen)
     nth = F.row_number().over(Window.partitionBy("log", F.floor(F.col("position") / block)).orderBy("position"))
     runs = (at.withColumn("_run", F.col("position") - nth).withColumn("_block", F.floor(F.col("position") / block))
             .groupBy("log", "_block", "_run").agg(F.min("position").alias("lo"), F.max("position").alias("hi")).select("log", "lo", "hi"))
@@ -322,7 +328,7 @@ class LiveViews:
         cuts = self.spark.read.schema("log string, `table` string, position bigint").parquet(f"{self.root}/cuts")
         batch = batch.select(*FEED_SCHEMA.fieldNames())
         _, fresh = _together(lambda: self._put(with_seen(self.seen(old), batch), f"seen/v={new}"),
-                             lambda: self._put(not_seen(batch, self.seen(old), cuts), f"batch/v={new}", 4))
+                             lambda: self._put(not_seen(batch, self.seen(old), cuts), f"batch/v={new}"))
         names = {r[0] for r in fresh.select("table").distinct().collect()} & set(IMAGES)      # at most one row a table
         images = {n: _images(fresh, n) for n in names}
         _together(*[lambda n=n: t[n].append(_signed(n, images[n]), new) for n in names])
@@ -330,8 +336,9 @@ class LiveViews:
         self._resum(images, old, new)
         self._tidy(old, new)
 
-    def _put(self, rows: DataFrame, name: str, files: int = 1) -> DataFrame:
-        rows.coalesce(files).write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def _put(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` as a table. Written by all tasks that make them (fewer files would run their joins in fewer tasks)."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def _one_row(self) -> DataFrame:
@@ -347,7 +354,7 @@ class LiveViews:
             ids = self._put(ids.where("product_id IS NOT NULL").distinct(), f"touched/v={new}")
             now = _facts(*(t[n].of(ids, new) for n in _PRICED)).withColumn("is_new", F.lit(True))
             was = t["prices"].of(ids, old).select("product_id", "priced", *names).withColumn("is_new", F.lit(False))
-            both = self._put(was.unionByName(now), f"facts/v={new}", 4)
+            both = self._put(was.unionByName(now), f"facts/v={new}")
             moved = _ADD_UP["ranks"](_places(both.where("NOT is_new"), -1).unionByName(_places(both.where("is_new"), 1)))
             t["ranks"].append(moved, new)
             scopes = (both.where("priced").select(F.concat(F.lit("c"), "category_id").alias("scope"))
@@ -368,7 +375,7 @@ class LiveViews:
             kinds = {f.name: F.lit(None).cast(f.dataType) for f in t["prices"].schema.fields}
             gone = gone.select("product_id", *[v.alias(c) for c, v in kinds.items() if c != "product_id"]).withColumns(
                 {"seq": F.lit(new).cast("bigint"), "priced": F.lit(False)})
-            stored = self._put(priced.unionByName(gone), f"repriced/v={new}", 4)
+            stored = self._put(priced.unionByName(gone), f"repriced/v={new}")
             then = t["prices"].of(stored.select("product_id"), old).where("priced").select(
                 "product_id", F.col("live_price").alias("old_price"), F.col("category_id").alias("old_category"), F.lit(True).alias("had"))
             after = stored.where("priced").select("product_id", F.col("live_price").alias("new_price"),
