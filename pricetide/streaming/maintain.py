@@ -8,11 +8,13 @@ row before a change, +1 for the row after it. Everything kept of them is a sum o
 signs, so changes may arrive in any order and however late; a change delivered
 twice is dropped by its id (Spark's streaming state holds the ids).
 
-A micro-batch folds its changes into bucketed tables (:mod:`buckets`), reading
-only the buckets of the products it touches: counted sales, promotions and cart
-lines, summed stock, and per product the facts that a price depends on. The
-views are queries over these tables, one row per product: a price needs its
-product's facts and the thresholds of all facts, never a sale.
+A micro-batch appends its changes to logged tables (:class:`buckets.LoggedTable`)
+of counted sales, promotions and cart lines and summed stock; what is kept isn't
+written again, but for a bucket with many appended parts. Of the products it
+touches it computes anew those facts that a price depends on whose table has
+changed, and keeps the others: a promotion reads no sale. The views are queries
+over these tables, one row per product: a price needs its product's facts and
+the thresholds of all facts, never a sale.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pricetide.functions import factors as fx
 from pricetide.operators import cart as cartops
 from pricetide.operators import hierarchy, pricing
+from pricetide.session import written
 from pricetide.sources import io
-from pricetide.streaming.buckets import BUCKETS, BucketedTable
+from pricetide.streaming.buckets import BUCKETS, LoggedTable
 
 FEED_SCHEMA = T.StructType([
     T.StructField("change_id", T.StringType(), False),
@@ -52,7 +55,7 @@ KEPT = {
     "promotions": "product_id bigint, promotion_discount decimal(10,2), n bigint",
     "inventory": "product_id bigint, n bigint, stock bigint",
     "shopping_cart": "product_id bigint, product_name string, n bigint",
-    "facts": ("product_id bigint, sale_count bigint, sale_price_sum decimal(38,4), avg_price double, "
+    "facts": ("product_id bigint, seq bigint, sale_count bigint, sale_price_sum decimal(38,4), avg_price double, "
               "promotion_discount decimal(10,2), total_stock bigint"),
 }
 #: Columns of a change that are kept, per table.
@@ -66,8 +69,9 @@ _PAYLOAD = {
 }
 
 
-def kept_tables(spark: SparkSession, root: str, buckets: int = BUCKETS) -> dict[str, BucketedTable]:
-    return {n: BucketedTable(spark, f"{root}/{n}", ddl, "product_id", buckets) for n, ddl in KEPT.items()}
+def kept_tables(spark: SparkSession, root: str, buckets: int = BUCKETS) -> dict[str, LoggedTable]:
+    return {n: LoggedTable(spark, f"{root}/{n}", ddl, "product_id", lambda rows, n=n: _added_up(n, rows), buckets)
+            for n, ddl in KEPT.items()}
 
 
 # --------------------------------------------------------------------------- feed
@@ -119,10 +123,11 @@ def _as_kept(table: str, rows: DataFrame) -> DataFrame:
 
 
 def _added_up(table: str, rows: DataFrame) -> DataFrame:
-    """One row per kept key: the newest product row, or sums of signed rows (a key whose sums are 0 is gone)."""
-    if table == "products":
-        rest = [c for c in rows.columns if c not in ("product_id", "seq", "op")]
-        best = rows.groupBy("product_id").agg(F.max(F.struct("seq", "op", *rest)).alias("_b"))
+    """One row per kept key: the newest product or facts, or sums of signed rows (a key whose sums are 0 is gone)."""
+    if table in ("products", "facts"):
+        first = [c for c in ("seq", "op") if c in rows.columns]
+        rest = [c for c in rows.columns if c not in ("product_id", *first)]
+        best = rows.groupBy("product_id").agg(F.max(F.struct(*first, *rest)).alias("_b"))
         return best.select("product_id", "_b.*")
     if table == "sales":
         return (rows.groupBy("product_id", "sale_date", "price")
@@ -133,8 +138,7 @@ def _added_up(table: str, rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def _facts(sales: DataFrame, promotions: DataFrame, inventory: DataFrame) -> DataFrame:
-    """What a price depends on, per product, from the counted tables."""
+def _of_sales(sales: DataFrame) -> DataFrame:
     counts = sales.groupBy("product_id").agg(F.sum("n").alias("sale_count"),
                                              F.sum("amount").cast("decimal(38,4)").alias("sale_price_sum"))
     newest = Window.partitionBy("product_id").orderBy(F.desc("sale_date"), F.desc("price"))
@@ -144,12 +148,20 @@ def _facts(sales: DataFrame, promotions: DataFrame, inventory: DataFrame) -> Dat
            .withColumn("take", F.greatest(F.lit(0), F.least("n", "room"))))
     recent = top.groupBy("product_id").agg(
         (F.sum(F.col("price") * F.col("take")).cast("double") / F.sum("take")).alias("avg_price"))
-    best = promotions.where("n > 0").groupBy("product_id").agg(F.min("promotion_discount").alias("promotion_discount"))
-    stock = inventory.select("product_id", F.col("stock").alias("total_stock"))
-    out = counts.where("sale_count > 0")
-    for part in (recent, best, stock):
-        out = out.join(part, "product_id", "full")
-    return out
+    return counts.where("sale_count > 0").join(recent, "product_id", "full")
+
+
+def _of_promotions(promotions: DataFrame) -> DataFrame:
+    return promotions.where("n > 0").groupBy("product_id").agg(F.min("promotion_discount").alias("promotion_discount"))
+
+
+def _of_inventory(inventory: DataFrame) -> DataFrame:
+    return inventory.select("product_id", F.col("stock").alias("total_stock"))
+
+
+#: What a price depends on, per product: counted table -> (columns of the facts, how to compute them).
+_FACTS = {"sales": (["sale_count", "sale_price_sum", "avg_price"], _of_sales),
+          "promotions": (["promotion_discount"], _of_promotions), "inventory": (["total_stock"], _of_inventory)}
 
 
 class Maintainer:
@@ -160,42 +172,52 @@ class Maintainer:
 
     def load(self, snapshot: Mapping[str, DataFrame]) -> None:
         """Freeze the snapshot's tables (one pass over each; a missing table is empty)."""
-        every = range(self.tables["facts"].buckets)
         for name, payload in _PAYLOAD.items():
             columns = T.StructType.fromDDL(payload).fieldNames()
             if name not in snapshot:
-                self.tables[name].write(self.spark.createDataFrame([], self.tables[name].schema), 0, every)
+                self.tables[name].load(self.spark.createDataFrame([], self.tables[name].schema))
                 continue
             rows = snapshot[name].select(F.lit("I").alias("op"), F.lit(-1).cast("bigint").alias("seq"),
                                          F.lit(1).alias("w"), *columns)
-            self.tables[name].write(_added_up(name, _as_kept(name, rows)), 0, every)
-        self._write_facts(0, every)
-
-    def _write_facts(self, version: int, touched) -> None:
-        """Facts of the buckets ``touched``; ``version`` of each counted table is there already."""
-        if touched:
-            parts = [self.tables[n].read(version, touched) for n in ("sales", "promotions", "inventory")]
-            self.tables["facts"].write(_facts(*parts), version, touched)
+            self.tables[name].load(_added_up(name, _as_kept(name, rows)))
+        facts = None
+        for name, (_, compute) in _FACTS.items():
+            part = compute(self.tables[name].read(0))                            # added up when it was loaded
+            facts = part if facts is None else facts.join(part, "product_id", "full")
+        self.tables["facts"].load(facts.withColumn("seq", F.lit(0).cast("bigint")))
+
+    def _update_facts(self, touched: Mapping[str, DataFrame], old: int, new: int) -> None:
+        """Facts of touched products (counted table -> product_id): of the tables that changed anew, the others as they are."""
+        ids = None
+        for name, rows in touched.items():
+            one = rows.where("product_id IS NOT NULL").distinct().withColumn(f"_{name}", F.lit(True))
+            ids = one if ids is None else ids.join(one, "product_id", "full")
+        if ids is None:
+            return
+        ids = written(ids, "touched")
+        facts = ids.join(self.tables["facts"].of(ids.select("product_id"), old), "product_id", "left")
+        for name in touched:
+            columns, compute = _FACTS[name]
+            now = compute(self.tables[name].of(ids.where(f"_{name}").select("product_id"), new))
+            facts = facts.join(now.withColumnsRenamed({c: f"_new_{c}" for c in columns}), "product_id", "left").withColumns(
+                {c: F.when(F.col(f"_{name}"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
+        self.tables["facts"].append(facts.withColumn("seq", F.lit(new).cast("bigint")), new)
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function. A batch that runs again gives the same versions."""
-        version = batch_id + 1
+        old, new = batch_id, batch_id + 1
         batch = batch.persist()
         names = [r[0] for r in batch.select("table").distinct().collect()]       # at most one row per table
-        priced: set[int] = set()
+        touched = {}
         for name in names:
-            kept = self.tables[name]
-            kept.prune(batch_id)
             incoming = _as_kept(name, decode(batch, name))
-            touched = kept.touched(incoming)
-            if not touched:
-                continue
-            old = kept.read(batch_id, touched)
-            kept.write(_added_up(name, old.unionByName(incoming.select(*old.columns))), version, touched)
-            if name in ("sales", "promotions", "inventory"):
-                priced.update(touched)
-        self.tables["facts"].prune(batch_id)
-        self._write_facts(version, sorted(priced))
+            self.tables[name].append(incoming, new)
+            if name in _FACTS:
+                touched[name] = incoming.select("product_id")
+        self._update_facts(touched, old, new)
+        for table in self.tables.values():
+            table.compact(new)
+            table.prune(old)
         batch.unpersist()
 
     def start(self, feed_path: str, *, max_files_per_trigger: int | None = None, available_now: bool = True,
@@ -221,10 +243,10 @@ class Maintainer:
         return max(done) + 1 if done else 0
 
     def products(self, version: int) -> DataFrame:
-        return self.tables["products"].read(version).where("op <> 'D'").drop("op", "seq")
+        return self.tables["products"].now(version).where("op <> 'D'").drop("op", "seq")
 
     def _inputs(self, version: int) -> dict[str, DataFrame]:
-        facts = self.tables["facts"].read(version)
+        facts = self.tables["facts"].now(version)
         return {
             "counts": facts.where("sale_count > 0").select("product_id", "sale_count", "sale_price_sum"),
             "recent": facts.where("avg_price IS NOT NULL").select("product_id", "avg_price"),
@@ -239,7 +261,7 @@ class Maintainer:
 
     def dynamic_cart(self, categories: DataFrame, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
-        lines = self.tables["shopping_cart"].read(version).where("n > 0").withColumnRenamed("n", "multiplicity")
+        lines = self.tables["shopping_cart"].now(version).where("n > 0").withColumnRenamed("n", "multiplicity")
         view = cartops.dynamic_cart(lines, self.products(version), categories, self.inventory_item(version), None,
                                     stock=self._inputs(version)["stock"])
         return io.describe_view(view, "dynamic_cart")

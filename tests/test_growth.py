@@ -1,13 +1,16 @@
-"""Work that follows the input: writes by many tasks."""
+"""Work that follows the input: writes by many tasks, and micro-batches that don't write again what is kept."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from pricetide import schemas
 from pricetide.plans import registry
 from pricetide.streaming import live
+from pricetide.streaming import maintain as mt
 from pricetide.streaming.buckets import LoggedTable
 
 T0 = dt.datetime(2024, 1, 1)
@@ -72,3 +75,38 @@ def test_second_deliveries_take_several_files(spark, scratch, monkeypatch):
     views = registry._followed(spark, feed, {})
     assert views.reader().stock().count() == 400 and views.version() == 2
     assert _files(spark.read.parquet(f"{scratch}/feed")) - 30 == 3
+
+
+def _maintained(spark, scratch):
+    prods = spark.createDataFrame([(i, f"p{i}", Decimal("10.00"), 100 + i % 2, 1, True, T0) for i in range(1, 9)], schemas.PRODUCTS)
+    sales = spark.createDataFrame(
+        [(i, 1 + i % 7, Decimal("10.0000"), T0 + dt.timedelta(days=i % 30), Decimal(f"{5 + i % 9}.00")) for i in range(120)], schemas.SALES)
+    keeper = mt.Maintainer(spark, scratch, buckets=1)
+    keeper.load({"products": prods, "sales": sales})
+    return keeper
+
+
+def _change(spark, table, payload):
+    return spark.createDataFrame([(table, table, "I", 0, 1, json.dumps(payload))], mt.FEED_SCHEMA)
+
+
+def test_a_batch_writes_what_it_adds(spark, scratch):
+    keeper = _maintained(spark, scratch)
+    keeper.fold(_change(spark, "sales", {"product_id": 4, "sale_price": "5.0000", "price": "5.00",
+                                         "sale_date": "2024-03-01T00:00:00.000000"}), 0)
+    for name in ("sales", "facts"):
+        assert spark.read.parquet(f"{scratch}/{name}/bucket=0/v=1").count() == 1
+
+
+def test_a_promotion_reads_no_sale(spark, scratch, monkeypatch):
+    keeper = _maintained(spark, scratch)
+    before = {r.product_id: r for r in keeper.tables["facts"].now(0).collect()}
+
+    def fail(*_):
+        raise AssertionError("sales are read")
+    monkeypatch.setattr(keeper.tables["sales"], "of", fail)
+    monkeypatch.setattr(keeper.tables["sales"], "read", fail)
+    keeper.fold(_change(spark, "promotions", {"product_id": 4, "promotion_discount": "30.00", "active": True}), 0)
+    now = {r.product_id: r for r in keeper.tables["facts"].now(1).collect()}
+    assert now[4].promotion_discount == Decimal("30.00") and now[4].avg_price == before[4].avg_price
+    assert {p: r for p, r in now.items() if p != 4} == {p: r for p, r in before.items() if p != 4}
