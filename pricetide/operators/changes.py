@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from pricetide.functions.rand import randint, random_row
 from pricetide.operators.ordering import global_position
+from pricetide.session import input_bytes
 
 OPS = ("I", "U", "D")
 
@@ -77,11 +78,22 @@ def counted(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("multiplicity"))
 
 
+#: Bytes of input files whose rows one task counts: whole rows are the keys of its hash map.
+COUNTED_BYTES = 16 << 20
+
+
 def apply_changes_bag(base: DataFrame, changes: DataFrame, weight: str = "w") -> DataFrame:
-    """Keyless bag + weighted rows -> (cols..., multiplicity) with multiplicity > 0."""
+    """Keyless bag + weighted rows -> (cols..., multiplicity) with multiplicity > 0.
+
+    Rows of large inputs are dealt to as many tasks as their files ask for before
+    they are counted, so a task's map doesn't grow with the input.
+    """
     cols = base.columns
     all_rows = base.select(F.lit(1).alias("_w"), *cols).unionByName(
         changes.select(F.col(weight).cast("int").alias("_w"), *cols))
+    tasks = -(-input_bytes(base) // COUNTED_BYTES)
+    if tasks > int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        all_rows = all_rows.repartition(tasks, *cols)
     return (all_rows.groupBy(*cols).agg(F.sum("_w").alias("multiplicity"))
             .filter(F.col("multiplicity") > 0))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide import schemas
+from pricetide.operators import changes
 from pricetide.plans import registry
 from pricetide.streaming import live
 from pricetide.streaming import maintain as mt
@@ -110,3 +111,16 @@ def test_a_promotion_reads_no_sale(spark, scratch, monkeypatch):
     now = {r.product_id: r for r in keeper.tables["facts"].now(1).collect()}
     assert now[4].promotion_discount == Decimal("30.00") and now[4].avg_price == before[4].avg_price
     assert {p: r for p, r in now.items() if p != 4} == {p: r for p, r in before.items() if p != 4}
+
+
+def test_a_large_bag_is_counted_by_more_tasks(spark, scratch, monkeypatch):
+    spark.range(3000).select(F.col("id") % 1000, F.lit("x").alias("s")).toDF("k", "s").write.parquet(f"{scratch}/bag")
+    base = spark.read.parquet(f"{scratch}/bag")
+    less = base.where("k = 7").limit(2).select(F.lit(-1).alias("w"), "*")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan(changes.apply_changes_bag(base, less))
+    monkeypatch.setattr(changes, "COUNTED_BYTES", -(-changes.input_bytes(base) // (partitions + 1)))
+    got = changes.apply_changes_bag(base, less)
+    assert f", {partitions + 1}), REPARTITION_BY_NUM" in plan(got)
+    assert {r.k: r.multiplicity for r in got.collect()} == {k: 1 if k == 7 else 3 for k in range(1000)}
