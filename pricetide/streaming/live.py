@@ -100,37 +100,89 @@ def changes(rows: DataFrame, table: str, log: str, position: str = "position") -
                        F.col("op").cast("string").alias("op"), image("before").alias("before"), image("after").alias("after"))
 
 
+#: A log's positions are looked up, numbered and joined in blocks of 2 ** BLOCK_BITS, each by one task.
+BLOCK_BITS = 8
+
+
+def _block(position: Column | str) -> Column:
+    return F.shiftright(position, BLOCK_BITS)
+
+
+def _first(block: Column | str) -> Column:
+    return F.shiftleft(block, BLOCK_BITS)
+
+
+def _by_block(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals as at most two parts of a block each, (log, _block, lo, hi), and the blocks between that they hold whole,
+    (log, _from, _upto)."""
+    a, b, start, stop = (F.col(c) for c in ("_a", "_b", "_from", "_upto"))
+    at = seen.select("log", "lo", "hi", _block("lo").alias("_a"), _block("hi").alias("_b"))
+    at = at.withColumns({"_from": F.when(F.col("lo") == _first("_a"), a).otherwise(a + 1),
+                         "_upto": F.when(F.col("hi") == _first(b + 1) - 1, b).otherwise(b - 1)})
+    head = F.when((start > a) | ((a == b) & (stop < b)),
+                  F.struct(a.alias("_block"), F.col("lo").alias("lo"), F.least("hi", _first(a + 1) - 1).alias("hi")))
+    tail = F.when((b > a) & (stop < b), F.struct(b.alias("_block"), _first(b).alias("lo"), F.col("hi").alias("hi")))
+    parts = at.select("log", F.explode(F.array(head, tail)).alias("p")).where("p IS NOT NULL").select("log", "p.*")
+    return parts, at.where("_from <= _upto").select("log", "_from", "_upto")
+
+
+def _upto(at: str, hi: str, *keys: str) -> Column:
+    """The last place that an interval (at, hi) in the group holds which begins at or before a row's; of other rows ``hi`` is null."""
+    order = Window.partitionBy(*keys).orderBy(at, F.desc_nulls_last(hi))
+    return F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def _outside(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows (log, position, ..) whose position no interval of ``seen`` holds."""
-    inside = seen.select(F.col("log").alias("_log"), "lo", "hi")
-    return rows.join(inside, (F.col("log") == F.col("_log")) & F.col("position").between(F.col("lo"), F.col("hi")), "left_anti")
+    """Rows (log, position, ..) whose position no interval of ``seen`` holds, each position once.
+
+    Rows and intervals meet inside blocks, in the order of their positions: the
+    work follows their numbers, however many intervals a log has. Of a whole log
+    a task takes no more than the numbers of its blocks.
+    """
+    parts, whole = _by_block(seen)
+    placed = rows.withColumns({"_block": _block("position"), "_hi": F.lit(None).cast("bigint")})
+    blocks = placed.select("log", "_block").distinct().withColumn("_hi", F.lit(None).cast("bigint"))
+    blocks = (blocks.unionByName(whole.select("log", F.col("_from").alias("_block"), F.col("_upto").alias("_hi")))
+              .withColumn("_upto", _upto("_block", "_hi", "log")).where("_hi IS NULL AND _upto >= _block"))
+    marks = parts.unionByName(blocks.select("log", "_block", _first("_block").alias("lo"), (_first(F.col("_block") + 1) - 1).alias("hi")))
+    every = placed.unionByName(marks.select("log", F.col("lo").alias("position"), "_block", F.col("hi").alias("_hi")), allowMissingColumns=True)
+    before = F.lag("position").over(Window.partitionBy("log", "_block").orderBy("position", F.desc_nulls_last("_hi")))
+    return (every.withColumns({"_upto": _upto("position", "_hi", "log", "_block"), "_before": before})
+            .where("_hi IS NULL AND (_upto IS NULL OR _upto < position) AND NOT (_before <=> position)").select(*rows.columns))
 
 
 def not_seen(batch: DataFrame, seen: DataFrame, cuts: DataFrame) -> DataFrame:
     """Changes of ``batch`` that no interval of ``seen`` (log, lo, hi) holds and that no snapshot (``cuts``) has, each once."""
-    first = batch.where("log IS NOT NULL AND position IS NOT NULL").dropDuplicates(["log", "position"])
-    return (_outside(first, seen).join(cuts.select("log", "table", F.col("position").alias("_cut")), ["log", "table"], "left")
-            .where("_cut IS NULL OR position > _cut").drop("_cut"))
+    fresh = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL"), seen)
+    cuts = F.broadcast(cuts.select("log", "table", F.col("position").alias("_cut")))               # one row a log and table
+    return fresh.join(cuts, ["log", "table"], "left").where("_cut IS NULL OR position > _cut").drop("_cut")
 
 
-def with_seen(seen: DataFrame, batch: DataFrame, block: int = 1 << 16) -> DataFrame:
+def _joined(intervals: DataFrame, *keys: str) -> DataFrame:
+    """Intervals (keys, lo, hi) that touch as one."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = (intervals.withColumn("_new", F.when(F.col("lo") <= before + 1, 0).otherwise(1))
+                .withColumn("_at", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    return numbered.groupBy(*keys, "_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_at")
+
+
+def with_seen(seen: DataFrame, batch: DataFrame) -> DataFrame:
     """The intervals of ``seen`` and of the batch's positions, joined where they touch.
 
-    Positions become runs inside blocks first, so that a log of many positions
-    is numbered in many tasks; what is left are few runs a log. Positions that an
-    interval holds already are left out, else each of a sparse second delivery
-    would be a run of its own.
+    They are joined inside blocks, and then those at a block's edge, at most two
+    a block, with what lies beyond it: a log of many positions, or of many
+    intervals, is numbered in many tasks. Positions that an interval holds
+    already are left out, else each of a sparse second delivery would be a row.
     """
-    at = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL").select("log", "position").distinct(), seen)
-    nth = F.row_number().over(Window.partitionBy("log", F.floor(F.col("position") / block)).orderBy("position"))
-    runs = (at.withColumn("_run", F.col("position") - nth).withColumn("_block", F.floor(F.col("position") / block))
-            .groupBy("log", "_block", "_run").agg(F.min("position").alias("lo"), F.max("position").alias("hi")).select("log", "lo", "hi"))
-    every = seen.select("log", "lo", "hi").unionByName(runs)
-    order = Window.partitionBy("log").orderBy("lo", "hi")
-    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = every.withColumn("_new", F.when(F.col("lo") <= before + 1, 0).otherwise(1))
-    return (joined.withColumn("_at", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("log", "_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("log", "lo", "hi"))
+    parts, whole = _by_block(seen)
+    at = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL").select("log", "position"), seen)
+    at = at.select("log", _block("position").alias("_block"), F.col("position").alias("lo"), F.col("position").alias("hi"))
+    inside = _joined(at.unionByName(parts), "log", "_block")
+    edge = (F.col("lo") == _first("_block")) | (F.col("hi") == _first(F.col("_block") + 1) - 1)
+    every = inside.withColumn("_block", F.when(~edge, F.col("_block"))).unionByName(whole.select(
+        "log", F.lit(None).cast("bigint").alias("_block"), _first("_from").alias("lo"), (_first(F.col("_upto") + 1) - 1).alias("hi")))
+    return _joined(every, "log", "_block").select("log", "lo", "hi")
 
 
 def _images(fresh: DataFrame, table: str) -> DataFrame:

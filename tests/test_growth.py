@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -67,6 +68,29 @@ def test_a_second_delivery_makes_no_runs(spark):
     assert [tuple(r) for r in live.with_seen(seen, again).collect()] == [("a", 1, 1000)]
 
 
+@pytest.mark.parametrize("bits", [2, 8])
+def test_many_intervals_are_looked_up_by_blocks(spark, monkeypatch, bits):
+    """A random part of two logs seen before: no change is compared with all intervals of its log."""
+    monkeypatch.setattr(live, "BLOCK_BITS", bits)
+    rng = random.Random(bits)
+    was = {(log, p) for log in "ab" for p in range(-40, 300) if rng.random() < 0.7} | {("c", p) for p in range(100)}
+    now = {(log, p) for log in "ab" for p in range(-40, 300) if rng.random() < 0.7} | {("c", p) for p in range(95, 110)}
+    rows = lambda places: spark.createDataFrame([(log, p, "t", "I", None, f"{log}{p}") for log, p in places], live.FEED_SCHEMA)
+    runs = lambda places: sorted((log, p, next(q for q in range(p, 400) if (log, q + 1) not in places))
+                                 for log, p in places if (log, p - 1) not in places)
+    past = spark.createDataFrame([("a", -(1 << 62), -41)], "log string, lo bigint, hi bigint")
+    seen = live.with_seen(past, rows(sorted(was)))
+    got = sorted(tuple(r) for r in seen.collect())
+    assert [r for r in got if r[1] >= 0 or r[0] != "a"] == [r for r in runs(was) if r[1] >= 0 or r[0] != "a"]
+    assert got[0][:2] == ("a", -(1 << 62))
+    seen = spark.createDataFrame(got, seen.schema)
+    fresh = live.not_seen(rows([*now, *now]), seen, spark.createDataFrame([], "log string, `table` string, position bigint"))
+    assert sorted(r.after for r in fresh.collect()) == sorted(f"{log}{p}" for log, p in now - was)
+    assert "LeftAnti" not in fresh._jdf.queryExecution().executedPlan().toString()
+    after = sorted(tuple(r) for r in live.with_seen(seen, rows(sorted(now))).collect())
+    assert [r for r in after if r[0] != "a"] == [r for r in runs(was | now) if r[0] != "a"]
+
+
 def test_second_deliveries_take_several_files(spark, scratch, monkeypatch):
     """The repeated tenth of a feed of many files isn't one file, which one task would write and read."""
     monkeypatch.setattr(registry, "_scratch", lambda spark, what: scratch)
