@@ -315,12 +315,14 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, most:
     held = scratch.write(shards(docs, shard), "shards")
     words = held.select("shard", "lang", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))
                         .alias("pos", "w")).select("shard", "lang", (F.col("pos") + 1).alias("number"), "w.word", "w.n")
-    counted = scratch.write(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    # a frequent word with the places where shards hold it: its number goes back to them without a join
+    places = F.when(F.sum("n") >= least, F.collect_list(F.struct("shard", "number")))
+    counted = scratch.write(words.groupBy("lang", "word").agg(F.sum("n").alias("f"), places.alias("places")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     level = scratch.write(counted.where(F.col("f") >= least).select(
-        numbered.alias("id"), "lang", "f", F.array(F.col("word").cast("string")).alias("words"), "word"), "level1")
-    levels = [level.drop("word")]
-    own = (words.join(level.select("lang", "word", "id"), ["lang", "word"])
+        numbered.alias("id"), "lang", "f", F.array(F.col("word").cast("string")).alias("words"), "places"), "level1")
+    levels = [level.drop("places")]
+    own = (level.select("id", F.inline("places"))
            .groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("k"))
            .select("shard", F.col("k.number").alias("numbers"), F.col("k.id").alias("names")))
     index = scratch.write(
@@ -348,14 +350,18 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, most:
     return totals, levels
 
 
-def _with_parts(levels: list[DataFrame]) -> list[DataFrame]:
-    """Per length from 2 on: id, lang, f, words, the counts of the first 1, 2, .. words and of the last ones (longest first)."""
+def _with_parts(levels: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
+    """Per length from 2 on: id, lang, f, words, the counts of the first 1, 2, .. words and of the last ones (longest first).
+
+    Each length is written: it is read twice for the next one, and plans would double with every word.
+    """
     one = F.array(F.col("f"))
     parts, out = levels[0].select("id", one.alias("fronts"), one.alias("backs")), []
-    for level in levels[1:]:
+    for k, level in enumerate(levels[1:], 2):
         joined = (level.join(parts.select(F.col("id").alias("pid"), "fronts"), "pid")
                   .join(parts.select(F.col("id").alias("sid"), "backs"), "sid"))
-        out.append(joined.select("id", "lang", "f", "words", "fronts", "backs"))
+        joined = scratch.write(joined.select("id", "lang", "f", "words", "fronts", "backs"), f"parts{k}")
+        out.append(joined)
         parts = joined.select("id", F.concat("fronts", one).alias("fronts"), F.concat(one, "backs").alias("backs"))
     return out
 
@@ -384,7 +390,7 @@ def collocations(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, mo
     scratch = Scratch(spark, "phrases")
     totals, levels = frequent(spark, docs, least=least, most=most, shard=shard, scratch=scratch)
     scored = []
-    for k, phrases in enumerate(_with_parts(levels), 1):
+    for k, phrases in enumerate(_with_parts(levels, scratch), 1):
         longer = levels[k + 1] if k + 1 < len(levels) else None
         for side, key in (("left", "sid"), ("right", "pid")):
             if longer is None:
