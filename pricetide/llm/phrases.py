@@ -8,14 +8,18 @@ words with their counts, and the sequence of their numbers, 0 between pieces.
 Counts are summed across shards level by level; only what reaches ``least``
 goes on. A phrase of k + 1 words is named by the numbers of its first k and of
 its last k words, so sums are over exact names, not over hashes, and a phrase
-that cannot reach ``least`` (one of these two did not) is never sent:
+that cannot reach ``least`` (one of these two did not) is never sent. A shard
+sends one message to each bucket of names, the names in order and their counts,
+packed. A bucket adds up, numbers what is frequent, and answers every message
+with the places in it that are frequent and their numbers:
 
 1. words: the shards' counts are summed, frequent words get numbers, and every
    shard gets back those of its own words;
 2. each shard builds the Burrows-Wheeler transforms of its sequence (infrequent
    words are 0 now, as piece ends are; sorted by as many words as a phrase can
    hold) and extends the intervals of all its frequent words;
-3. levels 3 to ``most`` extend the intervals that came back as frequent.
+3. levels 3 to ``most`` extend the intervals that came back as frequent. Those
+   of length 2, most of which did not, are not kept for that but made once more.
 
 The index is bidirectional: a phrase has an interval in the transform of the
 sequence and one in that of the sequence read backwards. Extending it to the
@@ -40,7 +44,9 @@ next one at a piece's end; a piece longer than a shard makes a longer shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +55,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of, runs_of, slices
+from .common import Scratch, bytes_of, mix64, released, runs_of, slices
+from .lm_score import _packed as _packed_whole
+from .lm_score import _unpacked as _unpacked_whole
 
 LEAST = 100
 MOST = 5
@@ -57,6 +65,8 @@ TOP = 2000
 #: Words of a shard; its index takes some 100 bytes a word while it is built.
 SHARD = 1 << 20
 PIECE = 2 << 20
+#: Words of the corpus for each bucket that adds up counts, and the fewest buckets.
+BUCKET_WORDS, BUCKETS = 1 << 22, 64
 UNKNOWN_LANG = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -113,23 +123,26 @@ class _Open:
         self.sequence.append(np.insert(own, np.flatnonzero(first), 0))
         self.size += len(own)
 
-    def row(self, shard: int, lang: str) -> tuple[int, str, list[bytes], np.ndarray, bytes]:
-        sequence = np.concatenate(self.sequence)
-        counts = np.bincount(sequence, minlength=len(self.known) + 1)[1:]
-        return shard, lang, list(self.known), counts, _packed(sequence)
+    def row(self, shard: int, lang: str) -> tuple[int, str, int, list[bytes], np.ndarray, bytes, bytes]:
+        """The different words in the order of their hashes, with their counts and their numbers in the sequence."""
+        sequence, words = np.concatenate(self.sequence), list(self.known)
+        counts = np.bincount(sequence, minlength=len(words) + 1)[1:]
+        order = np.argsort(_hashes(words), kind="stable")
+        return shard, lang, self.size, [words[i] for i in order.tolist()], counts[order], _packed(order + 1), _packed(sequence)
 
 
-_SHARDS = "shard bigint, lang string, words array<binary>, counts array<bigint>, sequence binary"
+_SHARDS = "shard bigint, lang string, n bigint, words array<binary>, counts array<bigint>, numbers binary, sequence binary"
 
 
-def _shard_batch(rows: list[tuple[int, str, list[bytes], np.ndarray, bytes]]) -> pa.RecordBatch:
-    at = pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]), pa.int32())
+def _shard_batch(rows: list[tuple[int, str, int, list[bytes], np.ndarray, bytes, bytes]]) -> pa.RecordBatch:
+    at = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
-         pa.ListArray.from_arrays(at, pa.array([w for r in rows for w in r[2]], pa.binary())),
-         pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[3] for r in rows]), pa.int64())),
-         pa.array([r[4] for r in rows], pa.binary())],
-        ["shard", "lang", "words", "counts", "sequence"])
+         pa.array([r[2] for r in rows], pa.int64()),
+         pa.ListArray.from_arrays(at, pa.array([w for r in rows for w in r[3]], pa.binary())),
+         pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[4] for r in rows]), pa.int64())),
+         pa.array([r[5] for r in rows], pa.binary()), pa.array([r[6] for r in rows], pa.binary())],
+        ["shard", "lang", "n", "words", "counts", "numbers", "sequence"])
 
 
 def shards(docs: DataFrame, most: int = SHARD) -> DataFrame:
@@ -227,9 +240,6 @@ class Index:
         return parent, to[head], other[parent] + head - before[parent], size_of
 
 
-_LEVEL = "begins array<int>, backs array<int>, sizes array<int>, pids array<bigint>, sids array<bigint>"
-
-
 def _extended(index: Index, left: bool, begin: np.ndarray, back: np.ndarray, size: np.ndarray,
               name: np.ndarray) -> list[np.ndarray]:
     """One level: begin, back, size, and the names of the first and of the last words of each longer phrase."""
@@ -248,24 +258,160 @@ def _extended(index: Index, left: bool, begin: np.ndarray, back: np.ndarray, siz
     return [there_of, here_of, size_of, name[parent], name[around]]
 
 
-def _level_columns(levels: list[list[np.ndarray]]) -> tuple[list[pa.Array], list[str]]:
-    at = pa.array(np.cumsum([0, *(len(x[0]) for x in levels)]), pa.int32())
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return ([pa.ListArray.from_arrays(at, pa.array(np.concatenate([x[i] for x in levels]), kind))
-             for i, kind in enumerate(kinds)], ["begins", "backs", "sizes", "pids", "sids"])
+# --------------------------------------------------------------------------- messages
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """By what words are dealt out; buckets compare the words themselves."""
+    return mix64(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+
+
+def _bits(known: int) -> int:
+    return max(2, (known * known - 1).bit_length())
+
+
+def _code(pid: np.ndarray, sid: np.ndarray, known: int) -> np.ndarray:
+    """Two numbers below ``known`` as one of :func:`_bits` bits, one to one, in an order that deals them out evenly."""
+    bits, odd = _bits(known), np.uint64(_ODD)
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    x = (pid.astype(np.uint64) * np.uint64(known) + sid.astype(np.uint64)) * odd & mask
+    return (x ^ (x >> half)) * odd & mask
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a column as arrays (null: empty)."""
-    return [x if x is not None else np.zeros(0, np.int64) for x in column.to_numpy(zero_copy_only=False)]
+def _decoded(code: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = _bits(known)
+    mask, half, back = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2), np.uint64(pow(_ODD, -1, 1 << bits))
+    x = code * back & mask
+    x = (x ^ (x >> half)) * back & mask
+    return (x // np.uint64(max(known, 1))).astype(np.int64), (x % np.uint64(max(known, 1))).astype(np.int64)
 
 
-def _build(depth: int):
+def _dealt(code: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The buckets (ranges of codes) that have any of the ascending codes, and which."""
+    low, high = np.uint64(max(0, bits - 32)), np.uint64(min(bits, 32))
+    held, first = np.unique((code >> low) * np.uint64(buckets) >> high, return_index=True)
+    return held.astype(np.int64), [slice(a, b) for a, b in zip(first, [*first[1:], len(code)])]
+
+
+_WORDS_SENT = "shard bigint, lang string, bucket bigint, words binary, ns binary"
+
+
+def _send_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].as_py()
+                counts = batch.column("counts")[i].values.to_numpy()
+                held, parts = _dealt(_hashes(words), 64, buckets)
+                pack = zstandard.ZstdCompressor(level=3).compress
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("shard")[i].as_py()] * len(held), pa.int64()),
+                     pa.array([batch.column("lang")[i].as_py()] * len(held), pa.string()), pa.array(held),
+                     # no word holds a blank
+                     pa.array([pack(b" ".join(words[x])) for x in parts], pa.binary()),
+                     pa.array([_packed_whole(counts[x]) for x in parts], pa.binary())],
+                    ["shard", "lang", "bucket", "words", "ns"])
+                del words
+        released()
+    return run
+
+
+def _sent(code: np.ndarray, size: np.ndarray, known: int, buckets: int) -> pa.Array:
+    """A shard's messages as one list: per bucket its codes, which ascend, and their counts."""
+    held, parts = _dealt(code, _bits(known), buckets)
+    each = pa.StructArray.from_arrays([pa.array(held), pa.array([_packed_whole(code[x], True) for x in parts], pa.binary()),
+                                       pa.array([_packed_whole(size[x]) for x in parts], pa.binary())], ["bucket", "codes", "ns"])
+    return pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), each)
+
+
+_SENT = "sent array<struct<bucket: bigint, codes: binary, ns: binary>>"
+_ANSWER = "bucket bigint, shard bigint, n bigint, places binary, numbers binary"
+
+
+def _answers(bucket: pa.Table, entry: np.ndarray, sizes: list[int], kept: np.ndarray, different: int,
+             sums: dict[str, pa.Array]) -> pa.Table:
+    """A row without a shard with the frequent ones in the order of their numbers, and a row for every message:
+    its length, the places in it of frequent ones, and their numbers in the bucket."""
+    number = np.full(different, -1)
+    number[kept] = np.arange(len(kept))
+    places, numbers = [], []
+    for part in np.split(number[entry], np.cumsum(sizes)[:-1]):
+        at = np.flatnonzero(part >= 0)
+        places.append(_packed_whole(at, True))
+        numbers.append(_packed_whole(part[at].astype(np.uint64), True))
+    ends = pa.array(np.full(len(sizes) + 2, len(kept)) * (np.arange(len(sizes) + 2) > 0), pa.int32())
+    of = bucket.column("bucket")[0].as_py()
+    return pa.table({"bucket": pa.array([of] * (len(sizes) + 1), pa.int64()),
+                     "shard": pa.array([None, *bucket.column("shard").to_pylist()], pa.int64()),
+                     "n": pa.array([None, *sizes], pa.int64()), "places": pa.array([None, *places], pa.binary()),
+                     "numbers": pa.array([None, *numbers], pa.binary()),
+                     **{c: pa.ListArray.from_arrays(ends, x) for c, x in sums.items()}})
+
+
+def _totals(entry: np.ndarray, ns: pa.ChunkedArray, different: int) -> np.ndarray:
+    sent = np.concatenate([_unpacked_whole(x) for x in ns.to_pylist()])
+    return np.bincount(entry, sent, different).astype(np.int64)          # whole numbers below 2 ** 53: exact
+
+
+def _add_words(least: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        sent = [zstandard.ZstdDecompressor().decompress(x).split(b" ") for x in bucket.column("words").to_pylist()]
+        sizes = [len(x) for x in sent]
+        words = pa.array([*chain.from_iterable(sent)], pa.binary()).dictionary_encode()
+        del sent
+        langs = bucket.column("lang").combine_chunks().dictionary_encode()
+        code = (words.indices.to_numpy().astype(np.int64) * len(langs.dictionary)
+                + np.repeat(langs.indices.to_numpy(), sizes))
+        each, entry = np.unique(code, return_inverse=True)
+        total = _totals(entry, bucket.column("ns"), len(each))
+        kept = np.flatnonzero(total >= least)
+        word = lambda at: words.dictionary.take(pa.array(each[at] // len(langs.dictionary)))
+        kept = kept[np.argsort(_hashes(word(kept).to_pylist()), kind="stable")]     # as in the messages
+        return _answers(bucket, entry, sizes, kept, len(each), {
+            "langs": langs.dictionary.take(pa.array(each[kept] % len(langs.dictionary))).cast(pa.string()),
+            "words": word(kept), "fs": pa.array(total[kept], pa.int64())})
+    return run
+
+
+def _add_pairs(least: int, known: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        sent = [_unpacked_whole(x, True) for x in bucket.column("codes").to_pylist()]
+        each, entry = np.unique(np.concatenate(sent), return_inverse=True)
+        total = _totals(entry, bucket.column("ns"), len(each))
+        kept = np.flatnonzero(total >= least)
+        pid, sid = _decoded(each[kept], known)
+        return _answers(bucket, entry, [len(x) for x in sent], kept, len(each), {
+            "pids": pa.array(pid), "sids": pa.array(sid), "fs": pa.array(total[kept], pa.int64())})
+    return run
+
+
+def _returned(back: list[dict], begins: Mapping[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a shard's messages, one after another, that are frequent, and their numbers in the level."""
+    place, name, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for x in sorted(back, key=lambda x: x["bucket"]):
+        place.append(_unpacked_whole(x["places"], True).astype(np.int64) + before)
+        name.append(_unpacked_whole(x["numbers"], True).astype(np.int64) + begins[x["bucket"]])
+        before += x["n"]
+    return np.concatenate(place), np.concatenate(name)
+
+
+def _pairs(index: Index, names: np.ndarray) -> list[np.ndarray]:
+    """All pairs of frequent words of a shard as one level, extended to the left in its forward index."""
+    symbol, begin, size = index.words()
+    return _extended(index, True, begin, begin, size, names[symbol - 1])
+
+
+def _build(depth: int, begins: Mapping[int, int], known: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                number, name = _lists(row.column("numbers"))[0], _lists(row.column("names"))[0]
+                place, name = _returned(row.column("back")[0].as_py(), begins)
+                if not len(place):
+                    continue
+                number = _unpacked(row.column("numbers")[0].as_py())[place]
                 sequence = _unpacked(row.column("sequence")[0].as_py())
                 kept = np.zeros(int(max(sequence.max(initial=0), number.max(initial=0))) + 1, np.int32)
                 kept[np.sort(number)] = np.arange(1, len(number) + 1)
@@ -275,32 +421,67 @@ def _build(depth: int):
                 if not len(sequence) or sequence[-1]:
                     sequence = np.append(sequence, np.int32(0))                   # no phrase runs round the end
                 forward, backward = transform(sequence, depth), transform(sequence[::-1], depth)
-                index = Index(forward)
-                symbol, begin, size = index.words()
-                columns, fields = _level_columns([_extended(index, True, begin, begin, size, names[symbol - 1])])
+                _, _, size, pid, sid = _pairs(Index(forward), names)
+                code = _code(pid, sid, known)
+                order = np.argsort(code)
                 yield pa.RecordBatch.from_arrays(
-                    [row.column("shard"), pa.array([_packed(forward)], pa.binary()), pa.array([_packed(backward)], pa.binary()),
-                     *columns], ["shard", "forward", "backward", *fields])
+                    [row.column("shard"), pa.array([_packed_whole(names)], pa.binary()), pa.array([_packed(forward)], pa.binary()),
+                     pa.array([_packed(backward)], pa.binary()), _sent(code[order], size[order], known, buckets)],
+                    ["shard", "names", "forward", "backward", "sent"])
+        released()
     return run
 
 
-def _deepen(left: bool):
+_FOUND = f"shard bigint, begins binary, backs binary, sizes binary, {_SENT}"
+
+
+def _deepen(k: int, begins: Mapping[int, int], below: int, known: int, buckets: int):
+    """From length ``k``, whose names are pairs of numbers less than ``below``, to the next, of numbers less than ``known``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                level = [_lists(row.column(c))[0].astype(np.int64) for c in ("begins", "backs", "sizes", "names")]
-                found = _extended(Index(_unpacked(row.column("bwt")[0].as_py())), left, *level)
-                columns, fields = _level_columns([found])
-                yield pa.RecordBatch.from_arrays([row.column("shard"), *columns], ["shard", *fields])
+                place, name = _returned(row.column("back")[0].as_py(), begins)
+                if not len(place):
+                    continue
+                if k == 2:
+                    names = _unpacked_whole(row.column("names")[0].as_py()).astype(np.int64)
+                    begin, back, size, pid, sid = _pairs(Index(_unpacked(row.column("forward")[0].as_py())), names)
+                    kept = np.argsort(_code(pid, sid, below))[place]
+                    level = [x[kept] for x in (begin, back, size)]
+                    del begin, back, size, pid, sid
+                else:
+                    level = [_unpacked(row.column(c)[0].as_py())[place].astype(np.int64) for c in ("begins", "backs", "sizes")]
+                left = k % 2 == 1                                 # from length k to k + 1
+                bwt = _unpacked(row.column("forward" if left else "backward")[0].as_py())
+                *level, pid, sid = _extended(Index(bwt), left, *level, name)
+                code = _code(pid, sid, known)
+                order = np.argsort(code)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("shard"), *(pa.array([_packed(x[order])], pa.binary()) for x in level),
+                     _sent(code[order], level[2][order], known, buckets)], ["shard", "begins", "backs", "sizes", "sent"])
+        released()
     return run
 
 
 # --------------------------------------------------------------------------- mining
 
-def _rows(table: DataFrame, *names: str) -> DataFrame:
-    """The lists of a shard's row as rows, one an entry."""
-    return table.select("shard", F.inline(F.arrays_zip(*[F.col(c).alias(c[:-1]) for c in names])))
+def _added(sent: DataFrame, add_up: Callable[[pa.Table], pa.Table], sums: str, name: str,
+           scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, int], int]:
+    """What the buckets found: a level's rows (id and the sums), the answers (shard, back), each bucket's first id, and how many ids."""
+    counted = scratch.write(sent.groupBy("bucket").applyInArrow(add_up, f"{_ANSWER}, {sums}"), name)
+    found = counted.where("shard IS NULL")
+    begins, known = {}, 0
+    for bucket, n in sorted(found.select("bucket", F.size("fs")).collect()):       # one row a bucket
+        begins[bucket] = known
+        known += n
+    first = scratch.spark.createDataFrame(list(begins.items()), "bucket bigint, begin bigint")
+    columns = F.arrays_zip(*[F.col(c.split()[0]).alias(c.split()[0][:-1]) for c in sums.split(", ")])
+    level = (found.join(F.broadcast(first), "bucket").select("begin", F.posexplode(columns).alias("pos", "of"))
+             .select((F.col("begin") + F.col("pos")).alias("id"), "of.*"))
+    back = (counted.where("shard IS NOT NULL").groupBy("shard")
+            .agg(F.collect_list(F.struct("bucket", "n", "places", "numbers")).alias("back")))
+    return level, back, begins, known
 
 
 def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, most: int = MOST,
@@ -311,42 +492,31 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, most:
     of its first and of its last words, one level below. Ids are per level.
     """
     scratch = scratch or Scratch(spark, "phrases")
-    numbered = F.monotonically_increasing_id()                   # kept by writing the table
     held = scratch.write(shards(docs, shard), "shards")
-    words = held.select("shard", "lang", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))
-                        .alias("pos", "w")).select("shard", "lang", (F.col("pos") + 1).alias("number"), "w.word", "w.n")
-    # a frequent word with the places where shards hold it: its number goes back to them without a join
-    places = F.when(F.sum("n") >= least, F.collect_list(F.struct("shard", "number")))
-    counted = scratch.write(words.groupBy("lang", "word").agg(F.sum("n").alias("f"), places.alias("places")), "words")
-    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = scratch.write(counted.where(F.col("f") >= least).select(
-        numbered.alias("id"), "lang", "f", F.array(F.col("word").cast("string")).alias("words"), "places"), "level1")
-    levels = [level.drop("places")]
-    own = (level.select("id", F.inline("places"))
-           .groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("k"))
-           .select("shard", F.col("k.number").alias("numbers"), F.col("k.id").alias("names")))
-    index = scratch.write(
-        held.select("shard", "sequence").join(own, "shard").mapInArrow(_build(most), f"shard bigint, forward binary, backward binary, {_LEVEL}"), "index")
-    found = index.drop("forward", "backward")
+    totals = scratch.write(held.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    buckets = max(BUCKETS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    level, back, begins, known = _added(
+        held.select("shard", "lang", "words", "counts").mapInArrow(_send_words(buckets), _WORDS_SENT),
+        _add_words(least), "langs array<string>, words array<binary>, fs array<bigint>", "words", scratch)
+    levels = [scratch.write(level.select("id", "lang", "f", F.array(F.col("word").cast("string")).alias("words")), "level1")]
+    index = scratch.write(held.select("shard", "numbers", "sequence").join(back, "shard").mapInArrow(
+        _build(most, begins, known, buckets), f"shard bigint, names binary, forward binary, backward binary, {_SENT}"), "index")
+    scratch.drop("shards")
+    found = index
     for k in range(2, most + 1):
-        rows = _rows(found, "begins", "backs", "sizes", "pids", "sids")
-        sums = (rows.groupBy("pid", "sid").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
-                .select(numbered.alias("id"), "pid", "sid", "f"))
-        level = scratch.write(sums, f"sums{k}")
-        below = levels[-1]
+        below, prior = levels[-1], known
+        level, back, begins, known = _added(found.select("shard", F.inline("sent")), _add_pairs(least, prior),
+                                            "pids array<bigint>, sids array<bigint>, fs array<bigint>", f"sums{k}", scratch)
         named = (level.join(below.select(F.col("id").alias("pid"), "lang", F.col("words").alias("head")), "pid")
                  .join(below.select(F.col("id").alias("sid"), F.element_at("words", -1).alias("last")), "sid")
                  .select("id", "lang", "f", F.concat("head", F.array("last")).alias("words"), "pid", "sid"))
         levels.append(scratch.write(named, f"level{k}"))
         if k == most:
             break
-        own = (rows.join(level.select("pid", "sid", "id"), ["pid", "sid"])
-               .groupBy("shard").agg(F.collect_list(F.struct("begin", "back", "size", "id")).alias("k"))
-               .select("shard", F.col("k.begin").alias("begins"), F.col("k.back").alias("backs"),
-                       F.col("k.size").alias("sizes"), F.col("k.id").alias("names")))
-        left = k % 2 == 1                                         # from length k to k + 1
-        bwt = index.select("shard", F.col("forward" if left else "backward").alias("bwt"))
-        found = scratch.write(bwt.join(own, "shard").mapInArrow(_deepen(left), f"shard bigint, {_LEVEL}"), f"found{k}")
+        kept = index.select("shard", "names", "forward", "backward") if k == 2 else (
+            found.drop("sent").join(index.select("shard", "forward" if k % 2 == 1 else "backward"), "shard"))
+        found = scratch.write(kept.join(back, "shard").mapInArrow(_deepen(k, begins, prior, known, buckets), _FOUND), f"found{k}")
+    scratch.drop("index", *[f"found{k}" for k in range(2, most)])
     return totals, levels
 
 

@@ -1,5 +1,10 @@
 """Phrase mining: plans that don't grow with the length of phrases, numbers that go back to shards without a join."""
 
+import random
+from collections import Counter
+
+import numpy as np
+
 from pricetide.llm import phrases
 from pricetide.llm.common import Scratch
 
@@ -31,3 +36,26 @@ def test_words_are_numbered_from_the_places_that_hold_them(spark):
     assert {(r.lang, *r.words): r.f for r in levels[1].collect()} == {(r.lang, *r.words): r.f for r in whole[1].collect()} == {
         ("en", a, b): 3 for a, b in zip("abcd", "bcde")}
     assert "places" not in levels[0].columns
+
+
+def test_pairs_travel_packed(spark):
+    """A shard sends a row to a bucket, not one for each pair that it holds, and gets back its places and numbers."""
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(60)}" for _ in range(500)] for _ in range(12)]
+    docs = spark.createDataFrame([("en", " ".join(t)) for t in texts], "lang string, text string").coalesce(1)
+    scratch = Scratch(spark, "phrases-test")
+    _, levels = phrases.frequent(spark, docs, least=2, most=3, shard=1500, scratch=scratch)
+    for k, level in enumerate(levels, 1):
+        want = Counter(tuple(t[i:i + k]) for t in texts for i in range(len(t) - k + 1))
+        assert {tuple(r.words): r.f for r in level.collect()} == {p: n for p, n in want.items() if n >= 2}
+        ids = sorted(r.id for r in level.collect())
+        assert ids == list(range(len(ids)))
+    assert levels[1].count() > 1000
+    assert spark.read.parquet(f"{scratch.base}/sums2").count() <= (4 + 1) * phrases.BUCKETS < 1000
+
+
+def test_pairs_are_coded_one_to_one():
+    for known in (0, 1, 2, 3, 1000, 60_000, (1 << 31) - 1):
+        pid, sid = np.random.default_rng(known).integers(0, max(known, 1), (2, 5000))
+        back = phrases._decoded(phrases._code(pid, sid, known), known)
+        assert (back[0] == pid).all() and (back[1] == sid).all()
