@@ -1483,6 +1483,7 @@ def q_stream_sales_change(spark, d):
 def _log(rows, table, log, columns, order, before=None, after=None):
     """Change rows of a log, positions 1, 2, .. in the order of a key; before and after are conditions (None: always)."""
     image = lambda when, prefix: F.when(when, F.struct(*[F.col(prefix + c).alias(c) for c in columns]))
+    rows = written(rows, f"{log}-changes")        # the bounds, the counts of ranges and the rows are read from it, not computed three times
     changed = [c for c in rows.columns if c.startswith("new_")]
     full = rows.select("*", *[F.col(c).alias(f"new_{c}") for c in columns if f"new_{c}" not in changed])
     placed = global_position(full, order)
@@ -1504,12 +1505,13 @@ def _live_feed(spark, d, t):
     cart = testdata.cart_change_lines(spark, d, t.products)
     moved = t.categories.where("parent_id BETWEEN 1 AND 5 AND length(category_name) = 5").withColumn(
         "new_parent_id", F.lit(1).cast(t.categories.schema["parent_id"].dataType))
-    feeds = [_log(stock, "inventory", "stock", t.inventory.columns, ["inventory_id"]),
-             _log(ended, "promotions", "promotions", t.promotions.columns, ["promotion_id"]),
-             _log(t.sales.where("sale_price < 5000"), "sales", "sales", t.sales.columns, ["sale_id"], after="false"),
-             products,
-             _log(cart, "shopping_cart", "cart", t.shopping_cart.columns, ["order_id", "line"], before="w < 0", after="w > 0"),
-             _log(moved, "categories", "tree", t.categories.columns, ["category_id"])]
+    feeds = live.together(
+        lambda: _log(stock, "inventory", "stock", t.inventory.columns, ["inventory_id"]),
+        lambda: _log(ended, "promotions", "promotions", t.promotions.columns, ["promotion_id"]),
+        lambda: _log(t.sales.where("sale_price < 5000"), "sales", "sales", t.sales.columns, ["sale_id"], after="false"),
+        lambda: products,
+        lambda: _log(cart, "shopping_cart", "cart", t.shopping_cart.columns, ["order_id", "line"], before="w < 0", after="w > 0"),
+        lambda: _log(moved, "categories", "tree", t.categories.columns, ["category_id"]))
     out = feeds[0]
     for more in feeds[1:]:
         out = out.unionByName(more)

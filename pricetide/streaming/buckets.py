@@ -126,10 +126,15 @@ class LoggedTable:
             out.setdefault(b, []).append(v)
         return out
 
-    def load(self, rows: DataFrame) -> None:
-        """The content as of version 0; without a number of buckets, there is one for every BUCKET_BYTES of it."""
+    def load(self, rows: DataFrame, size: int = 0) -> None:
+        """The content as of version 0; without a number of buckets, there is one for every BUCKET_BYTES of it.
+
+        ``size`` is about how many bytes it has; if not given, it is written once to know.
+        """
         rows = rows.select(*self.schema.fieldNames())
-        if self._buckets is None:
+        if self._buckets is None and size:
+            self._buckets = -(-size // self.BUCKET_BYTES)
+        elif self._buckets is None:
             staged = written(rows, "loading")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(staged.inputFiles()[0]).getParent() if staged.inputFiles() else None
             size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() if path else 0
@@ -170,15 +175,29 @@ class LoggedTable:
     def now(self, upto: int) -> DataFrame:
         return self.add_up(self.read(upto))
 
-    def of(self, keys: DataFrame, upto: int) -> DataFrame:
-        """What the table holds of the rows whose key is in ``keys`` (one column): only their buckets are read."""
+    def added(self, version: int) -> DataFrame:
+        """The rows that ``version`` appended, not added up."""
+        paths = [f"{self.path}/bucket={b}/v={v}/kind=more" for b, v, kind in self._parts() if v == version and kind == "more"]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).where(F.col(self.key).isNotNull())
+
+    def beside(self, keys: DataFrame, upto: int) -> DataFrame:
+        """All rows, not added up, of the buckets that hold ``keys`` (one column)."""
         name = keys.columns[0]
         if self.buckets > 1:
             only = [r[0] for r in keys.select(self.bucket(name).alias("b")).distinct().collect()]   # at most `buckets`
-            rows = self.read(upto, only)
-        else:
-            rows = self.read(upto)
-        return self.add_up(rows.join(keys.select(F.col(name).alias(self.key)).distinct(), self.key, "left_semi"))
+            return self.read(upto, only)
+        return self.read(upto)
+
+    def rows_of(self, keys: DataFrame, upto: int) -> DataFrame:
+        """The rows whose key is in ``keys`` (one column), not added up: only their buckets are read."""
+        wanted = keys.select(F.col(keys.columns[0]).alias(self.key)).distinct()
+        return self.beside(keys, upto).join(wanted, self.key, "left_semi")
+
+    def of(self, keys: DataFrame, upto: int) -> DataFrame:
+        """What the table holds of the rows whose key is in ``keys`` (one column)."""
+        return self.add_up(self.rows_of(keys, upto))
 
     def compact(self, version: int) -> list[int]:
         """Write the content of buckets with many appended parts anew, as of ``version``; the buckets so written."""

@@ -44,7 +44,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pricetide.functions import factors as fx
 from pricetide.operators import cart as cartops
 from pricetide.operators import hierarchy, pricing
-from pricetide.session import written
+from pricetide.session import input_bytes, written
 from pricetide.streaming.buckets import LoggedTable
 from pricetide.streaming.maintain import JSON_OPTIONS
 
@@ -85,7 +85,7 @@ _STOCK = "stock"
 _EDGES = [edge for edge, _ in fx.POPULARITY_BANDS]
 
 
-def _together(*steps: Callable[[], object]) -> list:
+def together(*steps: Callable[[], object]) -> list:
     """Run steps that don't depend on each other as jobs side by side."""
     with ThreadPoolExecutor(len(steps) or 1) as pool:
         return [f.result() for f in [pool.submit(s) for s in steps]]
@@ -153,7 +153,15 @@ def _outside(rows: DataFrame, seen: DataFrame) -> DataFrame:
 
 def not_seen(batch: DataFrame, seen: DataFrame, cuts: DataFrame) -> DataFrame:
     """Changes of ``batch`` that no interval of ``seen`` (log, lo, hi) holds and that no snapshot (``cuts``) has, each once."""
-    fresh = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL"), seen)
+    return _uncut(_outside(_placed(batch), seen), cuts)
+
+
+def _placed(batch: DataFrame) -> DataFrame:
+    return batch.where("log IS NOT NULL AND position IS NOT NULL")
+
+
+def _uncut(fresh: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Changes that no snapshot has."""
     cuts = F.broadcast(cuts.select("log", "table", F.col("position").alias("_cut")))               # one row a log and table
     return fresh.join(cuts, ["log", "table"], "left").where("_cut IS NULL OR position > _cut").drop("_cut")
 
@@ -170,14 +178,21 @@ def _joined(intervals: DataFrame, *keys: str) -> DataFrame:
 def with_seen(seen: DataFrame, batch: DataFrame) -> DataFrame:
     """The intervals of ``seen`` and of the batch's positions, joined where they touch.
 
+    Positions that an interval holds already are left out, else each of a sparse
+    second delivery would be a row.
+    """
+    return _with_new(seen, _outside(_placed(batch).select("log", "position"), seen))
+
+
+def _with_new(seen: DataFrame, new: DataFrame) -> DataFrame:
+    """The intervals of ``seen`` and positions (log, position) outside them, joined where they touch.
+
     They are joined inside blocks, and then those at a block's edge, at most two
     a block, with what lies beyond it: a log of many positions, or of many
-    intervals, is numbered in many tasks. Positions that an interval holds
-    already are left out, else each of a sparse second delivery would be a row.
+    intervals, is numbered in many tasks.
     """
     parts, whole = _by_block(seen)
-    at = _outside(batch.where("log IS NOT NULL AND position IS NOT NULL").select("log", "position"), seen)
-    at = at.select("log", _block("position").alias("_block"), F.col("position").alias("lo"), F.col("position").alias("hi"))
+    at = new.select("log", _block("position").alias("_block"), F.col("position").alias("lo"), F.col("position").alias("hi"))
     inside = _joined(at.unionByName(parts), "log", "_block")
     edge = (F.col("lo") == _first("_block")) | (F.col("hi") == _first(F.col("_block") + 1) - 1)
     every = inside.withColumn("_block", F.when(~edge, F.col("_block"))).unionByName(whole.select(
@@ -250,9 +265,21 @@ def newest_mean(sales: DataFrame, n: int = fx.RECENT_SALES) -> DataFrame:
         (F.sum(F.col("price") * F.col("take")).cast("double") / F.sum("take")).alias("avg_price"))
 
 
-def _facts(products: DataFrame, sales: DataFrame, promotions: DataFrame, inventory: DataFrame) -> DataFrame:
-    """One row a product that any of the tables holds; ``base_price`` and the like are null where there is no product."""
-    counts = sales.groupBy("product_id").agg(F.sum("n").alias("sale_count")).where("sale_count > 0")
+def _counted(sales: DataFrame) -> DataFrame:
+    """Rows of sales as (product_id, sale_date, price, n), each once."""
+    return sales.groupBy("product_id", "sale_date", "price").agg(F.sum("n").alias("n"))
+
+
+def _sale_counts(sales: DataFrame) -> DataFrame:
+    """(product_id, sale_count) of rows of sales, added up or not."""
+    return sales.groupBy("product_id").agg(F.sum("n").alias("sale_count")).where("sale_count > 0")
+
+
+def _facts(products: DataFrame, counts: DataFrame, sales: DataFrame, promotions: DataFrame, inventory: DataFrame) -> DataFrame:
+    """One row a product that any of the tables holds; ``base_price`` and the like are null where there is no product.
+
+    ``sales`` are counted rows of which none takes another back.
+    """
     best = promotions.where("n > 0").groupBy("product_id").agg(F.min("promotion_discount").alias("promotion_discount"))
     stock = inventory.where("n > 0").select("product_id", F.col("stock").alias("total_stock"))
     out = products.where("op <> 'D'").select("product_id", F.lit(True).alias("known"), "product_name", "base_price", "category_id",
@@ -333,19 +360,23 @@ class LiveViews:
                 rows = snapshot[name].select(F.lit("I").alias("op"), F.lit(-1).cast("bigint").alias("seq"), F.lit(1).alias("w"),
                                              *T.StructType.fromDDL(columns).fieldNames())
                 kept = _signed(name, rows)
-                t[name].load(kept if name in _NEWEST else _ADD_UP[name](kept))
+                if name == "sales":     # hardly ever alike: equal rows are added up when they are read
+                    t[name].load(kept, input_bytes(snapshot[name]))
+                else:
+                    t[name].load(kept if name in _NEWEST else _ADD_UP[name](kept))
             else:
                 t[name].load(self.spark.createDataFrame([], t[name].schema))
 
         def price() -> None:
-            facts = written(_facts(*(t[n].now(0) for n in _PRICED)), "facts")
+            sales = t["sales"].read(0)          # a snapshot takes nothing back
+            facts = written(_facts(t["products"].now(0), _sale_counts(sales), sales, t["promotions"].now(0), t["inventory"].now(0)), "facts")
             t["ranks"].load(_ADD_UP["ranks"](_places(facts, 1)))
             banded = self._banded(facts.withColumn("seq", F.lit(0).cast("bigint")), band_edges(t["ranks"].now(0)))
             t["prices"].load(_price(banded).select(*t["prices"].schema.fieldNames()))
             t["direct"].load(_ADD_UP["direct"](_lines(t["shopping_cart"].now(0), t["prices"].now(0), t["categories"].now(0), 1)))
 
-        _together(*[lambda n=n, c=c: load(n, c) for n, c in IMAGES.items()])
-        _together(price, lambda: t["closure"].load(_pairs(t["categories"].now(0))))
+        together(*[lambda n=n, c=c: load(n, c) for n, c in IMAGES.items()])
+        together(price, lambda: t["closure"].load(_pairs(t["categories"].now(0))))
         t["totals"].load(_ADD_UP["totals"](self._carried(t["direct"].now(0), t["closure"].now(0))))
         cuts = [(log, table, int(p)) for (log, table), p in (positions or {}).items()]
         cuts = self.spark.createDataFrame(cuts, "log string, `table` string, position bigint")
@@ -376,17 +407,24 @@ class LiveViews:
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function. A batch that runs again gives the same version."""
-        t, old, new = self.tables, batch_id, batch_id + 1
+        old, new = batch_id, batch_id + 1
         cuts = self.spark.read.schema("log string, `table` string, position bigint").parquet(f"{self.root}/cuts")
         batch = batch.select(*FEED_SCHEMA.fieldNames())
-        _, fresh = _together(lambda: self._put(with_seen(self.seen(old), batch), f"seen/v={new}"),
-                             lambda: self._put(not_seen(batch, self.seen(old), cuts), f"batch/v={new}"))
+        placed = self._put(_outside(_placed(batch), self.seen(old)), f"batch/v={new}")
+        together(lambda: self._put(_with_new(self.seen(old), placed.select("log", "position")), f"seen/v={new}"),
+                  lambda: self._follow(_uncut(placed, cuts), old, new))
+        self._tidy(old, new)
+
+    def _follow(self, fresh: DataFrame, old: int, new: int) -> None:
+        """Views of version ``new`` by changes that are in no older one."""
+        t = self.tables
         names = {r[0] for r in fresh.select("table").distinct().collect()} & set(IMAGES)      # at most one row a table
         images = {n: _images(fresh, n) for n in names}
-        _together(*[lambda n=n: t[n].append(_signed(n, images[n]), new) for n in names])
-        self._reprice([images[n].select("product_id") for n in names if n in _PRICED], old, new)
-        self._resum(images, old, new)
-        self._tidy(old, new)
+        together(*[lambda n=n: t[n].append(_signed(n, images[n]), new) for n in names])
+        # whom the changes touch is read from what was appended, not from the images again
+        added = {n: t[n].added(new) for n in names}
+        self._reprice([added[n].select("product_id") for n in names if n in _PRICED], old, new)
+        self._resum(added, old, new)
 
     def _put(self, rows: DataFrame, name: str) -> DataFrame:
         """``rows`` as a table. Written by all tasks that make them (fewer files would run their joins in fewer tasks)."""
@@ -404,7 +442,10 @@ class LiveViews:
             for more in touched[1:]:
                 ids = ids.unionAll(more)
             ids = self._put(ids.where("product_id IS NOT NULL").distinct(), f"touched/v={new}")
-            now = _facts(*(t[n].of(ids, new) for n in _PRICED)).withColumn("is_new", F.lit(True))
+            # sales are counted where they lie, and only the counts meet the products
+            counts = _sale_counts(t["sales"].beside(ids, new)).join(ids, "product_id", "left_semi")
+            now = _facts(t["products"].of(ids, new), counts, _counted(t["sales"].rows_of(ids, new)), t["promotions"].of(ids, new),
+                         t["inventory"].of(ids, new)).withColumn("is_new", F.lit(True))
             was = t["prices"].of(ids, old).select("product_id", "priced", *names).withColumn("is_new", F.lit(False))
             both = self._put(was.unionByName(now), f"facts/v={new}")
             moved = _ADD_UP["ranks"](_places(both.where("NOT is_new"), -1).unionByName(_places(both.where("is_new"), 1)))
@@ -434,7 +475,7 @@ class LiveViews:
                                                   F.col("category_id").alias("new_category"), F.lit(True).alias("has"))
             log = then.join(after, "product_id", "full").where(
                 "NOT (old_price <=> new_price AND old_category <=> new_category AND had <=> has)")
-            _together(lambda: t["prices"].append(stored, new), lambda: self._put(log, f"price_log/v={new}"))
+            together(lambda: t["prices"].append(stored, new), lambda: self._put(log, f"price_log/v={new}"))
             return
         self._put(self.spark.createDataFrame([], "product_id bigint, old_price decimal(20,6), old_category bigint, had boolean, "
                                                  "new_price decimal(20,6), new_category bigint, has boolean"), f"price_log/v={new}")
@@ -454,16 +495,16 @@ class LiveViews:
                 .where("NOT (_p <=> popularity_adjustment) OR NOT (_s <=> stock_adjustment)")
                 .select("product_id", "priced", *names, F.col("_p").alias("popularity_adjustment"), F.col("_s").alias("stock_adjustment")))
 
-    def _resum(self, images: Mapping[str, DataFrame], old: int, new: int) -> None:
-        """Sums of categories, direct and carried to their ancestors, by the lines that changed."""
+    def _resum(self, added: Mapping[str, DataFrame], old: int, new: int) -> None:
+        """Sums of categories, direct and carried to their ancestors, by the lines that changed; ``added``: table -> appended rows."""
         t = self.tables
         log = self.price_log(new)
         ids = log.select("product_id")
-        if "shopping_cart" in images:
-            ids = ids.unionAll(images["shopping_cart"].select("product_id"))
-        tree = "categories" in images
+        if "shopping_cart" in added:
+            ids = ids.unionAll(added["shopping_cart"].select("product_id"))
+        tree = "categories" in added
         if tree:
-            nodes = images["categories"].select("category_id").distinct()
+            nodes = added["categories"].select("category_id").distinct()
             came = (t["categories"].of(nodes, old).where("op <> 'D'").select("category_id", F.lit(1).alias("a"))
                     .join(t["categories"].of(nodes, new).where("op <> 'D'").select("category_id", F.lit(1).alias("b")), "category_id", "full")
                     .where("NOT (a <=> b)").select("category_id"))

@@ -148,3 +148,36 @@ def test_a_large_bag_is_counted_by_more_tasks(spark, scratch, monkeypatch):
     got = changes.apply_changes_bag(base, less)
     assert f", {partitions + 1}), REPARTITION_BY_NUM" in plan(got)
     assert {r.k: r.multiplicity for r in got.collect()} == {k: 1 if k == 7 else 3 for k in range(1000)}
+
+
+def test_a_batch_is_compared_with_the_seen_once_and_its_images_are_parsed_once(spark, scratch, monkeypatch):
+    sale = "product_id bigint, sale_date timestamp_ntz, price decimal(20,4), sale_price decimal(20,4)"
+    row = lambda price, day: (1, T0 + dt.timedelta(days=day), Decimal(price), Decimal(price))
+    products = spark.createDataFrame([(1, "p", Decimal(10), 1, T0)], live.IMAGES["products"])
+    spark.createDataFrame([row(4, 0), row(4, 0), row(8, 1)], sale).write.parquet(f"{scratch}/sales")
+    views = live.LiveViews(spark, f"{scratch}/kept")
+    views.load({"products": products, "sales": spark.read.parquet(f"{scratch}/sales")})
+    assert views.tables["sales"].read(0).count() == 3                       # written without a shuffle that adds up
+    mean = lambda: views.reader(views_at[0]).recent_prices().collect()[0]["avg_price"]
+    views_at = [0]
+    assert mean() == 16 / 3
+    calls, sources, outside, reprice = [], [], live._outside, live.LiveViews._reprice
+    monkeypatch.setattr(live, "_outside", lambda *a: calls.append(a) or outside(*a))
+    monkeypatch.setattr(live.LiveViews, "_reprice",
+                        lambda self, touched, *a: sources.extend(f for x in touched for f in x.inputFiles()) or reprice(self, touched, *a))
+    gone = F.struct(F.lit(1).alias("product_id"), F.lit(T0).cast("timestamp_ntz").alias("sale_date"),
+                    F.lit(Decimal("4.0000")).alias("price"), F.lit(Decimal("4.0000")).alias("sale_price"))
+    views.fold(live.changes(spark.range(1).select(F.col("id").alias("position"), F.lit("D").alias("op"), gone.alias("before")),
+                            "sales", "log"), 0)
+    views_at[0] = 1
+    assert mean() == 6                                                      # one of two equal sales was withdrawn
+    assert views.tables["prices"].now(1).first()["sale_count"] == 2
+    assert [r[:] for r in views.seen(1).collect()] == [("log", 0, 0)]
+    assert len(calls) == 1 and sources and all("kind=more" in f for f in sources)
+
+
+def test_a_log_is_placed_from_rows_that_were_computed_once(spark):
+    rows = spark.range(100).select(F.col("id").alias("product_id"), F.lit(1).cast("bigint").alias("stock"))
+    log = registry._log(rows, "inventory", "stock", rows.columns, ["product_id"], before="false")
+    assert log.inputFiles() and all("/stock-changes-" in f for f in log.inputFiles())
+    assert log.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()[:] == (1, 100, 100)
