@@ -6,15 +6,17 @@ whole rows (insert, update, delete), the newest ``seq`` of a product counts.
 Sales, promotions, stock and cart lines come as signed images: w = -1 for the
 row before a change, +1 for the row after it. Everything kept of them is a sum of
 signs, so changes may arrive in any order and however late; a change delivered
-twice is dropped by its id (Spark's streaming state holds the ids).
-
-A micro-batch appends its changes to logged tables (:class:`buckets.LoggedTable`)
-of counted sales, promotions and cart lines and summed stock; what is kept isn't
-written again, but for a bucket with many appended parts. Of the products it
-touches it computes anew those facts that a price depends on whose table has
-changed, and keeps the others: a promotion reads no sale. The views are queries
-over these tables, one row per product: a price needs its product's facts and
-the thresholds of all facts, never a sale.
+twice is dropped by its id. The ids that have come are a logged table too, joined
+with each batch: no task or state store holds them in memory.
+
+A micro-batch is written once without what has come before, then appends its
+changes to logged tables (:class:`buckets.LoggedTable`) of counted sales,
+promotions and cart lines and summed stock; what is kept isn't written again, but
+for a bucket with many appended parts. Of the products it touches it computes
+anew those facts that a price depends on whose table has changed, and keeps the
+others: a promotion reads no sale. The views are queries over these tables, one
+row per product: a price needs its product's facts and the thresholds of all
+facts, never a sale.
 """
 
 from __future__ import annotations
@@ -169,6 +171,8 @@ class Maintainer:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.tables = spark, root, kept_tables(spark, root, buckets)
+        #: Ids of the changes folded so far, each once.
+        self.seen = LoggedTable(spark, f"{root}/seen", "change_id string", "change_id", lambda rows: rows, buckets)
 
     def load(self, snapshot: Mapping[str, DataFrame]) -> None:
         """Freeze the snapshot's tables (one pass over each; a missing table is empty)."""
@@ -185,6 +189,7 @@ class Maintainer:
             part = compute(self.tables[name].read(0))                            # added up when it was loaded
             facts = part if facts is None else facts.join(part, "product_id", "full")
         self.tables["facts"].load(facts.withColumn("seq", F.lit(0).cast("bigint")))
+        self.seen.load(self.spark.createDataFrame([], self.seen.schema))
 
     def _update_facts(self, touched: Mapping[str, DataFrame], old: int, new: int) -> None:
         """Facts of touched products (counted table -> product_id): of the tables that changed anew, the others as they are."""
@@ -203,22 +208,49 @@ class Maintainer:
                 {c: F.when(F.col(f"_{name}"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
         self.tables["facts"].append(facts.withColumn("seq", F.lit(new).cast("bigint")), new)
 
+    def _put(self, batch: DataFrame, version: int) -> DataFrame:
+        """The batch as a table: computed once, held neither in memory nor on executors' disks."""
+        path = f"{self.root}/batch/v={version}"
+        batch.select(*FEED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(FEED_SCHEMA).parquet(path)
+
+    def _unseen(self, batch: DataFrame, version: int) -> DataFrame:
+        """Changes of ``batch`` whose id none of the versions up to ``version`` has folded, each once.
+
+        Both sides are dealt and sorted by a hash of the id, once; the ids themselves are compared.
+        """
+        hashed = F.xxhash64("change_id").alias("_hash")
+        alike = Window.partitionBy("_hash", "change_id").orderBy("_hash")
+        once = (batch.withColumn("change_id", F.coalesce("change_id", F.lit(""))).select("*", hashed)
+                .repartition("_hash", "change_id").withColumn("_nth", F.row_number().over(alike)).where("_nth = 1"))
+        if version == 0:                                                        # the snapshot has no ids
+            return once
+        seen = self.seen.read(version).select(hashed, F.col("change_id").alias("_seen"))
+        same = (once["_hash"] == seen["_hash"]) & (once["change_id"] == F.col("_seen"))
+        return once.join(seen, same, "left_anti")
+
+    def follow(self, batch: DataFrame, batch_id: int) -> None:
+        """The ``foreachBatch`` function: :meth:`fold` of the changes that haven't come before."""
+        fresh = self._put(self._unseen(batch, batch_id), batch_id + 1)
+        self.seen.append(fresh.select("change_id"), batch_id + 1)
+        self._fold(fresh, batch_id, batch_id + 1)
+
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        """The ``foreachBatch`` function. A batch that runs again gives the same versions."""
-        old, new = batch_id, batch_id + 1
-        batch = batch.persist()
+        """Fold changes whose ids are new, each once. A batch that runs again gives the same versions."""
+        self._fold(self._put(batch, batch_id + 1), batch_id, batch_id + 1)
+
+    def _fold(self, batch: DataFrame, old: int, new: int) -> None:
         names = [r[0] for r in batch.select("table").distinct().collect()]       # at most one row per table
-        touched = {}
         for name in names:
-            incoming = _as_kept(name, decode(batch, name))
-            self.tables[name].append(incoming, new)
-            if name in _FACTS:
-                touched[name] = incoming.select("product_id")
+            self.tables[name].append(_as_kept(name, decode(batch, name)), new)
+        # whom the changes touch is read from what was appended, not from the payloads again
+        touched = {name: self.tables[name].added(new).select("product_id") for name in names if name in _FACTS}
         self._update_facts(touched, old, new)
-        for table in self.tables.values():
+        for table in (*self.tables.values(), self.seen):
             table.compact(new)
             table.prune(old)
-        batch.unpersist()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def start(self, feed_path: str, *, max_files_per_trigger: int | None = None, available_now: bool = True,
               interval: str = "5 seconds") -> StreamingQuery:
@@ -226,8 +258,7 @@ class Maintainer:
         reader = self.spark.readStream.schema(FEED_SCHEMA)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-        once = reader.parquet(feed_path).dropDuplicates(["change_id"])
-        writer = (once.writeStream.outputMode("append").foreachBatch(self.fold)
+        writer = (reader.parquet(feed_path).writeStream.outputMode("append").foreachBatch(self.follow)
                   .option("checkpointLocation", f"{self.root}/checkpoint"))
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
         return writer.start()

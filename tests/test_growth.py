@@ -181,3 +181,41 @@ def test_a_log_is_placed_from_rows_that_were_computed_once(spark):
     log = registry._log(rows, "inventory", "stock", rows.columns, ["product_id"], before="false")
     assert log.inputFiles() and all("/stock-changes-" in f for f in log.inputFiles())
     assert log.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()[:] == (1, 100, 100)
+
+
+def _stock_feed(spark, n, first=0):
+    """``n`` signed stock rows of product 1, one unit each, with ids."""
+    rows = spark.range(first, first + n, 1, 4).select(F.lit(1).alias("w"), F.lit(1).cast("bigint").alias("product_id"),
+                                                     F.lit(1).alias("stock"), "id")
+    return mt.encode_signed(rows, "inventory", ["product_id", "stock"], "id")
+
+
+def test_ids_that_have_come_are_a_table_not_state(spark, scratch):
+    """Repeats within a batch, in a later batch and after a restart are dropped, and no state store holds an id."""
+    feed, keeper = _stock_feed(spark, 50).coalesce(1), mt.Maintainer(spark, f"{scratch}/kept", buckets=2)
+    keeper.load({})
+    feed.unionByName(feed).coalesce(1).write.parquet(f"{scratch}/feed")
+    feed.write.mode("append").parquet(f"{scratch}/feed")
+    first = keeper.start(f"{scratch}/feed", max_files_per_trigger=1)
+    first.awaitTermination()
+    feed.unionByName(_stock_feed(spark, 30, 45)).coalesce(1).write.mode("append").parquet(f"{scratch}/feed")
+    keeper = mt.Maintainer(spark, f"{scratch}/kept", buckets=2)
+    again = keeper.start(f"{scratch}/feed", max_files_per_trigger=1)
+    again.awaitTermination()
+    assert keeper.version() == 3
+    assert keeper.tables["inventory"].now(3).select("n", "stock").collect() == [(75, 75)]
+    assert not any(p["stateOperators"] for q in (first, again) for p in q.recentProgress)
+    assert not spark.sparkContext._jvm.java.io.File(f"{scratch}/kept/checkpoint/state").exists()
+    assert sorted(r[0] for r in keeper.seen.read(3).collect()) == sorted(f"inventory:{i}:1" for i in range(75))
+
+
+def test_a_batch_that_runs_again_drops_the_same_changes(spark, scratch):
+    keeper = mt.Maintainer(spark, scratch, buckets=2)
+    keeper.load({})
+    keeper.follow(_stock_feed(spark, 20), 0)
+    for _ in range(2):                                                              # as after a failure half way
+        keeper.follow(_stock_feed(spark, 20, 10), 1)
+        assert keeper.tables["inventory"].now(2).select("stock").collect() == [(30,)] and keeper.seen.read(2).count() == 30
+    missing = _stock_feed(spark, 2).withColumn("change_id", F.lit(None).cast("string"))
+    keeper.follow(missing, 2)
+    assert keeper.tables["inventory"].now(3).select("stock").collect() == [(31,)]    # rows without an id are one change, as ever
