@@ -1356,9 +1356,11 @@ def q_refresh_loop(spark, d):
 def _streamed(spark, d, feed, snapshot):
     """A maintainer that has loaded ``snapshot`` and folded ``feed``, a tenth of it delivered twice, in several batches."""
     root = _scratch(spark, "stream")
-    again = feed.where(F.pmod(F.xxhash64("change_id"), F.lit(10)) == 0)
     feed.write.parquet(f"{root}/feed")
-    again.write.mode("append").parquet(f"{root}/feed")
+    sent = spark.read.schema(feed.schema).parquet(f"{root}/feed")
+    # read from what was written, not computed again; as many files as the feed's, so none is larger
+    again = sent.where(F.pmod(F.xxhash64("change_id"), F.lit(10)) == 0)
+    again.repartition(max(1, len(sent.inputFiles()))).write.mode("append").parquet(f"{root}/feed")
     files = len(spark.read.parquet(f"{root}/feed").inputFiles())
     keeper = mt.Maintainer(spark, f"{root}/kept")
     keeper.load(snapshot)
@@ -1375,8 +1377,10 @@ def _snapshot(t, *names):
 def _stream_with_cart(spark, d):
     """Product changes and cart changes over the snapshot."""
     t = retail_tables(spark, d)
+    # the bounds, the counts of ranges and the rows are read from the lines, not joined three times
+    lines = written(testdata.cart_change_lines(spark, d, t.products), "cart-changes")
     feed = mt.encode_rows(testdata.product_changes(spark, d), "products", t.products.columns).unionByName(
-        mt.encode_signed(global_position(testdata.cart_change_lines(spark, d, t.products), ["order_id", "line"]),
+        mt.encode_signed(global_position(lines, ["order_id", "line"]),
                          "shopping_cart", t.shopping_cart.columns, "position"))
     return t, _streamed(spark, d, feed, _snapshot(t, "shopping_cart"))
 

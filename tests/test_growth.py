@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -219,3 +220,38 @@ def test_a_batch_that_runs_again_drops_the_same_changes(spark, scratch):
     missing = _stock_feed(spark, 2).withColumn("change_id", F.lit(None).cast("string"))
     keeper.follow(missing, 2)
     assert keeper.tables["inventory"].now(3).select("stock").collect() == [(31,)]    # rows without an id are one change, as ever
+
+
+def test_the_repeated_changes_are_those_that_were_sent(spark, monkeypatch, scratch):
+    """The tenth that comes twice is read from the written feed: computed again, ids that differ by run would be new ones."""
+    monkeypatch.setattr(registry, "_scratch", lambda spark, what: scratch)
+    fresh = F.udf(lambda: str(uuid.uuid4())).asNondeterministic()
+    feed = _stock_feed(spark, 400).withColumn("change_id", fresh())
+    keeper = registry._streamed(spark, None, feed, {})
+    sent = spark.read.parquet(f"{scratch}/feed")
+    assert sent.count() > 400 and sent.select("change_id").distinct().count() == 400
+    assert keeper.tables["inventory"].now(keeper.version()).select("stock").collect() == [(400,)]
+
+
+def test_cart_lines_are_joined_once(spark, monkeypatch):
+    """Bounds, counts and rows of the numbered lines are read from a table, not from the joins three times."""
+    seen = []
+
+    def numbered(lines, order):
+        seen.append("Join" in lines._jdf.queryExecution().optimizedPlan().toString())
+        return lines.withColumn("position", F.lit(1))
+    monkeypatch.setattr(registry, "global_position", numbered)
+    monkeypatch.setattr(registry, "_streamed", lambda spark, d, feed, snapshot: feed)
+    registry._stream_with_cart(spark, "/root/testdata/sf0.001")
+    assert seen == [False]
+
+
+def test_a_snapshot_of_sales_is_written_without_adding_up(spark, scratch):
+    """Equal sales stay rows of their own until they are read; counts and the ten newest are the same."""
+    sale = lambda i, days, price: (i, 1, Decimal("2.0000"), T0 + dt.timedelta(days=days), Decimal(price))
+    rows = [sale(i, 9, "7.00") for i in range(8)] + [sale(8 + i, 5, "3.00") for i in range(4)]
+    keeper = mt.Maintainer(spark, scratch, buckets=1)
+    keeper.load({"sales": spark.createDataFrame(rows, schemas.SALES)})
+    assert keeper.tables["sales"].read(0).count() == 12 and keeper.tables["sales"].now(0).count() == 2
+    fact = keeper.tables["facts"].now(0).first()
+    assert (fact.sale_count, fact.sale_price_sum, fact.avg_price) == (12, Decimal("24.0000"), (8 * 7 + 2 * 3) / 10)
