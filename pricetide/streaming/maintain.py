@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import WindowSpec
 
 from pricetide.functions import factors as fx
 from pricetide.operators import cart as cartops
@@ -140,17 +141,34 @@ def _added_up(table: str, rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def _of_sales(sales: DataFrame) -> DataFrame:
+def _newest() -> WindowSpec:
+    return Window.partitionBy("product_id").orderBy(F.desc("sale_date"), F.desc("price"))
+
+
+def _with_newest(sales: DataFrame) -> tuple[DataFrame, Column]:
+    """Sales with how many of each are among their product's newest, and the mean price of those."""
+    before = F.sum(F.greatest(F.lit(0), "n")).over(_newest().rowsBetween(Window.unboundedPreceding, -1))
+    rows = (sales.withColumn("room", fx.RECENT_SALES - F.coalesce(before, F.lit(0)))
+            .withColumn("take", F.when(F.col("n") > 0, F.greatest(F.lit(0), F.least("n", "room")))))
+    return rows, (F.sum(F.col("price") * F.col("take")).cast("double") / F.sum("take")).alias("avg_price")
+
+
+def _of_snapshot_sales(sales: DataFrame) -> DataFrame:
+    """:func:`_of_sales` where nothing is taken back: rows needn't be added up, and few of a product leave a task."""
     counts = sales.groupBy("product_id").agg(F.sum("n").alias("sale_count"),
                                              F.sum("amount").cast("decimal(38,4)").alias("sale_price_sum"))
-    newest = Window.partitionBy("product_id").orderBy(F.desc("sale_date"), F.desc("price"))
-    before = newest.rowsBetween(Window.unboundedPreceding, -1)
-    top = (sales.where("n > 0").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= fx.RECENT_SALES)
-           .withColumn("room", fx.RECENT_SALES - F.coalesce(F.sum("n").over(before), F.lit(0)))
-           .withColumn("take", F.greatest(F.lit(0), F.least("n", "room"))))
-    recent = top.groupBy("product_id").agg(
-        (F.sum(F.col("price") * F.col("take")).cast("double") / F.sum("take")).alias("avg_price"))
-    return counts.where("sale_count > 0").join(recent, "product_id", "full")
+    top = sales.where("n > 0").withColumn("rn", F.row_number().over(_newest())).where(F.col("rn") <= fx.RECENT_SALES)
+    rows, avg_price = _with_newest(top)
+    return counts.where("sale_count > 0").join(rows.groupBy("product_id").agg(avg_price), "product_id", "full")
+
+
+def _of_sales(sales: DataFrame) -> DataFrame:
+    """Counts and the mean of the newest prices by one pass over added up sales."""
+    rows, avg_price = _with_newest(sales)
+    facts = rows.groupBy("product_id").agg(F.sum("n").alias("_n"), F.sum("amount").cast("decimal(38,4)").alias("_amount"), avg_price)
+    sold = F.col("_n") > 0
+    return facts.select("product_id", F.when(sold, F.col("_n")).alias("sale_count"),
+                        F.when(sold, F.col("_amount")).alias("sale_price_sum"), "avg_price")
 
 
 def _of_promotions(promotions: DataFrame) -> DataFrame:
@@ -188,7 +206,7 @@ class Maintainer:
             self.tables[name].load(kept if name == "sales" else _added_up(name, kept))
         facts = None
         for name, (_, compute) in _FACTS.items():
-            part = compute(self.tables[name].read(0))                            # a snapshot takes nothing back
+            part = (_of_snapshot_sales if name == "sales" else compute)(self.tables[name].read(0))
             facts = part if facts is None else facts.join(part, "product_id", "full")
         self.tables["facts"].load(facts.withColumn("seq", F.lit(0).cast("bigint")))
         self.seen.load(self.spark.createDataFrame([], self.seen.schema))
@@ -205,7 +223,9 @@ class Maintainer:
         facts = ids.join(self.tables["facts"].of(ids.select("product_id"), old), "product_id", "left")
         for name in touched:
             columns, compute = _FACTS[name]
-            now = compute(self.tables[name].of(ids.where(f"_{name}").select("product_id"), new))
+            # a hash table of a task's products, so that the rows of the table needn't be sorted to meet them
+            own = ids.where(f"_{name}").select("product_id").hint("shuffle_hash")
+            now = compute(self.tables[name].of(own, new))
             facts = facts.join(now.withColumnsRenamed({c: f"_new_{c}" for c in columns}), "product_id", "left").withColumns(
                 {c: F.when(F.col(f"_{name}"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
         self.tables["facts"].append(facts.withColumn("seq", F.lit(new).cast("bigint")), new)

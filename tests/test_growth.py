@@ -255,3 +255,17 @@ def test_a_snapshot_of_sales_is_written_without_adding_up(spark, scratch):
     assert keeper.tables["sales"].read(0).count() == 12 and keeper.tables["sales"].now(0).count() == 2
     fact = keeper.tables["facts"].now(0).first()
     assert (fact.sale_count, fact.sale_price_sum, fact.avg_price) == (12, Decimal("24.0000"), (8 * 7 + 2 * 3) / 10)
+
+
+def test_facts_of_sales_take_one_pass(spark):
+    """Counts and newest prices of kept sales: no join of two passes; what is taken back below zero counts nothing."""
+    day = lambda n: T0 + dt.timedelta(days=n)
+    d = lambda x: None if x is None else Decimal(x)
+    rows = [(1, day(3), d("4"), 6, d("6")), (1, day(2), d("1"), -3, d("-3")), (1, day(1), d("2"), 3, d("3")), (1, day(0), d("9"), 5, d("5")),
+            (2, day(1), d("5"), 1, d("1")), (2, day(0), d("5"), -2, d("-2")),      # more taken back than came so far
+            (3, day(1), d("5"), -1, d("-1")), (4, day(1), None, 2, None)]
+    kept = spark.createDataFrame(rows, mt.KEPT["sales"])
+    facts = mt._of_sales(kept)
+    assert "Join" not in facts._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.product_id: tuple(r)[1:] for r in facts.collect()}
+    assert got == {1: (11, Decimal("11.0000"), (6 * 4 + 3 * 2 + 9) / 10), 2: (None, None, 5.0), 3: (None, None, None), 4: (2, None, None)}
